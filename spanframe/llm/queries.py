@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._base import load
+from ._base import load, scratch_path
+from .decontam import contamination
 from .mixing import mix_sources
+from .quality import score_quality
+from .simhash import near_duplicates
+from .token_files import token_digests, write_token_files
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file; SPANFRAME_TOKENIZER names another."""
+    if found := os.environ.get("SPANFRAME_TOKENIZER"):
+        return found
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_token_files(load(spark, sf_dir, "documents"), path, tokenizer_file())
+    return token_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +48,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_mix_sources,)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_simhash_near_dedup, op6_quality_classifier, op7_token_files, op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
