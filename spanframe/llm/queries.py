@@ -6,13 +6,19 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._base import load, scratch_path
 from .decontam import contamination
+from .lang_id import crc_mod, identify_languages
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality import score_quality
 from .simhash import near_duplicates
+from .span_dedup import dedup_spans
+from .token_counts import length_histogram
 from .token_files import token_digests, write_token_files
+from .topk import top_k
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -24,15 +30,29 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    found = identify_languages(load(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(load(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -43,12 +63,32 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(load(spark, sf_dir, "documents"), tokenizer_file(), by="source")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_simhash_near_dedup, op6_quality_classifier, op7_token_files, op9_mix_sources)}
+    every = (
+        op1_language_id,
+        op2_decontaminate,
+        op3_line_dedup,
+        op4_simhash_near_dedup,
+        op5_top_k,
+        op6_quality_classifier,
+        op7_token_files,
+        op8_token_counts,
+        op9_mix_sources,
+        op10_span_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
