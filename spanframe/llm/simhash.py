@@ -3,8 +3,8 @@
 A 64-bit fingerprint is a ring of four 16-bit segments. If two fingerprints differ in at most 3 bits, then some segment
 starts a chain along the ring whose first 1, 2, 3, 4 segments differ in at most 0, 1, 2, 3 bits together (the budgets
 l * 3 / 4, rounded down). Chains of length 2 are the join key: a start, its segment, and the next segment up to one bit.
-For the one-bit part, segments of even parity give themselves and segments of odd parity give their 16 neighbours (all
-even): two segments that differ in at most one bit always meet. Pairs that meet are tested for chains of length 3, and
+Next segments that are equal meet by themselves; for those that differ in one bit, segments of even parity give themselves
+and segments of odd parity give their 16 neighbours (all even), and only unlike parities are compared. Pairs that meet are tested for chains of length 3, and
 then for the full distance. No pair is lost, and none is written: a bucket returns a spanning forest of its links.
 """
 
@@ -62,56 +62,64 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _segment(i: int) -> Column:
+    return F.shiftrightunsigned("fp", 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+
+
 def chain_keys(reps: DataFrame) -> DataFrame:
-    """reps(rep, fp) -> (key, rep, fp): the keys of all chains of length 2."""
-    seg = lambda i: F.shiftrightunsigned("fp", 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
-    per_start = []
-    for i in range(4):
-        after = seg(i + 1)
-        near = F.when(F.bit_count(after) % 2 == 0, F.array(after)).otherwise(F.array(*[after.bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(16)]))
-        head = F.lit(i << 32).cast("bigint") + F.shiftleft(seg(i), 16)
-        per_start.append(F.transform(near, lambda x, head=head: head + x))
-    return reps.select(F.explode(F.concat(*per_start)).alias("key"), "rep", "fp")
-
-
-def _linked(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which of the differences x (uint64) pass the chains from their starts (0 to 3), and then the full check."""
-    turn = (start * 16).astype(np.uint64)
-    ring = np.where(turn == 0, x, (x >> turn) | (x << ((np.uint64(64) - turn) & np.uint64(63))))
-    ok = np.ones(x.shape, dtype=bool)
-    for segments in range(1, 5):
-        mask = np.uint64((1 << (16 * segments)) - 1)
-        ok &= np.bitwise_count(ring & mask) <= segments * BITS // 4
-    return ok
-
-
-def _forest(fp: np.ndarray, rep: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is connected within one bucket; each member is the centre of a search once at most."""
-    out, left = [], np.arange(len(fp))
-    while len(left) > 1:
-        frontier, left = left[:1], left[1:]
-        root = frontier[0]
-        while len(frontier) and len(left):
-            hit = np.zeros(len(left), dtype=bool)
-            for at in range(0, len(frontier), 64):
-                x = fp[frontier[at : at + 64], None] ^ fp[None, left]
-                hit |= _linked(x, np.full((1, 1), start)).any(axis=0)
-            frontier, left = left[hit], left[~hit]
-            if len(frontier):
-                out.append((np.full(len(frontier), rep[root]), rep[frontier]))
+    """reps(rep, fp) -> (key, even, rep, fp): the keys of all chains of length 2. Bits 0 to 15 of a key hold the next
+    segment, 16 to 31 the first, 32 and 33 the start; bit 34 is set if the next segments differ by one bit."""
+    one_bit = F.lit(1 << 34).cast("bigint")
+
+    def of_start(i: int) -> Column:
+        after = _segment(i + 1)
+        even = F.bit_count(after) % 2 == 0
+        head = F.lit(i << 32).cast("bigint") + F.shiftleft(_segment(i), 16)
+        flips = F.array(*[after.bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(16)])
+        near = F.transform(F.when(even, F.array(after)).otherwise(flips), lambda x: head + one_bit + x)
+        return F.transform(F.concat(F.array(head + after), near), lambda k: F.struct(k.alias("key"), even.alias("even")))
+
+    keys = [of_start(i) for i in range(4)]
+    rows = reps.select(F.explode(F.concat(*keys)).alias("k"), "rep", "fp")
+    return rows.select("k.key", "k.even", "rep", "fp")
+
+
+def _linked(x: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+    """Which differences x (uint64) pass the chain of three segments from their starts (0 to 3), and the full check. The
+    chains of one and two segments hold by the key."""
+    turn = (np.asarray(start) * 16 + 48).astype(np.uint64) & np.uint64(63)  # where the chain's last but one segment ends
+    hole = (np.uint64(0xFFFF) << turn).astype(np.uint64)
+    return (np.bitwise_count(x & ~hole) <= 3 * BITS // 4) & (np.bitwise_count(x) <= BITS)
+
+
+def _forest(sides: list[np.ndarray], fp: np.ndarray, rep: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is connected in one bucket. sides: the members, or the two kinds whose links count. Each
+    member is searched from once at most."""
+    left, out = list(sides), []
+    while len(left[0]) and len(left[-1]):
+        root, left[0] = left[0][:1], left[0][1:]
+        frontier, side = [root, *(root[:0] for _ in left[1:])], 0
+        while any(map(len, frontier)):
+            other = len(left) - 1 - side
+            now, frontier[side] = frontier[side], frontier[side][:0]
+            hit = np.zeros(len(left[other]), dtype=bool)
+            for at in range(0, len(now), 64):
+                hit |= _linked(fp[now[at : at + 64], None] ^ fp[None, left[other]], start).any(axis=0)
+            found, left[other] = left[other][hit], left[other][~hit]
+            if len(found):
+                out.append((np.full(len(found), rep[root[0]]), rep[found]))
+                frontier[other] = np.concatenate((frontier[other], found))
+            side = other
     return out
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tile, rep, fp) sorted by key and tile -> links (a, b)."""
+    """Rows (key, tile, even, rep, fp) sorted by key and tile -> links (a, b)."""
     tail = None
     for b in batches:
-        now = [b.column(i).to_numpy() for i in range(4)]
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if tail is not None:
             now = [np.concatenate(x) for x in zip(tail, now, strict=True)]
-        n = len(now[0])
-        if not n:
-            continue
         change = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
         last = int(change[-1]) if len(change) else 0
         tail = [x[last:] for x in now]
@@ -122,7 +130,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _links_of(cols: list[np.ndarray], change: np.ndarray) -> Iterator[pa.RecordBatch]:
-    key, _, rep, fp = cols
+    key, _, even, rep, fp = cols
     fp = fp.view(np.uint64)
     bounds = np.concatenate(([0], change, [len(key)]))
     length = np.diff(bounds)
@@ -130,16 +138,18 @@ def _links_of(cols: list[np.ndarray], change: np.ndarray) -> Iterator[pa.RecordB
     small = length <= 32
     a, b = [], []
     rows = np.flatnonzero(small[run] & (length[run] > 1))
-    most = int(length[small].max(initial=1))
-    for d in range(1, most):
-        i = rows[rows + d < len(key)]
-        i = i[run[i] == run[i + d]]
-        hit = i[_linked(fp[i] ^ fp[i + d], key[i] >> 32)]
+    for d in range(1, int(length[small].max(initial=1))):
+        rows = rows[rows + d < len(key)]
+        rows = rows[run[rows] == run[rows + d]]
+        meet = (key[rows] >> 34 == 0) | (even[rows] != even[rows + d])
+        i = rows[meet]
+        hit = i[_linked(fp[i] ^ fp[i + d], key[i] >> 32 & 3)]
         a.append(rep[hit])
         b.append(rep[hit + d])
     for r in np.flatnonzero(~small):
-        lo, hi = bounds[r], bounds[r + 1]
-        for x, y in _forest(fp[lo:hi], rep[lo:hi], int(key[lo] >> 32)):
+        members = np.arange(bounds[r], bounds[r + 1])
+        sides = [members] if key[members[0]] >> 34 == 0 else [members[even[members]], members[~even[members]]]
+        for x, y in _forest(sides, fp, rep, int(key[members[0]] >> 32 & 3)):
             a.append(x)
             b.append(y)
     a, b = (np.concatenate(x) if x else np.array([], dtype=np.int64) for x in (a, b))
@@ -150,14 +160,16 @@ def _links_of(cols: list[np.ndarray], change: np.ndarray) -> Iterator[pa.RecordB
 
 def links(reps: DataFrame) -> DataFrame:
     """reps(rep, fp), fp distinct -> links (a, b) between reps that connect all fingerprints within BITS of each other."""
-    counted = chain_keys(reps).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    cool = counted.where(F.col("n") <= HOT).select("key", F.lit(0).cast("bigint").alias("tile"), "rep", "fp")
+    same = Window.partitionBy("key")
+    counted = chain_keys(reps).withColumn("n", F.count("*").over(same)).withColumn("n_even", F.count_if("even").over(same))
+    counted = counted.where((F.col("n") > 1) & ((F.col("key") < 1 << 34) | ((F.col("n_even") > 0) & (F.col("n_even") < F.col("n")))))
+    cool = counted.where(F.col("n") <= HOT).select("key", F.lit(0).cast("bigint").alias("tile"), "even", "rep", "fp")
     cool = cool.sortWithinPartitions("key")
     hot = counted.where(F.col("n") > HOT).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint"))
     hot = hot.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    hot = hot.select("key", "rep", "fp", "blocks", "own", other.alias("other"))
-    hot = hot.select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("tile"), "rep", "fp")
+    hot = hot.select("key", "even", "rep", "fp", "blocks", "own", other.alias("other"))
+    hot = hot.select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("tile"), "even", "rep", "fp")
     hot = hot.repartition("key", "tile").sortWithinPartitions("key", "tile")
     schema = "a bigint, b bigint"
     return cool.mapInArrow(_bucket_links, schema).union(hot.mapInArrow(_bucket_links, schema)).distinct()
