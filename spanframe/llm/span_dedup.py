@@ -28,13 +28,13 @@ _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
     """Character ranges of the sentences, without the white space between them."""
-    out, at = [], 0
+    out, at = [], len(text) - len(text.lstrip())
     for m in _CUT.finditer(text):
         if m.start() > at and not text[at : m.start()].isspace():
             out.append((at, m.start()))
         at = max(at, m.end())
     if at < len(text) and not text[at:].isspace():
-        out.append((at, len(text)))
+        out.append((at, len(text.rstrip())))
     return out
 
 
