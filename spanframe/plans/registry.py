@@ -16,6 +16,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Decorator: adds a query under a name; sql is its oracle."""
 
     def add(f: Query) -> Query:
+        f.__name__ = name
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
         _QUERIES[name] = f
@@ -26,9 +27,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from . import interval_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
