@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import function_queries, interval_queries, sampling_queries  # noqa: F401
+    from . import function_queries, interval_queries, planning_queries, sampling_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -39,3 +39,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return _ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["window_workload"](spark, sf_dir)
