@@ -7,7 +7,7 @@ without one of its characters. All variants are emitted as hashed keys and equal
 - a line that is itself the variant of another differs from it by one inserted character.
 
 So a variant's lines need no pairs: each is held against the earliest of its place, and against the undeleted line.
-Those links are verified on the texts, and a line goes if an earlier one is within the bound, or is its copy.
+Those links are verified on the texts (both must give the variant), and a line goes if an earlier one is within the bound, or is its copy.
 
 Two steps keep the emission small and lose nothing. Copies of a line are one line. And of two lines within an edit, either
 the first half (of the shorter's length) or the rest is equal in both: only lines that share such a half with another
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 from ._base import stored
 
-#: Line tables of up to so many rows are broadcast.
-BROADCAST_LINES = 500_000
+#: Tables of lines or keys of up to so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _hashes(*columns: Column | str) -> list[Column]:
@@ -48,57 +52,67 @@ def _half_keys(line: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """lines(h, g, first, line, low, high) -> (v, w, at, h, g, first): the line itself (at 0), and deletions at low..high."""
+    """lines(h, g, first, line, low, high) -> (v, w, at, first): the line itself (at 0), and deletions at low..high."""
     chars = lines.repartition("h", "g").select("h", "g", "first", "low", "high", F.posexplode(F.concat(F.array(F.lit("")), F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)))).alias("at", "c"))
     by = Window.partitionBy("h", "g")
     upto = by.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    none = F.lit(0).cast("bigint")
     real = F.col("at") > 0
-    pick = lambda seed, shift: F.when(real, F.xxhash64(F.lit(seed), "c", F.col("at") - shift)).otherwise(none)
+    keys = []
     for name, seed in (("v", 1), ("w", 2)):
-        chars = chars.withColumn(f"{name}0", pick(seed, 0)).withColumn(f"{name}1", pick(seed, 1))
+        for shift in (0, 1):
+            hashed = F.xxhash64(F.lit(seed), "c", F.col("at") - shift)
+            chars = chars.withColumn(f"{name}{shift}", F.when(real, hashed).otherwise(F.lit(0).cast("bigint")))
     for name in ("v", "w"):
         chars = chars.withColumn(f"{name}_upto", F.bit_xor(f"{name}0").over(upto)).withColumn(f"{name}_shifted", F.bit_xor(f"{name}1").over(upto))
         chars = chars.withColumn(f"{name}_all", F.bit_xor(f"{name}0").over(by)).withColumn(f"{name}_all1", F.bit_xor(f"{name}1").over(by))
-    keys = {}
-    for name in ("v", "w"):
-        x = lambda end, name=name: F.col(f"{name}{end}")
-        before, after = x("_upto").bitwiseXOR(x("0")), x("_all1").bitwiseXOR(x("_shifted"))
-        keys[name] = F.when(real, before.bitwiseXOR(after)).otherwise(x("_all")).alias(name)
+        before = F.col(f"{name}_upto").bitwiseXOR(F.col(f"{name}0"))
+        after = F.col(f"{name}_all1").bitwiseXOR(F.col(f"{name}_shifted"))
+        keys.append(F.when(real, before.bitwiseXOR(after)).otherwise(F.col(f"{name}_all")))
     chars = chars.where(~real | F.col("at").between(F.col("low"), F.col("high")))
-    return chars.select(keys["v"], keys["w"], "at", "h", "g", "first")
+    return chars.select(keys[0].alias("v"), keys[1].bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("w"), "at", "first")
 
 
-def near_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: occurrences (id, mark, no, h, g, blank) of all lines, and lines (h, g, first, near): the first
-    occurrence of each distinct line that is not blank, and whether an earlier line is one edit away."""
+def _near(texts: DataFrame) -> DataFrame:
+    """texts(h, g, first, line, low, high) -> (h, g) of the lines that are one edit away from an earlier one."""
+    variants = _variants(texts).repartition("v", "w")
+    same, own = Window.partitionBy("v", "w", "at"), Window.partitionBy("v", "w")
+    deleted, who = F.col("at") > 0, F.struct("first", "at")
+    variants = variants.withColumn("whole", F.min(F.when(~deleted, who)).over(own)).withColumn("cut", F.min(F.when(deleted, who)).over(own)).withColumn("in_place", F.min(who).over(same))
+    earlier = F.explode(F.array(F.when(deleted, F.col("in_place")), F.when(deleted, F.col("whole")), F.when(~deleted, F.col("cut")))).alias("e")
+    links = variants.select("first", "at", earlier).where("e is not null and e.first < first")
+    links = links.groupBy("first", F.col("e.first").alias("e")).agg(F.min(F.struct(F.col("at").alias("mine"), F.col("e.at").alias("other"))).alias("cuts"))
+    other = texts.select(F.col("first").alias("e"), F.col("line").alias("line2"))
+    pairs = links.join(texts.select("first", "h", "g", "line"), "first").join(other, "e")
+    # an edit distance of at most one, proved by the shared variant; unlike a matrix of distances, in linear time
+    return pairs.where(_without("line", "cuts.mine") == _without("line2", "cuts.other")).select("h", "g").distinct()
+
+
+def _without(line: str, at: str) -> Column:
+    """The line without its character at a place from 1; the line itself for 0."""
+    rest = F.concat(F.substring(line, F.lit(1), F.col(at) - 1), F.substring(line, F.col(at) + 1, F.length(line)))
+    return F.when(F.col(at) > 0, rest).otherwise(F.col(line))
+
+
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, no): the lines to remove; mark tells rows of one id with other texts apart, no counts from 0."""
     lines = _lines(docs, id_col, text_col)
     blank = F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) == ""
-    found = stored(lines.select("id", "mark", "no", "h", "g", blank.alias("blank"), F.length("line").alias("size"), _half_keys(F.col("line")).alias("halves")), "lines")
+    found = stored(lines.where(~blank).select("id", "mark", "no", "h", "g", F.length("line").alias("size"), _half_keys(F.col("line")).alias("halves")), "lines")
     place = F.struct("id", "mark", "no")
-    firsts = stored(found.where("not blank").groupBy("h", "g").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.first("size").alias("size")), "firsts")
-    halves = firsts.select("h", "g", "size", F.posexplode("halves").alias("role", "key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    half = F.floor((F.col("size") - F.when(F.col("role") >= 2, 1).otherwise(0)) / 2).cast("int")
-    is_first = F.col("role") % 2 == 0
-    low, high = F.when(is_first, half + 1).otherwise(1), F.when(is_first, F.col("size")).otherwise(half + F.when(F.col("role") >= 2, 1).otherwise(0))
-    likely = halves.join(shared, "key", "left_semi").groupBy("h", "g").agg(F.min(low).alias("low"), F.max(high).alias("high"))
-    likely = stored(likely.join(firsts.select("h", "g", "first"), ["h", "g"]), "likely")
-    hint = F.broadcast if likely.count() <= BROADCAST_LINES else (lambda x: x)
-    mine = hint(likely.select("h", "g", "first", "low", "high"))
-    texts = stored(lines.join(mine, ["h", "g"]).where((F.struct("id", "mark", "no")) == F.col("first")).dropDuplicates(["h", "g"]).select("h", "g", "first", "low", "high", "line"), "texts")
-    variants = _variants(texts)
-    same, own = Window.partitionBy("v", "w", "at"), Window.partitionBy("v", "w")
-    who = F.struct("first", "h", "g")
-    deleted = F.col("at") > 0
-    variants = variants.withColumn("in_place", F.min(who).over(same)).withColumn("whole", F.min(F.when(~deleted, who)).over(own)).withColumn("cut", F.min(F.when(deleted, who)).over(own))
-    earlier = F.explode(F.array(F.when(deleted, F.col("in_place")), F.when(deleted, F.col("whole")), F.when(~deleted, F.col("cut")))).alias("e")
-    links = variants.select("h", "g", "first", earlier).where("e is not null and e.first < first").select("h", "g", F.col("e.h").alias("h2"), F.col("e.g").alias("g2")).distinct()
-    other = texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("line2"))
-    near = links.join(texts.select("h", "g", "line"), ["h", "g"]).join(other, ["h2", "g2"])
-    near = near.where(F.levenshtein("line", "line2", 1) >= 0).select("h", "g").distinct().withColumn("near", F.lit(True))
-    lines = firsts.select("h", "g", "first").join(near, ["h", "g"], "left").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return found.select("id", "mark", "no", "h", "g", "blank"), lines
+    halves = found.select("h", "g", "size", F.posexplode("halves").alias("role", "key"))
+    ends = halves.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    shared = stored(ends.where("h0 <> h1 or g0 <> g1").select("key"), "halves")
+    longer = F.when(F.col("role") >= 2, 1).otherwise(0)
+    half, is_first = F.floor((F.col("size") - longer) / 2).cast("int"), F.col("role") % 2 == 0
+    low, high = F.when(is_first, half + 1).otherwise(1), F.when(is_first, F.col("size")).otherwise(half + longer)
+    likely = stored(halves.join(_small(shared), "key").groupBy("h", "g").agg(F.min(low).alias("low"), F.max(high).alias("high")), "likely")
+    firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts = stored(firsts.join(_small(likely), ["h", "g"], "left").where("n > 1 or low is not null"), "firsts")
+    mine = firsts.where("low is not null").select("h", "g", "first", "low", "high")
+    texts = lines.join(_small(mine), ["h", "g"]).where(place == F.col("first")).dropDuplicates(["h", "g"])
+    near = _near(stored(texts.select("h", "g", "first", "low", "high", "line"), "texts")).withColumn("near", F.lit(True))
+    repeats = stored(firsts.join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first", "near"), "repeats")
+    return found.select("id", "mark", "no", "h", "g").join(_small(repeats), ["h", "g"]).where(F.col("near") | (F.col("first") != place)).select("id", "mark", "no")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -109,17 +123,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     distinct lines, whether or not those stay. Null ids come first. Rows of one id and text are one document and keep the
     same lines; rows of one id and different texts are in the order of their texts' hashes. Other columns are not read.
     """
-    found, lines = near_lines(docs, id_col=id_col, text_col=text_col)
-    found = found.dropDuplicates(["id", "mark", "no"])
-    judged = found.join(lines, ["h", "g"], "left")
-    stays = F.col("blank") | (~F.col("near") & (F.col("first") == F.struct("id", "mark", "no")))
-    flags = judged.select("id", "mark", "no", F.coalesce(stays, F.lit(True)).alias("stays")).groupBy("id", "mark").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "stays"))), lambda x: x["stays"]).alias("stays"))
-    flags = flags.select(F.col("id").alias("__id2"), F.col("mark").alias("__mark2"), "stays")
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col).groupBy("id", "mark").agg(F.collect_set("no").alias("gone"))
+    gone = gone.select(F.col("id").alias("__id2"), F.col("mark").alias("__mark2"), "gone")
     rows = docs.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark"))
-    out = rows.join(flags, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__mark") == F.col("__mark2")), "left")
-    said = F.split("__text", "\n")
-    kept = F.filter(said, lambda x, i: F.coalesce(F.get("stays", i), F.lit(True)))
-    n = F.coalesce(F.size("stays"), F.lit(0)).cast("bigint")
-    out = out.withColumn("__kept", kept).withColumn("n_lines", F.when(F.col("__text").isNull(), 0).otherwise(n))
-    gone = F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__kept"))
-    return out.select(F.col("__id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), "n_lines", gone.cast("bigint").alias("n_removed"), F.array_join("__kept", "\n").alias("text"))
+    out = rows.join(gone, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__mark") == F.col("__mark2")), "left")
+    lines = F.col("__lines")  # a column of its own, so that no element splits the text again
+    out = out.withColumn("__lines", F.split("__text", "\n"))
+    n = F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    return out.select(F.col("__id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), n.alias("n_lines"), n_removed.alias("n_removed"), left.alias("text"))
