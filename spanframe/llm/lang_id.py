@@ -100,7 +100,7 @@ class Classifier:
         self.languages = sorted({lang for lang, _, _ in profiles})
         self.most = ranks
         number = {lang: i for i, lang in enumerate(self.languages)}
-        self.grams = np.unique(np.array([g for _, g, _ in profiles], dtype=np.int64).view(np.uint64))
+        self.grams = np.unique(np.array([g & (1 << 64) - 1 for _, g, _ in profiles], dtype=np.uint64))
         self.ranks = np.full((len(self.grams) + 1, len(self.languages)), ranks, dtype=np.int32)
         for lang, gram, rank in profiles:
             self.ranks[np.searchsorted(self.grams, np.uint64(gram & (1 << 64) - 1)), number[lang]] = rank - 1
