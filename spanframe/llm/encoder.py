@@ -13,11 +13,12 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
 #: Most entries of each memo; a full one starts afresh.
-MEMO = 250_000
+MEMO = 500_000
 #: The normalizer and pre-tokenizer of files that the memo serves.
 KNOWN = {
     "normalizer": ["NFC", "Replace", "Lowercase"],
@@ -29,7 +30,16 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _LETTERS, _NUMBERS = (re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == kind)) for kind in "LN")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{re.escape(_SPACE)}{_LETTERS}{_NUMBERS}]+")
 _OTHER = re.compile("[^\x00-įı-ɏ]")
-_TO_SPACE = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r\x85\xa0", " "))
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")  # also holds for its lower case
+        return True
+    except UnicodeEncodeError:
+        return not _OTHER.search(text) and not _OTHER.search(text.lower())
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,7 +66,8 @@ class Encoder:
         pattern = split[0].get("pattern", {}).get("Regex") if split else None
         self.known = steps == KNOWN["normalizer"] and [x["type"] for x in split] == KNOWN["pre_tokenizer"] and pattern == KNOWN["pattern"] and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
         self.special = re.compile("|".join(re.escape(x["content"]) for x in said.get("added_tokens", [])) or "(?!)")
-        self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -65,12 +76,12 @@ class Encoder:
             if len(self.words) >= MEMO:
                 self.words.clear()
             spelt = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(_LETTER.__getitem__, word.encode()))
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(spelt)], dtype=self.kind).tobytes()
+            found = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
     def _chunk(self, chunk: str) -> bytes:
         """ids of what stands between two spaces."""
-        found = b"".join(map(self._word, _PIECES.findall(chunk)))
+        found = self._word(chunk) if chunk.isalpha() else b"".join(map(self._word, _PIECES.findall(chunk)))
         if len(self.chunks) >= MEMO:
             self.chunks.clear()
         if len(chunk) <= 64:
@@ -80,9 +91,9 @@ class Encoder:
     def _bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.known or _OTHER.search(text) or self.special.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        chunks = text.lower().translate(_TO_SPACE).split(" ")
+        if not self.known or not _is_latin(text) or self.special.search(text):
+            return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        chunks = text.lower().replace("\n", " ").split(" ")
         found = list(map(self.chunks.get, chunks))
         if None in found:
             for i in [i for i, x in enumerate(found) if x is None]:
