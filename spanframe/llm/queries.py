@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from ._base import load, scratch_path
 from .decontam import contamination
 from .lang_id import crc_mod, identify_languages
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": oracles.OP2, "op3_line_dedup": oracles.OP3, "op5_top_k": oracles.OP5}
