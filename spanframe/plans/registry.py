@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import function_queries, interval_queries, more_queries, planning_queries, run_queries, sampling_queries  # noqa: F401
+    from . import function_queries, interval_queries, more_queries, planning_queries, run_queries, sampling_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

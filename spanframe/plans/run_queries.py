@@ -424,7 +424,7 @@ def _(spark, d):
     return pk.removal_report(expected, exported)
 
 
-@register("w06_annotation_issues", "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, issue FROM (SELECT *, CASE WHEN p IS NULL AND first <> 0 THEN 'does not start at 0' WHEN first <= p THEN 'overlap' WHEN first > p + 1 THEN 'gap' END AS issue FROM (SELECT *, lag(last) OVER (PARTITION BY l_suppkey ORDER BY first, last) AS p FROM (SELECT *, l_orderkey AS first, l_orderkey + l_linenumber AS last FROM lineitem))) WHERE issue IS NOT NULL AND l_suppkey < 0")
+@register("w06_annotation_issues", "SELECT l_suppkey, issue, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN p IS NULL AND first <> 0 THEN 'does not start at 0' WHEN first <= p THEN 'overlap' WHEN first > p + 1 THEN 'gap' END AS issue FROM (SELECT *, lag(last) OVER (PARTITION BY l_suppkey ORDER BY first, last) AS p FROM (SELECT *, l_orderkey AS first, l_orderkey + l_linenumber AS last FROM lineitem))) WHERE issue IS NOT NULL GROUP BY 1, 2")
 def _(spark, d):
     rows = _t(spark, d, "lineitem").withColumns({"first_frame": F.col("l_orderkey"), "last_frame": F.col("l_orderkey") + F.col("l_linenumber")})
-    return pk.annotation_issues(rows, ("l_suppkey",)).where("l_suppkey < 0").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "issue")
+    return pk.annotation_issues(rows, ("l_suppkey",)).groupBy("l_suppkey", "issue").agg(F.count("*").alias("n"))

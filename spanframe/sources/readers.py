@@ -21,10 +21,10 @@ def _json(spark: SparkSession, path: str, schema: str, mode: str, whole: bool =
     return spark.read.schema(f"{schema}, _corrupt_record STRING").option("multiLine", whole).option("mode", mode).json(path)
 
 
-def read_scores(spark: SparkSession, path: str, *, mode: str = "FAILFAST") -> DataFrame:
+def read_scores(spark: SparkSession, path: str, *, mode: str = "FAILFAST", lines: bool = False) -> DataFrame:
     """Score artifacts -> a row a sample: media_id, duration_us, sample_id, ts_us, the three probabilities, label, reasons.
-    Malformed files fail, or with PERMISSIVE give a row with _corrupt_record."""
-    rows = _json(spark, path, SCORES, mode)
+    Malformed files fail, or with PERMISSIVE give a row with _corrupt_record. lines: one artifact a line, so files split."""
+    rows = _json(spark, path, SCORES, mode, not lines)
     extra = [c for c in rows.columns if c == "_corrupt_record"]
     rows = rows.select("media_id", "duration_us", *extra, F.explode_outer("samples").alias("s"))
     return rows.select("media_id", "duration_us", *extra, "s.sample_id", F.col("s.timestamp_us").alias("ts_us"), "s.nsfl", "s.nsfw", "s.sfw", "s.selected_label", "s.reasons")
@@ -57,11 +57,11 @@ def read_prompt_bank(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("bank_digest", "p.concept_id", "p.prompt")
 
 
-def read_cuts(spark: SparkSession, path: str) -> DataFrame:
+def read_cuts(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Cut lists -> filename, start_us, end_us; seconds or timecodes, under any of the known keys."""
     keys = "start STRING, end STRING, requested_start_seconds STRING, requested_end_seconds STRING"
     item = "STRUCT<" + keys.replace(" STRING", ": STRING") + ">"
-    rows = spark.read.schema(f"version INT, video STRUCT<filename: STRING, duration: DOUBLE>, cuts ARRAY<{item}>").option("multiLine", True).json(path)
+    rows = spark.read.schema(f"version INT, video STRUCT<filename: STRING, duration: DOUBLE>, cuts ARRAY<{item}>").option("multiLine", not lines).json(path)
     rows = rows.select(F.col("video.filename").alias("filename"), F.explode("cuts").alias("c"))
 
     def us(*names: str) -> Column:

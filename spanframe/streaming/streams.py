@@ -71,6 +71,35 @@ def route_min_gap(samples: DataFrame, *, gap: int) -> DataFrame:
     return _stateful(samples, step, [0, 0], f"{KEY} bigint, ts_us bigint, sample_id bigint", "last bigint, some bigint")
 
 
+def reduce_static(frames: DataFrame, *, bits: int = 3, colour: float = 12.0, limit: int = 10_000_000, cross: int = 50_000, black: float = 0.98) -> DataFrame:
+    """The online form of sampling.reduce_static; the state is the last representative."""
+    output = f"{KEY} bigint, sample_id bigint, disposition string, duplicate_of_us bigint"
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last = tuple(held.get) if held.exists else (None,) * 4
+        rows = pd.concat(list(parts)).sort_values(["ts_us", "sample_id"])
+        out = []
+        for r in rows.itertuples(index=False):
+            of = None
+            if r.black_fraction >= black:
+                what, last = "black", (None,) * 4
+            else:
+                t, chunk, luma, h = last
+                alike = t is not None and ((int(r.hash) ^ int(h)) & (1 << 64) - 1).bit_count() <= bits and abs(r.mean_luma - luma) <= colour
+                if alike and r.chunk != chunk and r.ts_us - t <= cross:
+                    what, of = "near_duplicate", t
+                elif alike and not r.scene and r.ts_us - t < limit:
+                    what, of = "static_suppressed", t
+                else:
+                    what, last = "representative", (int(r.ts_us), int(r.chunk), float(r.mean_luma), int(r.hash))
+            out.append((key[0], int(r.sample_id), what, of))
+        held.update(last)
+        made = pd.DataFrame(out, columns=[KEY, "sample_id", "disposition", "duplicate_of_us"])
+        yield made.astype({"duplicate_of_us": "Int64"})
+
+    return frames.groupBy(KEY).applyInPandasWithState(run, output, "t bigint, chunk bigint, luma double, hash bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def fan_out(batch: DataFrame, number: int, sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> list[tuple[str, int, str]]:
     """For foreachBatch: feeds a batch to each sink; one that fails is recorded, and the others go on."""
     batch = batch.persist()

@@ -34,3 +34,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_online_reduction_equals_batch(spark):
+    found = registry.queries()
+    rows = lambda n: sorted((r["media_id"], r["sample_id"], r["disposition"], r["duplicate_of_us"]) for r in found[n](spark, SF).collect())
+    assert rows("x04_reduce_static") == rows("m11_reduce_static")
