@@ -27,34 +27,33 @@ from ._base import stored
 
 #: Most labelled rows that the fit uses: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Most words and word beginnings that the classifier weighs: those with the highest log-likelihood ratio.
+#: Most words and word beginnings that the classifier weighs: those with the highest log-likelihood ratio. One counts only
+#: if it is commoner in its class, and its ratio exceeds what chance gives the best of all candidates (2 ln of their number).
 FEATURES = 4_000
-#: Least log-likelihood ratio of a feature (chi-squared, one degree of freedom, p about 3e-4).
-LEAST_LLR = 13.0
 _WORD = re.compile(r"[^\W\d_]+")
-SHAPE = ("capitals", "symbols", "digits", "repeated", "distinct", "short", "long")
+SHAPE = ("capitals", "symbols", "digits", "repeated", "again", "short", "long")
 UNIT = 1_000_000
 
 
 def features_of(text: str | None) -> tuple[set[str], list[float]]:
-    """Lower-case words and their first four letters as a set, and the shape: shares of capitals among letters, of symbols
-    and digits among characters, of words equal to one of the two before, of distinct words among up to 50 in a row, and
-    log lengths below and above 50 words."""
+    """Lower-case words and their first four letters as a set, and the shape: shares of words in capitals, of symbols and
+    digits among characters, of words equal to the one before, of words said again among 50 in a row, and the log length
+    below and above some 50 words."""
     text = text or ""
     words = _WORD.findall(text)
     low = [w.lower() for w in words]
     named = set(low)
     named |= {"^" + w[:4] for w in named if len(w) > 4}
-    n, letters = max(1, len(text)), max(1, sum(map(len, words)))
+    n, m = len(text) + 20, len(words) + 5  # short texts are shrunk toward none of it
     spaces = sum(map(text.count, " \n\t\r"))
     digits = sum(map(text.count, "0123456789"))
     capitals = sum(1 for w in words if len(w) > 1 and w.isupper())
     symbols = max(0, len(text) - sum(map(len, words)) - spaces - digits)
-    repeated = sum(map(str.__eq__, low[1:], low[:-1])) / max(1, len(low))
+    repeated = sum(map(str.__eq__, low[1:], low[:-1])) / m
     parts = [low[i : i + 50] for i in range(0, len(low), 50)] or [[]]
-    distinct = sum(len(set(p)) for p in parts) / max(1, len(low))
+    again = len(low) - sum(len(set(p)) for p in parts)
     size = np.log1p(len(low))
-    return named, [capitals / max(1, len(words)), symbols / n, digits / n, repeated, 1 - distinct, max(0.0, 4 - size), max(0.0, size - 4)]
+    return named, [capitals / m, symbols / n, digits / n, repeated, again / m, max(0.0, 4 - size), max(0.0, size - 4)]
 
 
 @dataclass
@@ -82,13 +81,15 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limi
 
 
 def _llr(k: Column, n: int, others: Column, n_others: int) -> Column:
-    """Log-likelihood ratio of k of n documents of a class and others of n_others having a feature."""
+    """Log-likelihood ratio of k of n documents of a class and others of n_others having a feature; 0 if it is not commoner
+    in the class."""
 
     def fit_of(k: Column, n: int) -> Column:
         p = F.greatest(k / F.lit(float(max(n, 1))), F.lit(1e-12))
         return k * F.log(p) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
 
-    return 2 * (fit_of(k, n) + fit_of(others, n_others) - fit_of(k + others, n + n_others))
+    ratio = 2 * (fit_of(k, n) + fit_of(others, n_others) - fit_of(k + others, n + n_others))
+    return F.when(k * n_others > others * n, ratio).otherwise(0.0)
 
 
 def _ridge_logistic(rows: list[np.ndarray], dense: np.ndarray, good: np.ndarray, width: int, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray, float]:
@@ -165,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return None
     others = lambda k: (sum((F.col(f"n{j}") for j in range(3) if j != k), F.lit(0.0)), sum(n) - n[k])
     llr = F.greatest(_llr(F.col("n1"), n[1], *others(1)), _llr(F.col("n2"), n[2], *others(2)))
-    top = counts.where("f <> ''").withColumn("llr", llr).where(F.col("llr") >= LEAST_LLR).orderBy(F.col("llr").desc(), "f").limit(most_features).select("f").collect()
+    least = 2 * float(np.log(max(2, counts.count())))
+    top = counts.where("f <> ''").withColumn("llr", llr).where(F.col("llr") > least).orderBy(F.col("llr").desc(), "f").limit(most_features).select("f").collect()
     numbers = {r["f"]: i for i, r in enumerate(top)}
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

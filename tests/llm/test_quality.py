@@ -70,7 +70,7 @@ def test_site_evidence_moves_doubtful_documents(spark, monkeypatch):
 
 def test_features():
     named, shape = features_of("LOUD words words, 12!")
-    assert named == {"loud", "words", "^word"} and shape[0] == pytest.approx(1 / 3) and shape[3] == pytest.approx(1 / 3)
+    assert named == {"loud", "words", "^word"} and shape[0] == pytest.approx(1 / 8) and shape[3] == pytest.approx(1 / 8)
     assert features_of(None) == features_of("") and len(shape) == len(quality.SHAPE)
 
 
