@@ -9,7 +9,7 @@ its target. The dual has one multiplier for each source, and rates are exponenti
 so lambda 0 means rate 1, and rates lie between 0 and cap. Newton steps on the dual run as grouped aggregations over the
 histogram (source, size), so an iteration costs the same whether a source has thousands or billions of documents. Rates
 are then rounded into whole copies along a cumulative sum by falling size: the words that a source takes differ from its
-target by at most about half of its longest document. All sums are decimals, so reruns agree to the last row.
+target by at most about half of its longest document, and one copy of the nearest size settles most of that. All sums are decimals, so reruns agree to the last row.
 """
 
 from __future__ import annotations
@@ -96,7 +96,18 @@ def _round(cells: DataFrame) -> DataFrame:
     within = Window.partitionBy("sid", "block").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.join(blocks, ["sid", "block"]).withColumn("upto", (F.col("base") + F.sum("e").over(within)).cast("decimal(38,9)"))
     half = F.lit("0.5").cast("decimal(2,1)")
-    return cells.select("sid", "size", "rate", (F.floor(F.col("upto") + half) - F.floor(F.col("upto") - F.col("e") + half)).cast("bigint").alias("copies"))
+    return cells.select("sid", "size", "n", "rate", (F.floor(F.col("upto") + half) - F.floor(F.col("upto") - F.col("e") + half)).cast("bigint").alias("copies"))
+
+
+def _settle(whole: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+    """One copy more or less in the cell whose size is nearest to what the rounding left of a source's target."""
+    taken = whole.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    rest = sources.join(taken, "sid").select("sid", F.round(F.col("target") - F.col("taken")).cast("bigint").alias("rest"))
+    room = F.when(F.col("rest") > 0, F.col("copies") < cap * F.col("n")).otherwise(F.col("copies") > 0)
+    off = F.abs(F.col("size") - F.abs("rest"))
+    best = whole.join(rest, "sid").where(room & (off < F.abs("rest"))).groupBy("sid", "rest").agg(F.min(F.struct(off.alias("off"), "size")).alias("best"))
+    best = best.select("sid", F.col("best.size").alias("size"), F.signum("rest").cast("bigint").alias("change"))
+    return whole.join(best, ["sid", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
 
 
 def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -124,7 +135,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: f
     solved = balance(cells, sources, cap)
     rate = F.when(F.col("capped"), F.lit(float(cap))).when(F.col("lam").isNull(), F.lit(0.0)).otherwise(_rate(F.col("lam"), F.col("size"), F.col("mean"), cap))
     rated = cells.join(hint(solved.select("sid", "capped", "lam", "mean")), "sid").select("sid", "size", "n", rate.alias("rate"))
-    whole = _round(rated)
+    whole = _settle(stored(_round(rated), "rounded"), sources, cap).drop("n")
     in_cell = Window.partitionBy("sid", "size")
     parts = parts.withColumn("n", F.sum("n_part").over(in_cell)).withColumn("before", F.coalesce(F.sum("n_part").over(in_cell.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.join(whole, ["sid", "size"]).select("sid", "size", "part", "n", "before", "rate", F.col("copies").alias("all_copies"))
