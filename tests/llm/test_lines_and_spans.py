@@ -111,3 +111,12 @@ def test_spans_of_odd_tables(spark, odd_docs, no_docs):
     assert out[0]["n_removed"] == 0 and out[2]["n_removed"] == 2 and out[6]["n_removed"] == 0
     assert dedup_spans(no_docs).count() == 0
     assert dedup_spans(odd_docs.union(odd_docs)).count() == 22
+
+
+def test_lines_by_shuffles_alone(spark, monkeypatch):
+    from spanframe.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    docs = [(i, "\n".join(["one common line", f"line number {i}", f"own words {i * 7919} here"])) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in dedup_lines(frame).collect()} == brute_lines(docs)

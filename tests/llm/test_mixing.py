@@ -84,3 +84,12 @@ def test_odd_tables(spark, odd_docs, no_docs):
     blank = spark.createDataFrame([(1, None, None), (2, "", "x")], "doc_id bigint, text string, source string")
     assert [(r["size"], r["target"], r["taken"]) for r in mix_sources(blank).collect()] == [(0, 0.0, 0)] * 2
     assert mix_sources(odd_docs.union(odd_docs)).count() == 22
+
+
+def test_many_sources_are_not_broadcast(spark, monkeypatch):
+    from spanframe.llm import mixing
+
+    docs = corpus(spark, 120, 5)
+    want = {tuple(r) for r in mix_sources(docs).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    assert {tuple(r) for r in mix_sources(docs).collect()} == want
