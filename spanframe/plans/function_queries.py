@@ -113,7 +113,7 @@ def _(spark, d):
     return standin(spark, d, "ev").select("media_id", "sample_id", F.get_json_object(fn.first_json_object(said), "$.k").cast("bigint").alias("k"))
 
 
-@register("f18_parse_answers", duck("SELECT media_id, sample_id, CASE sample_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS answer, CASE WHEN sample_id % 3 = 2 THEN NULL WHEN sample_id % 2 = 1 THEN ['a', 'c'] ELSE ['b', 'c'] END AS categories FROM samples"))
+@register("f18_parse_answers", duck("SELECT media_id, sample_id, CASE sample_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS answer, CASE WHEN sample_id % 3 = 2 THEN NULL WHEN sample_id % 2 = 1 THEN ['a', 'c'] ELSE ['b', 'c'] END AS categories FROM samples"), arrays=("categories",))
 def _(spark, d):
     n = F.col("sample_id")
     answer = F.when(n % 3 == 0, " Yes. ").when(n % 3 == 1, "NO").otherwise("yes and no")

@@ -51,7 +51,7 @@ def _(spark, d):
     return al.local_refs_to_time(_responses(spark, d)).select("media_id", "batch", "from_us", "to_us")
 
 
-@register("p18_response_rules", duck("SELECT media_id, batch, list_filter([CASE WHEN NOT (refs[1] BETWEEN 1 AND len(f) AND refs[2] BETWEEN 1 AND len(f)) THEN 'references' END, CASE WHEN refs[1] = refs[2] THEN 'unique' END], lambda x: x IS NOT NULL) AS problems FROM rt", _BATCH))
+@register("p18_response_rules", duck("SELECT media_id, batch, list_filter([CASE WHEN NOT (refs[1] BETWEEN 1 AND len(f) AND refs[2] BETWEEN 1 AND len(f)) THEN 'references' END, CASE WHEN refs[1] = refs[2] THEN 'unique' END], lambda x: x IS NOT NULL) AS problems FROM rt", _BATCH), arrays=("problems",))
 def _(spark, d):
     rows = al.local_refs_to_time(_responses(spark, d))
     return rn.check_rules(rows, al.response_rules(rows)).select("media_id", "batch", "problems")
@@ -101,7 +101,7 @@ def _verdicts(spark, d):
     return al.interval_verdicts(p, standin(spark, d, "truth"), tol=HOUR, width=4 * HOUR)
 
 
-@register("a15_silver_eval", duck("SELECT media_id, interval_id, coalesce(events, []) AS events, detected, detected_near, category_detected FROM vd", _VERDICT))
+@register("a15_silver_eval", duck("SELECT media_id, interval_id, coalesce(events, []) AS events, detected, detected_near, category_detected FROM vd", _VERDICT), arrays=("events",))
 def _(spark, d):
     return _verdicts(spark, d).drop("category")
 
@@ -124,7 +124,7 @@ def _(spark, d):
     return al.alert_review(rows, ["group_id"]).withColumn("precision", F.round("precision", 9))
 
 
-@register("a23_review_summary", duck("SELECT media_id, list_sort(list_filter(tr, lambda x: NOT list_contains(coalesce(sd, []), x))) AS missing, list_sort(list_filter(coalesce(sd, []), lambda x: NOT list_contains(tr, x))) AS extra, tr = coalesce(sd, []) AS exact FROM (SELECT media_id, list_sort(list(DISTINCT category)) AS tr FROM truth GROUP BY 1) t LEFT JOIN (SELECT media_id AS k, list_sort(list(DISTINCT category)) AS sd FROM predicted WHERE confidence >= 0.1 GROUP BY 1) p ON k = media_id"))
+@register("a23_review_summary", duck("SELECT media_id, list_sort(list_filter(tr, lambda x: NOT list_contains(coalesce(sd, []), x))) AS missing, list_sort(list_filter(coalesce(sd, []), lambda x: NOT list_contains(tr, x))) AS extra, tr = coalesce(sd, []) AS exact FROM (SELECT media_id, list_sort(list(DISTINCT category)) AS tr FROM truth GROUP BY 1) t LEFT JOIN (SELECT media_id AS k, list_sort(list(DISTINCT category)) AS sd FROM predicted WHERE confidence >= 0.1 GROUP BY 1) p ON k = media_id"), arrays=("missing", "extra",))
 def _(spark, d):
     t = standin(spark, d, "truth").groupBy("media_id").agg(F.collect_set("category").alias("true"))
     p = standin(spark, d, "predicted").where("confidence >= 0.1").groupBy("media_id").agg(F.collect_set("category").alias("said"))
@@ -153,7 +153,7 @@ def _(spark, d):
     return standin(spark, d, "segments").where("role = 'user'").groupBy("media_id").agg(F.count("*").alias("n_segments"), F.when(n > 0, "xx").alias("language"))
 
 
-@register("p12_validate_reviews", duck("SELECT item_id, list_filter([CASE WHEN toxic = 1 AND quality = 0 THEN 'contradiction' END, CASE WHEN n_chars < 200 THEN 'too short' END], lambda x: x IS NOT NULL) AS problems FROM items"))
+@register("p12_validate_reviews", duck("SELECT item_id, list_filter([CASE WHEN toxic = 1 AND quality = 0 THEN 'contradiction' END, CASE WHEN n_chars < 200 THEN 'too short' END], lambda x: x IS NOT NULL) AS problems FROM items"), arrays=("problems",))
 def _(spark, d):
     rules = {"contradiction": ~((F.col("toxic") == 1) & (F.col("quality") == 0)), "too short": F.col("n_chars") >= 200}
     return rn.check_rules(standin(spark, d, "items"), rules).select("item_id", "problems")

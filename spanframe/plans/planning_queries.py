@@ -38,7 +38,7 @@ def _(spark, d):
     return pl.semantic_trigger(_samples(spark, d).withColumn("available", ~F.col("scene")), 0.2, 0.9).select("media_id", "sample_id", "triggered")
 
 
-@register("p04_detector_tags", duck("SELECT media_id, list_filter([CASE WHEN x THEN 'a' END, CASE WHEN y THEN 'b' END], lambda t: t IS NOT NULL) AS tags, CASE WHEN x AND y THEN 'both' WHEN x THEN 'a_only' WHEN y THEN 'b_only' ELSE 'none' END AS profile FROM (SELECT media_id, bool_or(a >= 0.5) AS x, bool_or(b >= 0.99) AS y FROM samples GROUP BY 1)"))
+@register("p04_detector_tags", duck("SELECT media_id, list_filter([CASE WHEN x THEN 'a' END, CASE WHEN y THEN 'b' END], lambda t: t IS NOT NULL) AS tags, CASE WHEN x AND y THEN 'both' WHEN x THEN 'a_only' WHEN y THEN 'b_only' ELSE 'none' END AS profile FROM (SELECT media_id, bool_or(a >= 0.5) AS x, bool_or(b >= 0.99) AS y FROM samples GROUP BY 1)"), arrays=("tags",))
 def _(spark, d):
     return pl.detector_tags(_samples(spark, d), {"a": F.col("a") >= 0.5, "b": F.col("b") >= 0.99}, ["media_id"])
 
@@ -92,7 +92,7 @@ def _(spark, d):
     return _said(spark, d).select("media_id", "start_us", "end_us", "category", "confidence")
 
 
-@register("c04_text_windows", duck("SELECT media_id, start_us, end_us, 0.0 AS peak, [(start_us + end_us) // 2] AS evidence_us, 'text' AS trigger FROM said", f"{_LEX_SQL}, {_TEXT}"))
+@register("c04_text_windows", duck("SELECT media_id, start_us, end_us, 0.0 AS peak, [(start_us + end_us) // 2] AS evidence_us, 'text' AS trigger FROM said", f"{_LEX_SQL}, {_TEXT}"), arrays=("evidence_us",))
 def _(spark, d):
     return pl.text_windows(_said(spark, d)).select("media_id", "start_us", "end_us", "peak", "evidence_us", "trigger")
 
@@ -113,7 +113,7 @@ def windows(spark, d):
     return pl.group_candidate_windows(scores, pl.text_windows(standin(spark, d, "truth")), standin(spark, d, "media"), threshold=0.15, gap=5 * HOUR, pad=HOUR, longest=12 * HOUR)
 
 
-@register("c05_candidate_windows", duck("SELECT media_id, window_id, start_us, end_us, round(peak, 9) AS peak, evidence_us, trigger FROM windows", _WINDOWS))
+@register("c05_candidate_windows", duck("SELECT media_id, window_id, start_us, end_us, round(peak, 9) AS peak, evidence_us, trigger FROM windows", _WINDOWS), arrays=("evidence_us",))
 def _(spark, d):
     return windows(spark, d).withColumn("peak", F.round("peak", 9))
 
@@ -153,7 +153,7 @@ _FUSE = f"""v AS (SELECT p.*, coalesce(tc, 0.0) AS tc, coalesce(ag, false) AS ag
 f AS (SELECT media_id, interval_id, greatest(0, start_us - {HOUR}) AS start_us, least(duration_us, end_us + {HOUR}) AS end_us, category, confidence::DOUBLE AS confidence, tc::DOUBLE AS tc, least(1.0, confidence + (1 - confidence) * 0.12 * tc + CASE WHEN ag THEN (1 - confidence) * 0.04 ELSE 0 END)::DOUBLE AS final, (start_us + end_us) // 2 AS mid FROM v)"""
 
 
-@register("c08_fuse_evidence", duck(f"SELECT media_id, start_us, end_us, category, round(vc, 4) AS visual_confidence, round(tc, 4) AS text_confidence, round(fc, 4) AS final_confidence, ev AS evidence_us FROM {merged('f', 2 * HOUR, ', arg_max(category, (confidence, category, final)) AS category, max(confidence) AS vc, max(tc) AS tc, max(final) AS fc, list_sort(list_distinct(list(mid))) AS ev')}", _FUSE))
+@register("c08_fuse_evidence", duck(f"SELECT media_id, start_us, end_us, category, round(vc, 4) AS visual_confidence, round(tc, 4) AS text_confidence, round(fc, 4) AS final_confidence, ev AS evidence_us FROM {merged('f', 2 * HOUR, ', arg_max(category, (confidence, category, final)) AS category, max(confidence) AS vc, max(tc) AS tc, max(final) AS fc, list_sort(list_distinct(list(mid))) AS ev')}", _FUSE), arrays=("evidence_us",))
 def _(spark, d):
     visual = standin(spark, d, "predicted").drop("duration_us").withColumns({"confidence": F.col("confidence").cast("double"), "reason": F.concat(F.lit("r"), F.col("interval_id") % 5)})
     text = standin(spark, d, "truth").withColumn("confidence", (F.col("interval_id") * 31 % 100) / 100.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,16 +13,20 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Decorator: adds a query under a name; sql is its oracle."""
+def register(name: str, sql: str | None = None, arrays: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Decorator: adds a query under a name; sql is its oracle. arrays: columns that both give as comma-separated text."""
 
     def add(f: Query) -> Query:
-        f.__name__ = name
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = f
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in arrays})
+
+        _QUERIES[name] = run if arrays else f
         if sql is not None:
-            _ORACLES[name] = sql
+            flat = ", ".join(f"array_to_string({c}, ',') AS {c}" for c in arrays)
+            _ORACLES[name] = f"SELECT * REPLACE ({flat}) FROM ({sql})" if arrays else sql
         return f
 
     return add

@@ -299,7 +299,7 @@ def _(spark, d):
     return standin(spark, d, "items").where("group_id = 'src1' and item_id % 9 <> 0").select("item_id")
 
 
-@register("p08_validate_scores", duck("SELECT media_id, sample_id, list_filter([CASE WHEN a > 0.9 THEN 'range' END, CASE WHEN ts_us > duration_us - 1000000 THEN 'in_media' END, CASE WHEN ts_us < lag(ts_us) OVER (PARTITION BY media_id ORDER BY sample_id) THEN 'ordered' END], lambda x: x IS NOT NULL) AS problems FROM samples"))
+@register("p08_validate_scores", duck("SELECT media_id, sample_id, list_filter([CASE WHEN a > 0.9 THEN 'range' END, CASE WHEN ts_us > duration_us - 1000000 THEN 'in_media' END, CASE WHEN ts_us < lag(ts_us) OVER (PARTITION BY media_id ORDER BY sample_id) THEN 'ordered' END], lambda x: x IS NOT NULL) AS problems FROM samples"), arrays=("problems",))
 def _(spark, d):
     w = Window.partitionBy("media_id").orderBy("sample_id")
     rows = standin(spark, d, "samples").withColumn("before", F.lag("ts_us").over(w))
@@ -307,7 +307,7 @@ def _(spark, d):
     return rn.check_rules(rows, rules).select("media_id", "sample_id", "problems")
 
 
-@register("p09_check_constraints", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 10000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END], lambda x: x IS NOT NULL) AS problems FROM orders WHERE o_totalprice < 10000 OR o_orderstatus NOT IN ('O', 'F')")
+@register("p09_check_constraints", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 10000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END], lambda x: x IS NOT NULL) AS problems FROM orders WHERE o_totalprice < 10000 OR o_orderstatus NOT IN ('O', 'F')", arrays=("problems",))
 def _(spark, d):
     rules = {"price": F.col("o_totalprice") >= 10000, "status": F.col("o_orderstatus").isin("O", "F")}
     return rn.check_rules(_t(spark, d, "orders"), rules, "quarantine").select("o_orderkey", "problems")

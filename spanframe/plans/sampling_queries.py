@@ -41,7 +41,7 @@ def _(spark, d):
     return sm.dedupe_close(rows, tol=6 * HOUR)
 
 
-@register("m05_cadence_or_scene", duck(f"SELECT media_id, sample_id, list_filter([CASE WHEN p IS NULL THEN 'first' END, CASE WHEN p <> ts_us // {24 * HOUR} THEN 'cadence' END, CASE WHEN scene THEN 'scene' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT *, lag(ts_us // {24 * HOUR}) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS p FROM samples) WHERE p IS NULL OR p <> ts_us // {24 * HOUR} OR scene"))
+@register("m05_cadence_or_scene", duck(f"SELECT media_id, sample_id, list_filter([CASE WHEN p IS NULL THEN 'first' END, CASE WHEN p <> ts_us // {24 * HOUR} THEN 'cadence' END, CASE WHEN scene THEN 'scene' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT *, lag(ts_us // {24 * HOUR}) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS p FROM samples) WHERE p IS NULL OR p <> ts_us // {24 * HOUR} OR scene"), arrays=("reasons",))
 def _(spark, d):
     return sm.cadence_or_scene(standin(spark, d, "samples"), cadence=24 * HOUR, scene=F.col("scene"), tie=_S).select("media_id", "sample_id", "reasons")
 
@@ -93,7 +93,7 @@ def _(spark, d):
     return sm.refine_windows(standin(spark, d, "samples").drop("duration_us"), windows, every=HOUR // 2, width=4 * HOUR, tol=HOUR // 4)
 
 
-@register("m13_build_batches", duck("SELECT media_id, batch, frames, s AS start_us, greatest(e, s + 100000) AS end_us FROM (SELECT media_id, batch, list(ts_us ORDER BY ts_us) AS frames, greatest(0, min(ts_us) - 500000) AS s, least(max(duration_us), max(ts_us) + 500000) AS e FROM (SELECT *, (row_number() OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) - 1) // 8 AS batch FROM samples) GROUP BY 1, 2)"))
+@register("m13_build_batches", duck("SELECT media_id, batch, frames, s AS start_us, greatest(e, s + 100000) AS end_us FROM (SELECT media_id, batch, list(ts_us ORDER BY ts_us) AS frames, greatest(0, min(ts_us) - 500000) AS s, least(max(duration_us), max(ts_us) + 500000) AS e FROM (SELECT *, (row_number() OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) - 1) // 8 AS batch FROM samples) GROUP BY 1, 2)"), arrays=("frames",))
 def _(spark, d):
     return sm.build_batches(standin(spark, d, "samples"), size=8, tie=_S)
 
