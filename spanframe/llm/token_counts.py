@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._base import stored
 from .encoder import encoder
 
 #: Lengths of a block of the suffix sums.
@@ -41,7 +42,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, *, text_col: str = "text",
     tokens_at_least (suffix sums), docs_total, tokens_total, tokens_cut (tokens that stand with this length as the limit)
     and share_at_most (of the documents: its rank among quantiles). An empty table gives no rows.
     """
-    lengths = encoded_lengths(docs, tokenizer, text_col=text_col, by=by).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    lengths = stored(encoded_lengths(docs, tokenizer, text_col=text_col, by=by), "lengths").withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
     lengths = lengths.withColumn("t", F.col("n") * F.col("n_tokens"))
     within = Window.partitionBy("by", "block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, 0)
     blocks = lengths.groupBy("by", "block").agg(F.sum("n").alias("bn"), F.sum("t").alias("bt"))
