@@ -92,7 +92,7 @@ def _(spark, d):
     return _said(spark, d).select("media_id", "start_us", "end_us", "category", "confidence")
 
 
-@register("c04_text_windows", duck("SELECT media_id, start_us, end_us, 0.0 AS peak, [(start_us + end_us) // 2] AS evidence_us, 'text' AS trigger FROM said", f"{_LEX_SQL}, {_TEXT}"), arrays=("evidence_us",))
+@register("c04_text_windows", duck("SELECT media_id, start_us, end_us, 0.0::DOUBLE AS peak, [(start_us + end_us) // 2] AS evidence_us, 'text' AS trigger FROM said", f"{_LEX_SQL}, {_TEXT}"), arrays=("evidence_us",))
 def _(spark, d):
     return pl.text_windows(_said(spark, d)).select("media_id", "start_us", "end_us", "peak", "evidence_us", "trigger")
 
