@@ -73,7 +73,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_spans(load(spark, sf_dir, "documents"))
+    return dedup_spans(load(spark, sf_dir, "documents"), every=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,10 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed: the run from a sentence ends as soon as it has SENTENCES sentences
-and LEAST words, or two sentences and WORDS words. Equal runs meet by their hashes over the whole corpus, and the sentences
-that any repeated run covers are removed wherever it is not the first: the first is in the smallest document id, and there
-at the first place. Hashes are 128 bits, so equal hashes are equal runs. Counting a run needs one number a hash (the
-smallest id), so frequent runs are combined before the shuffle, and no run's places are gathered anywhere.
+A text's units are its sentences; one of more than WORDS words is cut into pieces of half as many, counted from its start.
+A run is any number of consecutive units with SENTENCES units and LEAST words, or two units and WORDS words, at least. The
+units that any repeated run covers are removed wherever it is not the first: the first is in the smallest document id, and
+there at the first place. Hashed (with every) are only the shortest run from each unit and the shortest run up to each unit:
+of a longer run's units, each is in the shortest run from it or in the shortest up to the run's end, and those repeat with
+it. Hashes are 128 bits, so equal hashes are equal runs. Counting a run needs one number a hash (the smallest id), so
+frequent runs are combined before the shuffle, and no run's places are gathered anywhere.
 """
 
 from __future__ import annotations
@@ -22,14 +24,22 @@ from pyspark.sql import types as T
 from ._base import stored
 
 SENTENCES, LEAST, WORDS = 3, 10, 25
-#: Sentences end at a line break, or at a full stop, question or exclamation mark before white space.
+#: Sentences end at a line break, at a full stop, question or exclamation mark before white space, and at a stop of a script
+#: that needs no white space after it.
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_STOPS = "。｡！？।॥።។။"
+_WIDE_CUT = re.compile(rf"(?<=[.!?؟۔])\s+|(?<=[{_STOPS}])(?![{_STOPS}])\s*|\s*\n\s*")
+#: Where words are not spaced, two characters of Chinese or Japanese, or four of Thai, Lao, Burmese or Khmer, count as a word.
+_EAST, _SOUTH = "\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff", "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_UNSPACED = re.compile(f"[{_EAST}{_SOUTH}]")
+_WIDE_WORD = re.compile(rf"[{_EAST}]{{1,2}}|[{_SOUTH}]{{1,4}}|[^\s{_EAST}{_SOUTH}]+")
+_WORD = re.compile(r"\S+")
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
     """Character ranges of the sentences, without the white space between them."""
     out, at = [], len(text) - len(text.lstrip())
-    for m in _CUT.finditer(text):
+    for m in (_CUT if text.isascii() else _WIDE_CUT).finditer(text):
         if m.start() > at and not text[at : m.start()].isspace():
             out.append((at, m.start()))
         at = max(at, m.end())
@@ -38,22 +48,56 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def units_of(text: str, words: int = WORDS) -> list[tuple[int, int, int, int]]:
+    """(start, end, words, sentence) of the sentences, or of the pieces of those that have more than so many words."""
+    word = _WIDE_WORD if not text.isascii() and _UNSPACED.search(text) else None
+    out, piece = [], (words + 1) // 2
+    for k, (a, b) in enumerate(sentences_of(text)):
+        n = len(word.findall(text, a, b)) if word else len(text[a:b].split())
+        if n <= words:
+            out.append((a, b, n, k))
+            continue
+        places = [m.span() for m in (word or _WORD).finditer(text, a, b)]
+        out += [(places[i][0], places[min(i + piece, n) - 1][1], min(piece, n - i), k) for i in range(0, n, piece)]
+    return out
+
+
+def _ends(sizes: list[int], sentences: int, least: int, words: int) -> list[int]:
+    """Where the shortest run from each unit ends; too far where there is none."""
+    out, end, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        while end <= len(sizes) and not (end - i >= 2 and total >= words or end - i >= sentences and total >= least):
+            total += sizes[end] if end < len(sizes) else 0
+            end += 1
+        out.append(end)
+        total -= size
+    return out
+
+
 def runs_of(text: str, sentences: int = SENTENCES, least: int = LEAST, words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, hash) of every run."""
-    said = [text[a:b].split() for a, b in sentences_of(text)]
-    hashes = [xxhash.xxh3_128_digest(" ".join(w)) for w in said]
-    sizes = list(map(len, said))
-    for i in range(len(said)):
-        n, total = 1, sizes[i]
-        while i + n < len(said):
-            total += sizes[i + n]
-            n += 1
-            if (n >= sentences and total >= least) or total >= words:
-                yield i, n, xxhash.xxh3_128_digest(b"".join(hashes[i : i + n]))
-                break
-
-
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, least: int = LEAST, words: int = WORDS) -> DataFrame:
+    """(first unit, number of units, hash) of the shortest run from every unit."""
+    return (r for r, ahead in _runs(text, sentences, least, words) if ahead)
+
+
+def all_runs_of(text: str, sentences: int = SENTENCES, least: int = LEAST, words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """runs_of, and the shortest run up to every unit where that is another; in the order of their first units."""
+    return (r for r, _ in _runs(text, sentences, least, words))
+
+
+def _runs(text: str, sentences: int, least: int, words: int) -> Iterator[tuple[tuple[int, int, bytes], bool]]:
+    units = units_of(text, words)
+    hashes = [xxhash.xxh3_128_digest(" ".join(text[a:b].split())) for a, b, _, _ in units]
+    ends = _ends([u[2] for u in units], sentences, least, words)
+    for i, end in enumerate(ends):
+        if end > len(units):
+            break
+        yield (i, end - i, xxhash.xxh3_128_digest(b"".join(hashes[i:end]))), True
+        # No run from a unit ends between this end and the next: the shortest runs up to there start here, too.
+        for far in range(end + 1, min(ends[i + 1] if i + 1 < len(ends) else end, len(units) + 1)):
+            yield (i, far - i, xxhash.xxh3_128_digest(b"".join(hashes[i:far]))), False
+
+
+def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, least: int = LEAST, words: int = WORDS, every: bool = False) -> DataFrame:
     """(id, mark, at, n): the runs that are not the first of their kind; mark tells rows of one id with other texts apart."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("mark", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])
@@ -63,7 +107,7 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             rows, at, n, digests, again = [], [], [], [], []
             for row, text in enumerate(b.column(2)):
                 seen = set()
-                for i, k, digest in runs_of(text.as_py() or "", sentences, least, words):
+                for i, k, digest in (all_runs_of if every else runs_of)(text.as_py() or "", sentences, least, words):
                     rows.append(row)
                     at.append(i)
                     n.append(k)
@@ -84,30 +128,31 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return later.select("id", "mark", "at", "n").union(runs.where("again").select("id", "mark", "at", "n"))
 
 
-def cut_sentences(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """text without the sentences of the runs, and how many went; what stands between two sentences goes with the first."""
-    places = sentences_of(text)
+def cut_sentences(text: str, runs: list[tuple[int, int]], words: int = WORDS) -> tuple[str, int]:
+    """text without the units of the runs, and of how many sentences something went; what stands between two units goes with the first."""
+    places = units_of(text, words)
     gone = np.zeros(len(places) + 1, dtype=np.int64)
     for at, n in runs:
         gone[at] += 1
         gone[at + n] -= 1
-    gone = np.cumsum(gone[:-1]) > 0
+    gone = np.flatnonzero(np.cumsum(gone[:-1]) > 0).tolist()
     out, at = [], 0
-    for i in np.flatnonzero(gone).tolist():
+    for i in gone:
         out.append(text[at : places[i][0]])
         at = places[i + 1][0] if i + 1 < len(places) else len(text)
-    return "".join([*out, text[at:]]), int(gone.sum())
+    return "".join([*out, text[at:]]), len({places[i][3] for i in gone})
 
 
-def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options: int) -> DataFrame:
-    """Every document without its repeated sentences.
+def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), every: bool = False, **options: int) -> DataFrame:
+    """Every document without its repeated sentences and pieces of long sentences.
 
-    Returns a row for each row of docs: <id_col>, the columns in keep, n_sentences, n_removed, and text (null for null).
-    Documents of one sentence have no run and stay. Null ids are the last; rows of one id are no repeats of each other
+    Returns a row for each row of docs: <id_col>, the columns in keep, n_sentences, n_removed (of how many sentences all or
+    a piece went), and text (null for null). Documents of one sentence have no run and stay, unless it is cut into pieces.
+    Without every, only the shortest run from each unit counts, so that the last units of a passage may stay. Null ids are the last; rows of one id are no repeats of each other
     (rows of one id and text are treated alike), but runs that repeat inside a document are removed after the first.
     Other columns are not read; an empty table gives an empty result.
     """
-    cut = repeated_runs(docs, id_col=id_col, text_col=text_col, **options).distinct()
+    cut = repeated_runs(docs, id_col=id_col, text_col=text_col, every=every, **options).distinct()
     cut = cut.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     cut = cut.select(F.col("id").alias("__id2"), F.col("mark").alias("__mark2"), "runs")
     rows = docs.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark"))
@@ -119,7 +164,7 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             made = []
             for text, runs in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
                 said = text.as_py()
-                left, gone = cut_sentences(said, [(r["at"], r["n"]) for r in runs.as_py()]) if said is not None and runs.is_valid else (said, 0)
+                left, gone = cut_sentences(said, [(r["at"], r["n"]) for r in runs.as_py()], options.get("words", WORDS)) if said is not None and runs.is_valid else (said, 0)
                 made.append((len(sentences_of(said or "")), gone, left))
             n, gone, left = zip(*made, strict=True) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=schema.names)

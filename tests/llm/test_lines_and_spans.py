@@ -120,3 +120,77 @@ def test_lines_by_shuffles_alone(spark, monkeypatch):
     docs = [(i, "\n".join(["one common line", f"line number {i}", f"own words {i * 7919} here"])) for i in range(30)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in dedup_lines(frame).collect()} == brute_lines(docs)
+
+
+def brute_units(text):
+    """(start, end, words, sentence), character by character, for texts of Latin words and of 。"""
+    sentences, now = [], ""
+    for i, c in enumerate(text):
+        now += c
+        if c in "\n。" or (c in ".!?" and text[i + 1 : i + 2].isspace()):
+            sentences.append(now)
+            now = ""
+    out, at, k = [], 0, 0
+    for s in [*sentences, now]:
+        words, i = [], 0
+        while i < len(s):
+            n = 1
+            while not s[i].isspace() and i + n < len(s) and not s[i + n].isspace() and (s[i] < " " or n < 2):
+                n += 1
+            words += [] if s[i].isspace() else [(at + i, at + i + n)]
+            i += n
+        step = 13 if len(words) > 25 else 25
+        out += [(words[i][0], words[min(len(words), i + step) - 1][1], len(words[i : i + step]), k) for i in range(0, len(words), step)]
+        k += bool(words)
+        at += len(s)
+    return out
+
+
+def brute_all_runs(docs):
+    """Every run of consecutive units, of any length, by its words."""
+    first, cut = {}, {i: set() for i, _ in docs}
+    for i, t in docs:
+        units = brute_units(t)
+        said = [tuple(t[a:b].split()) for a, b, _, _ in units]
+        for at in range(len(units)):
+            for end in range(at + 2, len(units) + 1):
+                n = sum(u[2] for u in units[at:end])
+                if (n >= 25 or (end - at >= 3 and n >= 10)) and first.setdefault(tuple(said[at:end]), (i, at)) != (i, at):
+                    cut[i].update(range(at, end))
+    out = {}
+    for i, t in docs:
+        units, left, at = brute_units(t), "", 0
+        for u in sorted(cut[i]):
+            left += t[at : units[u][0]]
+            at = units[u + 1][0] if u + 1 < len(units) else len(t)
+        out[i] = (left + t[at:], len({units[u][3] for u in cut[i]}))
+    return out
+
+
+def test_every_run_of_any_length(spark):
+    random.seed(11)
+    sizes = [1, 2, 3, 5, 9, 14, 24, 25, 26, 40, 60, 101]
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(sizes[k % 12])) + random.Random(k).choice([".", "!", "?", "\n"])
+    east = lambda k: "".join(chr(0x4E00 + random.Random(k * 99 + j).randrange(5000)) for j in range(1 + k % 120)) + "。"
+    docs = []
+    for i in range(90):
+        s = [say(random.randrange(9000)) for _ in range(random.randrange(1, 7))]
+        for _ in range(random.randrange(3)):
+            at, k, n = random.randrange(len(s) + 1), random.randrange(0, 50), random.randrange(1, 6)
+            s[at:at] = [say(20_000 + k + j) for j in range(n)]
+        docs.append((i, " ".join(s)))
+    docs += [(100 + i, "".join(east(random.randrange(30) + j) for j in range(random.randrange(1, 5)))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_spans(frame, every=True).collect()}
+    assert got == brute_all_runs(docs) and sum(n for _, n in got.values()) > 100
+
+
+def test_runs_that_neighbours_hid(spark):
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    long, bare = f"{words('l', 60)}.", words("b", 101)
+    passage = f"{words('p', 13)}. {words('q', 13)}. {words('r', 3)}."
+    docs = [(0, f"Before it. {long} After it."), (1, f"Edited before. {long} Other after."), (2, bare), (3, bare), (4, f"{passage} Some end here."), (5, f"{passage} Another end there.")]
+    docs += [(6, "これは長い文章です" * 8 + "。"), (7, "これは長い文章です" * 8 + "。")]
+    out = {r["doc_id"]: r["text"] for r in dedup_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), every=True).collect()}
+    assert out[1] == "Edited before. Other after." and out[3] == "" and out[5] == "Another end there." and out[7] == ""
+    assert all(out[i] == docs[i][1] for i in (0, 2, 4))
