@@ -1,7 +1,9 @@
 """A training corpus in five stages: quality, near duplicates, contamination, source mixing, token files.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents. Decisions belong to rows,
+known by doc_id and 128 bits of hash of all columns: rows of one doc_id with other contents, and rows of null doc_id, each
+have their own, and only rows that are equal in every column share one.
 """
 
 from __future__ import annotations
@@ -14,20 +16,37 @@ from spanframe.llm.decontam import contamination
 from spanframe.llm.mixing import mix_sources
 from spanframe.llm.quality import score_quality
 from spanframe.llm.queries import tokenizer_file
-from spanframe.llm.simhash import near_duplicates
+from spanframe.llm.simhash import one_of_each_class
 from spanframe.llm.token_files import token_digests, write_token_files
 
 
+MARKS = ("__mark", "__mark2")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    columns = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumns({m: F.xxhash64(F.lit(i), *columns) for i, m in enumerate(MARKS)})
+
+
+def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """The marked docs joined to chosen(doc_id, *MARKS, ...), which is unique by these."""
+    found = chosen.withColumnsRenamed({c: f"{c}_2" for c in ("doc_id", *MARKS)})
+    same = [F.col(m) == F.col(f"{m}_2") for m in MARKS]
+    return docs.join(found, [*same, F.col("doc_id").eqNullSafe(F.col("doc_id_2"))], how)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    kept = score_quality(docs, load(spark, sf_dir, "labels")).where("keep").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Rows that the quality classifier keeps, with null ids and repeats."""
+    rows = _marked(docs)
+    kept = score_quality(rows, load(spark, sf_dir, "labels"), keep=MARKS).where("keep").select("doc_id", *MARKS).distinct()
+    return _rows(rows, kept, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id, once."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group of near duplicates: that of the smallest doc_id (null last), of several the smallest hash.
+    Different texts of one doc_id are in groups of their own."""
+    rows = _marked(docs)
+    return _rows(rows, one_of_each_class(rows, keep=MARKS), "left_semi").dropDuplicates(["doc_id", *MARKS]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +56,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    out = docs.join(copies, "doc_id")
+    """Each row as often as the mix takes it, with null ids; equal rows as often as the mix takes them together."""
+    rows = _marked(docs)
+    copies = mix_sources(rows, keep=MARKS).groupBy("doc_id", *MARKS).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    out = _rows(rows.dropDuplicates(["doc_id", *MARKS]), copies, "inner")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 

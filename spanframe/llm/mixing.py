@@ -110,18 +110,18 @@ def _settle(whole: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
     return whole.join(best, ["sid", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rates and whole copies of every document, so that each source's words come near its target.
 
     Returns a row for each row of docs: <id_col>, source, size (words; 0 for null), source_size, target, rate, copies
-    (0 to cap), taken (copies * size). A null source is a source of its own, the last. Documents without words take
-    nothing. Documents of one source and size share their copies by the hash of their ids. Repeated rows are rows of
+    (0 to cap), taken (copies * size), and the columns in keep. A null source is a source of its own, the last. Documents without words take
+    nothing. Documents of one source and size share their copies by the hash of their ids, then by keep. Repeated rows are rows of
     their own; an empty table gives an empty result. Other columns, of whatever names, are not read.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *(F.col(c).alias(f"__keep_{c}") for c in keep)), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n_sized"))
     sources = targets(totals, weights, share, cap).join(totals.select(F.col("source").alias("s2"), "n_sized"), F.col("source").eqNullSafe(F.col("s2")))
     sources = sources.withColumn("mean", F.greatest(F.lit(1.0), F.coalesce(F.try_divide(F.col("source_size").cast("double"), F.col("n_sized").cast("double")), F.lit(1.0)))).drop("s2", "n_sized").checkpoint()
@@ -139,8 +139,8 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: f
     in_cell = Window.partitionBy("sid", "size")
     parts = parts.withColumn("n", F.sum("n_part").over(in_cell)).withColumn("before", F.coalesce(F.sum("n_part").over(in_cell.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.join(whole, ["sid", "size"]).select("sid", "size", "part", "n", "before", "rate", F.col("copies").alias("all_copies"))
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy(F.xxhash64("id"), "id"))
+    rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy(F.xxhash64("id"), "id", *(f"__keep_{c}" for c in keep)))
     out = rows.join(parts, ["sid", "size", "part"], "left").withColumn("rank", rank + F.col("before"))
     copies = F.coalesce(F.expr("all_copies div n") + F.when(F.col("rank") <= F.expr("all_copies % n"), 1).otherwise(0), F.lit(0)).cast("int")
     out = out.withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"__keep_{c}").alias(c) for c in keep))

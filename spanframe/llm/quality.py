@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,18 +186,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Model({f: float(words[i]) for f, i in numbers.items()}, shape, mean, scale, bias)
 
 
-def evidence(docs: DataFrame, model: Model | None, *, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
-    """(id, host, path, e): each document's log-odds; 0 without a model."""
+def evidence(docs: DataFrame, model: Model | None, *, id_col: str, text_col: str, host: Column, path: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, host, path, e, the columns in keep as __keep_<name>): each document's log-odds; 0 without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = shared.value
-            yield pd.DataFrame({"id": b["id"], "host": b["host"], "path": b["path"], "e": [m.evidence(t) if m else 0.0 for t in b["text"]]})
+            e = pa.array([m.evidence(t.as_py()) if m else 0.0 for t in b.column(3)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], e, *b.columns[4:]], names=schema.names)
 
-    rows = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("e", T.DoubleType())])
-    return rows.mapInPandas(run, schema)
+    rows = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("e", T.DoubleType()), *(T.StructField(f"__keep_{c}", docs.schema[c].dataType) for c in keep)])
+    return rows.mapInArrow(run, schema)
 
 
 def _strength(sites: DataFrame, n: str, s: str, parent: float) -> float:
@@ -226,18 +228,18 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
     return both, share, k_host, k_path
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of every document from its evidence, its host and its path.
 
     Returns a row for each row of docs: <id_col>, evidence (log-odds), host_mean and path_mean (posterior means of the
-    share of acceptable documents, without the document itself), score (0 to 1), keep (score >= 0.5). Null hosts and paths
+    share of acceptable documents, without the document itself), score (0 to 1), keep (score >= 0.5), and the columns in keep. Null hosts and paths
     are sites of their own. Null and empty texts are scored by their shape. Labels of null quality are ignored, null
     toxicity counts as 0, and of several labels of one id the worst counts. With labels of only one class, or none, the
     evidence is 0 and all is kept. Other columns are not read.
     """
     host, path = (F.col(x) if isinstance(x, str) else x for x in (host, path))
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample=sample)
-    rows = stored(evidence(docs, model, id_col=id_col, text_col=text_col, host=host, path=path), "evidence")
+    rows = stored(evidence(docs, model, id_col=id_col, text_col=text_col, host=host, path=path, keep=keep), "evidence")
     p = F.round(UNIT / (1 + F.exp(-F.col("e")))).cast("bigint")
     rows = rows.withColumn("p", p)
     sites, share, k_host, k_path = site_posteriors(rows)
@@ -248,4 +250,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     bounded = F.least(F.greatest("path_mean", F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = F.col("e") + F.log(bounded / (1 - bounded)) - float(np.log(share / (1 - share)))
     out = out.withColumn("score", F.round(1 / (1 + F.exp(-odds)), 9))
-    return out.select(F.col("id").alias(id_col), F.col("host"), F.col("path"), F.round("e", 9).alias("evidence"), F.round("host_mean", 9).alias("host_mean"), F.round("path_mean", 9).alias("path_mean"), "score", (F.col("score") >= 0.5).alias("keep"))
+    return out.select(F.col("id").alias(id_col), F.col("host"), F.col("path"), F.round("e", 9).alias("evidence"), F.round("host_mean", 9).alias("host_mean"), F.round("path_mean", 9).alias("path_mean"), "score", (F.col("score") >= 0.5).alias("keep"), *(F.col(f"__keep_{c}").alias(c) for c in keep))

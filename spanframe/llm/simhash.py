@@ -46,16 +46,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as a signed bigint) for every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fingerprint as a signed bigint, the columns in keep) for every row."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), *(docs.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInArrow(run, schema)
 
 
 def hex16(fp: Column) -> Column:
@@ -189,3 +189,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = reps.join(found, reps["rep"] == found["node"], "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(labels, F.col("fp") == F.col("fp2"), "left")
     return out.select(F.col("id").alias(id_col), "fp", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(<id_col>, the columns in keep) of one row of each class of near duplicates: the first by id, null last, then by keep.
+
+    The nodes are fingerprints, not ids: rows that share an id, or have none, are linked by their own texts alone.
+    """
+    rows = stored(fingerprints(docs, id_col, text_col, keep), "fingerprints")
+    reps = stored(rows.select(F.col("fp").alias("rep"), "fp").distinct(), "reps")
+    found = components(links(reps))
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", *keep)
+    first = rows.join(found, rows["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min(row).alias("first"))
+    return first.select(F.col("first.id").alias(id_col), *(F.col(f"first.{c}").alias(c) for c in keep))

@@ -63,3 +63,35 @@ def test_every_query_runs(spark, tables):
     assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 11))
     for name, query in found.items():
         assert query(spark, tables).count() > 0, name
+
+
+def _contents(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=repr)
+
+
+def test_stages_decide_by_row(spark, tables):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    clean = docs.where("doc_id < 1000")
+    one, kept = clean.limit(1), corpus_pipeline.quality(spark, clean, tables)
+    good = kept.orderBy("doc_id").limit(6).collect()
+    unnamed = [(None, *r[1:]) for r in good[:3]]
+    shared = [(good[3][0], *good[4][1:])]
+    more = docs.union(spark.createDataFrame([*unnamed, *shared, *unnamed[:1]], docs.schema))
+    assert one.count() == 1
+    # Quality: null ids and both contents of a shared id stay, repeats too.
+    left = Counter(map(tuple, corpus_pipeline.quality(spark, more, tables).collect()))
+    assert left[unnamed[0]] == 2 and left[unnamed[1]] == left[unnamed[2]] == left[shared[0]] == 1
+    # Near duplicates: a different text of the same id, and texts without an id, are kept once.
+    few = spark.createDataFrame([tuple(good[0]), tuple(good[0]), (good[0][0], *good[1][1:]), *unnamed[2:], *unnamed[2:]], docs.schema)
+    comp = brute_components({i: brute_fingerprint(t) for i, t in enumerate((good[0][1], good[1][1], good[2][1]))})
+    assert len(set(comp.values())) == 3
+    assert _contents(corpus_pipeline.near_dedup(spark, few, tables)) == sorted([tuple(good[0]), (good[0][0], *good[1][1:]), unnamed[2]], key=repr)
+    # Mixing: as many rows as copies, not their product, and null ids among them.
+    twice = clean.union(clean).union(spark.createDataFrame(unnamed, docs.schema))
+    mixed = corpus_pipeline.mix(spark, twice, tables)
+    wanted = Counter()
+    for r in mix_sources(twice).collect():
+        wanted[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixed.collect()) == +wanted and wanted[None] > 0
