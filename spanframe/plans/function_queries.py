@@ -156,6 +156,15 @@ def _(spark, d):
     return _table(spark, d, "documents").select("doc_id", fn.redact(text, 60).alias("safe"))
 
 
+_REDACTED = r"regexp_replace(regexp_replace(text, '(?i)\b(token|secret|password|api_key)[ \t\n\v\f\r]*[=:][ \t\n\v\f\r]*[^ \t\n\v\f\r]+', '\1=[redacted]', 'g'), '(/home|/Users|/root)/[^ \t\n\v\f\r]+', '[path]', 'g')"
+
+
+@register("f26_redact_whole", f"SELECT doc_id, substr({_REDACTED}, 1, 400) AS safe, md5({_REDACTED}) AS whole FROM documents")
+def _(spark, d):
+    text = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", fn.redact(text).alias("safe"), F.md5(fn.redact(text, 2**31 - 1).cast("binary")).alias("whole"))
+
+
 @register("f24_aspect_ratio", "SELECT o_orderkey, CASE WHEN o_custkey > 0 AND o_orderkey > 0 THEN (o_custkey // gcd(o_custkey, o_orderkey)) || ':' || (o_orderkey // gcd(o_custkey, o_orderkey)) END AS aspect FROM orders")
 def _(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", fn.aspect_ratio(F.col("o_custkey"), F.col("o_orderkey")).alias("aspect"))

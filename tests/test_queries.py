@@ -40,3 +40,16 @@ def test_online_reduction_equals_batch(spark):
     found = registry.queries()
     rows = lambda n: sorted((r["media_id"], r["sample_id"], r["disposition"], r["duplicate_of_us"]) for r in found[n](spark, SF).collect())
     assert rows("x04_reduce_static") == rows("m11_reduce_static")
+
+
+def test_secrets_of_whole_texts_are_redacted(spark, tmp_path):
+    filler = "plain words " * 60
+    texts = [f"{filler}password = hunter2 and token: abc /home/me/x end", "api_key=k1 here", "nothing", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [f"{filler}password=[redacted] and token=[redacted] [path] end", "api_key=[redacted] here", "nothing", None, ""]
+    query, sql = registry.queries()["f26_redact_whole"], registry.oracle_sql()["f26_redact_whole"]
+    got = {r["doc_id"]: (r["safe"], r["whole"]) for r in query(spark, str(tmp_path)).collect()}
+    import hashlib
+
+    assert got == {i: (None, None) if t is None else (t[:400], hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(want)}
+    assert compare(spark, connect(str(tmp_path)), str(tmp_path), query, sql) is None
