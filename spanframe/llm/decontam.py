@@ -1,22 +1,26 @@
 """Benchmark decontamination: an FM-index of each shard of documents, searched for all windows of the test phrases.
 
 A task reads its documents in shards of about SHARD_WORDS words (at least one whole document), indexes a shard, runs the
-backward search of all windows over it at once, locates the occurrences, and merges them into removal spans. Nothing is
-shuffled. The windows go to the tasks in blocks of bounded size: each block is one more pass over the rows in the same
-task, so a benchmark of any size is searched, and what is broadcast at once never exceeds BLOCK_WORDS words.
+backward search of all windows over it at once, locates the occurrences, and merges them into removal spans. A benchmark of
+up to BLOCK_WORDS words is one block of windows, and nothing is shuffled. A larger one takes a pass for each block: a block
+is broadcast, the documents that it hits are stored by the number of their row, and the broadcast is destroyed before the
+next; the hits of all passes are merged by row in the end. So there is never more than one block on the driver or a task.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._base import stored
 from .fm_index import FMIndex
 
 #: Words of a window; shorter items are one window.
@@ -25,6 +29,8 @@ SHARD_WORDS = 400_000
 BLOCK_WORDS = 1_000_000
 _WORDS = bytes((i + 32 if 65 <= i <= 90 else i) if 48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+RESULT = (T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,48 +105,77 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> It
         yield Phrases(block, window)
 
 
+def _scan(rows: DataFrame, shared: Broadcast, keep: list[str], hits_only: bool = False) -> DataFrame:
+    """rows(the columns in keep, __text) -> (keep, n_words, spans, items) by the block of windows in shared."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), *RESULT])
+    k = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
+        for b in batches:
+            texts, counts, shard, first, size = b.column(k), [], [], 0, 0
+            spans: list[list[dict[str, int]]] = [[] for _ in range(b.num_rows)]
+            items: list[list[str]] = [[] for _ in range(b.num_rows)]
+            for row in range(b.num_rows + 1):
+                if row == b.num_rows or size >= SHARD_WORDS:
+                    for d, s, names in _search(shard, phrases) if shard and len(phrases.windows) else ():
+                        spans[first + d] = [{"start": x, "end": y} for x, y in s]
+                        items[first + d] = sorted(set(names))
+                    shard, first, size = [], row, 0
+                if row < b.num_rows:
+                    words = words_of(texts[row].as_py())
+                    shard.append(words)
+                    counts.append(len(words))
+                    size += len(words)
+            out = pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+            yield out.filter(pa.array([bool(x) for x in spans])) if hits_only else out
+
+    return rows.select(*keep, "__text").mapInArrow(run, schema)
+
+
+def _merged(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """rows(keep, __text, found: the spans of all passes, items) -> (keep, n_words, spans, items)."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), *RESULT])
+    k = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [len(words_of(t.as_py())) for t in b.column(k)]
+            spans = []
+            for found in b.column(k + 1).to_pylist():
+                every = np.array([(x["start"], x["end"]) for x in found or ()], dtype=np.int64).reshape(-1, 2)
+                spans.append([{"start": x, "end": y} for x, y in _merge(every[:, 0], every[:, 1])] if len(every) else [])
+            items = [sorted(set(x or ())) for x in b.column(k + 2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+
+    return rows.select(*keep, "__text", "found", "items").mapInArrow(run, schema)
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Removal spans of every document: where any window of a test item occurs.
 
     Returns a row for each row of docs: <id_col>, the columns in keep, n_words, spans (disjoint, by words, half-open,
     touching ones merged) and items (ids as strings of all items with an occurring window, distinct). Null or empty texts
-    have no words; null items are ignored; items of fewer words than the window are one window; repeated items and rows
-    stand for themselves. With an empty benchmark every document has no spans.
+    have no words; null items are ignored; items of fewer words than the window are one window; repeated items and rows,
+    several texts of one id and null ids stand for themselves. With an empty benchmark every document has no spans.
     """
-    spark = docs.sparkSession
-    fields = [T.StructField("__id", docs.schema[id_col].dataType), *(T.StructField(f"__keep_{c}", docs.schema[c].dataType) for c in keep)]
-    schema = T.StructType([*fields, T.StructField("__text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-    columns = [F.col(id_col).alias("__id"), *(F.col(c).alias(f"__keep_{c}") for c in keep), F.col(text_col).alias("__text")]
-    now = docs.select(*columns, F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    blocks = list(spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, window))
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(Phrases([], window))]
-    for number, shared in enumerate(blocks):
-        last = number == len(blocks) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
-            for b in batches:
-                k = b.num_columns - 4
-                texts, spans, items, counts, shard, first, size = b.column(k), b.column(k + 2).to_pylist(), b.column(k + 3).to_pylist(), [], [], 0, 0
-                for row in range(b.num_rows + 1):
-                    if row == b.num_rows or size >= SHARD_WORDS:
-                        for d, s, names in _search(shard, phrases) if shard and len(phrases.windows) else ():
-                            old = [(x["start"], x["end"]) for x in spans[first + d]]
-                            every = np.array(old + s, dtype=np.int64)
-                            spans[first + d] = [{"start": x, "end": y} for x, y in _merge(every[:, 0], every[:, 1])]
-                            items[first + d] = sorted({*items[first + d], *names})
-                        shard, first, size = [], row, 0
-                    if row < b.num_rows:
-                        words = words_of(texts[row].as_py())
-                        shard.append(words)
-                        counts.append(len(words))
-                        size += len(words)
-                rest = pa.nulls(b.num_rows, pa.string()) if last else texts
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), rest, pa.array(counts, pa.int64()), pa.array(spans, b.schema.field(k + 2).type), pa.array(items, b.schema.field(k + 3).type)], schema=pa.schema([b.schema.field(i) for i in range(k)] + [pa.field(b.schema.names[k], rest.type), *(b.schema.field(i) for i in range(k + 1, k + 4))]))
-
-        now = now.mapInArrow(run, schema)
-    return now.select(F.col("__id").alias(id_col), *(F.col(f"__keep_{c}").alias(c) for c in keep), "n_words", "spans", "items")
+    context = docs.sparkSession.sparkContext
+    own = ["__id", *(f"__keep_{c}" for c in keep)]
+    rows = docs.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__keep_{c}") for c in keep), F.col(text_col).alias("__text"))
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    block, more = next(blocks, Phrases([], window)), next(blocks, None)
+    if more is None:
+        out = _scan(rows, context.broadcast(block), own)
+    else:
+        rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        hits = []
+        for b in itertools.chain((block, more), blocks):
+            shared = context.broadcast(b)
+            hits.append(stored(_scan(rows, shared, ["__row"], hits_only=True), "hits"))
+            shared.destroy()
+        found = reduce(DataFrame.union, hits).groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("found"), F.flatten(F.collect_list("items")).alias("items"))
+        out = _merged(rows.join(found, "__row", "left"), own)
+    return out.select(F.col("__id").alias(id_col), *(F.col(f"__keep_{c}").alias(c) for c in keep), "n_words", "spans", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:
@@ -166,3 +201,16 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]], gap: str = " ")
         out.append(data[at : begin[s]])
         at = int(end[e - 1])
     return gap.join(x.decode("utf-8", "surrogatepass").strip(" ") for x in [*out, data[at:]])
+
+
+def without_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """found (of contaminated_spans, with the text kept) with the spans' words removed from the texts."""
+    schema, at = found.schema, found.columns.index(text_col)
+    spans = found.columns.index("spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = pa.array([remove_spans(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) for t, s in zip(b.column(at), b.column(spans), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([cut if i == at else b.column(i) for i in range(b.num_columns)], names=schema.names)
+
+    return found.mapInArrow(run, schema)

@@ -19,11 +19,17 @@ import numpy as np
 
 #: Most entries of each memo; a full one starts afresh.
 MEMO = 500_000
-#: The normalizer and pre-tokenizer of files that the memo serves.
+#: The normalizer, pre-tokenizer and model options of files that the memo serves.
 KNOWN = {
-    "normalizer": ["NFC", "Replace", "Lowercase"],
-    "pre_tokenizer": ["Split", "ByteLevel"],
-    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
 }
 _LATIN = [chr(i) for i in range(0x250)]
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -61,10 +67,9 @@ class Encoder:
             said = json.load(f)
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        steps = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
-        split = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        pattern = split[0].get("pattern", {}).get("Regex") if split else None
-        self.known = steps == KNOWN["normalizer"] and [x["type"] for x in split] == KNOWN["pre_tokenizer"] and pattern == KNOWN["pattern"] and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
+        options = {k: v for k, v in said["model"].items() if k not in ("vocab", "merges")}
+        plain = not any(x["normalized"] for x in said.get("added_tokens", [])) and not said.get("truncation") and not said.get("padding")
+        self.known = plain and KNOWN == {"normalizer": said.get("normalizer"), "pre_tokenizer": said.get("pre_tokenizer"), "model": options}
         self.special = re.compile("|".join(re.escape(x["content"]) for x in said.get("added_tokens", [])) or "(?!)")
         self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(self.code)

@@ -8,18 +8,25 @@ where the profile lacks it (the out-of-place distance); the language of the leas
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._base import stored
+
 #: n-grams of a profile.
 RANKS = 300
-#: Most languages: profiles go to the tasks whole, RANKS numbers each.
-MOST_LANGUAGES = 10_000
+#: Profiles go to the tasks in blocks of so many languages, RANKS numbers each.
+BLOCK_LANGUAGES = 1_000
+#: A task's counts of grams are handed on when there are so many.
+MOST_HELD = 2_000_000
 UNKNOWN = "und"
 _BITS = np.uint64(21)
 
@@ -62,29 +69,20 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """(lang, gram, n, rank) from the rows with a language: counts over whole texts, ties by the gram's number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-        def fold(lang: str, found: list[np.ndarray]) -> None:
-            names, counts = np.unique(np.concatenate(found), return_counts=True)
-            if lang in held:
-                both = np.concatenate((held[lang][0], names))
-                names, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate((held[lang][1], counts)).astype(np.float64)).astype(np.int64)
-            held[lang] = names, counts
-
+        found: dict[str, list[np.ndarray]] = {}
+        size = 0
         for b in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            size: dict[str, int] = {}
             for text, lang in zip(b.column(0), b.column(1), strict=True):
-                lang = lang.as_py()
-                found.setdefault(lang, []).append(now := grams(text.as_py()))
-                size[lang] = size.get(lang, 0) + len(now)
-                if size[lang] > 2_000_000:
-                    fold(lang, found.pop(lang))
-                    size.pop(lang)
-            for lang, parts in found.items():
-                fold(lang, parts)
-        for lang, (names, counts) in held.items():
+                found.setdefault(lang.as_py(), []).append(now := grams(text.as_py()))
+                size += len(now)
+                if size > MOST_HELD:
+                    yield from counted(found)
+                    found, size = {}, 0
+        yield from counted(found)
+
+    def counted(found: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in found.items():
+            names, counts = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -122,16 +120,46 @@ def identify_languages(docs: DataFrame, learn_from: Column, *, id_col: str = "do
     """Predicts the language of every row's whole text from profiles of the rows where learn_from holds.
 
     Returns a row for each row of docs: <id_col>, the columns in keep, lang_pred (a learned language; 'und' for texts that
-    are null or have no letter, or if nothing was learned) and score (0 to 1). Rows of null language teach nothing; only
-    text_col is used for a prediction. Copies count as often as they stand. Other columns are not read.
+    are null or have no letter, or if nothing was learned) and score (0 to 1). Of languages at the same distance the smaller
+    name is predicted. Rows of null language, or where learn_from is null, teach nothing; only text_col is used for a
+    prediction. Copies and rows of null or repeated ids count as often as they stand, each with its own prediction. An empty
+    table gives an empty result. Other columns are not read.
     """
-    profiles = learn_profiles(docs.where(learn_from), text_col, lang_col, ranks)
-    got = profiles.select("lang", "gram", "rank").limit(ranks * MOST_LANGUAGES + 1).collect()
-    if len(got) > ranks * MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    shared = docs.sparkSession.sparkContext.broadcast(Classifier([tuple(r) for r in got], ranks))
-    fields = [T.StructField("__id", docs.schema[id_col].dataType), *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep))]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own = ["__id", *(f"__{i}" for i in range(len(keep)))]
+    rows = docs.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"))
+    context = docs.sparkSession.sparkContext
+    blocks = _blocks(learn_profiles(docs.where(learn_from), text_col, lang_col, ranks), ranks)
+    block, more = next(blocks, Classifier([], ranks)), next(blocks, None)
+    if more is None:
+        out = _scored(rows, context.broadcast(block), own)
+    else:
+        rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        passes = []
+        for b in itertools.chain((block, more), blocks):
+            shared = context.broadcast(b)
+            passes.append(stored(_scored(rows, shared, ["__row"]), "scored"))
+            shared.destroy()
+        best = reduce(DataFrame.union, passes).groupBy("__row").agg(F.min(F.struct((-F.col("score")).alias("off"), "lang_pred")).alias("best"))
+        out = rows.join(best, "__row").select(*own, F.col("best.lang_pred").alias("lang_pred"), (-F.col("best.off")).alias("score"))
+    return out.select(F.col("__id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+
+
+def _blocks(profiles: DataFrame, ranks: int) -> Iterator[Classifier]:
+    """Classifiers of up to BLOCK_LANGUAGES languages each; one is on the driver at a time."""
+    names, block = set(), []
+    for lang, gram, rank in stored(profiles.select("lang", "gram", "rank"), "profiles").orderBy("lang", "rank").toLocalIterator():
+        if lang not in names and len(names) == BLOCK_LANGUAGES:
+            yield Classifier(block, ranks)
+            names, block = set(), []
+        names.add(lang)
+        block.append((lang, gram, rank))
+    if block:
+        yield Classifier(block, ranks)
+
+
+def _scored(rows: DataFrame, shared: Broadcast, keep: list[str]) -> DataFrame:
+    """rows(the columns in keep, __text) -> (keep, lang_pred, score) by the classifier in shared."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,11 +167,9 @@ def identify_languages(docs: DataFrame, learn_from: Column, *, id_col: str = "do
             columns = [*b.columns[:-1], pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = docs.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"))
-    out = rows.mapInArrow(run, schema)
-    return out.select(F.col("__id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return rows.select(*keep, "__text").mapInArrow(run, schema)
 
 
 def crc_mod(column: Column, n: int) -> Column:
-    """crc32 of the value as text, modulo n."""
+    """crc32 of the value as text, modulo n; null for null."""
     return F.crc32(column.cast("string").cast("binary")) % n

@@ -13,6 +13,9 @@ Two steps keep the emission small and lose nothing. Copies of a line are one lin
 the first half (of the shorter's length) or the rest is equal in both: only lines that share such a half with another
 line emit variants, with deletions in the other half. A variant's key is the exclusive or of hashes of (character, place),
 which running windows give for all deletions of a line in linear time, however long it is.
+
+Lines that stand very often meet what is known of them by a broadcast of those few (join_heavy); all else is joined by shuffles, or as
+Spark sees fit by the tables' bytes.
 """
 
 from __future__ import annotations
@@ -20,15 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import stored
-
-#: Tables of lines or keys of up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
+from ._base import join_heavy, stored
 
 def _hashes(*columns: Column | str) -> list[Column]:
     """96 bits in two columns."""
@@ -100,19 +95,20 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = stored(lines.where(~blank).select("id", "mark", "no", "h", "g", F.length("line").alias("size"), _half_keys(F.col("line")).alias("halves")), "lines")
     place = F.struct("id", "mark", "no")
     halves = found.select("h", "g", "size", F.posexplode("halves").alias("role", "key"))
-    ends = halves.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("g").alias("g0"), F.max("g").alias("g1"))
-    shared = stored(ends.where("h0 <> h1 or g0 <> g1").select("key"), "halves")
+    ends = halves.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"))
+    shared = stored(ends.where("h0 <> h1 or g0 <> g1").select("key", "n"), "halves")
     longer = F.when(F.col("role") >= 2, 1).otherwise(0)
     half, is_first = F.floor((F.col("size") - longer) / 2).cast("int"), F.col("role") % 2 == 0
     low, high = F.when(is_first, half + 1).otherwise(1), F.when(is_first, F.col("size")).otherwise(half + longer)
-    likely = stored(halves.join(_small(shared), "key").groupBy("h", "g").agg(F.min(low).alias("low"), F.max(high).alias("high")), "likely")
+    likely = join_heavy(halves, shared, ["key"], "n").groupBy("h", "g").agg(F.min(low).alias("low"), F.max(high).alias("high"))
     firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    firsts = stored(firsts.join(_small(likely), ["h", "g"], "left").where("n > 1 or low is not null"), "firsts")
-    mine = firsts.where("low is not null").select("h", "g", "first", "low", "high")
-    texts = lines.join(_small(mine), ["h", "g"]).where(place == F.col("first")).dropDuplicates(["h", "g"])
-    near = _near(stored(texts.select("h", "g", "first", "low", "high", "line"), "texts")).withColumn("near", F.lit(True))
-    repeats = stored(firsts.join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first", "near"), "repeats")
-    return found.select("id", "mark", "no", "h", "g").join(_small(repeats), ["h", "g"]).where(F.col("near") | (F.col("first") != place)).select("id", "mark", "no")
+    firsts = stored(firsts.join(likely, ["h", "g"], "left").where("n > 1 or low is not null"), "firsts")
+    mine = firsts.where("low is not null").select(F.col("first.id").alias("id1"), F.col("first.mark").alias("mark1"), F.col("first.no").alias("no1"), F.struct("h", "g", "first", "low", "high").alias("mine"))
+    at_first = F.col("id").eqNullSafe(F.col("id1")) & (F.col("mark") == F.col("mark1")) & (F.col("no") == F.col("no1"))
+    texts = lines.select("id", "mark", "no", "line").join(mine, at_first).select("mine.*", "line").dropDuplicates(["h", "g"])
+    near = _near(stored(texts, "texts")).withColumn("near", F.lit(True))
+    repeats = stored(firsts.join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first", "near", "n"), "repeats")
+    return join_heavy(found.select("id", "mark", "no", "h", "g"), repeats, ["h", "g"], "n").where(F.col("near") | (F.col("first") != place)).select("id", "mark", "no")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,14 +1,16 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 1. Evidence. A logistic regression over a document's words and shape, fitted on a bounded sample of labelled rows, gives
-   each document log-odds of being acceptable (of good quality and not toxic).
+   each document log-odds of being acceptable (of good quality and not toxic). A word or word beginning counts if it is
+   commoner in a class of unacceptable documents, and its log-likelihood ratio exceeds what chance gives the best of all
+   candidates (2 ln of their number).
 2. Sites. Grouped sums of the documents' probabilities give each host and each path below it a posterior mean of its share
    of acceptable documents: a host is shrunk toward the global share, a path toward its host. The strength of each level's
    prior comes from the spread between its sites (method of moments), so sparse sites stay near their parent.
 3. Decision. A document's log-odds, with the global prior replaced by its path's posterior without the document itself.
 
-Text is read once for the sample and once for the evidence, and never shuffled. Sums are whole numbers (millionths), so
-reruns agree.
+Text is read once for the sample and once for the evidence; only the sample is shuffled. Sums are whole numbers
+(millionths), so reruns agree.
 """
 
 from __future__ import annotations
@@ -24,13 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import stored
+from ._base import join_heavy, stored
 
 #: Most labelled rows that the fit uses: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Most words and word beginnings that the classifier weighs: those with the highest log-likelihood ratio. One counts only
-#: if it is commoner in its class, and its ratio exceeds what chance gives the best of all candidates (2 ln of their number).
-FEATURES = 4_000
 _WORD = re.compile(r"[^\W\d_]+")
 SHAPE = ("capitals", "symbols", "digits", "repeated", "again", "short", "long")
 UNIT = 1_000_000
@@ -74,11 +73,14 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """(id, text, kind); kind 0 is acceptable, 1 of low quality, 2 toxic."""
+    """(id, text, kind), one row an id; kind 0 is acceptable, 1 of low quality, 2 toxic. Of several texts of one id the one
+    with the smallest hash is taken."""
     kind = F.when(F.coalesce("toxic", F.lit(0)) > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
     known = labels.where("quality is not null").select(F.col(id_col).alias("id"), kind.alias("kind"))
     known = known.groupBy("id").agg(F.max("kind").alias("kind")).orderBy(F.xxhash64("id"), "id").limit(limit)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    one = rows.groupBy("id").agg(F.max("kind").alias("kind"), F.min(F.struct(F.xxhash64("text").alias("m"), "text")).alias("t"))
+    return one.select("id", F.col("t.text").alias("text"), "kind")
 
 
 def _llr(k: Column, n: int, others: Column, n_others: int) -> Column:
@@ -140,13 +142,13 @@ def _ridge_logistic(rows: list[np.ndarray], dense: np.ndarray, good: np.ndarray,
     return x[:width], x[width:-1], float(x[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_features: int = FEATURES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """The classifier of up to sample labelled rows; None if they lack one of the classes.
 
-    Words are counted on the executors; what reaches the driver is bounded: most_features words, and for each sampled row
-    which of them it has.
+    Words are counted on the executors. What reaches the driver is bounded by the sample: its words above the level of
+    chance, and for each of its rows which of them it has.
     """
-    chosen = _sample(docs, labels, id_col, text_col, sample)
+    chosen = stored(_sample(docs, labels, id_col, text_col, sample), "sample")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -168,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     others = lambda k: (sum((F.col(f"n{j}") for j in range(3) if j != k), F.lit(0.0)), sum(n) - n[k])
     llr = F.greatest(_llr(F.col("n1"), n[1], *others(1)), _llr(F.col("n2"), n[2], *others(2)))
     least = 2 * float(np.log(max(2, counts.count())))
-    top = counts.where("f <> ''").withColumn("llr", llr).where(F.col("llr") > least).orderBy(F.col("llr").desc(), "f").limit(most_features).select("f").collect()
-    numbers = {r["f"]: i for i, r in enumerate(top)}
+    top = counts.where("f <> ''").withColumn("llr", llr).where(F.col("llr") > least).select("f").collect()
+    numbers = {f: i for i, f in enumerate(sorted(r["f"] for r in top))}
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -201,41 +203,59 @@ def evidence(docs: DataFrame, model: Model | None, *, id_col: str, text_col: str
     return rows.mapInArrow(run, schema)
 
 
-def _strength(sites: DataFrame, n: str, s: str, parent: float) -> float:
-    """Prior strength (in documents) of sites below a parent of that mean, by the method of moments; bounded."""
-    mean = F.col(s) / F.col(n)
-    off = F.sum((F.col(n) * (mean - parent) ** 2).cast("decimal(38,9)")).cast("double")
-    got = sites.agg(F.sum(n).alias("n"), F.count("*").alias("k"), off.alias("ss"), F.sum((F.col(n) * F.col(n)).cast("decimal(38,0)")).cast("double").alias("nn")).first()
-    if not got["k"] or got["k"] < 2 or not 0 < parent < 1:
+def _strength(sites: DataFrame) -> float:
+    """Prior strength (in documents) of sites(n, s, n_up, s_up, k_up) below their parents, by the method of moments; bounded.
+
+    A site's mean s / n varies around its parent's mean s_up / n_up; k_up is how many sites the parent has.
+    """
+    parent = F.col("s_up") / F.col("n_up")
+    chance = parent * (1 - parent)
+    total = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
+    n = F.col("n").cast("double")
+    got = sites.where("k_up > 1").agg(
+        total(n * (F.col("s") / n - parent) ** 2).alias("off"),
+        total(chance * (1 - 1 / F.col("k_up"))).alias("noise"),
+        total(n - n * n / F.col("n_up")).alias("room"),
+        total(n * chance).alias("chance"),
+        F.sum("n").alias("n"),
+    ).first()
+    if not got["n"] or not got["chance"]:
         return 100.0
-    spread = parent * (1 - parent)
-    between = (got["ss"] - (got["k"] - 1) * spread) / max(1e-9, got["n"] - got["nn"] / got["n"])
-    return float(min(10_000.0, max(2.0, spread / between - 1))) if between > 0 else 10_000.0
+    between = (got["off"] - got["noise"]) / max(1e-9, got["room"])
+    return float(min(10_000.0, max(2.0, got["chance"] / got["n"] / between - 1))) if between > 0 else 10_000.0
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
-    """scored(host, path, p), p in millionths -> paths with the sums of both levels; the global share; both strengths."""
+    """scored(host, path, p), p in millionths -> paths with the sums of both levels; the global share; both strengths: of
+    hosts around the global share, and of paths around their own host's mean."""
     paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("p").alias("s_path")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
-    total = hosts.agg(F.sum("n_host").alias("n"), F.sum("s_host").alias("s")).first()
-    if not total["n"]:
-        share = 0.5
-    else:
-        share = min(1 - 1e-6, max(1e-6, total["s"] / UNIT / total["n"]))
-    k_host = _strength(hosts.withColumn("s", F.col("s_host") / UNIT), "n_host", "s", share)
-    k_path = _strength(paths.withColumn("s", F.col("s_path") / UNIT), "n_path", "s", share)
-    both = paths.join(hosts.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2"))).drop("h2")
-    return both, share, k_host, k_path
+    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"), F.count("*").alias("n_paths"))
+    hosts = stored(hosts.withColumn("host_key", _site_key("host")).drop("host"), "hosts")
+    both = stored(join_heavy(paths.withColumn("host_key", _site_key("host")), hosts.withColumn("rows", F.col("n_paths")), ["host_key"], "rows"), "sites")
+    total = hosts.agg(F.sum("n_host").alias("n"), F.sum("s_host").alias("s"), F.count("*").alias("k")).first()
+    share = min(1 - 1e-6, max(1e-6, total["s"] / UNIT / total["n"])) if total["n"] else 0.5
+    mean = lambda c: F.col(c) / UNIT
+    up = [F.lit(float(total["n"] or 1)).alias("n_up"), F.lit(share * (total["n"] or 1)).alias("s_up"), F.lit(max(1, total["k"])).alias("k_up")]
+    k_host = _strength(hosts.select(F.col("n_host").alias("n"), mean("s_host").alias("s"), *up))
+    k_path = _strength(both.select(F.col("n_path").alias("n"), mean("s_path").alias("s"), F.col("n_host").alias("n_up"), mean("s_host").alias("s_up"), F.col("n_paths").alias("k_up")))
+    return both.drop("host_key", "n_paths"), share, k_host, k_path
+
+
+def _site_key(name: str) -> Column:
+    """A key for joins that null has, too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("-"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of every document from its evidence, its host and its path.
 
     Returns a row for each row of docs: <id_col>, evidence (log-odds), host_mean and path_mean (posterior means of the
-    share of acceptable documents, without the document itself), score (0 to 1), keep (score >= 0.5), and the columns in keep. Null hosts and paths
-    are sites of their own. Null and empty texts are scored by their shape. Labels of null quality are ignored, null
-    toxicity counts as 0, and of several labels of one id the worst counts. With labels of only one class, or none, the
-    evidence is 0 and all is kept. Other columns are not read.
+    share of acceptable documents, without the document itself), score (0 to 1), keep (score >= 0.5), and the columns in
+    keep. Null hosts and paths are sites of their own. Null and empty texts are scored by their shape. Every row is scored by
+    its own text: null ids (which no label fits), repeats, and several texts of one id. Labels of null quality or id are
+    ignored, null toxicity counts as 0, and of several labels of one id the worst counts. With labels of only one class, or
+    none, the evidence is 0 and all is kept. A score of exactly 0.5 is kept. An empty table gives an empty result. Other
+    columns are not read.
     """
     host, path = (F.col(x) if isinstance(x, str) else x for x in (host, path))
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample=sample)
@@ -243,8 +263,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     p = F.round(UNIT / (1 + F.exp(-F.col("e")))).cast("bigint")
     rows = rows.withColumn("p", p)
     sites, share, k_host, k_path = site_posteriors(rows)
-    sites = sites.select(F.col("host").alias("h2"), F.col("path").alias("p2"), "n_path", "s_path", "n_host", "s_host")
-    out = rows.join(sites, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")))
+    keys = {"__host_key": _site_key("host"), "__path_key": _site_key("path")}
+    sites = sites.withColumns({**keys, "rows": F.col("n_path")}).drop("host", "path")
+    out = join_heavy(rows.withColumns(keys), sites, list(keys), "rows")
     out = out.withColumn("host_mean", ((F.col("s_host") - F.col("p")) / UNIT + k_host * share) / (F.col("n_host") - 1 + k_host))
     out = out.withColumn("path_mean", ((F.col("s_path") - F.col("p")) / UNIT + k_path * F.col("host_mean")) / (F.col("n_path") - 1 + k_path))
     bounded = F.least(F.greatest("path_mean", F.lit(1e-6)), F.lit(1 - 1e-6))

@@ -6,11 +6,16 @@ l * 3 / 4, rounded down). Chains of length 2 are the join key: a start, its segm
 Next segments that are equal meet by themselves; for those that differ in one bit, segments of even parity give themselves
 and segments of odd parity give their 16 neighbours (all even), and only unlike parities are compared. Pairs that meet are tested for chains of length 3, and
 then for the full distance. No pair is lost, and none is written: a bucket returns a spanning forest of its links.
+
+Buckets of more than HOT fingerprints go on to a longer chain first: what is left of the ring differs in at most 3 bits, so
+one of its four bytes is equal, and the bucket is dealt by byte. Only buckets that stay hot are compared in blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,31 +24,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import stored
+from ._base import join_heavy, stored
 from ._graph import components
 
 #: Most differing bits of a link.
 BITS = 3
-#: Buckets of more fingerprints are dealt over several tasks, in pairs of blocks of BLOCK fingerprints.
+#: Buckets of more fingerprints are split by a byte more, then dealt over several tasks, in pairs of blocks of BLOCK fingerprints.
 HOT, BLOCK = 4096, 2048
+#: Bytes of a text whose shingles are hashed at a time.
+PIECE = 1 << 20
+_WHITE = re.compile(rb"\s")
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
+def _pieces(data: bytes) -> Iterator[list[bytes]]:
+    """The words of data, about PIECE bytes at a time."""
+    at = 0
+    while at < len(data):
+        stop = _WHITE.search(data, at + PIECE) if at + PIECE < len(data) else None
+        end = stop.start() if stop else len(data)
+        yield data[at:end].split()
+        at = end
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of all shingles, repeats included; 0 without words."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not words:
-        return 0
-    if len(words) < width:
-        grams = [b" ".join(words)]
-    else:
-        grams = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+    """Unsigned 64-bit SimHash of all shingles, repeats included; 0 without words. Shingles are hashed piece by piece, so a
+    long text needs little more memory than itself."""
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(g, seed) for g in grams), dtype="<u8", count=len(grams))
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 65536):
-        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    ones, total, words = np.zeros(64, dtype=np.int64), 0, []
+
+    def count(grams: Iterator[bytes]) -> int:
+        h = np.fromiter((hashed(g, seed) for g in grams), dtype="<u8")
+        for at in range(0, len(h), 65536):
+            part = np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[:] += part.sum(axis=0, dtype=np.int64)
+        return len(h)
+
+    for piece in _pieces(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else ():
+        words += piece
+        total += count(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+        words = words[max(0, len(words) - width + 1) :]
+    if not total and words:  # fewer words than a shingle has
+        total = count(iter([b" ".join(words)]))
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -141,14 +164,14 @@ def _links_of(cols: list[np.ndarray], change: np.ndarray) -> Iterator[pa.RecordB
     for d in range(1, int(length[small].max(initial=1))):
         rows = rows[rows + d < len(key)]
         rows = rows[run[rows] == run[rows + d]]
-        meet = (key[rows] >> 34 == 0) | (even[rows] != even[rows + d])
+        meet = (key[rows] >> 34 & 1 == 0) | (even[rows] != even[rows + d])
         i = rows[meet]
         hit = i[_linked(fp[i] ^ fp[i + d], key[i] >> 32 & 3)]
         a.append(rep[hit])
         b.append(rep[hit + d])
     for r in np.flatnonzero(~small):
         members = np.arange(bounds[r], bounds[r + 1])
-        sides = [members] if key[members[0]] >> 34 == 0 else [members[even[members]], members[~even[members]]]
+        sides = [members] if key[members[0]] >> 34 & 1 == 0 else [members[even[members]], members[~even[members]]]
         for x, y in _forest(sides, fp, rep, int(key[members[0]] >> 32 & 3)):
             a.append(x)
             b.append(y)
@@ -158,21 +181,51 @@ def _links_of(cols: list[np.ndarray], change: np.ndarray) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def links(reps: DataFrame) -> DataFrame:
-    """reps(rep, fp), fp distinct -> links (a, b) between reps that connect all fingerprints within BITS of each other."""
-    same = Window.partitionBy("key")
-    counted = chain_keys(reps).withColumn("n", F.count("*").over(same)).withColumn("n_even", F.count_if("even").over(same))
-    counted = counted.where((F.col("n") > 1) & ((F.col("key") < 1 << 34) | ((F.col("n_even") > 0) & (F.col("n_even") < F.col("n")))))
-    cool = counted.where(F.col("n") <= HOT).select("key", F.lit(0).cast("bigint").alias("tile"), "even", "rep", "fp")
-    cool = cool.sortWithinPartitions("key")
-    hot = counted.where(F.col("n") > HOT).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint"))
+def _longer_chains(rows: DataFrame) -> DataFrame:
+    """Each row under four keys: with the number (bits 35 and 36) and value (bits 37 to 44) of a byte of the two segments that the
+    chain of length 2 leaves out."""
+    turn = "16 * cast((shiftright(key, 32) + 2) % 4 as int)"
+    rest = F.expr(f"shiftrightunsigned(fp, {turn}) | shiftleft(fp, 64 - {turn})")
+    keys = [F.col("key") + F.lit(p << 35).cast("bigint") + F.shiftleft(F.shiftright("rest", 8 * p).bitwiseAND(F.lit(255).cast("bigint")), 37) for p in range(4)]
+    return rows.withColumn("rest", rest).select(F.explode(F.array(*keys)).alias("key"), "even", "rep", "fp")
+
+
+def _tiles(hot: DataFrame) -> DataFrame:
+    """Rows of hot buckets (with n, their size) under each pair of blocks that they take part in."""
+    hot = hot.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint"))
     hot = hot.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     hot = hot.select("key", "even", "rep", "fp", "blocks", "own", other.alias("other"))
     hot = hot.select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("tile"), "even", "rep", "fp")
-    hot = hot.repartition("key", "tile").sortWithinPartitions("key", "tile")
-    schema = "a bigint, b bigint"
-    return cool.mapInArrow(_bucket_links, schema).union(hot.mapInArrow(_bucket_links, schema)).distinct()
+    return hot.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
+def _within_buckets(cool: DataFrame) -> DataFrame:
+    """Rows of buckets of at most HOT, sorted by key, without those that can have no link."""
+    same = Window.partitionBy("key")
+    counted = cool.withColumn("n", F.count("*").over(same)).withColumn("n_even", F.count_if("even").over(same))
+    equal = F.shiftright("key", 34) % 2 == 0
+    counted = counted.where((F.col("n") > 1) & (equal | ((F.col("n_even") > 0) & (F.col("n_even") < F.col("n")))))
+    return counted.select("key", F.lit(0).cast("bigint").alias("tile"), "even", "rep", "fp").sortWithinPartitions("key")
+
+
+def links(reps: DataFrame) -> DataFrame:
+    """reps(rep, fp), fp distinct -> links (a, b) between reps that connect all fingerprints within BITS of each other.
+
+    Buckets are counted by an aggregation, so no task gathers one before it is known to be small."""
+    rows, parts = chain_keys(reps), []
+    for level in range(2):
+        hot = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot")
+        parts.append(_within_buckets(join_heavy(rows, hot, ["key"], "n", how="left_anti")))
+        if not hot.take(1):
+            break
+        more = join_heavy(rows, hot.withColumn("rows", F.col("n")), ["key"], "rows")
+        if level == 0:
+            rows = stored(_longer_chains(more), "longer_chains")
+        else:
+            parts.append(_tiles(more))
+    found = [p.mapInArrow(_bucket_links, "a bigint, b bigint") for p in parts]
+    return reduce(DataFrame.union, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,13 +234,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns a row for each row of docs: <id_col>, fp (signed), fingerprint (16 hex digits), component_id (the smallest id
     reachable, itself included). <id_col> must be a bigint. Texts that are null, empty or white space have fingerprint 0
     and are linked like any other. Rows with equal fingerprints are one node, so copies cost no pairs. Null ids get the
-    class of their fingerprint. Other columns are not read; an empty table gives an empty result.
+    class of their fingerprint, and several texts of one id each the class of their own. Other columns are not read; an empty
+    table gives an empty result.
     """
+    if docs.schema[id_col].dataType != T.LongType():
+        raise TypeError(f"{id_col} must be a bigint")
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = stored(rows.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps")
-    found = components(links(reps))
-    labels = reps.join(found, reps["rep"] == found["node"], "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(labels, F.col("fp") == F.col("fp2"), "left")
+    reps = stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "reps")
+    found = components(links(reps.where("rep is not null").select("rep", "fp")))
+    labels = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+    out = join_heavy(rows, stored(labels, "labels"), ["fp"], "n")
     return out.select(F.col("id").alias(id_col), "fp", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -197,8 +253,8 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The nodes are fingerprints, not ids: rows that share an id, or have none, are linked by their own texts alone.
     """
     rows = stored(fingerprints(docs, id_col, text_col, keep), "fingerprints")
-    reps = stored(rows.select(F.col("fp").alias("rep"), "fp").distinct(), "reps")
-    found = components(links(reps))
     row = F.struct(F.col("id").isNull().alias("unnamed"), "id", *keep)
-    first = rows.join(found, rows["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min(row).alias("first"))
+    reps = stored(rows.groupBy("fp").agg(F.min(row).alias("first")), "reps")
+    found = components(links(reps.select(F.col("fp").alias("rep"), "fp")))
+    first = reps.join(found, reps["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min("first").alias("first"))
     return first.select(F.col("first.id").alias(id_col), *(F.col(f"first.{c}").alias(c) for c in keep))

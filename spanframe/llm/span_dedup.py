@@ -5,8 +5,9 @@ A run is any number of consecutive units with SENTENCES units and LEAST words, o
 units that any repeated run covers are removed wherever it is not the first: the first is in the smallest document id, and
 there at the first place. Hashed (with every) are only the shortest run from each unit and the shortest run up to each unit:
 of a longer run's units, each is in the shortest run from it or in the shortest up to the run's end, and those repeat with
-it. Hashes are 128 bits, so equal hashes are equal runs. Counting a run needs one number a hash (the smallest id), so
-frequent runs are combined before the shuffle, and no run's places are gathered anywhere.
+it. Hashes are 128 bits, so equal hashes are equal runs. Runs meet in one shuffle by hash; those that a sample of the runs
+shows to be very frequent are left out of it, combined where they are, and held against a broadcast of their first places. So
+the sample changes the way, not the result, and no task gathers a frequent run's places.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._base import stored
 
 SENTENCES, LEAST, WORDS = 3, 10, 25
+#: A run that stands more often than HEAVY times, by a sample of this share of all runs, is frequent; at most so many are.
+SAMPLE, HEAVY, HEAVY_RUNS = 0.01, 10_000, 50_000
 #: Sentences end at a line break, at a full stop, question or exclamation mark before white space, and at a stop of a script
 #: that needs no white space after it.
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_CUT = re.compile(r"(?<=[.!?])(?=\s)|\n")
 _STOPS = "。｡！？।॥።។။"
-_WIDE_CUT = re.compile(rf"(?<=[.!?؟۔])\s+|(?<=[{_STOPS}])(?![{_STOPS}])\s*|\s*\n\s*")
+_WIDE_CUT = re.compile(rf"(?<=[.!?؟۔])(?=\s)|(?<=[{_STOPS}])(?![{_STOPS}])|\n")
 #: Where words are not spaced, two characters of Chinese or Japanese, or four of Thai, Lao, Burmese or Khmer, count as a word.
 _EAST, _SOUTH = "\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff", "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
 _UNSPACED = re.compile(f"[{_EAST}{_SOUTH}]")
@@ -37,14 +40,15 @@ _WORD = re.compile(r"\S+")
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
-    """Character ranges of the sentences, without the white space between them."""
-    out, at = [], len(text) - len(text.lstrip())
-    for m in (_CUT if text.isascii() else _WIDE_CUT).finditer(text):
-        if m.start() > at and not text[at : m.start()].isspace():
-            out.append((at, m.start()))
-        at = max(at, m.end())
-    if at < len(text) and not text[at:].isspace():
-        out.append((at, len(text.rstrip())))
+    """Character ranges of the sentences, without the white space around them."""
+    out, at = [], 0
+    ends = [m.span() for m in (_CUT if text.isascii() else _WIDE_CUT).finditer(text)]
+    for a, b in [*ends, (len(text), len(text))]:
+        said = text[at:a]
+        if bare := said.strip():
+            start = at + len(said) - len(said.lstrip())
+            out.append((start, start + len(bare)))
+        at = b
     return out
 
 
@@ -97,35 +101,46 @@ def _runs(text: str, sentences: int, least: int, words: int) -> Iterator[tuple[t
             yield (i, far - i, xxhash.xxh3_128_digest(b"".join(hashes[i:far]))), False
 
 
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, least: int = LEAST, words: int = WORDS, every: bool = False) -> DataFrame:
-    """(id, mark, at, n): the runs that are not the first of their kind; mark tells rows of one id with other texts apart."""
+def _runs_of_rows(docs: DataFrame, id_col: str, text_col: str, every: bool, sizes: tuple[int, int, int]) -> DataFrame:
+    """(id, mark, at, n, h, g) of every hashed run; mark tells rows of one id with other texts apart."""
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("mark", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("mark", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, at, n, digests, again = [], [], [], [], []
+            rows, at, n, digests = [], [], [], []
             for row, text in enumerate(b.column(2)):
-                seen = set()
-                for i, k, digest in (all_runs_of if every else runs_of)(text.as_py() or "", sentences, least, words):
+                for i, k, digest in (all_runs_of if every else runs_of)(text.as_py(), *sizes):
                     rows.append(row)
                     at.append(i)
                     n.append(k)
                     digests.append(digest)
-                    again.append(digest in seen)
-                    seen.add(digest)
-                if len(rows) >= 200_000 or row == b.num_rows - 1:
-                    pick = pa.array(rows, pa.int32())
-                    h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(again, pa.bool_())], names=schema.names)
-                    rows, at, n, digests, again = [], [], [], [], []
+                    if len(rows) >= 200_000:
+                        yield flush(b, rows, at, n, digests)
+                        rows, at, n, digests = [], [], [], []
+            yield flush(b, rows, at, n, digests)
+
+    def flush(b: pa.RecordBatch, rows: list[int], at: list[int], n: list[int], digests: list[bytes]) -> pa.RecordBatch:
+        pick = pa.array(rows, pa.int32())
+        h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=schema.names)
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    runs = stored(rows.mapInArrow(run, schema), "runs")
-    first = runs.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.when(F.col("id").isNull(), 1)).alias("unnamed"))
-    first = first.where((F.col("first") < F.col("last")) | (F.col("unnamed") > 0) & F.col("first").isNotNull()).select("h", "g", "first")
-    later = runs.join(first, ["h", "g"]).where(F.col("id").isNull() | (F.col("id") > F.col("first")))
-    return later.select("id", "mark", "at", "n").union(runs.where("again").select("id", "mark", "at", "n"))
+    return rows.mapInArrow(run, schema)
+
+
+def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, least: int = LEAST, words: int = WORDS, every: bool = False) -> DataFrame:
+    """(id, mark, at, n): the runs that are not the first of their kind, by id (null last), mark and place."""
+    runs = stored(_runs_of_rows(docs, id_col, text_col, every, (sentences, least, words)), "runs")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark", "at")
+    seen = runs.sample(SAMPLE, 7).groupBy("h", "g").agg(F.count("*").alias("n"))
+    heavy = seen.orderBy(F.col("n").desc(), "h", "g").limit(HEAVY_RUNS).where(F.col("n") > HEAVY * SAMPLE).select("h", "g")
+    heavy = F.broadcast(stored(heavy, "frequent"))
+    light = runs.join(heavy, ["h", "g"], "left_anti").withColumn("first", F.min(place).over(Window.partitionBy("h", "g")))
+    hot = runs.join(heavy, ["h", "g"], "left_semi")
+    firsts = hot.groupBy("h", "g").agg(F.min(place).alias("first"))
+    later = light.select("id", "mark", "at", "n", "first").union(hot.join(F.broadcast(firsts), ["h", "g"]).select("id", "mark", "at", "n", "first"))
+    return later.where(place != F.col("first")).select("id", "mark", "at", "n")
 
 
 def cut_sentences(text: str, runs: list[tuple[int, int]], words: int = WORDS) -> tuple[str, int]:
@@ -148,9 +163,10 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Returns a row for each row of docs: <id_col>, the columns in keep, n_sentences, n_removed (of how many sentences all or
     a piece went), and text (null for null). Documents of one sentence have no run and stay, unless it is cut into pieces.
-    Without every, only the shortest run from each unit counts, so that the last units of a passage may stay. Null ids are the last; rows of one id are no repeats of each other
-    (rows of one id and text are treated alike), but runs that repeat inside a document are removed after the first.
-    Other columns are not read; an empty table gives an empty result.
+    Without every, only the shortest run from each unit counts, so that the last units of a passage may stay. Runs of fewer
+    words than LEAST never go. Null ids are the last; different texts of one id are documents of their own, in the order of
+    their texts' hashes; rows of one id and text are treated alike. Runs that repeat inside a document are removed after the
+    first. Other columns are not read; an empty table gives an empty result.
     """
     cut = repeated_runs(docs, id_col=id_col, text_col=text_col, every=every, **options).distinct()
     cut = cut.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("runs"))

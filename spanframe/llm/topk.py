@@ -7,7 +7,9 @@ two numbers a segment, so a block of queries meets a block of candidates in one
 only pairs whose bound reaches the query's k-th best exact score so far go on, and what is left gets exact scores.
 
 Queries and candidates meet in cells (a block of each), so no task holds more than one block of both, and a cell returns
-at most k rows for a query. Cells are the product of the blocks: that is the stated search of all rows for each query.
+at most k rows for a query. Cells are the product of the blocks: that is the stated search of all rows for each query. The
+first block of candidates is searched before the others: each query's k-th best score there is its floor in all other cells,
+where most pairs then end at the coarsest level.
 """
 
 from __future__ import annotations
@@ -48,8 +50,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best candidates of the block, other than its own row."""
+def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, candidate id, score) of each query's k best candidates of the block, other than its own row. With floors,
+    candidates below a query's floor may be left out."""
     levels = _levels(q.shape[1])
     of_q, of_c = ([_statistics(x, n) for n in levels] for x in (q, c))
     slack = 1e-9 * (1 + np.abs(q).sum(axis=1)) * (1 + np.abs(c).max(initial=0))
@@ -57,10 +60,10 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
     for at in range(0, len(q), TOGETHER):
         part = slice(at, at + TOGETHER)
         alive = q_ids[part, None] != c_ids[None, :]
-        floor = np.full(alive.shape[0], -np.inf)
+        floor = np.full(alive.shape[0], -np.inf) if floors is None else floors[part]
         if levels:
             bound = np.where(alive, of_q[0][part] @ of_c[0].T, -np.inf)
-            if bound.shape[1] > k:  # exact scores of the most promising give the first floor
+            if floors is None and bound.shape[1] > k:  # exact scores of the most promising give the first floor
                 first = np.argpartition(-bound, k - 1, axis=1)[:, :k]
                 exact = np.einsum("qd,qkd->qk", q[part], c[first])
                 exact = np.where(np.take_along_axis(alive, first, axis=1), exact, -np.inf)
@@ -102,10 +105,11 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 6
     rows = stored(rows.mapInArrow(pack, "id bigint, v binary, q boolean"), "vectors")
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
     blocks_c, blocks_q = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["q"] // QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = lambda first, n: F.explode(F.sequence(F.lit(first), F.lit(n - 1)))
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    cells = rows.select("id", "v", F.lit(False).alias("q"), own(blocks_c, 1).alias("c"), every(blocks_q).alias("b"))
-    cells = cells.union(rows.where("q").select("id", "v", F.lit(True).alias("q"), every(blocks_c).alias("c"), own(blocks_q, 2).alias("b")))
+    no_floor = F.lit(None).cast("double").alias("floor")
+    candidates = rows.select("id", "v", F.lit(False).alias("q"), own(blocks_c, 1).alias("c"), every(0, blocks_q).alias("b"), no_floor)
+    queries = rows.where("q").select("id", "v", F.lit(True).alias("q"), own(blocks_q, 2).alias("b"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -113,11 +117,21 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 6
             x = np.frombuffer(b"".join(same["v"]), dtype="<f8").reshape(len(same), -1)
             ids, is_q = same["id"].to_numpy(), same["q"].to_numpy(dtype=bool)
             if is_q.any() and not is_q.all():
-                found.append(search_block(x[is_q], ids[is_q], x[~is_q], ids[~is_q], k))
+                floors = same["floor"].to_numpy(dtype=float)[is_q]
+                known = np.where(np.isnan(floors), -np.inf, floors)
+                found.append(search_block(x[is_q], ids[is_q], x[~is_q], ids[~is_q], k, None if np.isnan(floors).all() else known))
         a, b, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
         return pd.DataFrame({"query_id": a.astype(np.int64), "id": b.astype(np.int64), "score": s.astype(np.int64)})
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "id", "score")])
-    found = cells.groupBy("c", "b").applyInPandas(search, schema)
+    order = ["id", "v", "q", "c", "b", "floor"]
+    first = candidates.where("c = 0").select(order).union(queries.select("id", "v", "q", F.lit(0).alias("c"), "b", no_floor))
+    found = first.groupBy("c", "b").applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    if blocks_c > 1:
+        found = stored(found, "first_block")
+        floors = found.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+        rest = queries.join(floors, "id", "left").withColumn("c", every(1, blocks_c))
+        cells = candidates.where("c > 0").select(order).union(rest.select(order))
+        found = found.union(cells.groupBy("c", "b").applyInPandas(search, schema))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

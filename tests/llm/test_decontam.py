@@ -96,3 +96,10 @@ def test_remove_spans():
     assert remove_spans("One two, three four. Five", [(1, 3)]) == "One four. Five"
     assert remove_spans("a b", [(0, 2)]).strip() == "" and remove_spans(None, [(0, 1)]) is None
     assert words_of("Ab-c d'É 9") == [b"ab", b"c", b"d", "É".encode(), b"9"]
+
+
+def test_ids_may_repeat_or_be_null_and_texts_be_long(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (1, "alpha beta gamma"), (None, "lone words")], "item_id bigint, text string")
+    docs = [(3, "alpha beta gamma delta"), (3, "nothing here"), (None, "x alpha beta gamma"), (4, "lone words"), (4, "lone words"), (5, "filler " * 500_000 + "Alpha, BETA gamma")]
+    out = sorted(((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()))
+    assert out == sorted([(3, 4, 3, 1), (3, 2, 0, 0), (0, 4, 3, 1), (4, 2, 0, 0), (4, 2, 0, 0), (5, 500_003, 3, 1)])

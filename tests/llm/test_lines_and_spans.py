@@ -114,12 +114,18 @@ def test_spans_of_odd_tables(spark, odd_docs, no_docs):
 
 
 def test_lines_by_shuffles_alone(spark, monkeypatch):
-    from spanframe.llm import line_dedup
+    from spanframe.llm import _base
 
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(_base, "HEAVY", 5)  # and the common line's rows by a broadcast
+    monkeypatch.setattr(_base, "HEAVY_KEYS", 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     docs = [(i, "\n".join(["one common line", f"line number {i}", f"own words {i * 7919} here"])) for i in range(30)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in dedup_lines(frame).collect()} == brute_lines(docs)
+    try:
+        assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in dedup_lines(frame).collect()} == brute_lines(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def brute_units(text):
@@ -194,3 +200,23 @@ def test_runs_that_neighbours_hid(spark):
     out = {r["doc_id"]: r["text"] for r in dedup_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), every=True).collect()}
     assert out[1] == "Edited before. Other after." and out[3] == "" and out[5] == "Another end there." and out[7] == ""
     assert all(out[i] == docs[i][1] for i in (0, 2, 4))
+
+
+def test_a_million_blanks_take_no_time():
+    import time
+
+    began = time.perf_counter()
+    for blank in (" ", "\n", "\t \n"):
+        assert [t for t in sentences_of("One." + blank * 1_000_000 + "Two.") if t[1] - t[0] != 4] == []
+    assert time.perf_counter() - began < 5
+
+
+def test_spans_of_rows_that_share_an_id_or_have_none(spark, monkeypatch):
+    from spanframe.llm import span_dedup
+
+    monkeypatch.setattr(span_dedup, "HEAVY", -1)  # every run of the sample is frequent
+    monkeypatch.setattr(span_dedup, "SAMPLE", 0.9)
+    passage = " ".join(f"Sentence {i} of the shared passage has exactly ten words here." for i in range(6))
+    docs = [(7, f"{passage} Ends in one way."), (7, f"{passage} Ends in another way, too."), (None, f"Nobody wrote this. {passage}"), (3, "x"), (3, "x")]
+    out = [r["text"] for r in dedup_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), every=True).collect()]
+    assert sum(passage in t for t in out) == 1 and "Nobody wrote this. " in out and out.count("x") == 2 and len(out) == 5

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -53,14 +54,39 @@ def test_contract(spark, n, seed):
         assert abs(taken[s] - t) <= 0.5 * longest[s] + 1
 
 
-def test_rates_are_tilted_by_size_and_solve_the_dual(spark):
+def test_rates_are_clipped_exponentials_of_size_that_solve_the_dual(spark):
     docs = corpus(spark, 1500, 7)
-    rows = mix_sources(docs).where("size > 0")
-    sums = rows.groupBy("source").agg(F.sum(F.col("rate") * F.col("size")).alias("mass"), F.first("target").alias("t")).collect()
-    assert all(abs(r["mass"] - r["t"]) <= max(0.5, 1e-6 * r["t"]) for r in sums)
-    one = rows.where("rate < 1.999999 and rate > 1e-9").withColumn("lam", F.log(F.col("rate") / (2 - F.col("rate"))) / F.col("size"))
-    spread = one.groupBy("source").agg(F.min("lam").alias("a"), F.max("lam").alias("b")).collect()
-    assert spread and all(abs(r["a"] - r["b"]) <= 1e-3 * max(abs(r["a"]), 1e-6) + 1e-6 for r in spread)
+    rows = [r for r in mix_sources(docs).collect() if r["size"]]
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        mass, target = sum(r["rate"] * r["size"] for r in own), own[0]["target"]
+        assert abs(mass - target) <= max(0.5, 1e-6 * target)
+        free = [r for r in own if 1e-9 < r["rate"] < 2 - 1e-9]
+        if free:  # one multiplier tells every rate
+            lam = math.log(free[0]["rate"]) / free[0]["size"]
+            assert all(r["rate"] == pytest.approx(math.exp(min(math.log(2), lam * r["size"])), rel=1e-6) for r in own)
+    assert any(1e-9 < r["rate"] < 1.9 for r in rows) and any(r["rate"] == 2 for r in rows)
+
+
+def test_targets_hard_to_meet_are_met(spark):
+    """One word above nothing, and one below the cap, with sizes from 1 to 10,000."""
+    from spanframe.llm.mixing import balance
+
+    sizes = [1, 2, 3, 50, 10_000]
+    cells = spark.createDataFrame([(i, s, 3) for i in range(4) for s in sizes], "sid bigint, size bigint, n bigint")
+    total = 3 * sum(sizes)
+    wanted = {0: 1.0, 1: 2.0 * total - 1, 2: float(total), 3: 0.5 * total}
+    sources = spark.createDataFrame([(i, total, t, False, total / 15) for i, t in wanted.items()], "sid bigint, source_size bigint, target double, capped boolean, mean double")
+    for r in balance(cells, sources, 2).collect():
+        got = sum(3 * s * math.exp(min(math.log(2), r["lam"] * s / r["mean"])) for s in sizes)
+        assert abs(got - wanted[r["sid"]]) <= max(0.51, 1e-6 * wanted[r["sid"]])
+
+
+def test_ids_may_repeat_or_be_null(spark):
+    rows = [(1, "a b c", "x"), (1, "a b", "x"), (1, "a b", "x"), (None, "a", "x"), (None, "a b c d", None), (2, None, None)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), keep=("text",)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["source"] or "") for r in out) == sorted((i or 0, t or "", s or "") for i, t, s in rows)
+    assert all(r["size"] == len((r["text"] or "").split()) and 0 <= r["taken"] <= 2 * r["size"] for r in out)
 
 
 def test_reruns_agree(spark):

@@ -16,18 +16,35 @@ from .test_quality import corpus
 from .test_simhash import brute_components, brute_fingerprint
 
 
+ITEMS = ("a quite particular benchmark question about rivers and banks and the light of winter mornings there", "short one")
+
+
+def brute_cut(text, items, window=13):
+    """The words of text outside any window of an item."""
+    said, gone = text.split(), set()
+    low = [w.lower().strip(".,!") for w in said]
+    for item in items:
+        w = item.split()
+        for k in range(max(1, len(w) - window + 1)):
+            part = w[k : k + window]
+            gone |= {i + j for i in range(len(low)) if low[i : i + len(part)] == part for j in range(len(part))}
+    return [w for i, w in enumerate(said) if i not in gone]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     docs, labels, _ = corpus(spark, 240, 3)
     rows = [tuple(r) for r in docs.collect()]
-    item = "a quite particular benchmark question about rivers and banks and the light of winter mornings there"
+    item = ITEMS[0]
     rows += [(1000 + i, rows[5 * i][1], "en", "copies") for i in range(20)]
     rows += [(2000 + i, f"some words before {item} {rows[i][1]}"[: 400 + i], "en", None) for i in range(10)]
+    long = [r[1] for r in rows if len(r[1].split()) > 150 and r[1].islower() and len(set(r[1].split())) > 20]
+    rows += [(3000 + i, f"{' '.join(t.split()[i:90])} short one {' '.join(t.split()[90:])}", "en", "late") for i, t in enumerate(long)]
     path = str(tmp_path_factory.mktemp("tables"))
     frame = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     frame.write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame([(7, item), (8, "short one")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(7, item), (8, ITEMS[1])], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(50)], "vec_id bigint, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return path
 
@@ -41,8 +58,14 @@ def test_pipeline_against_brute_force(spark, tables):
     first = {i for i in kept if comp[i] == i}
     dirty = brute_spans([(i, text[i]) for i in first], [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()])
     clean = sorted(i for i in first if not dirty[i][4])
+    before = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    words = {i: brute_cut(text[i], ITEMS) for i in clean}
+    changed = [i for i in clean if words[i] != text[i].split()]
+    assert changed and all(len(words[i]) < len(text[i].split()) for i in changed)
+    rest = spark.createDataFrame([(i, " ".join(words[i]) if i in changed else text[i], *before[i][2:]) for i in clean], docs.schema)
     assert len(kept) < len(text) and len(first) < len(kept) and len(clean) < len(first)
-    copies = {r["doc_id"]: r["copies"] for r in mix_sources(docs.where(docs.doc_id.isin(clean))).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mix_sources(rest).collect()}
+    text = {r["doc_id"]: r["text"] for r in rest.collect()}
     code, at, expected = encoding.encoder(tokenizer_file()), 0, []
     for i in clean:
         for _ in range(copies[i]):
@@ -95,3 +118,30 @@ def test_stages_decide_by_row(spark, tables):
     for r in mix_sources(twice).collect():
         wanted[r["doc_id"]] += r["copies"]
     assert Counter(r["doc_id"] for r in mixed.collect()) == +wanted and wanted[None] > 0
+
+
+def test_stages_of_odd_rows(spark, tables):
+    """Null ids and texts, two texts under one id, repeats, long blanks, clashing names and empty tables, stage by stage."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    good = corpus_pipeline.quality(spark, docs.where("doc_id < 1000"), tables).orderBy("doc_id").limit(8).collect()
+    texts = [r["text"] for r in good]
+    odd = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[4]), (2, texts[4]), (3, None), (4, ""), (5, texts[5] + " " * 300_000)]
+    rows = [(i, t, "en", "s", len(t or ""), None if i is None else i * 10, "r") for i, t in odd]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, copies bigint, fp string")
+    empty = frame.limit(0)
+    clean = [r for r in rows if (r[1] or "").strip()]
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, tables)
+        assert none.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert none.columns == frame.columns
+    left = [tuple(r) for r in corpus_pipeline.quality(spark, frame, tables).collect()]
+    assert sorted((r for r in left if (r[1] or "").strip()), key=repr) == sorted(clean, key=repr)
+    once = [tuple(r) for r in corpus_pipeline.near_dedup(spark, frame, tables).collect()]
+    assert sorted(once, key=repr) == sorted({r for r in rows if r[0] != 4}, key=repr)
+    same = [tuple(r) for r in corpus_pipeline.decontaminate(spark, frame, tables).collect()]
+    assert sorted(same, key=repr) == sorted(rows, key=repr)
+    taken = [tuple(r) for r in corpus_pipeline.mix(spark, frame, tables).collect()]
+    assert set(taken) <= set(clean) and all(taken.count(r) <= 2 * rows.count(r) for r in taken) and len(taken) > len(clean)
+    ids = corpus_pipeline.token_ids(spark, frame, tables).collect()
+    assert sorted(r["doc_id"] or 0 for r in ids) == sorted(r[0] or 0 for r in rows) and sum(r["n_tokens"] == 1 for r in ids) == 2

@@ -82,3 +82,86 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert score_quality(no_docs, labels).count() == 0
     kept = score_quality(odd_docs, labels.limit(0))
     assert kept.where("keep and evidence = 0").count() == 11
+
+
+def brute_features(text):
+    """Words, their beginnings and the shape, letter by letter."""
+    words, now = [], ""
+    for c in (text or "") + " ":
+        if c.isalpha():
+            now += c
+        elif now:
+            words.append(now)
+            now = ""
+    low = [w.lower() for w in words]
+    n, m = len(text or "") + 20, len(words) + 5
+    digits = sum(c in "0123456789" for c in text or "")
+    symbols = sum(not c.isalpha() and c not in "0123456789 \n\t\r" for c in text or "")
+    again = sum(w in low[i // 50 * 50 : i] for i, w in enumerate(low))
+    size = math.log1p(len(low))
+    shape = [sum(w.isupper() and len(w) > 1 for w in words) / m, symbols / n, digits / n, sum(a == b for a, b in zip(low, low[1:], strict=False)) / m, again / m, max(0.0, 4 - size), max(0.0, size - 4)]
+    return set(low) | {"^" + w[:4] for w in low if len(w) > 4}, shape
+
+
+def brute_scores(rows, model):
+    """rows: (id, text, host, path) -> {id: (evidence, host_mean, path_mean, score)}, straight from the definitions."""
+    out, scored = {}, []
+    for i, text, host, path in rows:
+        named, shape = brute_features(text)
+        z = model.bias + sum(model.weights.get(x, 0) for x in named)
+        z += sum(max(-8, min(8, (x - m) / s)) * w for x, m, s, w in zip(shape, model.mean, model.scale, model.shape, strict=True))
+        e = max(-30, min(30, z))
+        scored.append((i, host, path, e, round(UNIT / (1 + math.exp(-e))) / UNIT))
+    share = sum(p for *_, p in scored) / len(scored)
+
+    def strength(sites, parent_of, parents):
+        """sites: {key: [p]}; parents: {key: [p]}."""
+        many = {k for k in sites if sum(parent_of(j) == parent_of(k) for j in sites) > 1}
+        ups = {parent_of(k) for k in many}
+        mean = lambda x: sum(x) / len(x)
+        chance = {u: mean(parents[u]) * (1 - mean(parents[u])) for u in ups}
+        count = {u: sum(parent_of(k) == u for k in many) for u in ups}
+        off = sum(len(sites[k]) * (mean(sites[k]) - mean(parents[parent_of(k)])) ** 2 for k in many) - sum((count[u] - 1) * chance[u] for u in ups)
+        room = sum(len(parents[u]) - sum(len(sites[k]) ** 2 for k in many if parent_of(k) == u) / len(parents[u]) for u in ups)
+        spread = sum(len(parents[u]) * chance[u] for u in ups) / sum(len(parents[u]) for u in ups)
+        return 10_000 if off <= 0 else min(10_000, max(2, spread / (off / room) - 1))
+
+    hosts, paths = {}, {}
+    for _, host, path, _, p in scored:
+        hosts.setdefault(host, []).append(p)
+        paths.setdefault((host, path), []).append(p)
+    k_host = strength(hosts, lambda _: "all", {"all": [p for *_, p in scored]})
+    k_path = strength(paths, lambda k: k[0], hosts)
+    for i, host, path, e, p in scored:
+        h = (sum(hosts[host]) - p + k_host * share) / (len(hosts[host]) - 1 + k_host)
+        q = (sum(paths[host, path]) - p + k_path * h) / (len(paths[host, path]) - 1 + k_path)
+        odds = e + math.log(q / (1 - q)) - math.log(share / (1 - share))
+        out[i] = (e, h, q, 1 / (1 + math.exp(-odds)))
+    return out, k_host, k_path
+
+
+def test_every_posterior_against_brute_force(spark):
+    docs, labels, _ = corpus(spark, 300, 8)
+    docs = docs.selectExpr("doc_id", "text", "if(doc_id % 5 = 0, null, if(doc_id % 2 = 0, 'de', 'en')) as lang", "source")
+    model = quality.fit(docs, labels)
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.collect()]
+    expected, _, _ = brute_scores(rows, model)
+    for r in score_quality(docs, labels).collect():
+        assert (r["evidence"], r["host_mean"], r["path_mean"], r["score"]) == pytest.approx(expected[r["doc_id"]], abs=2e-6)
+
+
+def test_paths_that_agree_with_their_hosts_are_shrunk_fully(spark):
+    rows = [(h, f"p{i % 4}", x) for h, x in (("a", 0.95), ("b", 0.05), ("c", 0.6)) for i in range(200)]
+    scored = spark.createDataFrame([(h, p, round(x * UNIT)) for h, p, x in rows], "host string, path string, p bigint")
+    _, _, k_host, k_path = site_posteriors(scored)
+    assert k_path == 10_000 and k_host < 10
+
+
+def test_ids_may_repeat_or_be_null_and_texts_be_long(spark):
+    docs, labels, _ = corpus(spark, 200, 3)
+    more = docs.union(docs.where("doc_id < 40").selectExpr("doc_id", "concat(text, ' Another one.')", "lang", "source"))
+    more = more.union(docs.where("doc_id < 9").selectExpr("cast(null as bigint)", "text", "lang", "source")).union(spark.createDataFrame([(500, "word " * 400_000, "en", None)], docs.schema))
+    out = score_quality(more, labels.union(spark.createDataFrame([(None, 0, 1)], labels.schema)), keep=("text",)).collect()
+    assert len(out) == 200 + 40 + 9 + 1 and sum(r["doc_id"] is None for r in out) == 9
+    assert quality.fit(more, labels, sample=10).weights.keys() <= quality.fit(docs, labels).weights.keys() | {"^anot", "another", "one"} | set().union(*(quality.features_of(r["text"])[0] for r in docs.collect()))
+    assert quality._sample(more, labels, "doc_id", "text", 10).count() == 10

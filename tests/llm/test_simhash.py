@@ -48,7 +48,7 @@ def linked(spark, fps):
     return {i: found.get(i, i) for i in fps}
 
 
-@pytest.mark.parametrize("hot", [4096, 40])
+@pytest.mark.parametrize("hot", [4096, 40, 6])
 def test_no_link_is_lost(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
     monkeypatch.setattr(simhash, "BLOCK", hot // 2)
@@ -86,3 +86,28 @@ def test_documents(spark, odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
     twice = near_duplicates(odd_docs.union(odd_docs))
     assert twice.count() == 22 and twice.distinct().count() == 11
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(5000)) + " " * 5000 + "end of it"
+    for piece in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert fingerprint(text) == brute_fingerprint(text) and fingerprint("a  b") == brute_fingerprint("a  b")
+
+
+def test_ids_may_repeat_or_be_null(spark):
+    frame = spark.createDataFrame([(5, "one two three four"), (5, "other words are here now"), (None, "one two three four"), (None, "nobody else says this at all"), (6, None)], "doc_id bigint, text string")
+    out = [(r["doc_id"], r["fingerprint"] == "0" * 16, r["component_id"]) for r in near_duplicates(frame).collect()]
+    assert sorted(out, key=repr) == sorted([(5, False, 5), (5, False, 5), (None, False, 5), (None, False, None), (6, True, 6)], key=repr)
+    with pytest.raises(TypeError):
+        near_duplicates(frame.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_hubs_of_many_edges(spark, monkeypatch):
+    from spanframe.llm import _base
+
+    monkeypatch.setattr(_base, "HEAVY", 10)
+    monkeypatch.setattr(_base, "HEAVY_KEYS", 20)
+    edges = [(7, i) for i in range(100, 400)] + [(i, 9) for i in range(350, 600)] + [(1, 2)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {n: 7 for n in [7, 9, *range(100, 600)]} | {1: 1, 2: 1}

@@ -40,3 +40,16 @@ def test_odd_vectors(spark):
     got = {tuple(r) for r in top_k(frame, F.col("vec_id") % 20 == 0).collect()}
     assert got == brute([r[:2] for r in rows], 20, 20)
     assert top_k(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_repeated_rows_are_candidates_each(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 20)
+    rows = [(i, [float(i % 7), 1.0, -float(i % 3)]) for i in range(90)]
+    frame = spark.createDataFrame(rows + rows[:10], "vec_id bigint, embedding array<float>")
+    got = sorted(tuple(r) for r in top_k(frame.where("vec_id > 0").union(frame.where("vec_id = 0").limit(1)), F.col("vec_id") % 20 == 0, k=5).collect())
+    ints = [(i, [64 * x for x in v]) for i, v in rows + rows[1:10]]
+    want = []
+    for i, q in [r for r in ints if r[0] % 20 == 0]:
+        scores = sorted((-int(sum(a * b for a, b in zip(q, v, strict=True))), j) for j, v in ints if j != i)[:5]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    assert got == sorted(want)
