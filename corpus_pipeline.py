@@ -1,9 +1,9 @@
 """A training corpus in five stages: quality, near duplicates, contamination, source mixing, token files.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents. Decisions belong to rows,
-known by doc_id and 128 bits of hash of all columns: rows of one doc_id with other contents, and rows of null doc_id, each
-have their own, and only rows that are equal in every column share one.
+Parquet and read again as the next one's docs. All but the last return the columns of documents. Decisions belong to rows:
+the operators carry the rows along, so rows of one doc_id with other contents, and rows of null doc_id, each have their own.
+Only near_dedup joins, by doc_id and 128 bits of hash of all columns, so that rows equal in every column are one.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm._base import load, scratch_path, stored
-from spanframe.llm.decontam import contamination
+from spanframe.llm._base import load, scratch_path, settled
+from spanframe.llm.decontam import contamination, without_spans
 from spanframe.llm.mixing import mix_sources
 from spanframe.llm.quality import score_quality
 from spanframe.llm.queries import tokenizer_file
@@ -23,6 +23,11 @@ from spanframe.llm.token_files import token_digests, write_token_files
 MARKS = ("__mark", "__mark2")
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """docs with each row in one more column, for operators to carry along."""
+    return docs.withColumn("__row", F.struct(*docs.columns))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     columns = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
     return docs.withColumns({m: F.xxhash64(F.lit(i), *columns) for i, m in enumerate(MARKS)})
@@ -36,35 +41,45 @@ def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier keeps, with null ids and repeats."""
-    rows = _marked(docs)
-    kept = score_quality(rows, load(spark, sf_dir, "labels"), keep=MARKS).where("keep").select("doc_id", *MARKS).distinct()
-    return _rows(rows, kept, "left_semi").select(docs.columns)
+    """Rows that the quality classifier keeps, each judged by its own text: null ids, repeats (all of them), null and empty
+    texts (by their shape), and a score of exactly one half are kept or go by their score alone. Ids that no label names only
+    teach nothing. An empty table gives an empty one."""
+    return score_quality(_carried(docs), load(spark, sf_dir, "labels"), keep=("__row",)).where("keep").select("__row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest doc_id (null last), of several the smallest hash.
-    Different texts of one doc_id are in groups of their own."""
+
+    Different texts of one doc_id, and of no doc_id, are in groups of their own; rows that are equal in every column are one.
+    Null, empty and blank texts are one group, as all have the fingerprint 0. An empty table gives an empty one."""
     rows = _marked(docs)
     return _rows(rows, one_of_each_class(rows, keep=MARKS), "left_semi").dropDuplicates(["doc_id", *MARKS]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items; their texts stay as they are."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return contamination(docs, load(spark, sf_dir, "benchmark"), keep=("text", *rest)).where("not contaminated").select(docs.columns)
+    """Documents that are not contaminated by benchmark items, without the spans that still repeat an item's words.
+
+    Contaminated is what the operator's rule says: a twentieth of the words, at least. n_chars follows the text; texts
+    without a span stay as they are, null and empty ones too. Rows of null or repeated ids are judged each by its own text.
+    An empty table, or an empty benchmark, changes nothing."""
+    found = contamination(_carried(docs), load(spark, sf_dir, "benchmark"), keep=("text", "__row")).where("not contaminated")
+    cut, some = without_spans(found.select("text", "spans", "__row")), F.size("spans") > 0
+    new = {"text": F.col("text"), "n_chars": F.when(some, F.length("text")).otherwise(F.col("__row.n_chars"))}
+    columns = [new.get(c, F.col("__row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return cut.select(columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, with null ids; equal rows as often as the mix takes them together."""
-    rows = _marked(docs)
-    copies = mix_sources(rows, keep=MARKS).groupBy("doc_id", *MARKS).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    out = _rows(rows.dropDuplicates(["doc_id", *MARKS]), copies, "inner")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each row as often as the mix takes it, null ids too; texts without words, null ones too, are never taken. Equal rows
+    stand as often as the mix takes them together; ties between documents of one source and size go by the hash of their
+    ids. An empty table gives an empty one."""
+    out = mix_sources(_carried(docs), keep=("__row",)).where("copies > 0")
+    return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token files; their documents, as read back from them."""
+    """The mix as token files; their documents, as read back from them. Null texts are empty and have only the end id; null
+    ids come first, rows of one id in the order of their texts' hashes. An empty table gives no rows."""
     path = scratch_path(spark, "tokens")
     write_token_files(docs, path, tokenizer_file())
     return token_digests(spark, path).withColumnRenamed("id", "doc_id")
@@ -83,8 +98,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. What a stage stores on its way is deleted once its result is stored."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0])
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.split()[0])
     return STAGES[-1][1](spark, docs, sf_dir)
