@@ -30,6 +30,7 @@ BLOCK_WORDS = 1_000_000
 _WORDS = bytes((i + 32 if 65 <= i <= 90 else i) if 48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 RESULT = (T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())))
+CUT = T.StructField("cut", T.StringType())
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -105,9 +106,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> It
         yield Phrases(block, window)
 
 
-def _scan(rows: DataFrame, shared: Broadcast, keep: list[str], hits_only: bool = False) -> DataFrame:
-    """rows(the columns in keep, __text) -> (keep, n_words, spans, items) by the block of windows in shared."""
-    schema = T.StructType([*(rows.schema[c] for c in keep), *RESULT])
+def _scan(rows: DataFrame, shared: Broadcast, keep: list[str], cut: bool = False, hits_only: bool = False) -> DataFrame:
+    """rows(the columns in keep, __text) -> (keep, n_words, spans, items, with cut the text without the spans) by the block of
+    windows in shared."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), *RESULT, *([CUT] if cut else [])])
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,15 +129,20 @@ def _scan(rows: DataFrame, shared: Broadcast, keep: list[str], hits_only: bool =
                     shard.append(words)
                     counts.append(len(words))
                     size += len(words)
-            out = pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+            out = pa.RecordBatch.from_arrays([*b.columns[:k], *_result(texts, counts, spans, items, cut)], names=schema.names)
             yield out.filter(pa.array([bool(x) for x in spans])) if hits_only else out
 
     return rows.select(*keep, "__text").mapInArrow(run, schema)
 
 
-def _merged(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows(keep, __text, found: the spans of all passes, items) -> (keep, n_words, spans, items)."""
-    schema = T.StructType([*(rows.schema[c] for c in keep), *RESULT])
+def _result(texts: pa.Array, counts: list[int], spans: list[list[dict[str, int]]], items: list[list[str]], cut: bool) -> list[pa.Array]:
+    left = [pa.array([remove_spans(t.as_py(), [(x["start"], x["end"]) for x in s]) if s else t.as_py() for t, s in zip(texts, spans, strict=True)], pa.string())] if cut else []
+    return [pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), *left]
+
+
+def _merged(rows: DataFrame, keep: list[str], cut: bool) -> DataFrame:
+    """rows(keep, __text, found: the spans of all passes, items) -> as _scan."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), *RESULT, *([CUT] if cut else [])])
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,18 +153,19 @@ def _merged(rows: DataFrame, keep: list[str]) -> DataFrame:
                 every = np.array([(x["start"], x["end"]) for x in found or ()], dtype=np.int64).reshape(-1, 2)
                 spans.append([{"start": x, "end": y} for x, y in _merge(every[:, 0], every[:, 1])] if len(every) else [])
             items = [sorted(set(x or ())) for x in b.column(k + 2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], *_result(b.column(k), counts, spans, items, cut)], names=schema.names)
 
     return rows.select(*keep, "__text", "found", "items").mapInArrow(run, schema)
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
     """Removal spans of every document: where any window of a test item occurs.
 
     Returns a row for each row of docs: <id_col>, the columns in keep, n_words, spans (disjoint, by words, half-open,
     touching ones merged) and items (ids as strings of all items with an occurring window, distinct). Null or empty texts
     have no words; null items are ignored; items of fewer words than the window are one window; repeated items and rows,
-    several texts of one id and null ids stand for themselves. With an empty benchmark every document has no spans.
+    several texts of one id and null ids stand for themselves. With an empty benchmark every document has no spans. With cut,
+    the column cut is the text without the spans' words (the text itself where there is no span).
     """
     context = docs.sparkSession.sparkContext
     own = ["__id", *(f"__keep_{c}" for c in keep)]
@@ -165,7 +173,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     blocks = _blocks(benchmark, item_col, item_text_col, window)
     block, more = next(blocks, Phrases([], window)), next(blocks, None)
     if more is None:
-        out = _scan(rows, context.broadcast(block), own)
+        out = _scan(rows, context.broadcast(block), own, cut)
     else:
         rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
         hits = []
@@ -174,8 +182,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = W
             hits.append(stored(_scan(rows, shared, ["__row"], hits_only=True), "hits"))
             shared.destroy()
         found = reduce(DataFrame.union, hits).groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("found"), F.flatten(F.collect_list("items")).alias("items"))
-        out = _merged(rows.join(found, "__row", "left"), own)
-    return out.select(F.col("__id").alias(id_col), *(F.col(f"__keep_{c}").alias(c) for c in keep), "n_words", "spans", "items")
+        out = _merged(rows.join(found, "__row", "left"), own, cut)
+    return out.select(F.col("__id").alias(id_col), *(F.col(f"__keep_{c}").alias(c) for c in keep), "n_words", "spans", "items", *(["cut"] if cut else []))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:
@@ -201,16 +209,3 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]], gap: str = " ")
         out.append(data[at : begin[s]])
         at = int(end[e - 1])
     return gap.join(x.decode("utf-8", "surrogatepass").strip(" ") for x in [*out, data[at:]])
-
-
-def without_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """found (of contaminated_spans, with the text kept) with the spans' words removed from the texts."""
-    schema, at = found.schema, found.columns.index(text_col)
-    spans = found.columns.index("spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cut = pa.array([remove_spans(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) for t, s in zip(b.column(at), b.column(spans), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([cut if i == at else b.column(i) for i in range(b.num_columns)], names=schema.names)
-
-    return found.mapInArrow(run, schema)
