@@ -2,8 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents. Decisions belong to rows:
-the operators carry the rows along, so rows of one doc_id with other contents, and rows of null doc_id, each have their own.
-Only near_dedup joins, by doc_id and 128 bits of hash of all columns, so that rows equal in every column are one.
+they travel with the row, or (in quality and near_dedup, which would else carry texts through Python or an aggregation) with
+its doc_id and 128 bits of hash of all its columns. So rows of one doc_id with other contents, and rows of null doc_id, each
+have their own, and only rows that are equal in every column share one.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm._base import load, scratch_path, settled
-from spanframe.llm.decontam import contamination, without_spans
+from spanframe.llm.decontam import contamination
 from spanframe.llm.mixing import mix_sources
 from spanframe.llm.quality import score_quality
 from spanframe.llm.queries import tokenizer_file
@@ -44,7 +45,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier keeps, each judged by its own text: null ids, repeats (all of them), null and empty
     texts (by their shape), and a score of exactly one half are kept or go by their score alone. Ids that no label names only
     teach nothing. An empty table gives an empty one."""
-    return score_quality(_carried(docs), load(spark, sf_dir, "labels"), keep=("__row",)).where("keep").select("__row.*")
+    rows = _marked(docs)
+    kept = score_quality(rows, load(spark, sf_dir, "labels"), keep=MARKS).where("keep").select("doc_id", *MARKS).distinct()
+    return _rows(rows, kept, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +65,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Contaminated is what the operator's rule says: a twentieth of the words, at least. n_chars follows the text; texts
     without a span stay as they are, null and empty ones too. Rows of null or repeated ids are judged each by its own text.
     An empty table, or an empty benchmark, changes nothing."""
-    found = contamination(_carried(docs), load(spark, sf_dir, "benchmark"), keep=("text", "__row")).where("not contaminated")
-    cut, some = without_spans(found.select("text", "spans", "__row")), F.size("spans") > 0
-    new = {"text": F.col("text"), "n_chars": F.when(some, F.length("text")).otherwise(F.col("__row.n_chars"))}
-    columns = [new.get(c, F.col("__row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
-    return cut.select(columns)
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    clean = contamination(docs, load(spark, sf_dir, "benchmark"), keep=rest, cut=True).where("not contaminated")
+    if "n_chars" in rest:
+        n = F.when(F.size("spans") > 0, F.length("cut")).otherwise(F.col("n_chars"))
+        clean = clean.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return clean.withColumnRenamed("cut", "text").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
