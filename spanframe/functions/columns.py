@@ -81,12 +81,14 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def difference_hash(luma: Column, width: int, height: int) -> Column:
-    """Row by row, a bit for each value that exceeds its right neighbour; the first comparison is the highest bit."""
-    bits = [F.when(luma[r * width + c] > luma[r * width + c + 1], 1).otherwise(0).cast("bigint") for r in range(height) for c in range(width - 1)]
-    out = F.lit(0).cast("bigint")
-    for b in bits:
-        out = F.shiftleft(out, 1).bitwiseOR(b)
-    return out
+    """Row by row, a bit for each value that exceeds its right neighbour; the first comparison is the highest bit. Up to 64
+    comparisons."""
+    n = width - 1
+    if n * height > 64:
+        raise ValueError("a hash has up to 64 comparisons")
+    at = lambda i: (F.floor(i / n) * width + i % n).cast("int")
+    bit = lambda i: F.when(F.get(luma, at(i)) > F.get(luma, at(i) + 1), 1).otherwise(0).cast("bigint")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n * height - 1)), F.lit(0).cast("bigint"), lambda s, i: F.shiftleft(s, 1).bitwiseOR(bit(i)))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -129,9 +131,22 @@ def parse_bitmask(text: Column, categories: Sequence[str]) -> Column:
 
 
 def first_json_object(text: Column) -> Column:
-    """The first balanced {...} without nested braces, or the whole trimmed text if that is an object."""
-    whole = F.trim(text)
-    return F.when(F.regexp_like(whole, F.lit(r"(?s)^\{.*\}$")), whole).otherwise(F.nullif(F.regexp_extract(text, r"(?s)\{[^{}]*\}", 0), F.lit("")))
+    """The first balanced {...} that parses as JSON, with all that nests inside; null without one."""
+    place = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    none = F.struct(F.array(F.lit(0)).alias("stack"), F.filter(F.array(place), lambda x: F.lit(False)).alias("found"), F.lit(0).alias("at"))
+    braces = F.regexp_extract_all(text, F.lit(r"(?s)[^{}]*[{}]"), F.lit(0))
+
+    def step(s: Column, piece: Column) -> Column:
+        at = s["at"] + F.length(piece)
+        top = F.element_at(s["stack"], -1)
+        opens = F.endswith(piece, F.lit("{"))
+        closed = F.concat(s["found"], F.array(F.struct(top.alias("start"), at.alias("end"))))
+        stack = F.when(opens, F.concat(s["stack"], F.array(at))).when(top > 0, F.slice(s["stack"], 1, F.size(s["stack"]) - 1)).otherwise(s["stack"])
+        return F.struct(stack.alias("stack"), F.when(~opens & (top > 0), closed).otherwise(s["found"]).alias("found"), at.alias("at"))
+
+    found = F.array_sort(F.aggregate(braces, none, step, lambda s: s["found"]))
+    parts = F.transform(found, lambda p: F.substring(text, p["start"], p["end"] - p["start"] + 1))
+    return F.get(F.filter(parts, lambda p: F.get_json_object(p, "$").isNotNull()), 0)
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -177,8 +192,8 @@ def uid(*parts: Column) -> Column:
 
 
 def content_key(values: Mapping[str, Column]) -> Column:
-    """SHA-256 over name=value pairs in the order of names; nulls are empty."""
-    return F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit(""))) for k, v in sorted(values.items())]), 256)
+    """SHA-256 of the values as a JSON object, names in order; null, an empty text and any text stay apart."""
+    return F.sha2(F.to_json(F.struct(*[v.alias(k) for k, v in sorted(values.items())]), {"ignoreNullFields": "false"}), 256)
 
 
 def hash_draw(*parts: Column | str) -> Column:

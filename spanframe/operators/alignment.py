@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .timeline import KEY, range_join
+from .timeline import KEY, ordered_pass
+
+
+def align_by_id(a: DataFrame, b: DataFrame, *, ts: str = "ts_us", ident: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """Rows of a with b's other columns by id, with same_time; and the audit of the cover: one row with n_left, n_right,
+    left_only, right_only, repeated (rows beyond the first of an id, on either side), moved (other times) and exact."""
+    right = b.withColumnRenamed(ts, "__t2")
+    pairs = a.join(right, [KEY, ident]).withColumn("same_time", F.col(ts) == F.col("__t2")).drop("__t2")
+    count = lambda df, side: df.groupBy(KEY, ident).agg(F.count("*").alias(side), F.min(ts).alias(f"{side}_t"))
+    ids = count(a, "l").join(count(b, "r"), [KEY, ident], "full")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    audit = ids.agg(n("l").alias("n_left"), n("r").alias("n_right"), F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only"), (n(F.greatest(F.col("l") - 1, F.lit(0))) + n(F.greatest(F.col("r") - 1, F.lit(0)))).alias("repeated"), F.count_if(F.col("l_t") != F.col("r_t")).alias("moved"))
+    return pairs, audit.withColumn("exact", (F.col("left_only") == 0) & (F.col("right_only") == 0) & (F.col("repeated") == 0))
 
 
 def align_nearest(a: DataFrame, b: DataFrame, *, tol: int, ts: str = "ts_us", ident: str = "sample_id") -> DataFrame:
-    """Pairs within tol that are each other's nearest (ties by id): each row is used once at most."""
-    left = a.withColumns({"start_us": F.col(ts), "end_us": F.col(ts)}).select(KEY, ident, "start_us", "end_us")
-    right = b.withColumns({"start_us": F.col(ts), "end_us": F.col(ts)}).select(KEY, ident, "start_us", "end_us")
-    pairs = range_join(left, right, width=max(1, 2 * tol), tol=tol).withColumn("distance_us", F.abs(F.col("start_us") - F.col("r_start_us")))
-    mine = F.row_number().over(Window.partitionBy(KEY, ident).orderBy("distance_us", f"r_{ident}"))
-    theirs = F.row_number().over(Window.partitionBy(KEY, f"r_{ident}").orderBy("distance_us", ident))
-    return pairs.withColumn("__m", mine).withColumn("__t", theirs).where("__m = 1 and __t = 1").select(KEY, ident, f"r_{ident}", "distance_us")
+    """Rows of a, in the order of time, each with the nearest row of b that none before has taken (of equals the earliest, then
+    the smallest id): r_<ident> and distance_us, which are null where none is left within tol.
+
+    One ordered pass holds what lies within tol of the row at hand."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        waiting: deque[tuple] = deque()
+        right: list[tuple] = []
+
+        def take(t: int, name: object) -> tuple:
+            right[:] = [r for r in right if r[0] >= t - tol]
+            best = min((r for r in right if r[0] <= t + tol), key=lambda r: (abs(r[0] - t), r), default=None)
+            if best is None:
+                return name, None, None
+            right.remove(best)
+            return name, best[1], abs(best[0] - t)
+
+        for t, side, name in rows:
+            while waiting and waiting[0][0] + tol < t:
+                yield take(*waiting.popleft())
+            if side == 0:
+                waiting.append((t, name))
+            else:
+                if not waiting:  # what no later row can reach
+                    right[:] = [r for r in right if r[0] >= t - tol]
+                right.append((t, name))
+        while waiting:
+            yield take(*waiting.popleft())
+
+    both = a.select(KEY, F.col(ts).alias("t"), F.lit(0).alias("side"), F.col(ident).alias("name")).union(b.select(KEY, F.col(ts), F.lit(1), F.col(ident)))
+    kind = a.schema[ident].dataType.simpleString()
+    return ordered_pass(both, [KEY], ["t", "side", "name"], ["t", "side", "name"], fold, f"{ident} {kind}, r_{ident} {kind}, distance_us bigint")
 
 
 def frames_to_time(segments: DataFrame, frames: DataFrame, *, frame_us: int) -> DataFrame:
@@ -63,10 +101,8 @@ def transcript_source(subtitles: DataFrame, speech: DataFrame, media: DataFrame)
 
 
 def lookup(df: DataFrame, dimension: DataFrame, on: str, value: str, default: str) -> DataFrame:
-    """A dimension's value, or the default; the dimension must be small."""
-    if dimension.count() > 1_000_000:
-        raise ValueError("the dimension has more than a million rows")
-    return df.join(F.broadcast(dimension), on, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+    """A dimension's value, or the default; the dimension is joined as Spark sees fit by its size."""
+    return df.join(dimension, on, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
 def interval_verdicts(events: DataFrame, intervals: DataFrame, *, tol: int, width: int) -> DataFrame:

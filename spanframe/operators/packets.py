@@ -27,9 +27,14 @@ def completeness(packets: DataFrame, media: DataFrame, *, tol: int, spacing: int
 
 def clean_cut_point(packets: DataFrame, cuts: DataFrame, ident: str = "cut_id") -> DataFrame:
     """clean: all packets shown before the cut are decoded before all others, and the first of those is a key packet."""
-    rows = cuts.join(packets, KEY)
-    before, after = F.col("pts_us") < F.col("cut_us"), F.col("pts_us") >= F.col("cut_us")
-    out = rows.groupBy(KEY, ident).agg(F.max(F.when(before, F.col("decode_pos"))).alias("last_before"), F.min(F.when(after, F.col("decode_pos"))).alias("first_after"), F.min_by(F.when(after, F.col("is_key")), F.when(after, F.col("decode_pos"))).alias("key"))
+    none = F.lit(None)
+    shown = packets.select(KEY, F.col("pts_us").alias("t"), F.lit(1).alias("kind"), "decode_pos", F.struct("decode_pos", "is_key").alias("packet"), none.cast(cuts.schema[ident].dataType).alias(ident))
+    both = shown.unionByName(cuts.select(KEY, F.col("cut_us").alias("t"), F.lit(0).alias("kind"), ident), allowMissingColumns=True)
+    # one sort each way: the last packet in decoding order of those shown before, and the first of those shown from then on
+    before = Window.partitionBy(KEY).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(KEY).orderBy(F.col("t").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("last_before", F.max("decode_pos").over(before)).withColumn("next", F.min("packet").over(after)).where("kind = 0")
+    out = out.select(KEY, ident, "last_before", F.col("next.decode_pos").alias("first_after"), F.col("next.is_key").alias("key"))
     order = F.col("last_before").isNull() | F.col("first_after").isNull() | (F.col("last_before") < F.col("first_after"))
     return out.select(KEY, ident, (order & F.coalesce("key", F.lit(True))).alias("clean"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as fn
 from .intervals import merge_intervals, pad_and_clamp
-from .timeline import KEY, gap_islands, range_join
+from .timeline import KEY, gap_islands, ordered_pass, range_join
 
 #: Thresholds of the prefilter by mode.
 MODE_THRESHOLDS = {"fast": 0.45, "balanced": 0.15, "thorough": 0.15}
@@ -55,10 +55,8 @@ def score(df: DataFrame, scorer: Callable[[pa.RecordBatch], pa.Array]) -> DataFr
 
 
 def concept_scores(samples: DataFrame, bank: DataFrame, *, scale: float = 100.0) -> DataFrame:
-    """Cosine and scaled logit of each sample's vector to each prompt vector of a bank of a checked size."""
-    if bank.count() > 10_000:
-        raise ValueError("a prompt bank holds up to 10,000 vectors")
-    pairs = samples.join(F.broadcast(bank))
+    """Cosine and scaled logit of each sample's vector to each prompt vector of a bank, which is broadcast up to 10,000 vectors."""
+    pairs = samples.join(F.broadcast(bank) if bank.count() <= 10_000 else bank)
     return pairs.withColumn("cosine", fn.cosine(F.col("vector"), F.col("prompt"))).withColumn("logit", F.col("cosine") * scale).drop("vector", "prompt")
 
 
@@ -124,15 +122,24 @@ def cluster_events(candidates: DataFrame, *, gap: int, context: int, longest: in
     w = Window.partitionBy(*g).orderBy(ts, *tie)
     rows = rows.withColumns({"__n": F.row_number().over(w), "__gap": F.coalesce(F.col(ts) - F.lag(ts).over(w), F.lit(0))})
     rows = rows.withColumn("__first", F.min(ts).over(Window.partitionBy(*g))).withColumn("__last", F.max(ts).over(Window.partitionBy(*g)))
-    # only groups that are too long need the search, and in them only neighbours within longest
+    # only groups that are too long need the search: one pass over their gaps in order
     big = rows.where(F.col("__last") - F.col("__first") + 2 * context > longest)
-    a = big.where("__n > 1").select(*g, F.col("__n").alias("n"), F.col("__gap").alias("gap"), F.col(ts).alias("t"), "__first", "__last")
-    b = big.where("__n > 1").select(*g, F.col("__n").alias("n2"), F.col("__gap").alias("gap2"), F.col(ts).alias("t2"))
-    near = a.join(b, g).where((F.col("t2") >= F.col("t") - F.col("gap") - longest) & (F.col("t2") - F.col("gap2") <= F.col("t") + longest))
-    left = F.max(F.when((F.col("n2") < F.col("n")) & (F.col("gap2") >= F.col("gap")), F.col("t2")))
-    right = F.min(F.when((F.col("n2") > F.col("n")) & (F.col("gap2") > F.col("gap")), F.col("t2") - F.col("gap2")))
-    span = near.groupBy(*g, "n", "__first", "__last").agg(left.alias("l"), right.alias("r"))
-    cuts = span.where(F.coalesce("r", "__last") - F.coalesce("l", "__first") + 2 * context > longest).select(*g, F.col("n").alias("__n"), F.lit(1).alias("__cut"))
+
+    def fold(gaps: Iterator[tuple]) -> Iterator[tuple]:
+        """Places of the gaps that split, by a stack of gaps that no larger one has ended yet (n, gap, left end, time)."""
+        open_gaps: list[tuple[int, int, int, int]] = []
+        last = 0
+        for n, size, t, first, last in gaps:
+            while open_gaps and open_gaps[-1][1] < size:
+                place, _, left, _ = open_gaps.pop()
+                if t - size - left + 2 * context > longest:
+                    yield (place,)
+            open_gaps.append((n, size, open_gaps[-1][3] if open_gaps else first, t))
+        for place, _, left, _ in open_gaps:
+            if last - left + 2 * context > longest:
+                yield (place,)
+
+    cuts = ordered_pass(big.where("__n > 1").withColumnRenamed(ts, "__t"), g, ["__n"], ["__n", "__gap", "__t", "__first", "__last"], fold, "__n int").withColumn("__cut", F.lit(1))
     rows = rows.join(cuts, [*g, "__n"], "left").withColumn("__part", F.sum(F.coalesce("__cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy(*g, "__part").agg(F.min(ts).alias("first_us"), F.max(ts).alias("last_us"), F.count("*").alias("n_samples"), F.count_if("by_a").alias("n_a"), F.count_if("by_b").alias("n_b"), F.max("duration_us").alias("duration_us"))
     out = out.withColumns({"start_us": F.greatest(F.lit(0), F.col("first_us") - context), "end_us": F.least(F.col("duration_us"), F.col("last_us") + context)})

@@ -12,14 +12,24 @@ from ..functions.columns import ratio
 from .intervals import merge_intervals
 from .timeline import KEY, points_in_intervals
 
-#: Most policies of a grid that is broadcast.
-MOST_POLICIES = 100_000
+#: Ranges that a column's distinct values are dealt over.
+RANGES = 64
 
 
-def _grid(policies: DataFrame) -> DataFrame:
-    if policies.count() > MOST_POLICIES:
-        raise ValueError(f"more than {MOST_POLICIES} policies")
-    return F.broadcast(policies)
+def passing_counts(rows: DataFrame, policies: DataFrame, a: str, b: str) -> DataFrame:
+    """policies(t_a, t_b) -> (t_a, t_b, passing, total): how many rows have a >= t_a or b >= t_b.
+
+    A row is placed by how many thresholds of each kind it reaches, and only the counts of places meet the policies: what a
+    policy costs does not depend on the rows. Nulls reach no threshold.
+    """
+    lists = policies.agg(*[F.array_sort(F.collect_set(t)).alias(f"__{t}") for t in ("t_a", "t_b")])
+    reached = lambda x, t: F.size(F.filter(F.col(f"__{t}"), lambda y: y <= F.col(x)))
+    places = rows.select(a, b).join(F.broadcast(lists)).select(reached(a, "t_a").alias("__ra"), reached(b, "t_b").alias("__rb"))
+    places = places.groupBy("__ra", "__rb").agg(F.count("*").alias("__n"))
+    at = lambda t: F.array_position(F.col(f"__{t}"), F.col(t)).cast("int")
+    grid = policies.select("t_a", "t_b").distinct().join(F.broadcast(lists)).select("t_a", "t_b", at("t_a").alias("__pa"), at("t_b").alias("__pb"))
+    out = grid.join(places).groupBy("t_a", "t_b")
+    return out.agg(F.sum(F.when((F.col("__ra") >= F.col("__pa")) | (F.col("__rb") >= F.col("__pb")), F.col("__n")).otherwise(0)).alias("passing"), F.sum("__n").alias("total"))
 
 
 def interval_maxima(samples: DataFrame, truth: DataFrame, *, scores: Sequence[str], tol: int, width: int) -> DataFrame:
@@ -41,11 +51,10 @@ def interval_peaks(samples: DataFrame, truth: DataFrame, *, scores: Sequence[str
 def evaluate_thresholds(samples: DataFrame, truth: DataFrame, policies: DataFrame, *, tol: int, width: int) -> DataFrame:
     """policies(t_a, t_b) -> per policy: intervals detected exactly and with tol, recalls, candidates and their rate."""
     maxima = interval_maxima(samples, truth, scores=("a", "b"), tol=tol, width=width)
-    grid = _grid(policies)
-    hit = lambda end: F.coalesce((F.col(f"a_{end}") >= F.col("t_a")), F.lit(False)) | F.coalesce((F.col(f"b_{end}") >= F.col("t_b")), F.lit(False))
-    recall = maxima.join(grid).groupBy("t_a", "t_b").agg(F.count("*").alias("n_intervals"), F.count_if(hit("in")).alias("detected"), F.count_if(hit("near")).alias("detected_near"))
-    counts = samples.join(grid).groupBy("t_a", "t_b").agg(F.count("*").alias("n_samples"), F.count_if((F.col("a") >= F.col("t_a")) | (F.col("b") >= F.col("t_b"))).alias("n_candidates"))
-    out = recall.join(counts, ["t_a", "t_b"])
+    exact = passing_counts(maxima, policies, "a_in", "b_in").withColumnsRenamed({"passing": "detected", "total": "n_intervals"})
+    near = passing_counts(maxima, policies, "a_near", "b_near").select("t_a", "t_b", F.col("passing").alias("detected_near"))
+    counts = passing_counts(samples, policies, "a", "b").withColumnsRenamed({"passing": "n_candidates", "total": "n_samples"})
+    out = exact.join(near, ["t_a", "t_b"]).join(counts, ["t_a", "t_b"])
     return out.withColumns({"recall": ratio(F.col("detected"), F.col("n_intervals")), "recall_near": ratio(F.col("detected_near"), F.col("n_intervals")), "candidate_rate": ratio(F.col("n_candidates"), F.col("n_samples"))})
 
 
@@ -92,12 +101,18 @@ def score_distribution(rows: DataFrame, scores: Sequence[str], by: Sequence[str]
 
 def observed_threshold_grid(samples: DataFrame, column: str, n: int) -> DataFrame:
     """Distinct values at n evenly spaced ranks (rounded half to even) of the sorted column."""
-    total = samples.where(F.col(column).isNotNull()).agg(F.count("*").alias("total"))
-    places = total.where("total > 0").select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "total").select(F.bround(F.col("i") * (F.col("total") - 1) / (n - 1)).cast("bigint").alias("place")).distinct()
-    # ranks from counts of distinct values: the values meet in one order, but only distinct ones
-    values = samples.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("threshold")).agg(F.count("*").alias("n"))
-    upto = values.withColumn("upto", F.sum("n").over(Window.orderBy("threshold"))).withColumn("from", F.col("upto") - F.col("n"))
-    return upto.join(F.broadcast(places), (F.col("place") >= F.col("from")) & (F.col("place") < F.col("upto"))).select("threshold").distinct()
+    some = samples.where(F.col(column).isNotNull()).select(F.col(column).alias("threshold"))
+    # distinct values in ranges of about the same size: a task sums one range, or one number of each range
+    edges = sorted({e for e in some.approxQuantile("threshold", [i / RANGES for i in range(1, RANGES)], 0.001)})
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col("threshold")))
+    values = some.groupBy("threshold").agg(F.count("*").alias("n")).withColumn("part", part)
+    parts = values.groupBy("part").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    upto = values.join(F.broadcast(parts), "part").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("threshold")))
+    place = lambda i: F.bround(i * (F.col("total") - 1) / (n - 1)).cast("bigint")
+    held = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (place(i) >= F.col("upto") - F.col("n")) & (place(i) < F.col("upto")))
+    return upto.where(held).select("threshold")
 
 
 def rank_policies(table: DataFrame, *, least_recall: float | None = None, full: bool = False) -> DataFrame:

@@ -30,10 +30,8 @@ def resume_pending(plan: DataFrame, checkpoints: DataFrame, by: Sequence[str], *
 
 
 def decide(items: DataFrame, configs: DataFrame, results: DataFrame) -> DataFrame:
-    """Every item under every config, with its result or nulls; configs must be few."""
-    if configs.count() > 10_000:
-        raise ValueError("up to 10,000 configs")
-    return items.join(F.broadcast(configs)).join(results, ["item_id", "config"], "left")
+    """Every item under every config, with its result or nulls; configs are broadcast up to 10,000."""
+    return items.join(F.broadcast(configs) if configs.count() <= 10_000 else configs).join(results, ["item_id", "config"], "left")
 
 
 def disjoint(items: DataFrame, pilot: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import KEY, ordered_fold, points_in_intervals
+from .timeline import KEY, ordered_pass, points_in_intervals
 
 
 def plan_chunks(media: DataFrame, *, core: int, overlap: int = 0) -> DataFrame:
@@ -64,64 +64,114 @@ def scene_mask(samples: DataFrame, reason: str = "scene") -> DataFrame:
 
 def sample_min_gap(points: DataFrame, *, gap: int, ts: str = "ts_us") -> DataFrame:
     """(media_id, ts): greedily the first, then each first point at least gap after the last one taken."""
-    none = F.array().cast("array<bigint>")
-    step = lambda s, x: F.when(F.coalesce(x[ts] - F.get(s, F.size(s) - 1) >= gap, F.lit(True)), F.concat(s, F.array(x[ts].cast("bigint")))).otherwise(s)
-    return ordered_fold(points, [KEY], [ts], [], none, step).select(KEY, F.explode("state").alias(ts))
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for (t,) in rows:
+            if last is None or t - last >= gap:
+                last = t
+                yield (t,)
+
+    return ordered_pass(points, [KEY], [ts], [ts], fold, f"{ts} bigint")
 
 
 def dedupe_close(points: DataFrame, *, tol: int = 200_000, ts: str = "ts_us", scene: str = "scene", ident: str = "sample_id") -> DataFrame:
     """Points in the order (time, scene first): one within tol of the last kept is dropped, unless it is a scene point and
     the kept one is not; then it takes the other's place, and its time becomes the anchor."""
-    ident_type = points.schema[ident].dataType.simpleString()
-    item = f"struct<t:bigint,scene:boolean,id:{ident_type}>"
-    rows = points.select(KEY, F.col(ts).cast("bigint").alias("t"), (~F.col(scene)).alias("plain"), F.col(ident).alias("id"))
-    of = lambda x: F.struct(x["t"].alias("t"), (~x["plain"]).alias("scene"), x["id"].alias("id"))
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.get(s, F.size(s) - 1)
-        near = F.coalesce(x["t"] - last["t"] <= tol, F.lit(False))
-        swap = near & ~x["plain"] & ~last["scene"]
-        return F.when(swap, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(of(x)))).when(near, s).otherwise(F.concat(s, F.array(of(x))))
-
-    out = ordered_fold(rows, [KEY], ["t", "plain", "id"], [], F.array().cast(f"array<{item}>"), step)
-    return out.select(KEY, F.explode("state").alias("k")).select(KEY, F.col("k.t").alias(ts), F.col("k.scene").alias(scene), F.col("k.id").alias(ident))
 
-
-def frame_features(frames: DataFrame, luma: str, width: int, height: int, *, black: float = 16.0) -> DataFrame:
-    """black_fraction and mean_luma of a luma grid column, and its difference hash."""
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        kept = None
+        for row in rows:
+            if kept is not None and row[0] - kept[0] <= tol:
+                if row[1] and not kept[1]:
+                    kept = row
+                continue
+            if kept is not None:
+                yield kept
+            kept = row
+        if kept is not None:
+            yield kept
+
+    rows = points.withColumn("__plain", ~F.col(scene))
+    return ordered_pass(rows, [KEY], [ts, "__plain", ident], [ts, scene, ident], fold, f"{ts} bigint, {scene} boolean, {ident} {points.schema[ident].dataType.simpleString()}")
+
+
+def regions_of(grid: str, width: int, height: int) -> list[Column]:
+    """The four quarters and the centre of a row-major grid, of half its width and height each."""
+    w, h = width // 2, height // 2
+    corners = [(0, 0), (width - w, 0), (0, height - h), (width - w, height - h), ((width - w) // 2, (height - h) // 2)]
+    cut = lambda x, y: F.flatten(F.transform(F.sequence(F.lit(y), F.lit(y + h - 1)), lambda i: F.slice(grid, i * width + x + 1, w)))
+    return [cut(x, y) for x, y in corners]
+
+
+def frame_features(frames: DataFrame, luma: str, width: int, height: int, *, black: float = 16.0, rgb: Sequence[str] = ()) -> DataFrame:
+    """black_fraction, mean_luma and the difference hash of a luma grid column, and region_hashes of its quarters and centre.
+    With rgb, the three grids of the colours: mean_rgb and region_rgb (three means for each region).
+
+    A grid of twice the size of a hash's (18 x 16 for 64 bits) gives regions hashes as fine as the frame's, which is then taken
+    from the means of two by two values."""
     from ..functions.columns import difference_hash
 
-    n = F.size(luma)
-    share = F.size(F.filter(luma, lambda x: x < black)) / n
-    mean = F.aggregate(luma, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    return frames.withColumns({"black_fraction": share, "mean_luma": mean, "hash": difference_hash(F.col(luma), width, height)})
-
+    mean = lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(g)
+    share = F.size(F.filter(luma, lambda x: x < black)) / F.size(luma)
+    frames = frames.withColumns({f"__region{i}": r for i, r in enumerate(regions_of(luma, width, height))})
+    half = lambda i: sum(F.get(luma, (F.floor(i / (width // 2)) * 2 * width + i % (width // 2) * 2).cast("int") + d) for d in (0, 1, width, width + 1))
+    if (width - 1) * height > 64:
+        frames = frames.withColumn("__region5", F.transform(F.sequence(F.lit(0), F.lit(width // 2 * (height // 2) - 1)), half))
+        whole = difference_hash(F.col("__region5"), width // 2, height // 2)
+    else:
+        whole = difference_hash(F.col(luma), width, height)
+    hashes = F.array(*[difference_hash(F.col(f"__region{i}"), width // 2, height // 2) for i in range(5)])
+    made = {"black_fraction": share, "mean_luma": mean(F.col(luma)), "hash": whole, "region_hashes": hashes}
+    if rgb:
+        made["mean_rgb"] = F.array(*[mean(F.col(c)) for c in rgb])
+        made["region_rgb"] = F.flatten(F.array(*[F.array(*x) for x in zip(*[[mean(r) for r in regions_of(c, width, height)] for c in rgb], strict=True)]))
+    return frames.withColumns(made).drop(*[f"__region{i}" for i in range(6)])
+
+
+def static_step(last: tuple | None, row: tuple, *, bits: int, colour: float, limit: int, cross: int, black: float, black_luma: float) -> tuple[tuple | None, str, int | None]:
+    """(the new representative, disposition, time of the one it repeats) of a frame (time, id, chunk, scene, black fraction,
+    mean luma, hashes, colours) after the representative (time, chunk, hashes, colours)."""
+    t, _, chunk, scene, fraction, luma, hashes, colours = row
+    if fraction >= black and luma <= black_luma:
+        return None, "black", None
+    if last is not None:
+        alike = all(((x ^ y) & (1 << 64) - 1).bit_count() <= bits for x, y in zip(hashes, last[2], strict=True)) and all(abs(x - y) <= colour for x, y in zip(colours, last[3], strict=True))
+        if alike and chunk != last[1] and abs(t - last[0]) <= cross:
+            return last, "near_duplicate", last[0]
+        if alike and not scene and 0 <= t - last[0] < limit:
+            return last, "static_suppressed", last[0]
+    return (t, chunk, hashes, colours), "representative", None
+
+
+def frame_evidence(features: DataFrame) -> DataFrame:
+    """features with __hashes and __colours: the whole frame's and, where given, those of its regions; mean_rgb, or else mean_luma."""
+    have = set(features.columns)
+    hashes = [F.array(F.col("hash").cast("bigint")), *([F.col("region_hashes")] if "region_hashes" in have else [])]
+    colours = [F.col("mean_rgb") if "mean_rgb" in have else F.array(F.col("mean_luma").cast("double")), *([F.col("region_rgb")] if "region_rgb" in have else [])]
+    return features.withColumns({"__hashes": F.concat(*hashes), "__colours": F.concat(*colours)})
+
+
+FRAME = ("ts_us", "sample_id", "chunk", "scene", "black_fraction", "mean_luma", "__hashes", "__colours")
+
+
+def reduce_static(features: DataFrame, *, bits: int = 3, colour: float = 12.0, limit: int = 10_000_000, cross: int = 50_000, black: float = 0.98, black_luma: float = 255.0) -> DataFrame:
+    """disposition and duplicate_of_us of frames (media_id, ts_us, sample_id, chunk, scene, black_fraction, mean_luma, hash, and
+    where known region_hashes, mean_rgb, region_rgb), in the order of time, then sample_id.
+
+    Black frames (dark pixels and mean) forget the representative. A frame like the last representative (every hash within bits,
+    every colour within colour, so that a logo in one region tells frames apart) is a near_duplicate across a chunk's edge
+    within cross, and static_suppressed below limit unless it is a scene frame; every other frame becomes the representative.
+    """
 
-def reduce_static(features: DataFrame, *, bits: int = 3, colour: float = 12.0, limit: int = 10_000_000, cross: int = 50_000, black: float = 0.98) -> DataFrame:
-    """disposition and duplicate_of_us of frames (media_id, ts_us, sample_id, chunk, scene, black_fraction, mean_luma, hash).
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for row in rows:
+            last, what, of = static_step(last, row, bits=bits, colour=colour, limit=limit, cross=cross, black=black, black_luma=black_luma)
+            yield row[1], what, of
 
-    Black frames forget the representative. A frame like the last representative (hash within bits, luma within colour) is a
-    near_duplicate across a chunk's edge within cross, and static_suppressed below limit unless it is a scene frame; every
-    other frame becomes the representative.
-    """
-    fields = ["ts_us", "sample_id", "chunk", "scene", "black_fraction", "mean_luma", "hash"]
-    last = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("chunk"), F.lit(None).cast("double").alias("luma"), F.lit(None).cast("bigint").alias("hash"))
-    none = F.array().cast("array<struct<id:bigint,what:string,of:bigint>>")
-
-    def step(s: Column, x: Column) -> Column:
-        r = s["last"]
-        is_black = x["black_fraction"] >= black
-        alike = F.coalesce((F.bit_count(x["hash"].bitwiseXOR(r["hash"])) <= bits) & (F.abs(x["mean_luma"] - r["luma"]) <= colour), F.lit(False))
-        near = alike & (x["chunk"] != r["chunk"]) & (x["ts_us"] - r["t"] <= cross)
-        still = alike & ~x["scene"] & (x["ts_us"] - r["t"] < limit)
-        what = F.when(is_black, "black").when(near, "near_duplicate").when(still, "static_suppressed").otherwise("representative")
-        new = F.struct(x["ts_us"].cast("bigint").alias("t"), x["chunk"].cast("bigint").alias("chunk"), x["mean_luma"].cast("double").alias("luma"), x["hash"].cast("bigint").alias("hash"))
-        kept = F.when(is_black, last).when(near | still, r).otherwise(new)
-        row = F.struct(x["sample_id"].cast("bigint").alias("id"), what.alias("what"), F.when(~is_black & (near | still), r["t"]).alias("of"))
-        return F.struct(kept.alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    out = ordered_fold(features, [KEY], fields[:2], fields[2:], F.struct(last.alias("last"), none.alias("out")), step, lambda s: s["out"])
-    return out.select(KEY, F.explode("state").alias("r")).select(KEY, F.col("r.id").alias("sample_id"), F.col("r.what").alias("disposition"), F.col("r.of").alias("duplicate_of_us"))
+    rows = frame_evidence(features)
+    return ordered_pass(rows, [KEY], ["ts_us", "sample_id"], FRAME, fold, f"sample_id {features.schema['sample_id'].dataType.simpleString()}, disposition string, duplicate_of_us bigint")
 
 
 def refine_windows(frames: DataFrame, windows: DataFrame, *, every: int, width: int, tol: int = 200_000, ident: str = "sample_id") -> DataFrame:
@@ -150,13 +200,14 @@ def sample_gaps(samples: DataFrame, *, ts: str = "ts_us", tie: Sequence[str] = (
     return out.withColumn("longest_us", longest).drop("__first", "__last", "__end")
 
 
-def check_invariants(samples: DataFrame, *, core: int, gap: int, ts: str = "ts_us", tie: Sequence[str] = ()) -> DataFrame:
-    """(name, passed, detail): order, range, chunk ownership, no empty core, longest gap, accounting of dispositions."""
+def check_invariants(samples: DataFrame, *, core: int, gap: int, ts: str = "ts_us", tie: Sequence[str] = (), arrival: str | None = None) -> DataFrame:
+    """(name, passed, detail): order of time along the arrival column (of no meaning without one), range, chunk ownership, no empty core, longest gap, accounting of dispositions."""
     w = _w(ts, tie)
-    rows = owning_chunk(samples, core=core, ts=ts).withColumn("__d", F.col(ts) - F.lag(ts).over(w))
+    arrived = Window.partitionBy(KEY).orderBy(arrival) if arrival else w
+    rows = owning_chunk(samples, core=core, ts=ts).withColumn("__d", F.col(ts) - F.lag(ts).over(w)).withColumn("__a", F.col(ts) - F.lag(ts).over(arrived))
     known = F.col("disposition").isin("representative", "black", "near_duplicate", "static_suppressed")
     counts = rows.agg(
-        F.count_if(F.col("__d") < 0).alias("sorted"),
+        F.count_if(F.col("__a") < 0).alias("sorted"),
         F.count_if((F.col(ts) < 0) | (F.col(ts) > F.col("duration_us"))).alias("in_range"),
         F.count_if(F.col("chunk").isNull()).alias("owned"),
         F.count_if(F.col("__d") > gap).alias("longest_gap"),

@@ -1,11 +1,15 @@
-"""Building blocks of keyed timelines: islands, binned range joins, as-of lookups, ordered folds. Times are microseconds."""
+"""Building blocks of keyed timelines: islands, binned range joins, as-of lookups, ordered passes. Times are microseconds."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 KEY = "media_id"
 
@@ -79,8 +83,31 @@ def as_of(points: DataFrame, marks: DataFrame, *, ts: str = "ts_us", mark: str =
     return out.where("__kind = 1").drop("__t", "__kind", "__m", *(f"__p_{c}" for c in payload))
 
 
-def ordered_fold(rows: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str], init: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Folds the rows of each key in order, on the JVM: (key, state). For rules whose anchor is the last kept row."""
-    item = F.struct(*order, *(c for c in columns if c not in order))
-    state = F.aggregate(F.array_sort(F.collect_list(item)), init, step, finish) if finish else F.aggregate(F.array_sort(F.collect_list(item)), init, step)
-    return rows.groupBy(*key).agg(state.alias("state"))
+def ordered_pass(rows: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str], fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """(key, schema) of what fold makes of each key's rows, which it gets one by one in order, as tuples of columns.
+
+    For rules whose anchor is the last kept row. Rows are sorted by Spark and stream through the task: nothing of a timeline
+    is held but what fold itself holds, however long the timeline is.
+    """
+    names, k = [*key, *columns], len(key)
+    out = T.StructType([*(rows.schema[c] for c in key), *T.StructType.fromDDL(schema).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        made: list[tuple] = []
+        for group, mine in itertools.groupby(stream, key=lambda r: r[:k]):
+            for row in fold(r[k:] for r in mine):
+                made.append(group + tuple(row))
+                if len(made) == 10_000:
+                    yield batch(made)
+                    made = []
+        if made:
+            yield batch(made)
+
+    arrow = to_arrow_schema(out)
+
+    def batch(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+
+    spread = rows.select(*names, *(c for c in order if c not in names)).repartition(*key).sortWithinPartitions(*key, *order)
+    return spread.select(*names).mapInArrow(run, out)

@@ -55,9 +55,9 @@ def _(spark, d):
     return _table(spark, d, "pages").select("page_id", fn.safe_id(F.col("url"), 24).alias("safe"))
 
 
-@register("f08_suggestion_id", duck("SELECT media_id, interval_id, 'suggestion-' || substr(sha256(media_id || '|' || printf('%.3f', start_us / 1e6) || '|' || printf('%.3f', end_us / 1e6) || '|' || category), 1, 20) AS id FROM truth WHERE start_us % 1000 <> 500 AND end_us % 1000 <> 500"))
+@register("f08_suggestion_id", duck("SELECT media_id, interval_id, 'suggestion-' || substr(sha256(media_id || '|' || printf('%d.%03d', (start_us + 500) // 1000000, (start_us + 500) // 1000 % 1000) || '|' || printf('%d.%03d', (end_us + 500) // 1000000, (end_us + 500) // 1000 % 1000) || '|' || category), 1, 20) AS id FROM truth"))
 def _(spark, d):
-    rows = standin(spark, d, "truth").where("start_us % 1000 <> 500 and end_us % 1000 <> 500")
+    rows = standin(spark, d, "truth")
     return rows.select("media_id", "interval_id", fn.suggestion_id(F.col("media_id").cast("string"), F.col("start_us"), F.col("end_us"), F.col("category")).alias("id"))
 
 
@@ -88,7 +88,7 @@ def _(spark, d):
     return _table(spark, d, "embeddings").select("vec_id", fn.argmax(F.col("embedding")).alias("place"))
 
 
-@register("f14_canonical", "SELECT o_orderkey, nullif(lower(trim(CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE ' ' || o_orderpriority || ' ' END)), '') AS key FROM orders")
+@register("f14_canonical", "SELECT o_orderkey, nullif(lower(trim(CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE ' ' || o_orderpriority || ' ' END)), '') AS key FROM orders""")
 def _(spark, d):
     text = F.when(F.col("o_orderkey") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")))
     return _table(spark, d, "orders").select("o_orderkey", fn.canonical(text).alias("key"))
@@ -109,8 +109,8 @@ def _(spark, d):
 
 @register("f17_first_json_object", duck("SELECT media_id, sample_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ev"))
 def _(spark, d):
-    said = F.concat(F.lit("Answer: "), F.col("props"), F.lit(" and {more}"))
-    return standin(spark, d, "ev").select("media_id", "sample_id", F.get_json_object(fn.first_json_object(said), "$.k").cast("bigint").alias("k"))
+    said = F.concat(F.lit("Answer {so} is: {"), F.lit('"in": '), F.col("props"), F.lit("} and {more}"))
+    return standin(spark, d, "ev").select("media_id", "sample_id", F.get_json_object(fn.first_json_object(said), "$.in.k").cast("bigint").alias("k"))
 
 
 @register("f18_parse_answers", duck("SELECT media_id, sample_id, CASE sample_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS answer, CASE WHEN sample_id % 3 = 2 THEN NULL WHEN sample_id % 2 = 1 THEN ['a', 'c'] ELSE ['b', 'c'] END AS categories FROM samples"), arrays=("categories",))
@@ -186,7 +186,7 @@ def _(spark, d):
     return standin(spark, d, "truth").select("media_id", "interval_id", fn.band((F.col("end_us") - F.col("start_us")) / 1e6, (3600, 7200)).alias("band"))
 
 
-@register("s16_content_key", "SELECT o_orderkey, sha256('a=' || o_custkey || '|b=' || o_orderstatus || '|c=') AS key FROM orders")
+@register("s16_content_key", """SELECT o_orderkey, sha256('{"a":' || o_custkey || ',"b":"' || o_orderstatus || '","c":null}') AS key FROM orders""")
 def _(spark, d):
     key = fn.content_key({"b": F.col("o_orderstatus"), "a": F.col("o_custkey"), "c": F.lit(None).cast("string")})
     return _table(spark, d, "orders").select("o_orderkey", key.alias("key"))

@@ -20,16 +20,21 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_NEAR = f"nr AS (SELECT a.media_id, a.sample_id, b.sample_id AS r_sample_id, abs(a.ts_us - b.ts_us) AS distance_us FROM samples a JOIN samples b ON a.media_id = b.media_id AND a.event_type = 'error' AND b.event_type = 'click' AND abs(a.ts_us - b.ts_us) <= {6 * HOUR})"
+# left rows in order of time, each with the nearest right row that is left: the list of those taken goes along
+_NEAR = f"""l AS (SELECT media_id, sample_id, ts_us, row_number() OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS n FROM samples WHERE event_type = 'error'),
+near AS (SELECT l.media_id, l.n, l.sample_id, list({{'d': abs(r.ts_us - l.ts_us), 't': r.ts_us, 'id': r.sample_id}} ORDER BY abs(r.ts_us - l.ts_us), r.ts_us, r.sample_id) FILTER (r.sample_id IS NOT NULL) AS c
+  FROM l LEFT JOIN samples r ON r.media_id = l.media_id AND r.event_type = 'click' AND abs(r.ts_us - l.ts_us) <= {6 * HOUR} GROUP BY 1, 2, 3),
+greedy AS (WITH RECURSIVE g AS (SELECT media_id, n, sample_id, c[1] AS p, [c[1].id] AS used FROM near WHERE n = 1
+  UNION ALL SELECT x.media_id, x.n, x.sample_id, list_filter(x.c, lambda y: NOT coalesce(list_contains(g.used, y.id), false))[1], list_append(g.used, list_filter(x.c, lambda y: NOT coalesce(list_contains(g.used, y.id), false))[1].id) FROM g JOIN near x ON x.media_id = g.media_id AND x.n = g.n + 1) SELECT * FROM g)"""
 
 
-@register("j02_align_nearest", duck("SELECT media_id, sample_id, r_sample_id, distance_us FROM (SELECT *, row_number() OVER (PARTITION BY media_id, sample_id ORDER BY distance_us, r_sample_id) AS m, row_number() OVER (PARTITION BY media_id, r_sample_id ORDER BY distance_us, sample_id) AS t FROM nr) WHERE m = 1 AND t = 1", _NEAR))
+@register("j02_align_nearest", duck("SELECT media_id, sample_id, p.id AS r_sample_id, p.d AS distance_us FROM greedy", _NEAR))
 def _(spark, d):
     s = standin(spark, d, "samples")
     return al.align_nearest(s.where("event_type = 'error'"), s.where("event_type = 'click'"), tol=6 * HOUR)
 
 
-@register("j14_frames_to_time", duck("SELECT o_orderkey, a.pts_us AS start_us, b.pts_us + 40000 AS end_us FROM orders LEFT JOIN packets a ON a.media_id = o_custkey % 20 AND a.decode_pos = o_orderkey % 100 LEFT JOIN packets b ON b.media_id = o_custkey % 20 AND b.decode_pos = o_orderkey % 100 + 50"))
+@register("j14_frames_to_time", duck("SELECT o_orderkey, a.pts_us AS start_us, b.pts_us + 40000 AS end_us FROM (SELECT o_orderkey, o_custkey % 20 AS m, o_orderkey % 100 AS f, o_orderkey % 100 + 50 AS l FROM orders) o LEFT JOIN pk a ON a.media_id = m AND a.decode_pos = f LEFT JOIN pk b ON b.media_id = m AND b.decode_pos = l", "pk AS MATERIALIZED (SELECT * FROM packets)"))
 def _(spark, d):
     rows = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("media_id"), (F.col("o_orderkey") % 100).alias("first_frame"), (F.col("o_orderkey") % 100 + 50).alias("last_frame"))
     frames = standin(spark, d, "packets").select("media_id", F.col("decode_pos").alias("frame"), "pts_us")

@@ -299,8 +299,7 @@ def _(spark, d):
 
 @register("u01_union_policies", duck("SELECT t_a, t_b, count(*) AS n FROM (SELECT DISTINCT media_id, sample_id, t_a, t_b FROM (SELECT media_id, sample_id, t_a, t_b FROM samples, grid WHERE a::DOUBLE >= t_a UNION ALL SELECT media_id, sample_id, t_a, t_b FROM samples, grid WHERE b::DOUBLE >= t_b)) GROUP BY 1, 2", _GRID_SQL))
 def _(spark, d):
-    rows = _samples(spark, d).join(F.broadcast(_grid(spark))).where("a >= t_a or b >= t_b")
-    return rows.groupBy("t_a", "t_b").agg(F.count("*").alias("n"))
+    return po.passing_counts(_samples(spark, d), _grid(spark), "a", "b").select("t_a", "t_b", F.col("passing").alias("n"))
 
 
 @register("u02_union_samples", duck(f"SELECT media_id, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY media_id, (ts_us + 1) // {24 * HOUR} ORDER BY ts_us, sample_id) AS n FROM samples) WHERE n = 1 UNION SELECT media_id, sample_id FROM samples WHERE scene"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_draw
+from ..operators import alignment as al
 from ..operators import packets as pk
 from ..operators import runs as rn
 from ..operators import stats as st
@@ -77,10 +78,10 @@ def _(spark, d):
     return rows.withColumn("p", F.round(st.mcnemar(F.col("b"), F.col("c")), 4))
 
 
-@register("w08_holm", "SELECT name, CASE WHEN p IS NOT NULL THEN round(max(raw) OVER (PARTITION BY p IS NULL ORDER BY p, name), 9) END AS adjusted FROM (SELECT *, least(1.0, (count(p) OVER (PARTITION BY p IS NULL) - row_number() OVER (PARTITION BY p IS NULL ORDER BY p, name) + 1) * p) AS raw FROM (SELECT p_partkey AS name, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE ((p_partkey * 37) % 1000) / 100000.0 END AS p FROM part WHERE p_partkey < 100))")
+@register("w08_holm", "SELECT name, CASE WHEN p IS NOT NULL THEN round(max(raw) OVER (PARTITION BY p IS NULL ORDER BY p, name), 9) END AS adjusted FROM (SELECT *, least(1.0, (count(p) OVER (PARTITION BY p IS NULL) - row_number() OVER (PARTITION BY p IS NULL ORDER BY p, name) + 1) * p) AS raw FROM (SELECT p_partkey AS name, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE ((p_partkey * 37) % 1000) / 100000.0 END AS p FROM part))")
 def _(spark, d):
     n = F.col("p_partkey")
-    rows = _t(spark, d, "part").where("p_partkey < 100").select(n.alias("name"), F.when(n % 9 != 0, n * 37 % 1000 / 100000.0).alias("p"))
+    rows = _t(spark, d, "part").select(n.alias("name"), F.when(n % 9 != 0, n * 37 % 1000 / 100000.0).alias("p"))
     return st.holm(rows).select("name", F.round("adjusted", 9).alias("adjusted"))
 
 
@@ -211,11 +212,19 @@ def _(spark, d):
     return rows.select("media_id", b.alias("n_batches"), F.expr("n div 8").alias("n_full"), F.expr("if(n % 8 = 0, 8, n % 8)").alias("last_size"), F.round(F.col("n") / (b * 8), 9).alias("occupancy"))
 
 
-@register("j01_align_by_id", duck("SELECT a.media_id, a.sample_id, a.ts_us, a.a::DOUBLE AS a, b.b::DOUBLE AS b, a.ts_us = b.ts_us AS same_time FROM samples a JOIN samples b ON a.media_id = b.media_id AND a.sample_id = b.sample_id"))
+def _two_sides(spark, d):
+    s = standin(spark, d, "samples").withColumns({c: F.col(c).cast("double") for c in "ab"})
+    return s.where("sample_id % 11 <> 0").select("media_id", "sample_id", "ts_us", "a"), s.where("sample_id % 13 <> 0").select("media_id", "sample_id", (F.col("ts_us") + F.when(F.col("sample_id") % 17 == 0, 5).otherwise(0)).alias("ts_us"), "b")
+
+
+@register("j01_align_by_id", duck("SELECT media_id, sample_id, ts_us, a::DOUBLE AS a, b::DOUBLE AS b, sample_id % 17 <> 0 AS same_time FROM samples WHERE sample_id % 11 <> 0 AND sample_id % 13 <> 0"))
 def _(spark, d):
-    s = standin(spark, d, "samples")
-    b = s.select("media_id", "sample_id", F.col("ts_us").alias("t2"), F.col("b").cast("double").alias("b"))
-    return s.select("media_id", "sample_id", "ts_us", F.col("a").cast("double").alias("a")).join(b, ["media_id", "sample_id"]).withColumn("same_time", F.col("ts_us") == F.col("t2")).drop("t2")
+    return al.align_by_id(*_two_sides(spark, d))[0]
+
+
+@register("j01b_alignment_audit", duck("SELECT count(*) FILTER (l) AS n_left, count(*) FILTER (r) AS n_right, count(*) FILTER (l AND NOT r) AS left_only, count(*) FILTER (r AND NOT l) AS right_only, 0::BIGINT AS repeated, count(*) FILTER (l AND r AND sample_id % 17 = 0) AS moved, false AS exact FROM (SELECT sample_id, sample_id % 11 <> 0 AS l, sample_id % 13 <> 0 AS r FROM samples)"))
+def _(spark, d):
+    return al.align_by_id(*_two_sides(spark, d))[1]
 
 
 @register("j12_disjoint", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0 AND (o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0) OR o_totalprice IN (SELECT o_totalprice FROM orders WHERE o_orderkey % 10 = 0))")

@@ -81,9 +81,24 @@ def _(spark, d):
     return sm.frame_features(rows, "luma", 8, 8).select("vec_id", F.round("black_fraction", 9).alias("black_fraction"), F.round("mean_luma", 6).alias("mean_luma"))
 
 
-@register("m11_reduce_static")
+#: Frames with whole and regional evidence; the regional hash of every 40th sample is another one.
+_FRAMES = f"""f AS (SELECT media_id, sample_id, ts_us, ts_us // {72 * HOUR} AS chunk, scene, (sample_id % 10) / 9.0 >= 0.98 AS black, a * 100 AS luma, sample_id % 4 AS h, CASE WHEN sample_id % 40 = 1 THEN 255 ELSE sample_id % 4 END AS h2,
+ row_number() OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS n FROM samples)"""
+_ALIKE = "NOT x.black AND r.t IS NOT NULL AND bit_count(xor(x.h, r.h)) <= 3 AND bit_count(xor(x.h2, r.h2)) <= 3 AND abs(x.luma - r.luma) <= 12"
+_WHAT = f"CASE WHEN x.black THEN 'black' WHEN {_ALIKE} AND x.chunk <> r.chunk AND x.ts_us - r.t <= {6 * HOUR} THEN 'near_duplicate' WHEN {_ALIKE} AND NOT x.scene AND x.ts_us - r.t < {48 * HOUR} THEN 'static_suppressed' ELSE 'representative' END"
+_KEEP = lambda new, old: f"CASE {_WHAT} WHEN 'black' THEN NULL WHEN 'representative' THEN {new} ELSE {old} END"
+_STATIC = f"""{_FRAMES}, r AS (WITH RECURSIVE r AS (SELECT media_id, n, sample_id, CASE WHEN black THEN 'black' ELSE 'representative' END AS what, NULL::BIGINT AS of_us, CASE WHEN NOT black THEN ts_us END AS t, CASE WHEN NOT black THEN chunk END AS chunk, CASE WHEN NOT black THEN luma END AS luma, CASE WHEN NOT black THEN h END AS h, CASE WHEN NOT black THEN h2 END AS h2 FROM f WHERE n = 1
+ UNION ALL SELECT x.media_id, x.n, x.sample_id, {_WHAT}, CASE WHEN {_WHAT} IN ('near_duplicate', 'static_suppressed') THEN r.t END, {_KEEP('x.ts_us', 'r.t')}, {_KEEP('x.chunk', 'r.chunk')}, {_KEEP('x.luma', 'r.luma')}, {_KEEP('x.h', 'r.h')}, {_KEEP('x.h2', 'r.h2')} FROM r JOIN f x ON x.media_id = r.media_id AND x.n = r.n + 1) SELECT * FROM r)"""
+
+
+STATIC_SQL = duck("SELECT media_id, sample_id, what AS disposition, of_us AS duplicate_of_us FROM r", _STATIC)
+
+
+@register("m11_reduce_static", STATIC_SQL)
 def _(spark, d):
-    rows = standin(spark, d, "samples").withColumns({"chunk": F.floor(F.col("ts_us") / (72 * HOUR)), "black_fraction": (F.col("sample_id") % 10) / 9.0, "mean_luma": F.col("a") * 100, "hash": (F.col("sample_id") % 4).cast("bigint")})
+    n = F.col("sample_id")
+    rows = standin(spark, d, "samples").withColumns({"chunk": F.floor(F.col("ts_us") / (72 * HOUR)), "black_fraction": (n % 10) / 9.0, "mean_luma": F.col("a") * 100, "hash": (n % 4).cast("bigint")})
+    rows = rows.withColumn("region_hashes", F.array(F.when(n % 40 == 1, 255).otherwise(F.col("hash")).cast("bigint")))
     return sm.reduce_static(rows, limit=48 * HOUR, cross=6 * HOUR)
 
 
@@ -98,10 +113,10 @@ def _(spark, d):
     return sm.build_batches(standin(spark, d, "samples"), size=8, tie=_S)
 
 
-@register("m14_check_invariants", duck(f"SELECT unnest(['sorted', 'in_range', 'owned', 'longest_gap', 'accounted', 'not_empty']) AS name, unnest([true, true, true, g = 0, true, n > 0]) AS passed, unnest([0, 0, 0, g, 0, CASE WHEN n = 0 THEN 1 ELSE 0 END]) AS detail FROM (SELECT count(*) FILTER (gap > {48 * HOUR}) AS g, count(*) AS n FROM (SELECT ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS gap FROM samples))"))
+@register("m14_check_invariants", duck(f"SELECT unnest(['sorted', 'in_range', 'owned', 'longest_gap', 'accounted', 'not_empty']) AS name, unnest([u = 0, true, true, g = 0, true, n > 0]) AS passed, unnest([u, 0, 0, g, 0, CASE WHEN n = 0 THEN 1 ELSE 0 END]) AS detail FROM (SELECT count(*) FILTER (back < 0) AS u, count(*) FILTER (gap > {48 * HOUR}) AS g, count(*) AS n FROM (SELECT ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS gap, ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY sample_id) AS back FROM samples))"))
 def _(spark, d):
     rows = standin(spark, d, "samples").withColumn("disposition", F.lit("representative"))
-    return sm.check_invariants(rows, core=72 * HOUR, gap=48 * HOUR, tie=_S)
+    return sm.check_invariants(rows, core=72 * HOUR, gap=48 * HOUR, tie=_S, arrival="sample_id")
 
 
 @register("w03_sample_gaps", duck("SELECT media_id, count(*) AS n, min(gap) AS least_us, max(gap) AS most_us, round(avg(gap), 3) AS mean_us, greatest(max(gap), min(ts_us), max(duration_us) - max(ts_us)) AS longest_us FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS gap FROM samples) GROUP BY 1"))

@@ -14,12 +14,17 @@ from ..sources import readers as rd
 from ..sources import sinks
 from ..streaming import streams as sx
 from .registry import register
+from .sampling_queries import STATIC_SQL
 from .standins import HOUR, duck, standin
 
 
 def _scratch(spark, name):
     """A new folder in what the cluster shares; in a temporary one only where nothing is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spanframe-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="spanframe-")
     return f"{top.rstrip('/')}/spanframe-{name}-{uuid.uuid4().hex}"
 
 
@@ -33,23 +38,22 @@ def _(spark, d):
     return rd.read_scores(spark, path, lines=True).select("media_id", "sample_id", "ts_us", "nsfw")
 
 
-@register("s04_cuts_round_trip", duck("SELECT media_id::VARCHAR AS filename, (start_us + 500) // 1000 * 1000 AS start_us, (end_us + 500) // 1000 * 1000 AS end_us FROM truth WHERE start_us % 1000 <> 500 AND end_us % 1000 <> 500"))
+@register("s04_cuts_round_trip", duck("SELECT media_id::VARCHAR AS filename, (start_us + 500) // 1000 * 1000 AS start_us, (end_us + 500) // 1000 * 1000 AS end_us FROM truth"))
 def _(spark, d):
-    cuts = standin(spark, d, "truth").where("start_us % 1000 <> 500 and end_us % 1000 <> 500").select(F.col("media_id").cast("string").alias("filename"), "start_us", "end_us")
+    cuts = standin(spark, d, "truth").select(F.col("media_id").cast("string").alias("filename"), "start_us", "end_us")
     media = standin(spark, d, "media").select(F.col("media_id").cast("string").alias("filename"), "duration_us")
     sinks.write_cuts(cuts, media, path := _scratch(spark, "cuts"))
     return rd.read_cuts(spark, path, lines=True)
 
 
-@register("s06_read_cues", duck("SELECT media_id, count(*) AS n, min(start_us) AS first_us, max(end_us) AS last_us FROM segments WHERE media_id < 40 AND trim(text) <> '' GROUP BY 1"))
+@register("s06_read_cues", duck("SELECT media_id, count(*) AS n, min(start_us) AS first_us, max(end_us) AS last_us FROM segments WHERE trim(text) <> '' GROUP BY 1"))
 def _(spark, d):
-    s = standin(spark, d, "segments").where("media_id < 40")
     stamp = lambda c: F.replace(us_to_timecode(F.col(c)), F.lit("."), F.lit(","))
-    block = F.concat(F.lit("1\n"), stamp("start_us"), F.lit(" --> "), stamp("end_us"), F.lit("\n"), F.regexp_replace("text", r"\s+", " "), F.lit("\n"))
-    s.select("media_id", block.alias("value")).repartition(4, "media_id").write.partitionBy("media_id").text(path := _scratch(spark, "cues"))
-    cues = rd.read_cues(spark, f"{path}/*/*")
-    media = F.regexp_extract("path", r"media_id=(\d+)", 1).cast("bigint").alias("media_id")
-    return cues.groupBy(media).agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"))
+    text = F.when(F.trim("text") != "", F.concat(F.lit("media "), F.col("media_id"), F.lit(": "), F.regexp_replace("text", r"\s+", " ")))
+    block = F.concat(F.lit("1\n"), stamp("start_us"), F.lit(" --> "), stamp("end_us"), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    standin(spark, d, "segments").select(block.alias("value")).write.text(path := _scratch(spark, "cues"))
+    media = F.regexp_extract("text", r"^media (\d+): ", 1).cast("bigint").alias("media_id")
+    return rd.read_cues(spark, f"{path}/part-*").groupBy(media).agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"))
 
 
 @register("s07_read_journal", duck("SELECT item_id::VARCHAR AS item_id, config, count(*) AS n FROM attempts WHERE completed GROUP BY 1, 2"))
@@ -111,10 +115,11 @@ def _(spark, d):
     return _streamed(spark, _plain(spark, d), _SAMPLE, lambda s: sx.route_phase(s, gap=24 * HOUR, phase=5 * HOUR), "phase")
 
 
-@register("x04_reduce_static")
+@register("x04_reduce_static", STATIC_SQL)
 def _(spark, d):
     rows = standin(spark, d, "samples").select("media_id", "sample_id", "ts_us", F.floor(F.col("ts_us") / (72 * HOUR)).alias("chunk"), "scene", ((F.col("sample_id") % 10) / 9.0).alias("black_fraction"), (F.col("a") * 100).cast("double").alias("mean_luma"), (F.col("sample_id") % 4).cast("bigint").alias("hash"))
-    schema = f"{_SAMPLE}, chunk BIGINT, scene BOOLEAN, black_fraction DOUBLE, mean_luma DOUBLE, hash BIGINT"
+    rows = rows.withColumn("region_hashes", F.array(F.when(F.col("sample_id") % 40 == 1, 255).otherwise(F.col("hash")).cast("bigint")))
+    schema = f"{_SAMPLE}, chunk BIGINT, scene BOOLEAN, black_fraction DOUBLE, mean_luma DOUBLE, hash BIGINT, region_hashes ARRAY<BIGINT>"
     return _streamed(spark, rows, schema, lambda s: sx.reduce_static(s, limit=48 * HOUR, cross=6 * HOUR), "static")
 
 
@@ -129,10 +134,12 @@ def _(spark, d):
     return _streamed(spark, _plain(spark, d), _SAMPLE, lambda s: pl.score(s.drop("ts"), _weight), "score").select("media_id", "sample_id", "probability")
 
 
-@register("x09_dedupe_replays", duck("SELECT DISTINCT media_id, sample_id, ts_us FROM samples WHERE ts_us > 0"))
+@register("x09_dedupe_replays", duck("SELECT DISTINCT media_id, sample_id, ts_us FROM samples"))
 def _(spark, d):
-    s = _plain(spark, d).where("ts_us > 0")
-    return _streamed(spark, s.union(s), _SAMPLE, lambda x: sx.dedupe_replays(x).drop("ts"), "replays")
+    # a watermark starts at the epoch, and rows at it are late: the media's clocks start one microsecond behind
+    s = _plain(spark, d).withColumn("ts_us", F.col("ts_us") + 1)
+    out = _streamed(spark, s.union(s), _SAMPLE, lambda x: sx.dedupe_replays(x).drop("ts"), "replays")
+    return out.withColumn("ts_us", F.col("ts_us") - 1)
 
 
 @register("d06_sql_functions", duck("SELECT p.media_id, p.interval_id, t.interval_id AS r_interval_id, greatest(0, least(p.end_us, t.end_us) - greatest(p.start_us, t.start_us)) AS both_us FROM predicted p JOIN truth t ON p.media_id = t.media_id AND p.category = t.category AND p.start_us <= t.end_us AND t.start_us <= p.end_us"))

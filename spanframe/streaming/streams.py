@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sampling import FRAME, frame_evidence, static_step
+
 KEY = "media_id"
 
 
@@ -71,33 +73,36 @@ def route_min_gap(samples: DataFrame, *, gap: int) -> DataFrame:
     return _stateful(samples, step, [0, 0], f"{KEY} bigint, ts_us bigint, sample_id bigint", "last bigint, some bigint")
 
 
-def reduce_static(frames: DataFrame, *, bits: int = 3, colour: float = 12.0, limit: int = 10_000_000, cross: int = 50_000, black: float = 0.98) -> DataFrame:
-    """The online form of sampling.reduce_static; the state is the last representative."""
+def reduce_static(frames: DataFrame, *, forget: str = "1 hour", bits: int = 3, colour: float = 12.0, limit: int = 10_000_000, cross: int = 50_000, black: float = 0.98, black_luma: float = 255.0) -> DataFrame:
+    """The online form of sampling.reduce_static, with the same evidence and rule; the state is the last representative.
+
+    A batch's rows are taken in order; rows behind the last row of their media (late ones) are dispositioned "late" and change
+    nothing. The state of a media that is silent for the time forget is dropped."""
     output = f"{KEY} bigint, sample_id bigint, disposition string, duplicate_of_us bigint"
+    silence = int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last = tuple(held.get) if held.exists else (None,) * 4
+        if held.hasTimedOut:
+            held.remove()
+            return
+        seen, *old = tuple(held.get) if held.exists else (None,) * 5
+        last = None if old[0] is None else tuple(old)
         rows = pd.concat(list(parts)).sort_values(["ts_us", "sample_id"])
         out = []
-        for r in rows.itertuples(index=False):
-            of = None
-            if r.black_fraction >= black:
-                what, last = "black", (None,) * 4
-            else:
-                t, chunk, luma, h = last
-                alike = t is not None and ((int(r.hash) ^ int(h)) & (1 << 64) - 1).bit_count() <= bits and abs(r.mean_luma - luma) <= colour
-                if alike and r.chunk != chunk and r.ts_us - t <= cross:
-                    what, of = "near_duplicate", t
-                elif alike and not r.scene and r.ts_us - t < limit:
-                    what, of = "static_suppressed", t
-                else:
-                    what, last = "representative", (int(r.ts_us), int(r.chunk), float(r.mean_luma), int(r.hash))
-            out.append((key[0], int(r.sample_id), what, of))
-        held.update(last)
-        made = pd.DataFrame(out, columns=[KEY, "sample_id", "disposition", "duplicate_of_us"])
-        yield made.astype({"duplicate_of_us": "Int64"})
-
-    return frames.groupBy(KEY).applyInPandasWithState(run, output, "t bigint, chunk bigint, luma double, hash bigint", "append", GroupStateTimeout.NoTimeout)
+        plain = lambda c: [x.tolist() for x in rows[c]] if c.startswith("__") else rows[c].tolist()
+        for row in zip(*map(plain, FRAME), strict=True):
+            if seen is not None and row[0] < seen:
+                out.append((key[0], row[1], "late", None))
+                continue
+            seen = row[0]
+            last, what, of = static_step(last, row, bits=bits, colour=colour, limit=limit, cross=cross, black=black, black_luma=black_luma)
+            out.append((key[0], row[1], what, of))
+        held.update((seen, *((None,) * 4 if last is None else (last[0], last[1], [int(x) for x in last[2]], [float(x) for x in last[3]]))))
+        held.setTimeoutDuration(silence)
+        yield pd.DataFrame(out, columns=[KEY, "sample_id", "disposition", "duplicate_of_us"]).astype({"duplicate_of_us": "Int64"})
+
+    rows = frame_evidence(frames).select(KEY, *FRAME)
+    return rows.groupBy(KEY).applyInPandasWithState(run, output, "seen bigint, t bigint, chunk bigint, hashes array<bigint>, colours array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def fan_out(batch: DataFrame, number: int, sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> list[tuple[str, int, str]]:

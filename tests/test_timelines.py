@@ -191,3 +191,96 @@ def test_sources_round_trip(spark, tmp_path):
         (tmp_path / f"{n}.csv").write_text("id,subject\n1,s\n")
     both = rd.read_catalogue(spark, {n: str(tmp_path / f"{n}.csv") for n in ("train", "test")}, "id INT, subject STRING")
     assert sorted(r["split"] for r in both.collect()) == ["test", "train"]
+
+
+def test_nearest_rows_are_taken_in_order(spark):
+    from spanframe.operators.alignment import align_by_id, align_nearest
+
+    side = lambda rows: spark.createDataFrame(rows, "media_id bigint, sample_id bigint, ts_us bigint")
+    a = side([(1, 1, 0), (1, 2, 1000), (2, 3, 50), (2, 4, 60), (3, 5, 9)])
+    b = side([(1, 11, 900), (1, 12, 2500), (2, 13, 55), (2, 14, 10_000), (4, 15, 9)])
+    got = {r["sample_id"]: (r["r_sample_id"], r["distance_us"]) for r in align_nearest(a, b, tol=2000).collect()}
+    assert got == {1: (11, 900), 2: (12, 1500), 3: (13, 5), 4: (None, None), 5: (None, None)}
+    _, audit = align_by_id(a, side([(1, 1, 0), (1, 2, 7), (1, 2, 1000), (9, 9, 9)]))
+    assert audit.first().asDict() == {"n_left": 5, "n_right": 4, "left_only": 3, "right_only": 1, "repeated": 1, "moved": 1, "exact": False}
+
+
+def test_nearest_rows_against_brute_force(spark):
+    import random
+
+    from spanframe.operators.alignment import align_nearest
+
+    random.seed(5)
+    rows = lambda base: [(m, base + i, random.randrange(3000)) for m in range(3) for i in range(m * 100, m * 100 + 60)]
+    a, b, want = rows(0), rows(1000), {}
+    for m in range(3):
+        left = sorted((t, i) for k, i, t in a if k == m)
+        rest = sorted((t, i) for k, i, t in b if k == m)
+        for t, i in left:
+            best = min(rest, key=lambda r: (abs(r[0] - t), r), default=None)
+            if best is not None and abs(best[0] - t) <= 40:
+                rest.remove(best)
+                want[i] = best[1]
+            else:
+                want[i] = None
+    schema = "media_id bigint, sample_id bigint, ts_us bigint"
+    got = align_nearest(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), tol=40)
+    assert {r["sample_id"]: r["r_sample_id"] for r in got.collect()} == want and None in want.values()
+
+
+def test_a_logo_in_one_region_tells_frames_apart(spark):
+    from spanframe.operators.sampling import frame_features, reduce_static
+
+    width, height = 18, 16
+    plain = [float((x * 7) % 50 + 60) for _ in range(height) for x in range(width)]
+    logo = [180.0 - v if y < 8 and x < 9 else v for i, v in enumerate(plain) for x, y in [(i % width, i // width)]]
+    rows = [(1, i, i * 1000, 0, False, grid) for i, grid in enumerate([plain, plain, logo, logo, [0.0] * len(plain), logo])]
+    frames = spark.createDataFrame(rows, "media_id bigint, sample_id bigint, ts_us bigint, chunk bigint, scene boolean, luma array<double>")
+    features = frame_features(frames, "luma", width, height, rgb=("luma", "luma", "luma"))
+    first = features.where("sample_id = 2").first()
+    assert len(first["region_hashes"]) == 5 and len(first["region_rgb"]) == 15 and len(first["mean_rgb"]) == 3
+    got = {r["sample_id"]: (r["disposition"], r["duplicate_of_us"]) for r in reduce_static(features, colour=255.0).collect()}
+    assert got == {0: ("representative", None), 1: ("static_suppressed", 0), 2: ("representative", None), 3: ("static_suppressed", 2000), 4: ("black", None), 5: ("representative", None)}
+
+
+def test_events_split_like_the_recursion(spark):
+    import random
+
+    from spanframe.operators.planning import cluster_events
+
+    random.seed(8)
+    times = sorted(random.sample(range(2000), 120))
+
+    def split(ts, longest):
+        if ts[-1] - ts[0] + 2 * 5 <= longest or len(ts) == 1:
+            return [ts]
+        at = max(range(1, len(ts)), key=lambda i: (ts[i] - ts[i - 1], -i))
+        return split(ts[:at], longest) + split(ts[at:], longest)
+
+    groups = [[times[0]]]
+    for t in times[1:]:
+        groups.append([t]) if t - groups[-1][-1] > 30 else groups[-1].append(t)
+    rows = spark.createDataFrame([(1, i, t, True, False, 5000) for i, t in enumerate(times)], "media_id bigint, sample_id bigint, ts_us bigint, by_a boolean, by_b boolean, duration_us bigint")
+    for longest in (12, 60, 200):
+        got = sorted((r["first_us"], r["last_us"], r["n_samples"]) for r in cluster_events(rows, gap=30, context=5, longest=longest).collect())
+        assert got == sorted((g[0], g[-1], len(g)) for x in groups for g in split(x, longest))
+
+
+def test_invariants_see_rows_that_arrived_out_of_order(spark):
+    from spanframe.operators.sampling import check_invariants
+
+    rows = spark.createDataFrame([(1, 1, 5, 100, "black"), (1, 2, 4, 100, "black"), (1, 3, 9, 100, "black")], "media_id bigint, n bigint, ts_us bigint, duration_us bigint, disposition string")
+    got = {r["name"]: r["passed"] for r in check_invariants(rows, core=50, gap=50, arrival="n").collect()}
+    assert not got["sorted"] and got["in_range"] and got["longest_gap"]
+
+
+def test_json_objects_nest_and_must_parse(spark):
+    from pyspark.sql import functions as F
+
+    from spanframe.functions.columns import content_key, first_json_object
+
+    texts = ['text {a} {"k":1}', 'x {"a": {"b": [1, {"c": 2}]}} y', "{ {", "none", None, '{"k": 2}', "} {\"z\": 3}"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(first_json_object(F.col("t"))).collect()]
+    assert got == ['{"k":1}', '{"a": {"b": [1, {"c": 2}]}}', None, None, None, '{"k": 2}', '{"z": 3}']
+    keys = spark.createDataFrame([("", "x"), (None, "x"), ("a|b=2", None), ("a", "2")], "a string, b string").select(content_key({"a": F.col("a"), "b": F.col("b")})).collect()
+    assert len({r[0] for r in keys}) == 4
