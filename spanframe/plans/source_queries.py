@@ -120,7 +120,9 @@ def _(spark, d):
     rows = standin(spark, d, "samples").select("media_id", "sample_id", "ts_us", F.floor(F.col("ts_us") / (72 * HOUR)).alias("chunk"), "scene", ((F.col("sample_id") % 10) / 9.0).alias("black_fraction"), (F.col("a") * 100).cast("double").alias("mean_luma"), (F.col("sample_id") % 4).cast("bigint").alias("hash"))
     rows = rows.withColumn("region_hashes", F.array(F.when(F.col("sample_id") % 40 == 1, 255).otherwise(F.col("hash")).cast("bigint")))
     schema = f"{_SAMPLE}, chunk BIGINT, scene BOOLEAN, black_fraction DOUBLE, mean_luma DOUBLE, hash BIGINT, region_hashes ARRAY<BIGINT>"
-    return _streamed(spark, rows, schema, lambda s: sx.reduce_static(s, limit=48 * HOUR, cross=6 * HOUR), "static")
+    # as in x09: no row stands at the epoch, where the watermark starts
+    out = _streamed(spark, rows.withColumn("ts_us", F.col("ts_us") + 1), schema, lambda s: sx.reduce_static(s, forget="30 days", limit=48 * HOUR, cross=6 * HOUR), "static")
+    return out.withColumn("duplicate_of_us", F.col("duplicate_of_us") - 1)
 
 
 def _weight(b):

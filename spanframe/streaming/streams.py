@@ -77,7 +77,8 @@ def reduce_static(frames: DataFrame, *, forget: str = "1 hour", bits: int = 3, c
     """The online form of sampling.reduce_static, with the same evidence and rule; the state is the last representative.
 
     A batch's rows are taken in order; rows behind the last row of their media (late ones) are dispositioned "late" and change
-    nothing. The state of a media that is silent for the time forget is dropped."""
+    nothing, and Spark drops those behind the watermark of ts. The state of a media is dropped once the watermark is past its
+    last row by the time forget."""
     output = f"{KEY} bigint, sample_id bigint, disposition string, duplicate_of_us bigint"
     silence = int(pd.Timedelta(forget).total_seconds() * 1000)
 
@@ -98,11 +99,11 @@ def reduce_static(frames: DataFrame, *, forget: str = "1 hour", bits: int = 3, c
             last, what, of = static_step(last, row, bits=bits, colour=colour, limit=limit, cross=cross, black=black, black_luma=black_luma)
             out.append((key[0], row[1], what, of))
         held.update((seen, *((None,) * 4 if last is None else (last[0], last[1], [int(x) for x in last[2]], [float(x) for x in last[3]]))))
-        held.setTimeoutDuration(silence)
+        held.setTimeoutTimestamp(max(seen // 1000, held.getCurrentWatermarkMs()) + silence)
         yield pd.DataFrame(out, columns=[KEY, "sample_id", "disposition", "duplicate_of_us"]).astype({"duplicate_of_us": "Int64"})
 
-    rows = frame_evidence(frames).select(KEY, *FRAME)
-    return rows.groupBy(KEY).applyInPandasWithState(run, output, "seen bigint, t bigint, chunk bigint, hashes array<bigint>, colours array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = frame_evidence(frames).select(KEY, "ts", *FRAME)
+    return rows.groupBy(KEY).applyInPandasWithState(run, output, "seen bigint, t bigint, chunk bigint, hashes array<bigint>, colours array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fan_out(batch: DataFrame, number: int, sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> list[tuple[str, int, str]]:
