@@ -68,8 +68,10 @@ def concept_strategies(scores: DataFrame, positive: Sequence[str], control: Sequ
 
 
 def text_evidence(segments: DataFrame, lexicon: DataFrame, *, least: float, ident: Sequence[str], most: int = 80) -> DataFrame:
-    """The lexicon entry of greatest confidence whose pattern a segment matches (first listed on ties), at least least."""
-    hits = segments.join(F.broadcast(lexicon), F.expr("regexp_like(lower(text), pattern)"))
+    """The lexicon entry of greatest confidence whose pattern a segment matches (first listed on ties), at least least.
+    The lexicon is broadcast up to 10,000 entries."""
+    few = lexicon.limit(10_001).count() <= 10_000
+    hits = segments.join(F.broadcast(lexicon) if few else lexicon, F.expr("regexp_like(lower(text), pattern)"))
     best = F.row_number().over(Window.partitionBy(*ident).orderBy(F.col("confidence").desc(), "rank"))
     hits = hits.withColumn("__n", best).where((F.col("__n") == 1) & (F.col("confidence") >= least))
     return hits.withColumn("excerpt", fn.excerpt(F.col("text"), most)).drop("__n", "pattern", "rank", "text")
