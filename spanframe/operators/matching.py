@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import ratio
 from .intervals import intersect_intervals, merge_intervals, subtract_intervals, total_duration
-from .timeline import KEY
+from .timeline import KEY, interval_islands, points_in_intervals
+
+#: Sums of overlaps that differ by less are equal.
+EPS = 1e-12
 
 
 def pair_iou(predicted: DataFrame, truth: DataFrame, *, width: int) -> DataFrame:
@@ -20,101 +25,171 @@ def pair_iou(predicted: DataFrame, truth: DataFrame, *, width: int) -> DataFrame
     return out.withColumn("iou", both / (F.col("end_us") - F.col("start_us") + F.col("r_end_us") - F.col("r_start_us") - both))
 
 
-def assign(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a matching of positive weights: most pairs, then the greatest sum.
+def assign_edges(edges: Mapping[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a matching along weighted edges: most pairs, then the greatest sum; ties go to lower columns.
 
-    Successive shortest augmenting paths on costs big - weight over existing edges; ties go to lower rows and columns.
+    Successive best augmenting paths: each one gives the best matching of one more pair. Holds the edges alone.
     """
-    n, m = weight.shape
-    big = 1.0 + float(weight.sum())
-    cost = np.where(weight > 0, big - weight, np.inf)
-    of_col = np.full(m, -1)
+    of_row: dict[int, list[int]] = {}
+    for r, c in sorted(edges):
+        of_row.setdefault(r, []).append(c)
+    row_of: dict[int, int] = {}
+    col_of: dict[int, int] = {}
     while True:
-        dist, prev = np.full(m, np.inf), np.full(m, -1)
-        free = [r for r in range(n) if r not in set(of_col.tolist())]
-        for r in free:
-            better = cost[r] < dist - 1e-12
-            dist[better], prev[better] = cost[r][better], r
-        for _ in range(m):  # Bellman and Ford over alternating paths
-            changed = False
-            for c in range(m):
-                r = of_col[c]
-                if r >= 0 and np.isfinite(dist[c]):
-                    via = dist[c] - cost[r, c] + cost[r]
-                    better = via < dist - 1e-12
-                    better[c] = False
-                    if better.any():
-                        dist[better], prev[better], changed = via[better], r, True
-            if not changed:
-                break
-        open_cols = [c for c in range(m) if of_col[c] < 0 and np.isfinite(dist[c])]
-        if not open_cols:
-            return sorted((int(r), c) for c, r in enumerate(of_col) if r >= 0)
-        c = min(open_cols, key=lambda c: (dist[c], c))
-        while c >= 0:
-            r = prev[c]
-            before = np.flatnonzero(of_col == r)
-            of_col[c] = r
-            c = int(before[before != c][0]) if len(before[before != c]) else -1
-            if c >= 0:
-                of_col[c] = -1
-
-
-def match_events(predicted: DataFrame, truth: DataFrame, *, thresholds: Sequence[float], width: int, ident: str = "interval_id", by: Sequence[str] = (KEY, "category")) -> DataFrame:
+        gain: dict[int, float] = {}
+        came: dict[int, int] = {}
+        turn = deque((r, 0.0, -1) for r in of_row if r not in col_of)
+        while turn:
+            r, base, at = turn.popleft()
+            if at >= 0 and (row_of[at] != r or gain[at] - edges[r, at] > base + EPS):
+                continue  # a better way to this row is in the queue
+            for c in of_row[r]:
+                found = base + edges[r, c]
+                if c != at and found > gain.get(c, float("-inf")) + EPS:
+                    gain[c], came[c] = found, r
+                    if c in row_of:
+                        turn.append((row_of[c], found - edges[row_of[c], c], c))
+        ends = [c for c in gain if c not in row_of]
+        if not ends:
+            return sorted((r, c) for c, r in row_of.items())
+        c = min(ends, key=lambda x: (-gain[x], x))
+        while c is not None:
+            r = came[c]
+            freed = col_of.get(r)
+            row_of[c], col_of[r] = r, c
+            c = freed
+
+
+def assign(weight: np.ndarray) -> list[tuple[int, int]]:
+    """assign_edges of the positive entries of a matrix."""
+    return assign_edges({(int(r), int(c)): float(weight[r, c]) for r, c in np.argwhere(weight > 0)})
+
+
+def match_events(predicted: DataFrame, truth: DataFrame, *, thresholds: Sequence[float], width: int, ident: str = "interval_id", by: Sequence[str] = (KEY, "category"), length: str | None = None) -> DataFrame:
     """One-to-one pairs of each group and IoU threshold: most pairs, then the greatest sum of IoU, ties by ids.
 
-    Pairs that are each other's only choice are settled in SQL; what is left goes to a solver for each group and threshold,
-    whose size is the number of contested intervals of one category of one media.
+    Pairs that are each other's only choice are settled in SQL. Contested pairs are split on Spark into islands of pairs that
+    touch in time, which never influence each other, and each island goes to a solver that holds its pairs alone. length: a
+    column with the length of all fragments of an id, where an id may stand in several rows; else each row is an id.
     """
     same = " AND ".join(f"{c} <=> r_{c}" for c in by if c != KEY) or "true"
-    pairs = pair_iou(predicted, truth, width=width).where(same)
+    pairs = intersect_intervals(predicted, truth, width=width).where(same)
+    whole = (F.col(length), F.col(f"r_{length}")) if length else (F.col("end_us") - F.col("start_us"), F.col("r_end_us") - F.col("r_start_us"))
+    pairs = pairs.select(*by, F.col(ident).alias("p"), F.col(f"r_{ident}").alias("t"), (F.col("overlap_end_us") - F.col("overlap_start_us")).alias("both"), (whole[0] + whole[1]).alias("sides"), F.least("start_us", "r_start_us").alias("lo"), F.greatest("end_us", "r_end_us").alias("hi"))
+    if length:
+        pairs = pairs.groupBy(*by, "p", "t").agg(F.sum("both").alias("both"), F.first("sides").alias("sides"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    pairs = pairs.select(*by, F.col(ident).alias("p"), F.col(f"r_{ident}").alias("t"), "iou", grid).where("iou >= threshold")
-    degree = pairs.groupBy(*by, "threshold", "p").agg(F.count("*").alias("np"))
-    other = pairs.groupBy(*by, "threshold", "t").agg(F.count("*").alias("nt"))
-    counted = pairs.join(degree, [*by, "threshold", "p"]).join(other, [*by, "threshold", "t"])
+    pairs = pairs.withColumn("iou", F.col("both") / (F.col("sides") - F.col("both"))).select(*by, "p", "t", "iou", "lo", "hi", grid).where("iou >= threshold")
+    counted = pairs.withColumn("np", F.count("*").over(Window.partitionBy(*by, "threshold", "p"))).withColumn("nt", F.count("*").over(Window.partitionBy(*by, "threshold", "t")))
     settled = counted.where("np = 1 and nt = 1").select(*by, "threshold", "p", "t", "iou")
-    contested = counted.where("np > 1 or nt > 1").select(*by, "threshold", "p", "t", "iou")
+    contested = interval_islands(counted.where("np > 1 or nt > 1"), start="lo", end="hi", key=(*by, "threshold")).select(*by, "threshold", "p", "t", "iou", "island")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ps, ts = sorted(pdf["p"].unique()), sorted(pdf["t"].unique())
-        w = np.zeros((len(ps), len(ts)))
-        w[np.searchsorted(ps, pdf["p"]), np.searchsorted(ts, pdf["t"])] = pdf["iou"]
-        chosen = {(ps[r], ts[c]) for r, c in assign(w)}
-        return pdf[[pair in chosen for pair in zip(pdf["p"], pdf["t"], strict=True)]]
+        ps, ts = np.unique(pdf["p"], return_inverse=True)[1], np.unique(pdf["t"], return_inverse=True)[1]
+        chosen = set(assign_edges(dict(zip(zip(ps.tolist(), ts.tolist(), strict=True), pdf["iou"].tolist(), strict=True))))
+        return pdf[[pair in chosen for pair in zip(ps.tolist(), ts.tolist(), strict=True)]]
 
-    return settled.unionByName(contested.groupBy(*by, "threshold").applyInPandas(solve, contested.schema))
+    return settled.unionByName(contested.groupBy(*by, "threshold", "island").applyInPandas(solve, contested.schema).drop("island"))
 
 
-def evaluate_media(predicted: DataFrame, truth: DataFrame, excluded: DataFrame | None, *, thresholds: Sequence[float] = (0.25, 0.5, 0.75), width: int) -> DataFrame:
-    """tp, fp, fn of each media, category and threshold, with sums of boundary errors; excluded ranges are cut from both."""
-    if excluded is not None:
-        predicted = subtract_intervals(predicted, excluded, width=width)
-        truth = subtract_intervals(truth, excluded, width=width)
+def visible(events: DataFrame, excluded: DataFrame | None, *, width: int, ident: str = "interval_id") -> DataFrame:
+    """Events less the excluded ranges, a row for each fragment, with whole_us (what is left of the event), event_start_us,
+    event_end_us, and whether these lie outside of all excluded ranges, edges included (start_seen, end_seen)."""
+    rows = events.withColumns({"event_start_us": F.col("start_us"), "event_end_us": F.col("end_us")})
+    if excluded is None:
+        return rows.withColumns({"start_seen": F.lit(True), "end_seen": F.lit(True), "whole_us": F.col("end_us") - F.col("start_us")})
+    for edge in ("start", "end"):
+        marks = rows.select(KEY, ident, F.col(f"event_{edge}_us").alias("ts_us"))
+        hidden = points_in_intervals(marks, excluded.select(KEY, "start_us", "end_us"), width=width).select(KEY, ident).distinct()
+        rows = rows.join(hidden.withColumn(f"{edge}_seen", F.lit(False)), [KEY, ident], "left").withColumn(f"{edge}_seen", F.coalesce(f"{edge}_seen", F.lit(True)))
+    left = subtract_intervals(rows, excluded, width=width, identity=ident)
+    return left.withColumn("whole_us", F.sum(F.col("end_us") - F.col("start_us")).over(Window.partitionBy(KEY, ident)))
+
+
+#: Sums of evaluate_media by threshold, and by media and category alone.
+COUNTS = ("tp", "fp", "fn", "start_n", "start_bias_us", "start_error_us", "end_n", "end_bias_us", "end_error_us")
+TIMES = ("evaluated_us", "target_us", "predicted_us", "covered_us", "ignored_predicted", "ignored_true")
+
+
+def evaluate_media(predicted: DataFrame, truth: DataFrame, media: DataFrame, excluded: DataFrame | None = None, *, thresholds: Sequence[float] = (0.25, 0.5, 0.75), width: int, binary: bool = False) -> DataFrame:
+    """Of each media, category and threshold: tp, fp, fn, boundary errors (number, sum, sum of sizes), and the times evaluated,
+    true, predicted and covered.
+
+    Excluded ranges are cut from both sides; the fragments of an event stay one event, and events of which nothing is left
+    are counted as ignored. A boundary inside an excluded range has no error. binary: all categories as one, named "binary",
+    true events that overlap or touch merged first. media(media_id, duration_us). Rows without a category, of media that are
+    not in media, or of no length take no part.
+    """
     by = (KEY, "category")
-    pairs = match_events(predicted, truth, thresholds=thresholds, width=width)
-    edge = lambda df, name: df.groupBy(*by, "interval_id").agg(F.min("start_us").alias(f"{name}s"), F.max("end_us").alias(f"{name}e"))
-    pairs = pairs.join(edge(predicted, "p").withColumnRenamed("interval_id", "p"), [*by, "p"]).join(edge(truth, "t").withColumnRenamed("interval_id", "t"), [*by, "t"])
-    hits = pairs.groupBy(*by, "threshold").agg(F.count("*").alias("tp"), F.sum(F.abs(F.col("ps") - F.col("ts"))).alias("start_error_us"), F.sum(F.abs(F.col("pe") - F.col("te"))).alias("end_error_us"))
-    count = lambda df, name: df.groupBy(*by).agg(F.count_distinct("interval_id").alias(name))
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    every = count(predicted, "n_predicted").join(count(truth, "n_true"), list(by), "full").na.fill(0).select("*", grid)
-    out = every.join(hits, [*by, "threshold"], "left").na.fill(0, ["tp", "start_error_us", "end_error_us"])
-    return out.withColumn("fp", F.col("n_predicted") - F.col("tp")).withColumn("fn", F.col("n_true") - F.col("tp")).drop("n_predicted", "n_true")
+    columns = (KEY, "interval_id", "start_us", "end_us", "category")
+    if binary:
+        merged = merge_intervals(truth, carry={"interval_id": "min"})
+        predicted, truth = (df.withColumn("category", F.lit("binary")) for df in (predicted, merged))
+    sides = [df.select(*columns).where("category is not null and end_us > start_us").join(media.select(KEY), KEY, "left_semi") for df in (predicted, truth)]
+    seen = [visible(df, excluded, width=width) for df in sides]
+    pairs = match_events(*seen, thresholds=thresholds, width=width, length=None if excluded is None else "whole_us")
+    edges = lambda df, name: df.select(*by, F.col("interval_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("event_start_us", "event_end_us", "start_seen", "end_seen")]).dropDuplicates([*by, name])
+    pairs = pairs.join(edges(seen[0], "p"), [*by, "p"]).join(edges(seen[1], "t"), [*by, "t"])
+    zero = dict.fromkeys((*COUNTS, "n_predicted", "n_true"), F.lit(0).cast("bigint"))
+    error = {e: F.when(F.col(f"p_{e}_seen") & F.col(f"t_{e}_seen"), F.col(f"p_event_{e}_us") - F.col(f"t_event_{e}_us")) for e in ("start", "end")}
+    found = {"tp": F.lit(1).cast("bigint")}
+    for e, x in error.items():
+        found |= {f"{e}_n": x.isNotNull().cast("bigint"), f"{e}_bias_us": F.coalesce(x, F.lit(0)), f"{e}_error_us": F.coalesce(F.abs(x), F.lit(0))}
+    row = lambda df, have: df.select(*by, "threshold", *[c.alias(n) for n, c in (zero | have).items()])
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    ids = [df.select(*by, "interval_id").distinct().withColumn("threshold", grid) for df in seen]
+    one = F.lit(1).cast("bigint")
+    sums = row(pairs, found).unionByName(row(ids[0], {"n_predicted": one})).unionByName(row(ids[1], {"n_true": one}))
+    sums = sums.groupBy(*by, "threshold").agg(*[F.sum(c).alias(c) for c in zero])
+    sums = sums.withColumns({"fp": F.col("n_predicted") - F.col("tp"), "fn": F.col("n_true") - F.col("tp")}).drop("n_predicted", "n_true")
+    # times, and events that the exclusions hide
+    lost = lambda whole, left, name: whole.select(*by, "interval_id").distinct().join(left.select(*by, "interval_id").distinct(), [*by, "interval_id"], "left_anti").groupBy(*by).agg(F.count("*").alias(name))
+    hidden = [] if excluded is None else [lost(sides[0], seen[0], "ignored_predicted"), lost(sides[1], seen[1], "ignored_true")]
+    times = coverage(*seen, width=width, by=by).withColumnsRenamed({"truth_us": "target_us", "both_us": "covered_us"})
+    for h in hidden:
+        times = times.join(h, list(by), "full")
+    lengths = media.select(KEY, "duration_us")
+    if excluded is not None:
+        inside = excluded.join(lengths, KEY).select(KEY, F.greatest("start_us", F.lit(0)).alias("start_us"), F.least("end_us", "duration_us").alias("end_us")).where("end_us > start_us")
+        lengths = lengths.join(total_duration(merge_intervals(inside)), KEY, "left")
+        lengths = lengths.withColumn("duration_us", F.col("duration_us") - F.coalesce("total_us", F.lit(0)))
+    every = times.select(*by).distinct().withColumn("threshold", grid)
+    out = every.join(sums, [*by, "threshold"], "left").join(times, list(by)).join(lengths.select(KEY, F.col("duration_us").alias("evaluated_us")), KEY)
+    return out.select(*by, "threshold", *[(F.coalesce(c, F.lit(0)) if c in out.columns else F.lit(0)).cast("bigint").alias(c) for c in (*COUNTS, *TIMES)])
 
 
-def coverage(predicted: DataFrame, truth: DataFrame, *, width: int) -> DataFrame:
-    """Per media: truth_us, predicted_us and both_us of the merged sides."""
-    a, b = merge_intervals(predicted), merge_intervals(truth)
-    both = intersect_intervals(a, b, width=width).groupBy(KEY).agg(F.sum(F.col("overlap_end_us") - F.col("overlap_start_us")).alias("both_us"))
-    out = total_duration(a).withColumnRenamed("total_us", "predicted_us").join(total_duration(b).withColumnRenamed("total_us", "truth_us"), KEY, "full")
-    return out.join(both, KEY, "left").na.fill(0)
+def scorable(items: DataFrame, results: DataFrame, category: str | None = None) -> DataFrame:
+    """Items whose true events are said to be all there are (of the category, if given), with usable: their run completed.
 
+    items(media_id, binary_exhaustive, exhaustive_categories), results(media_id, status). Items that are not usable are
+    reported, not scored; the others are left out.
+    """
+    held = items.where(F.coalesce("binary_exhaustive", F.lit(False)))
+    held = held if category is None else held.where(F.array_contains("exhaustive_categories", category))
+    done = results.groupBy(KEY).agg((F.max("status") == "completed").__and__(F.min("status") == "completed").alias("usable"))
+    return held.join(done, KEY, "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
+
+
+def coverage(predicted: DataFrame, truth: DataFrame, *, width: int, by: Sequence[str] = (KEY,)) -> DataFrame:
+    """Per media (and what else by names): truth_us, predicted_us and both_us of the merged sides."""
+    a, b = merge_intervals(predicted, key=by), merge_intervals(truth, key=by)
+    same = " AND ".join(f"{c} = r_{c}" for c in by if c != KEY) or "true"
+    both = intersect_intervals(a, b, width=width).where(same).groupBy(*by).agg(F.sum(F.col("overlap_end_us") - F.col("overlap_start_us")).alias("both_us"))
+    out = total_duration(a, key=by).withColumnRenamed("total_us", "predicted_us").join(total_duration(b, key=by).withColumnRenamed("total_us", "truth_us"), list(by), "full")
+    return out.join(both, list(by), "left").na.fill(0)
 
-def aggregate_events(scored: DataFrame) -> DataFrame:
-    """Micro totals of evaluate_media for each threshold: ratios of sums, never means of ratios."""
-    from ..functions.columns import ratio
 
-    out = scored.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "start_error_us", "end_error_us")])
+def aggregate_events(scored: DataFrame, by: Sequence[str] = ("threshold",)) -> DataFrame:
+    """Micro totals of evaluate_media: ratios of sums, never means of ratios; null where nothing is divided by.
+
+    Alerts a minute are false ones over the evaluated time, of all media and of those without a true event.
+    """
+    minute = 60_000_000
+    quiet = F.when(F.col("target_us") == 0, F.lit(1)).otherwise(0)
+    out = scored.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in (*COUNTS, *TIMES)], F.sum(F.col("fp") * quiet).alias("__fp"), F.sum(F.col("evaluated_us") * quiet).alias("__us"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return out.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "boundary_mae_us": ratio(F.col("start_error_us") + F.col("end_error_us"), 2 * tp)})
+    rates = {"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "target_coverage": ratio(F.col("covered_us"), F.col("target_us")), "temporal_precision": ratio(F.col("covered_us"), F.col("predicted_us"))}
+    for e in ("start", "end"):
+        rates |= {f"{e}_bias": ratio(F.col(f"{e}_bias_us"), F.col(f"{e}_n")), f"{e}_mae": ratio(F.col(f"{e}_error_us"), F.col(f"{e}_n"))}
+    rates |= {"missed_us": F.col("target_us") - F.col("covered_us"), "excess_us": F.col("predicted_us") - F.col("covered_us"), "alerts_a_minute": ratio(fp * minute, F.col("evaluated_us")), "quiet_alerts_a_minute": ratio(F.col("__fp") * minute, F.col("__us"))}
+    return out.withColumns(rates).drop("__fp", "__us")

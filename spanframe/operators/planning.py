@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as fn
 from .intervals import merge_intervals, pad_and_clamp
-from .timeline import KEY, gap_islands, ordered_pass, range_join
+from .timeline import KEY, gap_islands, ordered_pass, points_in_intervals, range_join
 
 #: Thresholds of the prefilter by mode.
 MODE_THRESHOLDS = {"fast": 0.45, "balanced": 0.15, "thorough": 0.15}
@@ -149,6 +149,87 @@ def cluster_events(candidates: DataFrame, *, gap: int, context: int, longest: in
     return out.withColumn("profile", profile).drop("island", "__part", "duration_us")
 
 
+def event_cuts(candidates: DataFrame, *, ts: str = "ts_us", tie: Sequence[str] = ("sample_id",), key: Sequence[str] = (KEY,)) -> DataFrame:
+    """Candidates in order (n, from 1) with the gap before each and its span: the time between the nearest larger gaps on
+    both sides (at least as large on the left, larger on the right, the timeline's ends otherwise).
+
+    Clustering starts an event at a candidate if and only if its gap exceeds the merge gap, or its span with the context on
+    both sides exceeds the longest event. Neither depends on the settings, so one ordered pass serves any grid of them.
+    """
+    w = Window.partitionBy(*key).orderBy(ts, *tie)
+    rows = candidates.withColumns({"n": F.row_number().over(w), "gap_us": F.col(ts) - F.lag(ts).over(w)})
+
+    def fold(points: Iterator[tuple]) -> Iterator[tuple]:
+        """Open gaps are those that no larger one has ended yet: (n, gap, time where the stretch before it began, own time)."""
+        open_gaps: list[tuple[int, int, int, int]] = []
+        first = t = next(points)[1]
+        for n, now in points:
+            while open_gaps and open_gaps[-1][1] < now - t:
+                place, _, left, _ = open_gaps.pop()
+                yield place, t - left
+            open_gaps.append((n, now - t, open_gaps[-1][3] if open_gaps else first, now))
+            t = now
+        for place, _, left, _ in open_gaps:
+            yield place, t - left
+
+    spans = ordered_pass(rows.withColumnRenamed(ts, "__t"), key, ["n"], ["n", "__t"], fold, "n int, span_us bigint")
+    return rows.join(spans, [*key, "n"], "left")
+
+
+def evaluate_clustering(candidates: DataFrame, grid: Sequence[tuple[int, int, int]], *, k: int = 6, tie: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Per (merge gap, context, longest) of the grid and media: events and what they cost.
+
+    candidates(media_id, ts_us, by_a, by_b, duration_us). Gives n_candidates, n_events, reduction (1 - events / candidates),
+    mean, median, p90, longest and total duration, the share of the media that they cover, events by profile, and images (up to
+    k distinct times each). Only the first candidate of each event meets a setting: what lies between two of them comes from
+    running counts, so the grid multiplies events, not samples. Detection does not depend on clustering: see detections.
+    """
+    rows = event_cuts(candidates.select(KEY, "ts_us", "by_a", "by_b", "duration_us", *[c for c in tie if c not in (KEY, "ts_us")]), tie=tie)
+    w = Window.partitionBy(KEY).orderBy("n")
+    flags = {"a": F.coalesce("by_a", F.lit(False)), "b": F.coalesce("by_b", F.lit(False)), "d": F.coalesce(F.col("gap_us") > 0, F.lit(True))}
+    run = {f"__{c}": F.sum(x.cast("bigint")).over(w) for c, x in flags.items()}
+    rows = rows.withColumns(run | {f"own_{c}": x.cast("bigint") for c, x in flags.items()})
+    whole = Window.partitionBy(KEY)
+    rows = rows.withColumns({"last_ts": F.max("ts_us").over(whole), "last_n": F.max("n").over(whole), **{f"all_{c}": F.max(f"__{c}").over(whole) for c in flags}})
+    settings = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(c).alias("context"), F.lit(m).alias("longest")) for g, c, m in grid])
+    starts = F.filter(settings, lambda s: (F.col("n") == 1) | (F.col("gap_us") > s["gap"]) | (F.col("span_us") + 2 * s["context"] > s["longest"]))
+    events = rows.withColumn("s", F.explode(starts)).withColumns({"gap": F.col("s.gap"), "context": F.col("s.context"), "longest": F.col("s.longest")})
+    by = ("gap", "context", "longest")
+    order = Window.partitionBy(KEY, *by).orderBy("n")
+    until = lambda c: F.coalesce(F.lead(F.col(f"__{c}") - F.col(f"own_{c}")).over(order), F.col(f"all_{c}")) - F.col(f"__{c}") + F.col(f"own_{c}")
+    events = events.withColumns({"last_us": F.coalesce(F.lead(F.col("ts_us") - F.col("gap_us")).over(order), F.col("last_ts")), "n_a": until("a"), "n_b": until("b"), "times": F.greatest(F.lit(1), until("d"))})
+    events = events.withColumns({"start_us": F.greatest(F.lit(0), F.col("ts_us") - F.col("context")), "end_us": F.least("duration_us", F.col("last_us") + F.col("context"))})
+    fresh = F.col("end_us") - F.greatest("start_us", F.coalesce(F.lag("end_us").over(order), F.col("start_us")))
+    events = events.withColumns({"len": F.col("end_us") - F.col("start_us"), "fresh": fresh})
+    out = events.groupBy(*by, KEY).agg(
+        F.max("last_n").alias("n_candidates"), F.count("*").alias("n_events"), F.avg("len").alias("mean_us"), F.percentile("len", 0.5).alias("median_us"),
+        F.percentile("len", 0.9).alias("p90_us"), F.max("len").alias("longest_us"), F.sum("len").alias("total_us"), F.sum("fresh").alias("union_us"), F.max("duration_us").alias("duration_us"),
+        F.count_if((F.col("n_a") > 0) & (F.col("n_b") == 0)).alias("a_only"), F.count_if((F.col("n_b") > 0) & (F.col("n_a") == 0)).alias("b_only"), F.count_if((F.col("n_a") > 0) & (F.col("n_b") > 0)).alias("both"),
+        F.sum(F.least(F.lit(k), "times")).alias("images"), F.max(F.least(F.lit(k), "times")).alias("most_images"), F.count_if(F.col("times") >= k).alias("full_events"),
+    )
+    return out.withColumns({"reduction": 1 - fn.ratio(F.col("n_events"), F.col("n_candidates")), "media_fraction": fn.ratio(F.col("union_us"), F.col("duration_us"))}).drop("duration_us", "union_us")
+
+
+def best_clustering(table: DataFrame, recall: DataFrame) -> DataFrame:
+    """Of each media that misses nothing, the setting of fewest events, then images, total and longest duration, and setting.
+
+    recall(media_id, n_intervals, detected), as detections gives it.
+    """
+    key = F.struct("n_events", "images", "total_us", "longest_us", "gap", "context", "longest")
+    held = table.join(recall.where("n_intervals > 0 and detected = n_intervals").select(KEY), KEY, "left_semi")
+    return held.groupBy(KEY).agg(F.min(key).alias("best")).select(KEY, "best.*")
+
+
+def detections(candidates: DataFrame, truth: DataFrame, *, tol: int, width: int) -> DataFrame:
+    """Per media: intervals, those that hold a candidate, and those that one lies within tol of; with the recalls."""
+    pairs = points_in_intervals(candidates.select(KEY, "ts_us"), truth, width=width, tol=tol)
+    inside = F.bool_or(F.col("ts_us").between(F.col("i_start_us"), F.col("i_end_us")))
+    hit = pairs.groupBy(KEY, F.col("i_interval_id").alias("interval_id")).agg(inside.alias("inside"), F.lit(True).alias("near"))
+    out = truth.select(KEY, "interval_id").join(hit, [KEY, "interval_id"], "left").groupBy(KEY)
+    out = out.agg(F.count("*").alias("n_intervals"), F.count_if("inside").alias("detected"), F.count_if("near").alias("detected_near"))
+    return out.withColumns({"recall": fn.ratio(F.col("detected"), F.col("n_intervals")), "recall_near": fn.ratio(F.col("detected_near"), F.col("n_intervals"))})
+
+
 def fuse_evidence(visual: DataFrame, text: DataFrame, media: DataFrame, *, t_visual: float, t_text: float, gap: int, pad: int, width: int, tol: int = 1_000_000, related: Sequence[Sequence[str]] = ()) -> DataFrame:
     """Suggestions: visual evidence, boosted by text within tol, padded and merged within gap; text alone makes none.
 

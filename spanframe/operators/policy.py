@@ -3,14 +3,14 @@ meet intervals once, and the grid of policies meets the small table of maxima.""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from .intervals import merge_intervals
-from .timeline import KEY, points_in_intervals
+from .timeline import KEY, ordered_pass, points_in_intervals
 
 #: Ranges that a column's distinct values are dealt over.
 RANGES = 64
@@ -142,3 +142,157 @@ def sampling_robustness(samples: DataFrame, truth: DataFrame, *, gap: int, phase
 
 def worst_case(phases: DataFrame, total: int) -> DataFrame:
     return phases.agg(F.min("detected").alias("least_detected"), F.max("detected").alias("most_detected"), F.min("retained").alias("least_retained"), F.max("retained").alias("most_retained"), F.avg("retained").alias("mean_retained"), F.count_if(F.col("detected") < total).alias("failing_phases"))
+
+
+def samplings(samples: DataFrame, gaps: Sequence[int], *, scene: bool = True, tie: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Samples with held: the names of the samplings that keep them, gap:<gap> (the first, then each first one at least gap
+    after the last one kept) and, with scene, gap:<gap>+scene (those and all scene samples). One ordered pass for all gaps."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last: list[int | None] = [None] * len(gaps)
+        for row in rows:
+            kept = []
+            for i, gap in enumerate(gaps):
+                if last[i] is None or row[0] - last[i] >= gap:
+                    last[i] = row[0]
+                    kept.append(f"gap:{gap}")
+            if kept:
+                yield *row[1:], kept
+
+    named = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in tie)
+    kept = ordered_pass(samples, [KEY], ["ts_us", *tie], ["ts_us", *tie], fold, f"{named}, held array<string>")
+    out = samples.join(kept, [KEY, *tie], "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    if not scene:
+        return out
+    every = F.array(*[F.lit(f"gap:{g}+scene") for g in gaps])
+    return out.withColumn("held", F.concat("held", F.when(F.col("scene"), every).otherwise(F.transform("held", lambda x: F.concat(x, F.lit("+scene"))))))
+
+
+def sampling_names(gaps: Sequence[int], scene: bool = True) -> list[str]:
+    return [f"gap:{g}" for g in gaps] + ([f"gap:{g}+scene" for g in gaps] if scene else [])
+
+
+def union_policies(semantic: DataFrame, baselines: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """semantic(strategy, t_c, t_d) alone, each baseline (name, t_a, t_b) alone, and each of the one with each of the other.
+
+    What a policy does not use is null, and its name is empty.
+    """
+    some = F.array(*[F.struct(F.lit(n).alias("baseline"), F.lit(float(a)).alias("t_a"), F.lit(float(b)).alias("t_b")) for n, a, b in baselines])
+    none = F.struct(F.lit("").alias("baseline"), F.lit(None).cast("double").alias("t_a"), F.lit(None).cast("double").alias("t_b"))
+    with_semantic = semantic.select("strategy", F.col("t_c").cast("double").alias("t_c"), F.col("t_d").cast("double").alias("t_d"), F.explode(F.concat(some, F.array(none))).alias("x"))
+    alone = semantic.sparkSession.range(1).select(F.lit("").alias("strategy"), F.lit(None).cast("double").alias("t_c"), F.lit(None).cast("double").alias("t_d"), F.explode(some).alias("x"))
+    return with_semantic.unionByName(alone).select("x.baseline", "strategy", "x.t_a", "x.t_b", "t_c", "t_d")
+
+
+#: Thresholds of a union policy by the score that they bound.
+_PARTS = {"a": "t_a", "b": "t_b", "c": "t_c", "d": "t_d"}
+
+
+def _policy_counts(rows: DataFrame, policies: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
+    """rows(config, strategy, a, b, c, d) -> counts of the rows that each policy of their strategy takes, by config.
+
+    As passing_counts: a row is placed by how many thresholds of each kind it reaches, and only counts of places meet policies.
+    """
+    lists = policies.groupBy("strategy").agg(*[F.array_sort(F.collect_set(t)).alias(f"__{t}") for t in _PARTS.values()])
+    upto = lambda score: lambda y: y <= F.col(score)
+    reached = [F.size(F.filter(F.col(f"__{t}"), upto(s))).alias(f"__r{s}") for s, t in _PARTS.items()]
+    places = rows.join(F.broadcast(lists), "strategy").select("config", "strategy", *reached, *[x.cast("bigint").alias(c) for c, x in counts.items()])
+    places = places.groupBy("config", "strategy", *[f"__r{s}" for s in _PARTS]).agg(*[F.sum(c).alias(c) for c in counts])
+    at = [F.when(F.col(t).isNotNull(), F.array_position(F.col(f"__{t}"), F.col(t)).cast("int")).alias(f"__p{s}") for s, t in _PARTS.items()]
+    grid = policies.join(F.broadcast(lists), "strategy").select("baseline", "strategy", *_PARTS.values(), *at)
+    taken = F.lit(False)
+    for s in _PARTS:
+        taken = taken | F.coalesce(F.col(f"__r{s}") >= F.col(f"__p{s}"), F.lit(False))
+    sums = [F.sum(F.when(taken, F.col(c)).otherwise(0)).alias(c) for c in counts] + [F.sum(c).alias(f"all_{c}") for c in counts]
+    return grid.join(places, "strategy").groupBy("config", "baseline", "strategy", *_PARTS.values()).agg(*sums)
+
+
+def evaluate_union(samples: DataFrame, truth: DataFrame, policies: DataFrame, strategies: Mapping[str, tuple[str, str]], *, tol: int, width: int, configs: Sequence[str] = ()) -> DataFrame:
+    """Per policy (union_policies): intervals detected exactly and with tol, candidates, those inside an interval, and rates.
+
+    A sample is a candidate if a >= t_a, b >= t_b, or one of the strategy's two columns reaches t_c or t_d. configs: names of
+    samplings; with them the strategy's columns count only where the sample's held has the name, and each config has its own
+    rows (config is "all" otherwise). Samples meet intervals once; each sampling costs a pass over counts, not over pairs.
+    """
+    names = list(configs) or ["all"]
+    seen = F.array_contains("held", F.col("config")) if configs else F.lit(True)
+    columns = sorted({c for pair in strategies.values() for c in pair})
+    scores = ["a", "b", *columns]
+    kept = [KEY, "sample_id", "ts_us", *scores, *(["held"] if configs else [])]
+    rows = samples.select(*[c for c in dict.fromkeys(kept)])
+    each = F.explode(F.array(*[F.lit(n) for n in names])).alias("config")
+    ways = [("", None, None), *((n, *pair) for n, pair in strategies.items())]
+
+    def long(df: DataFrame, end: str, also: Sequence[str] = ()) -> DataFrame:
+        """A row for each strategy, with its two columns as c and d."""
+        pick = lambda c: (F.col(f"{c}{end}") if c else F.lit(None)).cast("double")
+        parts = F.array(*[F.struct(F.lit(n).alias("strategy"), pick(c).alias("c"), pick(e).alias("d")) for n, c, e in ways])
+        return df.select("config", F.col(f"a{end}").cast("double").alias("a"), F.col(f"b{end}").cast("double").alias("b"), *also, F.explode(parts).alias("x")).select("config", "a", "b", *also, "x.*")
+
+    pairs = points_in_intervals(rows, truth.select(KEY, "interval_id", "start_us", "end_us"), width=width, tol=tol)
+    exact = F.col("ts_us").between(F.col("i_start_us"), F.col("i_end_us"))
+    by_config = lambda df: df.select("*", each).withColumns({c: F.when(seen, F.col(c)) for c in columns})
+    best = by_config(pairs).groupBy("config", KEY, F.col("i_interval_id").alias("interval_id"))
+    best = best.agg(*[F.max(F.when(exact, F.col(s))).alias(f"{s}_in") for s in scores], *[F.max(s).alias(f"{s}_near") for s in scores])
+    maxima = truth.select(KEY, "interval_id", each).join(best, ["config", KEY, "interval_id"], "left")
+    one = F.lit(1)
+    found = _policy_counts(long(maxima, "_in"), policies, {"detected": one}).withColumnRenamed("all_detected", "n_intervals")
+    near = _policy_counts(long(maxima, "_near"), policies, {"detected_near": one}).drop("all_detected_near")
+    inside = pairs.where(exact).select(KEY, "sample_id").distinct().withColumn("inside", F.lit(1))
+    flagged = by_config(rows.join(inside, [KEY, "sample_id"], "left")).withColumn("kept", F.coalesce(seen, F.lit(False)).cast("int"))
+    taken = _policy_counts(long(flagged, "", ("inside", "kept")), policies, {"n_candidates": one, "n_inside": F.coalesce("inside", F.lit(0)), "n_retained": F.col("kept")})
+    taken = taken.drop("all_n_inside", "n_retained").withColumnsRenamed({"all_n_candidates": "n_samples", "all_n_retained": "n_retained"})
+    # thresholds may be null, so the tables meet by names and a text of the thresholds
+    on = ["config", "policy"]
+    name = F.to_json(F.struct("baseline", "strategy", *_PARTS.values()))
+    out = taken.withColumn("policy", name)
+    for t in (found, near):
+        out = out.join(t.withColumn("policy", name).drop("baseline", "strategy", *_PARTS.values()), on)
+    rates = {"recall": ratio(F.col("detected"), F.col("n_intervals")), "recall_near": ratio(F.col("detected_near"), F.col("n_intervals")), "candidate_rate": ratio(F.col("n_candidates"), F.col("n_samples")), "precision": ratio(F.col("n_inside"), F.col("n_candidates"))}
+    return out.withColumns(rates).drop("policy")
+
+
+def union_workload(samples: DataFrame, policies: DataFrame, strategies: Mapping[str, tuple[str, str]], grid: Sequence[tuple[int, int]], *, images: int = 6, tie: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Per media, policy and (context, gap): windows of its candidates widened by context and merged within gap, their total
+    time, mean, share of the media, and images.
+
+    A candidate stands once for each policy that takes it; the whole grid of contexts and gaps is one aggregate over the times
+    between candidates. policies is a table of settings and is broadcast. samples need duration_us.
+    """
+    named = policies.select(F.struct("baseline", "strategy", *_PARTS.values()).alias("p"))
+    score = lambda p, i: F.coalesce(*[F.when(p["strategy"] == n, F.col(pair[i]).cast("double")) for n, pair in strategies.items()])
+    hit = lambda x: F.coalesce(x, F.lit(False))
+    takes = lambda p: hit(F.col("a") >= p["t_a"]) | hit(F.col("b") >= p["t_b"]) | hit(score(p, 0) >= p["t_c"]) | hit(score(p, 1) >= p["t_d"])
+    rows = samples.join(F.broadcast(named.agg(F.collect_list("p").alias("ps")))).withColumn("p", F.explode(F.filter("ps", takes)))
+    w = Window.partitionBy(KEY, "p").orderBy("ts_us", *tie)
+    rows = rows.select(KEY, "p", "ts_us", "duration_us", F.lag("ts_us").over(w).alias("before"))
+    end = lambda t, c: F.least("duration_us", t + c)
+    aggs = []
+    for c, g in grid:
+        start, last = F.greatest(F.lit(0), F.col("ts_us") - c), end(F.col("before"), c)
+        fresh = F.col("before").isNull() | (start > last + g)
+        aggs += [F.struct(F.lit(c).alias("context"), F.lit(g).alias("gap"), F.count_if(fresh).alias("n_windows"), F.sum(end(F.col("ts_us"), c) - F.when(fresh, start).otherwise(last)).alias("total_us"))]
+    out = rows.groupBy("p", KEY).agg(F.max("duration_us").alias("duration_us"), F.array(*aggs).alias("x")).withColumn("x", F.explode("x")).select(KEY, "p.*", "x.*", "duration_us")
+    return out.withColumns({"mean_us": ratio(F.col("total_us"), F.col("n_windows")), "media_fraction": ratio(F.col("total_us"), F.col("duration_us")), "images": F.col("n_windows") * images}).drop("duration_us")
+
+
+def sampling_summary(table: DataFrame, *, full_seconds: float | None = None) -> DataFrame:
+    """Per config of evaluate_union: samples kept, reduction factor, the time of scoring them if all take full_seconds (in
+    proportion), how many policies with a strategy miss nothing, and of those the one of the least candidate rate."""
+    exact = (F.col("n_intervals") > 0) & (F.col("detected") == F.col("n_intervals")) & (F.col("strategy") != "") & (F.col("baseline") != "")
+    best = F.min(F.when(exact, F.struct("candidate_rate", "baseline", "strategy", "t_c", "t_d")))
+    out = table.groupBy("config").agg(F.max("n_retained").alias("n_retained"), F.max("n_samples").alias("n_samples"), F.count_if(exact).alias("n_exact"), best.alias("best"))
+    out = out.withColumn("reduction", ratio(F.col("n_samples"), F.col("n_retained")))
+    seconds = F.lit(full_seconds).cast("double") * ratio(F.col("n_retained"), F.col("n_samples"))
+    return out.withColumn("seconds", seconds).select("config", "n_retained", "reduction", "seconds", "n_exact", "best.*")
+
+
+def resolve_policy(summary: DataFrame, baselines: DataFrame, config: str) -> DataFrame:
+    """The policy that a saved summary gives as best for a config, with its baseline's thresholds; an error if there is none.
+
+    summary as sampling_summary gives it, baselines(baseline, t_a, t_b).
+    """
+    held = summary.where((F.col("config") == config) & (F.col("n_exact") > 0)).join(baselines.select("baseline", "t_a", "t_b"), "baseline")
+    one = held.groupBy().agg(F.count("*").alias("n"), F.first(F.struct("config", "baseline", "t_a", "t_b", "strategy", "t_c", "t_d", "candidate_rate")).alias("p"))
+    checked = F.when(F.col("n") == 1, F.col("p")).otherwise(F.raise_error(F.lit(f"no single policy of {config} misses nothing")).cast(one.schema["p"].dataType))
+    return one.select(checked.alias("p")).select("p.*")

@@ -6,8 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment as al
-from ..operators import planning as pl
-from ..operators import policy as po
 from ..operators import runs as rn
 from ..operators import stats as st
 from ..sources import readers as rd
@@ -224,33 +222,6 @@ def _(spark, d):
     return out.withColumn("max_difference", F.round("max_difference", 7))
 
 
-_GRID = [(a, b) for a in (0.05, 0.2, 0.5) for b in (0.6, 0.9)]
-
-
-@register("e03_evaluate_union", duck(f"""SELECT t_a, t_b, count(*) AS n_intervals, count(*) FILTER (coalesce(a_in >= t_a, false) OR coalesce(b_in >= t_b, false)) AS detected FROM (SELECT t.media_id, t.interval_id, max(a::DOUBLE) FILTER (ts_us BETWEEN t.start_us AND t.end_us) AS a_in, max(b::DOUBLE) FILTER (NOT scene AND ts_us BETWEEN t.start_us AND t.end_us) AS b_in FROM truth t LEFT JOIN samples s
- ON s.media_id = t.media_id AND ts_us BETWEEN t.start_us - {HOUR} AND t.end_us + {HOUR} GROUP BY 1, 2), (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in _GRID)}) g(t_a, t_b)) GROUP BY 1, 2"""))
-def _(spark, d):
-    s = standin(spark, d, "samples").withColumns({"a": F.col("a").cast("double"), "b": F.when(~F.col("scene"), F.col("b").cast("double"))})
-    out = po.evaluate_thresholds(s, standin(spark, d, "truth"), spark.createDataFrame(_GRID, "t_a double, t_b double"), tol=HOUR, width=4 * HOUR)
-    return out.select("t_a", "t_b", "n_intervals", "detected")
-
-
-@register("e04_evaluate_clustering", duck(f"SELECT gap_us, media_id, count(*) AS n_events FROM (SELECT gap_us, media_id, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY gap_us, media_id ORDER BY ts_us, sample_id) <= gap_us THEN 0 ELSE 1 END AS fresh FROM samples, (SELECT unnest([{HOUR}, {6 * HOUR}, {12 * HOUR}]) AS gap_us)) WHERE fresh = 1 GROUP BY 1, 2"))
-def _(spark, d):
-    rows = standin(spark, d, "samples").withColumns({"by_a": F.lit(True), "by_b": F.lit(False)})
-    out = None
-    for gap in (HOUR, 6 * HOUR, 12 * HOUR):
-        events = pl.cluster_events(rows, gap=gap, context=HOUR, longest=10**15).groupBy("media_id").agg(F.count("*").alias("n_events")).withColumn("gap_us", F.lit(gap))
-        out = events if out is None else out.unionByName(events)
-    return out
-
-
-@register("e07_resolve_policy", duck("SELECT media_id, arg_min(sample_id, (-ts_us, sample_id)) AS sample_id FROM samples WHERE a >= 0.05 GROUP BY 1"))
-def _(spark, d):
-    rows = standin(spark, d, "samples").where("a >= 0.05")
-    return rows.groupBy("media_id").agg(F.min_by("sample_id", F.struct((-F.col("ts_us")).alias("t"), "sample_id")).alias("sample_id"))
-
-
 @register("t06_prompt_ranking", "SELECT label, row_number() OVER (ORDER BY q DESC NULLS LAST, label) AS place FROM (SELECT label, quantile_cont(embedding[1]::DOUBLE, 0.99) AS q FROM embeddings GROUP BY 1)")
 def _(spark, d):
     rows = _t(spark, d, "embeddings").groupBy("label").agg(F.percentile(F.col("embedding")[0].cast("double"), 0.99).alias("q"))

@@ -214,11 +214,6 @@ def _phases(spark, d):
     return po.sampling_robustness(_samples(spark, d), standin(spark, d, "truth"), gap=24 * HOUR, phases=[0, 8 * HOUR, 16 * HOUR], t_a=0.05, width=4 * HOUR)
 
 
-@register("e05_sampling_ablation", duck("SELECT phase, retained, detected FROM ph", _E6))
-def _(spark, d):
-    return _phases(spark, d)
-
-
 @register("e06_sampling_robustness", duck("SELECT min(detected) AS least_detected, max(detected) AS most_detected, min(retained) AS least_retained, max(retained) AS most_retained, round(avg(retained), 6) AS mean_retained, count(*) FILTER (detected < 100) AS failing_phases FROM ph", _E6))
 def _(spark, d):
     return po.worst_case(_phases(spark, d), 100).withColumn("mean_retained", F.round("mean_retained", 6))
