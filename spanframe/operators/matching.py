@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .intervals import intersect_intervals, merge_intervals, subtract_intervals, total_duration
-from .timeline import KEY, interval_islands, points_in_intervals
+from .intervals import intersect_intervals, merge_intervals, total_duration
+from .timeline import KEY, as_of, interval_islands
 
 #: Sums of overlaps that differ by less are equal.
 EPS = 1e-12
@@ -65,24 +65,24 @@ def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     return assign_edges({(int(r), int(c)): float(weight[r, c]) for r, c in np.argwhere(weight > 0)})
 
 
-def match_events(predicted: DataFrame, truth: DataFrame, *, thresholds: Sequence[float], width: int, ident: str = "interval_id", by: Sequence[str] = (KEY, "category"), length: str | None = None) -> DataFrame:
+def match_events(predicted: DataFrame, truth: DataFrame, *, thresholds: Sequence[float], width: int, ident: str = "interval_id", by: Sequence[str] = (KEY, "category"), carry: Sequence[str] = ()) -> DataFrame:
     """One-to-one pairs of each group and IoU threshold: most pairs, then the greatest sum of IoU, ties by ids.
 
     Pairs that are each other's only choice are settled in SQL. Contested pairs are split on Spark into islands of pairs that
-    touch in time, which never influence each other, and each island goes to a solver that holds its pairs alone. length: a
-    column with the length of all fragments of an id, where an id may stand in several rows; else each row is an id.
+    touch in time, which never influence each other, and each island goes to a solver that holds its pairs alone. carry:
+    columns of both sides that pairs keep, as p_<name> and t_<name>.
     """
     same = " AND ".join(f"{c} <=> r_{c}" for c in by if c != KEY) or "true"
     pairs = intersect_intervals(predicted, truth, width=width).where(same)
-    whole = (F.col(length), F.col(f"r_{length}")) if length else (F.col("end_us") - F.col("start_us"), F.col("r_end_us") - F.col("r_start_us"))
-    pairs = pairs.select(*by, F.col(ident).alias("p"), F.col(f"r_{ident}").alias("t"), (F.col("overlap_end_us") - F.col("overlap_start_us")).alias("both"), (whole[0] + whole[1]).alias("sides"), F.least("start_us", "r_start_us").alias("lo"), F.greatest("end_us", "r_end_us").alias("hi"))
-    if length:
-        pairs = pairs.groupBy(*by, "p", "t").agg(F.sum("both").alias("both"), F.first("sides").alias("sides"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    kept = [F.col(c).alias(f"p_{c}") for c in carry] + [F.col(f"r_{c}").alias(f"t_{c}") for c in carry]
+    both = F.col("overlap_end_us") - F.col("overlap_start_us")
+    share = both / (F.col("end_us") - F.col("start_us") + F.col("r_end_us") - F.col("r_start_us") - both)
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    pairs = pairs.withColumn("iou", F.col("both") / (F.col("sides") - F.col("both"))).select(*by, "p", "t", "iou", "lo", "hi", grid).where("iou >= threshold")
+    pairs = pairs.select(*by, F.col(ident).alias("p"), F.col(f"r_{ident}").alias("t"), share.alias("iou"), F.least("start_us", "r_start_us").alias("lo"), F.greatest("end_us", "r_end_us").alias("hi"), *kept, grid).where("iou >= threshold")
     counted = pairs.withColumn("np", F.count("*").over(Window.partitionBy(*by, "threshold", "p"))).withColumn("nt", F.count("*").over(Window.partitionBy(*by, "threshold", "t")))
-    settled = counted.where("np = 1 and nt = 1").select(*by, "threshold", "p", "t", "iou")
-    contested = interval_islands(counted.where("np > 1 or nt > 1"), start="lo", end="hi", key=(*by, "threshold")).select(*by, "threshold", "p", "t", "iou", "island")
+    columns = (*by, "threshold", "p", "t", "iou", *(f"{x}_{c}" for x in "pt" for c in carry))
+    settled = counted.where("np = 1 and nt = 1").select(*columns)
+    contested = interval_islands(counted.where("np > 1 or nt > 1"), start="lo", end="hi", key=(*by, "threshold")).select(*columns, "island")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ps, ts = np.unique(pdf["p"], return_inverse=True)[1], np.unique(pdf["t"], return_inverse=True)[1]
@@ -92,18 +92,28 @@ def match_events(predicted: DataFrame, truth: DataFrame, *, thresholds: Sequence
     return settled.unionByName(contested.groupBy(*by, "threshold", "island").applyInPandas(solve, contested.schema).drop("island"))
 
 
-def visible(events: DataFrame, excluded: DataFrame | None, *, width: int, ident: str = "interval_id") -> DataFrame:
-    """Events less the excluded ranges, a row for each fragment, with whole_us (what is left of the event), event_start_us,
-    event_end_us, and whether these lie outside of all excluded ranges, edges included (start_seen, end_seen)."""
+def visible(events: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """Events on the timeline that is left when excluded ranges are cut out: start_us and end_us are moved there, so that an
+    event's fragments are one interval of their total length, and what an exclusion hides has no length.
+
+    event_start_us and event_end_us keep the times; start_seen and end_seen say whether these lie outside of all excluded
+    ranges, edges included. One sort of events' ends among the ranges.
+    """
     rows = events.withColumns({"event_start_us": F.col("start_us"), "event_end_us": F.col("end_us")})
     if excluded is None:
-        return rows.withColumns({"start_seen": F.lit(True), "end_seen": F.lit(True), "whole_us": F.col("end_us") - F.col("start_us")})
-    for edge in ("start", "end"):
-        marks = rows.select(KEY, ident, F.col(f"event_{edge}_us").alias("ts_us"))
-        hidden = points_in_intervals(marks, excluded.select(KEY, "start_us", "end_us"), width=width).select(KEY, ident).distinct()
-        rows = rows.join(hidden.withColumn(f"{edge}_seen", F.lit(False)), [KEY, ident], "left").withColumn(f"{edge}_seen", F.coalesce(f"{edge}_seen", F.lit(True)))
-    left = subtract_intervals(rows, excluded, width=width, identity=ident)
-    return left.withColumn("whole_us", F.sum(F.col("end_us") - F.col("start_us")).over(Window.partitionBy(KEY, ident)))
+        return rows.withColumns({"start_seen": F.lit(True), "end_seen": F.lit(True)})
+    before = Window.partitionBy(KEY).orderBy("start_us").rowsBetween(Window.unboundedPreceding, -1)
+    marks = merge_intervals(excluded.select(KEY, "start_us", "end_us"))
+    marks = marks.select(KEY, F.col("start_us").alias("mark_us"), F.col("end_us").alias("until"), F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(before), F.lit(0)).alias("hidden"))
+    event = F.struct(*[c for c in rows.columns if c != KEY])
+    ends = F.explode(F.array(F.struct(F.lit("start").alias("edge"), F.col("start_us").alias("ts_us")), F.struct(F.lit("end").alias("edge"), F.col("end_us").alias("ts_us"))))
+    points = rows.select(KEY, event.alias("event"), ends.alias("x")).select(KEY, "event", "x.*")
+    placed = as_of(points, marks, payload=("until", "hidden"))
+    at = F.col("ts_us") - F.coalesce(F.col("prev_hidden") + F.least("ts_us", "prev_until") - F.col("prev_us"), F.lit(0))
+    placed = placed.select(KEY, "event", "edge", at.alias("at"), F.coalesce(F.col("ts_us") > F.col("prev_until"), F.lit(True)).alias("seen"))
+    pick = lambda c, e: F.max(F.when(F.col("edge") == e, F.col(c)))
+    out = placed.groupBy(KEY, "event").agg(pick("at", "start").alias("s"), pick("at", "end").alias("e"), pick("seen", "start").alias("start_seen"), pick("seen", "end").alias("end_seen"))
+    return out.select(KEY, *[F.col(f"event.{c}").alias(c) for c in rows.columns if c not in (KEY, "start_us", "end_us")], F.col("s").alias("start_us"), F.col("e").alias("end_us"), "start_seen", "end_seen")
 
 
 #: Sums of evaluate_media by threshold, and by media and category alone.
@@ -125,37 +135,35 @@ def evaluate_media(predicted: DataFrame, truth: DataFrame, media: DataFrame, exc
     if binary:
         merged = merge_intervals(truth, carry={"interval_id": "min"})
         predicted, truth = (df.withColumn("category", F.lit("binary")) for df in (predicted, merged))
-    sides = [df.select(*columns).where("category is not null and end_us > start_us").join(media.select(KEY), KEY, "left_semi") for df in (predicted, truth)]
-    seen = [visible(df, excluded, width=width) for df in sides]
-    pairs = match_events(*seen, thresholds=thresholds, width=width, length=None if excluded is None else "whole_us")
-    edges = lambda df, name: df.select(*by, F.col("interval_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("event_start_us", "event_end_us", "start_seen", "end_seen")]).dropDuplicates([*by, name])
-    pairs = pairs.join(edges(seen[0], "p"), [*by, "p"]).join(edges(seen[1], "t"), [*by, "t"])
-    zero = dict.fromkeys((*COUNTS, "n_predicted", "n_true"), F.lit(0).cast("bigint"))
-    error = {e: F.when(F.col(f"p_{e}_seen") & F.col(f"t_{e}_seen"), F.col(f"p_event_{e}_us") - F.col(f"t_event_{e}_us")) for e in ("start", "end")}
-    found = {"tp": F.lit(1).cast("bigint")}
-    for e, x in error.items():
-        found |= {f"{e}_n": x.isNotNull().cast("bigint"), f"{e}_bias_us": F.coalesce(x, F.lit(0)), f"{e}_error_us": F.coalesce(F.abs(x), F.lit(0))}
-    row = lambda df, have: df.select(*by, "threshold", *[c.alias(n) for n, c in (zero | have).items()])
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    ids = [df.select(*by, "interval_id").distinct().withColumn("threshold", grid) for df in seen]
-    one = F.lit(1).cast("bigint")
-    sums = row(pairs, found).unionByName(row(ids[0], {"n_predicted": one})).unionByName(row(ids[1], {"n_true": one}))
-    sums = sums.groupBy(*by, "threshold").agg(*[F.sum(c).alias(c) for c in zero])
-    sums = sums.withColumns({"fp": F.col("n_predicted") - F.col("tp"), "fn": F.col("n_true") - F.col("tp")}).drop("n_predicted", "n_true")
-    # times, and events that the exclusions hide
-    lost = lambda whole, left, name: whole.select(*by, "interval_id").distinct().join(left.select(*by, "interval_id").distinct(), [*by, "interval_id"], "left_anti").groupBy(*by).agg(F.count("*").alias(name))
-    hidden = [] if excluded is None else [lost(sides[0], seen[0], "ignored_predicted"), lost(sides[1], seen[1], "ignored_true")]
-    times = coverage(*seen, width=width, by=by).withColumnsRenamed({"truth_us": "target_us", "both_us": "covered_us"})
-    for h in hidden:
-        times = times.join(h, list(by), "full")
-    lengths = media.select(KEY, "duration_us")
+    sides = [df.select(*columns, F.lit(n).alias("side")).where("category is not null and end_us > start_us") for n, df in (("p", predicted), ("t", truth))]
+    seen = visible(sides[0].unionByName(sides[1]).join(media.select(KEY), KEY, "left_semi"), excluded)
+    pairs = match_events(*(seen.where((F.col("side") == n) & (F.col("end_us") > F.col("start_us"))) for n in "pt"), thresholds=thresholds, width=width, carry=("event_start_us", "event_end_us", "start_seen", "end_seen"))
+    hits = [F.count("*").alias("tp")]
+    for e in ("start", "end"):
+        x = F.when(F.col(f"p_{e}_seen") & F.col(f"t_{e}_seen"), F.col(f"p_event_{e}_us") - F.col(f"t_event_{e}_us"))
+        hits += [F.count(x).alias(f"{e}_n"), F.sum(x).alias(f"{e}_bias_us"), F.sum(F.abs(x)).alias(f"{e}_error_us")]
+    hits = pairs.groupBy(*by, "threshold").agg(*hits)
+    # one sweep over the ends of both sides: what is open between two of them
+    ends = F.explode(F.array(F.struct(F.col("start_us").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_us").alias("at"), F.lit(-1).alias("step"))))
+    swept = seen.select(*by, "side", (F.col("end_us") > F.col("start_us")).alias("shown"), ends.alias("x")).select(*by, "side", "shown", "x.*")
+    order = Window.partitionBy(*by).orderBy("at", "step", "side")
+    is_open = {n: F.sum(F.when(F.col("side") == n, F.col("step")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) > 0 for n in "pt"}
+    swept = swept.withColumns({"span": F.coalesce(F.lead("at").over(order) - F.col("at"), F.lit(0)), "p": is_open["p"], "t": is_open["t"], "first": F.col("step") == 1})
+    total = lambda x: F.coalesce(F.sum(F.when(x, F.col("span"))), F.lit(0))
+    number = lambda n, shown: F.count_if(F.col("first") & (F.col("side") == n) & (F.col("shown") == shown))
+    times = swept.groupBy(*by).agg(
+        total(F.col("t")).alias("target_us"), total(F.col("p")).alias("predicted_us"), total(F.col("p") & F.col("t")).alias("covered_us"),
+        number("p", True).alias("n_predicted"), number("t", True).alias("n_true"), number("p", False).alias("ignored_predicted"), number("t", False).alias("ignored_true"),
+    )
+    lengths = media.select(KEY, F.col("duration_us").alias("evaluated_us"))
     if excluded is not None:
-        inside = excluded.join(lengths, KEY).select(KEY, F.greatest("start_us", F.lit(0)).alias("start_us"), F.least("end_us", "duration_us").alias("end_us")).where("end_us > start_us")
-        lengths = lengths.join(total_duration(merge_intervals(inside)), KEY, "left")
-        lengths = lengths.withColumn("duration_us", F.col("duration_us") - F.coalesce("total_us", F.lit(0)))
-    every = times.select(*by).distinct().withColumn("threshold", grid)
-    out = every.join(sums, [*by, "threshold"], "left").join(times, list(by)).join(lengths.select(KEY, F.col("duration_us").alias("evaluated_us")), KEY)
-    return out.select(*by, "threshold", *[(F.coalesce(c, F.lit(0)) if c in out.columns else F.lit(0)).cast("bigint").alias(c) for c in (*COUNTS, *TIMES)])
+        inside = excluded.join(media.select(KEY, "duration_us"), KEY).select(KEY, F.greatest("start_us", F.lit(0)).alias("start_us"), F.least("end_us", "duration_us").alias("end_us"))
+        lengths = lengths.join(total_duration(merge_intervals(inside)), KEY, "left").select(KEY, (F.col("evaluated_us") - F.coalesce("total_us", F.lit(0))).alias("evaluated_us"))
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    out = times.select("*", grid).join(hits, [*by, "threshold"], "left").join(lengths, KEY)
+    counts = {c: F.coalesce(c, F.lit(0)) for c in COUNTS if c not in ("fp", "fn")}
+    counts |= {"fp": F.col("n_predicted") - counts["tp"], "fn": F.col("n_true") - counts["tp"]}
+    return out.select(*by, "threshold", *[counts[c].cast("bigint").alias(c) for c in COUNTS], *[F.col(c).cast("bigint").alias(c) for c in TIMES])
 
 
 def scorable(items: DataFrame, results: DataFrame, category: str | None = None) -> DataFrame:
@@ -166,7 +174,7 @@ def scorable(items: DataFrame, results: DataFrame, category: str | None = None)
     """
     held = items.where(F.coalesce("binary_exhaustive", F.lit(False)))
     held = held if category is None else held.where(F.array_contains("exhaustive_categories", category))
-    done = results.groupBy(KEY).agg((F.max("status") == "completed").__and__(F.min("status") == "completed").alias("usable"))
+    done = results.groupBy(KEY).agg(F.bool_and(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("usable"))
     return held.join(done, KEY, "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import matching as mt
 from ..operators import sampling as sm
 from .registry import register
-from .standins import HOUR, duck, merged, standin
+from .standins import HOUR, MINUTE, duck, merged, standin
 
 _S = ("sample_id",)
 
@@ -124,19 +124,61 @@ def _(spark, d):
     return sm.sample_gaps(standin(spark, d, "samples"), tie=_S).withColumn("mean_us", F.round("mean_us", 3))
 
 
-@register("e08_match_events")
+def _scores(excluded: str) -> str:
+    """CTEs of event matching by enumeration: excluded is a relation of ranges. pairs: the best matching of each island."""
+    cut = lambda s, e, m: f"coalesce((SELECT sum(least(x.end_us, {e}) - greatest(x.start_us, {s})) FROM mx x WHERE x.media_id = {m} AND x.start_us < {e} AND {s} < x.end_us), 0)::BIGINT"
+    seen = lambda c: f"NOT EXISTS (SELECT 1 FROM mx x WHERE x.media_id = v.media_id AND {c} BETWEEN x.start_us AND x.end_us)"
+    side = lambda t: f"(SELECT media_id, interval_id, category, start_us, end_us, end_us - start_us - {cut('v.start_us', 'v.end_us', 'v.media_id')} AS whole, {seen('v.start_us')} AS ss, {seen('v.end_us')} AS es FROM {t} v WHERE end_us > start_us)"
+    union = lambda t: f"(SELECT media_id, category, sum(end_us - start_us - {cut('v.start_us', 'v.end_us', 'v.media_id')})::BIGINT AS us FROM {merged(t, key='media_id, category')} v GROUP BY ALL)"
+    lo, hi = "greatest(p.start_us, t.start_us)", "least(p.end_us, t.end_us)"
+    return f"""mx AS (SELECT * FROM {merged(excluded)}), pv AS {side('predicted')}, tv AS {side('truth')},
+ov AS (SELECT p.media_id, p.category, p.interval_id AS p, t.interval_id AS t, {hi} - {lo} - {cut(lo, hi, 'p.media_id')} AS common, p.whole + t.whole AS sides, least(p.start_us, t.start_us) AS lo, greatest(p.end_us, t.end_us) AS hi FROM pv p JOIN tv t ON p.media_id = t.media_id AND p.category = t.category AND p.start_us < t.end_us AND t.start_us < p.end_us),
+ed AS (SELECT * FROM (SELECT media_id, category, p, t, common / (sides - common) AS iou, lo, hi, unnest([0.25, 0.5, 0.75])::DOUBLE AS threshold FROM ov WHERE common > 0) WHERE iou >= threshold),
+isl AS (SELECT *, row_number() OVER (PARTITION BY media_id, category, threshold, island ORDER BY p, t) AS k, count(*) OVER (PARTITION BY media_id, category, threshold, island) AS m FROM (SELECT *, sum(fresh) OVER (PARTITION BY media_id, category, threshold ORDER BY lo, hi, p, t) AS island FROM
+ (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY media_id, category, threshold ORDER BY lo, hi, p, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM ed))),
+tr AS (WITH RECURSIVE r AS (SELECT media_id, category, threshold, island, m, 0::BIGINT AS k, []::BIGINT[] AS ps, []::BIGINT[] AS ts, []::DOUBLE[] AS w FROM isl WHERE k = 1
+ UNION ALL SELECT r.media_id, r.category, r.threshold, r.island, r.m, i.k, CASE WHEN take THEN list_append(ps, p) ELSE ps END, CASE WHEN take THEN list_append(ts, t) ELSE ts END, CASE WHEN take THEN list_append(w, iou) ELSE w END FROM r JOIN isl i ON (i.media_id, i.category, i.threshold, i.island, i.k) = (r.media_id, r.category, r.threshold, r.island, r.k + 1), (VALUES (true), (false)) x(take) WHERE NOT take OR NOT (list_contains(ps, p) OR list_contains(ts, t))) SELECT * FROM r WHERE k = m),
+best AS (SELECT media_id, category, threshold, arg_max({{'p': ps, 't': ts, 'w': w}}, (len(w), coalesce(list_sum(w), 0))) AS x FROM tr GROUP BY media_id, category, threshold, island),
+pairs AS (SELECT media_id, category, threshold, unnest(x.p) AS p, unnest(x.t) AS t, unnest(x.w) AS iou FROM best),
+every AS (SELECT media_id, category, unnest([0.25, 0.5, 0.75])::DOUBLE AS threshold FROM (SELECT media_id, category FROM pv UNION SELECT media_id, category FROM tv)),
+np AS (SELECT media_id, category, count(*) FILTER (whole > 0) AS n, count(*) FILTER (whole <= 0) AS lost FROM pv GROUP BY ALL), nt AS (SELECT media_id, category, count(*) FILTER (whole > 0) AS n, count(*) FILTER (whole <= 0) AS lost FROM tv GROUP BY ALL),
+mt AS (SELECT q.media_id, q.category, q.threshold, count(*) AS tp, count(*) FILTER (p.ss AND t.ss) AS start_n, coalesce(sum(p.start_us - t.start_us) FILTER (p.ss AND t.ss), 0)::BIGINT AS start_bias_us, coalesce(sum(abs(p.start_us - t.start_us)) FILTER (p.ss AND t.ss), 0)::BIGINT AS start_error_us,
+ count(*) FILTER (p.es AND t.es) AS end_n, coalesce(sum(p.end_us - t.end_us) FILTER (p.es AND t.es), 0)::BIGINT AS end_bias_us, coalesce(sum(abs(p.end_us - t.end_us)) FILTER (p.es AND t.es), 0)::BIGINT AS end_error_us FROM pairs q JOIN pv p ON (p.media_id, p.interval_id) = (q.media_id, q.p) JOIN tv t ON (t.media_id, t.interval_id) = (q.media_id, q.t) GROUP BY ALL),
+cv AS (SELECT p.media_id, p.category, sum({hi} - {lo} - {cut(lo, hi, 'p.media_id')})::BIGINT AS us FROM {merged('predicted', key='media_id, category')} p JOIN {merged('truth', key='media_id, category')} t ON p.media_id = t.media_id AND p.category = t.category AND p.start_us < t.end_us AND t.start_us < p.end_us GROUP BY ALL),
+sc AS (SELECT e.*, coalesce(tp, 0) AS tp, coalesce(np.n, 0) - coalesce(tp, 0) AS fp, coalesce(nt.n, 0) - coalesce(tp, 0) AS fn, {", ".join(f"coalesce({c}, 0) AS {c}" for c in mt.COUNTS[3:])}, m.duration_us - {cut('0', 'm.duration_us', 'm.media_id')} AS evaluated_us,
+ coalesce(tu.us, 0) AS target_us, coalesce(pu.us, 0) AS predicted_us, coalesce(cv.us, 0) AS covered_us, coalesce(np.lost, 0) AS ignored_predicted, coalesce(nt.lost, 0) AS ignored_true FROM every e JOIN media m ON m.media_id = e.media_id LEFT JOIN np ON (np.media_id, np.category) = (e.media_id, e.category) LEFT JOIN nt ON (nt.media_id, nt.category) = (e.media_id, e.category)
+ LEFT JOIN mt ON (mt.media_id, mt.category, mt.threshold) = (e.media_id, e.category, e.threshold) LEFT JOIN {union('predicted')} pu ON (pu.media_id, pu.category) = (e.media_id, e.category) LEFT JOIN {union('truth')} tu ON (tu.media_id, tu.category) = (e.media_id, e.category) LEFT JOIN cv ON (cv.media_id, cv.category) = (e.media_id, e.category))"""
+
+
+_HIDDEN = f"(SELECT media_id, greatest(0, ts_us - {20 * MINUTE}) AS start_us, least(duration_us, ts_us + {20 * MINUTE}) AS end_us FROM samples WHERE scene)"
+
+
+def _evaluated(spark, d):
+    samples = standin(spark, d, "samples").where("scene")
+    hidden = samples.select("media_id", F.greatest(F.lit(0), F.col("ts_us") - 20 * MINUTE).alias("start_us"), F.least("duration_us", F.col("ts_us") + 20 * MINUTE).alias("end_us"))
+    return mt.evaluate_media(standin(spark, d, "predicted"), standin(spark, d, "truth"), standin(spark, d, "media"), hidden, width=2 * HOUR)
+
+
+@register("e08_match_events", duck("SELECT media_id, category, threshold, p, t, round(iou, 9) AS iou FROM pairs", _scores("(SELECT media_id, start_us, end_us FROM truth WHERE false)")))
 def _(spark, d):
-    return mt.match_events(standin(spark, d, "predicted"), standin(spark, d, "truth"), thresholds=(0.25, 0.5), width=2 * HOUR)
+    out = mt.match_events(standin(spark, d, "predicted"), standin(spark, d, "truth"), thresholds=(0.25, 0.5, 0.75), width=2 * HOUR)
+    return out.withColumn("iou", F.round("iou", 9))
 
 
-@register("e09_evaluate_media")
+@register("e09_evaluate_media", duck("SELECT * FROM sc", _scores(_HIDDEN)))
 def _(spark, d):
-    return mt.evaluate_media(standin(spark, d, "predicted"), standin(spark, d, "truth"), None, width=2 * HOUR)
+    return _evaluated(spark, d)
+
+
+_rate = lambda a, b, n: f"round({a} / nullif({b}, 0), 9) AS {n}"
 
 
-@register("e10_event_score")
+@register("e10_event_score", duck(f"""SELECT *, target_us - covered_us AS missed_us, predicted_us - covered_us AS excess_us, {_rate('tp', '(tp + fp)', 'precision')}, {_rate('tp', '(tp + fn)', 'recall')}, {_rate('2 * tp', '(2 * tp + fp + fn)', 'f1')}, {_rate('covered_us', 'target_us', 'target_coverage')}, {_rate('covered_us', 'predicted_us', 'temporal_precision')},
+ {_rate('start_bias_us', 'start_n', 'start_bias')}, {_rate('start_error_us', 'start_n', 'start_mae')}, {_rate('end_bias_us', 'end_n', 'end_bias')}, {_rate('end_error_us', 'end_n', 'end_mae')}, {_rate('fp * 60000000.0', 'evaluated_us', 'alerts_a_minute')} FROM agg""", _scores(_HIDDEN) + f""",
+agg AS (SELECT threshold, count(*) AS n, {", ".join(f"sum({c})::BIGINT AS {c}" for c in (*mt.COUNTS, *mt.TIMES))}, round(sum(fp) FILTER (target_us = 0) * 60000000.0 / nullif(sum(evaluated_us) FILTER (target_us = 0), 0), 9) AS quiet_alerts_a_minute FROM sc GROUP BY 1)"""))
 def _(spark, d):
-    return mt.aggregate_events(mt.evaluate_media(standin(spark, d, "predicted"), standin(spark, d, "truth"), None, width=2 * HOUR))
+    out = mt.aggregate_events(_evaluated(spark, d))
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "target_coverage", "temporal_precision", "start_bias", "start_mae", "end_bias", "end_mae", "alerts_a_minute", "quiet_alerts_a_minute")})
 
 
 @register("a11_coverage", duck(f"""SELECT coalesce(p.media_id, t.media_id) AS media_id, coalesce(predicted_us, 0)::BIGINT AS predicted_us, coalesce(truth_us, 0)::BIGINT AS truth_us, coalesce(both_us, 0)::BIGINT AS both_us

@@ -284,3 +284,64 @@ def test_json_objects_nest_and_must_parse(spark):
     assert got == ['{"k":1}', '{"a": {"b": [1, {"c": 2}]}}', None, None, None, '{"k": 2}', '{"z": 3}']
     keys = spark.createDataFrame([("", "x"), (None, "x"), ("a|b=2", None), ("a", "2")], "a string, b string").select(content_key({"a": F.col("a"), "b": F.col("b")})).collect()
     assert len({r[0] for r in keys}) == 4
+
+
+def test_events_behind_exclusions(spark):
+    """Event evaluation against plain interval arithmetic, with ranges cut out, hidden events and contested pairs."""
+    rng = np.random.default_rng(9)
+    length, cats = 120, ("a", "b")
+    cells = lambda s, e: set(range(s, e))
+    sides, hidden = {"p": [], "t": []}, []
+    for m in range(12):
+        for side in sides:
+            for i in range(int(rng.integers(0, 9))):
+                s = int(rng.integers(0, length - 12))
+                sides[side].append((m, i, s, s + int(rng.integers(1, 12)), cats[int(rng.integers(2))]))
+        hidden += [(m, s, s + int(rng.integers(1, 15))) for s in rng.integers(0, length - 15, 3).tolist()]
+    schema = "media_id bigint, interval_id bigint, start_us bigint, end_us bigint, category string"
+    frames = [spark.createDataFrame([*sides[x], (0, 99, 5, 9, None), (77, 1, 0, 5, "a")], schema) for x in ("p", "t")]
+    media = spark.createDataFrame([(m, length) for m in range(12)], "media_id bigint, duration_us bigint")
+    cut = spark.createDataFrame(hidden, "media_id bigint, start_us bigint, end_us bigint")
+    got = {(r["media_id"], r["category"], r["threshold"]): r for r in mt.evaluate_media(*frames, media, cut, thresholds=(0.1, 0.4), width=7).collect()}
+    want = 0
+    for m, cat, least in itertools.product(range(12), cats, (0.1, 0.4)):
+        gone = set().union(*(cells(s, e) for k, s, e in hidden if k == m))
+        seen = {x: [(s, e, cells(s, e) - gone) for k, _, s, e, c in sides[x] if k == m and c == cat] for x in sides}
+        if not seen["p"] and not seen["t"]:
+            continue
+        want += 1
+        r = got[m, cat, least]
+        shown = {x: [v for v in seen[x] if v[2]] for x in seen}
+        w = np.array([[len(p[2] & t[2]) / len(p[2] | t[2]) for t in shown["t"]] for p in shown["p"]]).reshape(len(shown["p"]), len(shown["t"]))
+        tp = len(mt.assign(np.where(w >= least, w, 0)))
+        p, t = (set().union(*(v[2] for v in shown[x])) for x in "pt")
+        expect = (tp, len(shown["p"]) - tp, len(shown["t"]) - tp, len(seen["p"]) - len(shown["p"]), len(seen["t"]) - len(shown["t"]), len(p), len(t), len(p & t), length - len(gone))
+        assert tuple(r[c] for c in ("tp", "fp", "fn", "ignored_predicted", "ignored_true", "predicted_us", "target_us", "covered_us", "evaluated_us")) == expect
+    assert len(got) == want
+    whole = mt.evaluate_media(*frames, media, binary=True, thresholds=(0.4,), width=7).collect()
+    assert {r["category"] for r in whole} == {"binary"} and all(r["ignored_true"] == 0 for r in whole)
+    none = mt.evaluate_media(frames[0].limit(0), frames[1].limit(0), media, cut, width=7)
+    assert none.count() == 0 and mt.aggregate_events(none).count() == 0
+
+
+def test_scorable_items(spark):
+    items = spark.createDataFrame([(1, True, ["a"]), (2, True, []), (3, None, ["a"]), (4, True, ["a"])], "media_id bigint, binary_exhaustive boolean, exhaustive_categories array<string>")
+    runs = spark.createDataFrame([(1, "completed"), (2, "failed"), (4, None)], "media_id bigint, status string")
+    got = lambda c: {r["media_id"]: r["usable"] for r in mt.scorable(items, runs, c).collect()}
+    assert got(None) == {1: True, 2: False, 4: False} and got("a") == {1: True, 4: False}
+
+
+def test_clustering_grid_equals_one_setting_at_a_time(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, i, int(t) * S, bool(rng.integers(2)), bool(rng.integers(2)), 200 * S) for m in range(4) for i, t in enumerate(np.sort(rng.integers(0, 180, 25)))]
+    df = spark.createDataFrame(rows, "media_id bigint, sample_id bigint, ts_us bigint, by_a boolean, by_b boolean, duration_us bigint").where("by_a or by_b")
+    grid = [(g * S, c * S, m * S) for g in (1, 5, 20) for c in (0, 2) for m in (10, 30)]
+    table = {(r["gap"], r["context"], r["longest"], r["media_id"]): r for r in pl.evaluate_clustering(df, grid).collect()}
+    for g, c, m in grid:
+        one = pl.cluster_events(df, gap=g, context=c, longest=m).toPandas()
+        for k, x in one.groupby("media_id"):
+            r, size = table[g, c, m, k], x["end_us"] - x["start_us"]
+            assert (r["n_events"], r["total_us"], r["longest_us"], r["n_candidates"]) == (len(x), size.sum(), size.max(), x["n_samples"].sum())
+            assert [r[p] for p in ("a_only", "b_only", "both")] == [(x["profile"] == p).sum() for p in ("a_only", "b_only", "both")]
+            assert r["median_us"] == size.median() and r["p90_us"] == pytest.approx(size.quantile(0.9))
+    assert pl.evaluate_clustering(df.limit(0), grid).count() == 0
