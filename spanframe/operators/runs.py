@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_draw
+from ..functions.columns import hash_draw, ratio
 
 
 def latest_attempt(attempts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -93,6 +93,62 @@ def reliability_rollup(rows: DataFrame, group: str, category: str) -> DataFrame:
     return g.select(level.alias("level"), F.coalesce(F.col(group).cast("string"), F.col(category).cast("string")).alias("value"), "n", "n_completed", "n_failed")
 
 
+def benchmark_aggregate(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """runs(wall_us, media_us, valid): numbers of runs, and the median, least and greatest wall time and the median throughput
+    (media over wall) of the valid ones; null where none is. A null in valid counts as invalid. Medians are exact: a group is a
+    benchmark's runs, not a catalogue."""
+    good = F.coalesce("valid", F.lit(False))
+    wall = F.when(good, F.col("wall_us"))
+    out = runs.groupBy(*by).agg(
+        F.count("*").alias("n_runs"), F.count_if(good).alias("n_valid"), F.percentile(wall, 0.5).alias("median_wall_us"), F.min(wall).alias("least_wall_us"),
+        F.max(wall).alias("most_wall_us"), F.percentile(ratio(F.col("media_us"), wall), 0.5).alias("median_throughput"),
+    )
+    return out.withColumn("n_invalid", F.col("n_runs") - F.col("n_valid"))
+
+
+#: What becomes of a sample, with the names of its counts.
+DISPOSITIONS = {"black": "n_black", "near_duplicate": "n_duplicates", "static_suppressed": "n_static", "representative": "n_representatives"}
+
+
+def disposition_stats(samples: DataFrame, by: Sequence[str], *, reasons: str = "reasons") -> DataFrame:
+    """Counts of samples by reason (temporal, scene; a sample may have both) and by disposition, and accounted: every sample has
+    one of the four dispositions."""
+    held = lambda r: F.count_if(F.coalesce(F.array_contains(reasons, r), F.lit(False)))
+    counts = [F.count_if(F.coalesce(F.col("disposition") == d, F.lit(False))).alias(n) for d, n in DISPOSITIONS.items()]
+    out = samples.groupBy(*by).agg(F.count("*").alias("n"), held("temporal").alias("n_temporal"), held("scene").alias("n_scene"), *counts)
+    named = F.lit(0)
+    for n in DISPOSITIONS.values():
+        named = named + F.col(n)
+    return out.withColumn("accounted", named == F.col("n"))
+
+
+#: Statuses that end a run.
+TERMINAL = ("completed", "partial", "failed", "cancelled")
+
+
+def validate_run_records(attempts: DataFrame, manifest: DataFrame, *, digest: str, tol: float = 1e-6) -> DataFrame:
+    """Each attempt with its problems, and the status it counts with: interrupted_unknown where it has none.
+
+    attempts(item_id, attempt_id, manifest_digest, config_digest, effective_digest, environment_digest, status, seconds),
+    manifest(item_id, seconds), digest: the manifest's own. Problems: unknown_item, repeated_item, manifest_mismatch,
+    config_mismatch, bad_status, duration_mismatch (more than tol apart), and mixed_configurations or mixed_environments,
+    which concern the whole report. Nulls differ from what they should equal; an environment may be unknown.
+    """
+    known = manifest.select("item_id", F.col("seconds").alias("__seconds"), F.lit(True).alias("__known"))
+    whole = attempts.agg(*[F.min(c).alias(f"__least_{c}") for c in ("config_digest", "environment_digest")], *[F.max(c).alias(f"__most_{c}") for c in ("config_digest", "environment_digest")])
+    rows = attempts.withColumn("__n", F.count("*").over(Window.partitionBy("item_id"))).join(known, "item_id", "left").join(F.broadcast(whole))
+    unlike = lambda a, b: ~a.eqNullSafe(b)
+    rules = {
+        "unknown_item": F.col("__known").isNull(), "repeated_item": F.col("__n") > 1, "manifest_mismatch": unlike(F.col("manifest_digest"), F.lit(digest)),
+        "config_mismatch": unlike(F.col("config_digest"), F.col("effective_digest")), "bad_status": F.col("status").isNotNull() & ~F.col("status").isin(*TERMINAL),
+        "duration_mismatch": F.col("status").isNotNull() & F.col("__known").isNotNull() & F.coalesce(F.abs(F.col("seconds") - F.col("__seconds")) > tol, F.lit(True)),
+        "mixed_configurations": F.coalesce(F.col("__least_config_digest") != F.col("__most_config_digest"), F.lit(False)),
+        "mixed_environments": F.coalesce(F.col("__least_environment_digest") != F.col("__most_environment_digest"), F.lit(False)),
+    }
+    problems = F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in rules.items()]))
+    return rows.select("item_id", "attempt_id", F.coalesce("status", F.lit("interrupted_unknown")).alias("status"), problems.alias("problems"))
+
+
 def stratified_select(rows: DataFrame, strata: Sequence[tuple[str, Column, int]], *, seed: str, ident: str, group: str) -> DataFrame:
     """Per stratum, in order: the first n items by hash, one a group, and no group twice over all strata."""
     chosen, used = None, None

@@ -196,9 +196,17 @@ def _(spark, d):
     return out.select("page_id", "duration_us", "width", F.round("fps", 9).alias("fps"), "has_audio")
 
 
-@register("p22_validate_run_records", duck("SELECT item_id, count(DISTINCT config) > 1 AS mixed, bool_or(NOT completed) AS open FROM attempts GROUP BY 1"))
-def _(spark, d):
-    return standin(spark, d, "attempts").groupBy("item_id").agg((F.count_distinct("config") > 1).alias("mixed"), F.bool_or(~F.col("completed")).alias("open"))
+@register("p22_validate_run_records", """SELECT doc_id AS item_id, doc_id AS attempt_id, coalesce(st, 'interrupted_unknown') AS status, list_filter([CASE WHEN quality IS NULL THEN 'unknown_item' END, CASE WHEN n > 1 THEN 'repeated_item' END, CASE WHEN source IS DISTINCT FROM 'web' THEN 'manifest_mismatch' END,
+ CASE WHEN lang IS DISTINCT FROM lower(lang) THEN 'config_mismatch' END, CASE WHEN st NOT IN ('completed', 'failed') THEN 'bad_status' END, CASE WHEN st IS NOT NULL AND quality IS NOT NULL AND coalesce(abs(n_chars - 100) > 50, true) THEN 'duration_mismatch' END, CASE WHEN ml THEN 'mixed_configurations' END], lambda x: x IS NOT NULL) AS problems
+ FROM (SELECT d.*, l.quality, CASE d.doc_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'started' END AS st, count(*) OVER (PARTITION BY d.doc_id) AS n, min(lang) OVER () <> max(lang) OVER () AS ml FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""", arrays=("problems",))
+def _(spark, d):
+    i = F.col("doc_id") % 4
+    rows = _t(spark, d, "documents").select(
+        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("attempt_id"), F.col("source").alias("manifest_digest"), F.col("lang").alias("config_digest"), F.lower("lang").alias("effective_digest"),
+        F.lit(None).cast("string").alias("environment_digest"), F.when(i == 0, "completed").when(i == 1, "failed").when(i == 2, "started").alias("status"), F.col("n_chars").cast("double").alias("seconds"),
+    )
+    manifest = _t(spark, d, "labels").select(F.col("doc_id").alias("item_id"), F.lit(100.0).alias("seconds"))
+    return rn.validate_run_records(rows, manifest, digest="web", tol=50)
 
 
 @register("p23_to_manifest", "SELECT doc_id::VARCHAR AS item_id, source AS group_id, n_chars * 1000 AS duration_us, lang AS origin FROM documents")

@@ -173,16 +173,17 @@ def _(spark, d):
     return out.select("l_linenumber", F.round("A", 9).alias("a"), F.round("R", 9).alias("r"), F.round(F.col("R") - F.col("A"), 9).alias("delta"))
 
 
-@register("a18_benchmark_aggregate", "SELECT l_shipmode_like AS kind, median(l_extendedprice) AS median, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM (SELECT *, l_linestatus AS l_shipmode_like FROM lineitem) WHERE l_discount > 0.02 GROUP BY 1")
+@register("a18_benchmark_aggregate", "SELECT l_linestatus, count(*) AS n_runs, count(*) FILTER (l_discount > 0.02) AS n_valid, count(*) FILTER (NOT l_discount > 0.02) AS n_invalid, median(l_extendedprice::DOUBLE) FILTER (l_discount > 0.02) AS median_wall_us, min(l_extendedprice::DOUBLE) FILTER (l_discount > 0.02) AS least_wall_us, max(l_extendedprice::DOUBLE) FILTER (l_discount > 0.02) AS most_wall_us, round(median(l_quantity::DOUBLE / l_extendedprice::DOUBLE) FILTER (l_discount > 0.02), 9) AS median_throughput FROM lineitem GROUP BY 1")
 def _(spark, d):
-    rows = _t(spark, d, "lineitem").where("l_discount > 0.02")
-    return rows.groupBy(F.col("l_linestatus").alias("kind")).agg(F.percentile("l_extendedprice", 0.5).alias("median"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    rows = _t(spark, d, "lineitem").select("l_linestatus", F.col("l_extendedprice").cast("double").alias("wall_us"), F.col("l_quantity").cast("double").alias("media_us"), (F.col("l_discount") > 0.02).alias("valid"))
+    return rn.benchmark_aggregate(rows, ["l_linestatus"]).withColumn("median_throughput", F.round("median_throughput", 9))
 
 
-@register("a19_disposition_stats", duck("SELECT media_id, count(*) AS n, count(*) FILTER (scene) AS n_scene, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (scene) + count(*) FILTER (NOT scene) = count(*) AS accounted FROM samples GROUP BY 1"))
+@register("a19_disposition_stats", duck("SELECT media_id, count(*) AS n, count(*) FILTER (sample_id % 2 = 0) AS n_temporal, count(*) FILTER (scene) AS n_scene, count(*) FILTER (event_type = 'error') AS n_black, count(*) FILTER (event_type = 'view') AS n_duplicates, count(*) FILTER (event_type = 'purchase') AS n_static, count(*) FILTER (event_type = 'signup') AS n_representatives, count(*) FILTER (event_type IN ('error', 'view', 'purchase', 'signup')) = count(*) AS accounted FROM samples GROUP BY 1"))
 def _(spark, d):
-    rows = standin(spark, d, "samples").groupBy("media_id").agg(F.count("*").alias("n"), F.count_if("scene").alias("n_scene"), F.count_if(F.col("event_type") == "error").alias("n_error"), (F.count_if("scene") + F.count_if(~F.col("scene")) == F.count("*")).alias("accounted"))
-    return rows
+    kind = F.when(F.col("event_type") == "error", "black").when(F.col("event_type") == "view", "near_duplicate").when(F.col("event_type") == "purchase", "static_suppressed").when(F.col("event_type") == "signup", "representative")
+    reasons = F.array_compact(F.array(F.when(F.col("sample_id") % 2 == 0, "temporal"), F.when(F.col("scene"), "scene")))
+    return rn.disposition_stats(standin(spark, d, "samples").withColumns({"disposition": kind, "reasons": reasons}), ["media_id"])
 
 
 @register("a25_job_state", duck("SELECT media_id, arg_max(st, sample_id) AS status, min(ts_us) FILTER (st = 'processing') AS started_us, max(ts_us) FILTER (st IN ('completed', 'failed', 'cancelled')) AS ended_us, count(*) AS n_events FROM (SELECT *, CASE event_type WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'queued' END AS st FROM samples) GROUP BY 1"))
