@@ -141,7 +141,8 @@ def sampling_robustness(samples: DataFrame, truth: DataFrame, *, gap: int, phase
 
 
 def worst_case(phases: DataFrame, total: int) -> DataFrame:
-    return phases.agg(F.min("detected").alias("least_detected"), F.max("detected").alias("most_detected"), F.min("retained").alias("least_retained"), F.max("retained").alias("most_retained"), F.avg("retained").alias("mean_retained"), F.count_if(F.col("detected") < total).alias("failing_phases"))
+    """Extremes over phases, the phases that miss one of total intervals, and the share of those that miss none."""
+    return phases.agg(F.min("detected").alias("least_detected"), F.max("detected").alias("most_detected"), F.min("retained").alias("least_retained"), F.max("retained").alias("most_retained"), F.avg("retained").alias("mean_retained"), F.count_if(F.col("detected") < total).alias("failing_phases"), F.avg((F.col("detected") >= total).cast("double")).alias("success_rate"))
 
 
 def samplings(samples: DataFrame, gaps: Sequence[int], *, scene: bool = True, tie: Sequence[str] = ("sample_id",)) -> DataFrame:

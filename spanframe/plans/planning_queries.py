@@ -214,9 +214,9 @@ def _phases(spark, d):
     return po.sampling_robustness(_samples(spark, d), standin(spark, d, "truth"), gap=24 * HOUR, phases=[0, 8 * HOUR, 16 * HOUR], t_a=0.05, width=4 * HOUR)
 
 
-@register("e06_sampling_robustness", duck("SELECT min(detected) AS least_detected, max(detected) AS most_detected, min(retained) AS least_retained, max(retained) AS most_retained, round(avg(retained), 6) AS mean_retained, count(*) FILTER (detected < 100) AS failing_phases FROM ph", _E6))
+@register("e06_sampling_robustness", duck("SELECT min(detected) AS least_detected, max(detected) AS most_detected, min(retained) AS least_retained, max(retained) AS most_retained, round(avg(retained), 6) AS mean_retained, count(*) FILTER (detected < 100) AS failing_phases, round(count(*) FILTER (detected >= 100) / count(*), 6) AS success_rate FROM ph", _E6))
 def _(spark, d):
-    return po.worst_case(_phases(spark, d), 100).withColumn("mean_retained", F.round("mean_retained", 6))
+    return po.worst_case(_phases(spark, d), 100).withColumns({c: F.round(c, 6) for c in ("mean_retained", "success_rate")})
 
 
 @register("t01_high_recall_view", duck("SELECT t_a, t_b, row_number() OVER (ORDER BY recall DESC NULLS LAST, candidate_rate NULLS LAST, t_a, t_b) AS place FROM table1 WHERE recall >= 0.5", _TABLE))
