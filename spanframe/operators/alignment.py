@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .timeline import KEY, ordered_pass
+from .timeline import KEY, ordered_pass, range_join
 
 
 def align_by_id(a: DataFrame, b: DataFrame, *, ts: str = "ts_us", ident: str = "sample_id") -> tuple[DataFrame, DataFrame]:
