@@ -9,23 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from ._base import load, scratch_path
+from ._base import load, scratch_path, stored
 from .decontam import contamination
+from .hard_negatives import hard_negatives
 from .lang_id import crc_mod, identify_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .pieces import encode_pieces
 from .quality import score_quality
 from .simhash import near_duplicates
 from .span_dedup import dedup_spans
 from .token_counts import length_histogram
 from .token_files import token_digests, write_token_files
 from .topk import top_k
+from .vector_codes import code_text, compress, with_label_error
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
-    """Place of a public tokenizer file; SPANFRAME_TOKENIZER names another."""
-    if found := os.environ.get("SPANFRAME_TOKENIZER"):
-        return found
+    """Place of a public tokenizer file; SPANFRAME_TOKENIZERS names another folder of them."""
+    if found := os.environ.get("SPANFRAME_TOKENIZERS"):
+        return os.path.join(found, name)
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -76,6 +79,23 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(load(spark, sf_dir, "documents"), every=True)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(load(spark, sf_dir, "embeddings"))
+    sha = F.lit(books.sha256 if books else None).cast("string").alias("codebooks_sha256")
+    return with_label_error(stored(coded, "codes")).select("vec_id", code_text().alias("code"), "error", "label_error", sha)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(load(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), decode=True)
+    ids = F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_language_id,
@@ -88,9 +108,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_mix_sources,
         op10_span_dedup,
+        op11_vector_codes,
+        op12_hard_negatives,
+        op13_pieces,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": oracles.OP2, "op3_line_dedup": oracles.OP3, "op5_top_k": oracles.OP5}
+    return {"op2_decontaminate": oracles.OP2, "op3_line_dedup": oracles.OP3, "op5_top_k": oracles.OP5, "op11_vector_codes": oracles.OP11, "op12_hard_negatives": oracles.OP12}
