@@ -233,16 +233,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns a row for each row of docs: <id_col>, fp (signed), fingerprint (16 hex digits), component_id (the smallest id
     reachable, itself included). <id_col> must be a bigint. Texts that are null, empty or white space have fingerprint 0
-    and are linked like any other. Rows with equal fingerprints are one node, so copies cost no pairs. Null ids get the
-    class of their fingerprint, and several texts of one id each the class of their own. Other columns are not read; an empty
-    table gives an empty result.
+    and are linked like any other. The nodes are fingerprints, so copies cost no pairs, rows without an id link others like
+    any row (a class that has no id at all has a null component_id), and several texts of one id each have the class of
+    their own. Other columns are not read; an empty table gives an empty result.
     """
     if docs.schema[id_col].dataType != T.LongType():
         raise TypeError(f"{id_col} must be a bigint")
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "reps")
-    found = components(links(reps.where("rep is not null").select("rep", "fp")))
-    labels = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+    reps = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "reps")
+    found = components(links(reps.select(F.col("fp").alias("rep"), "fp")))
+    classes = stored(reps.join(found, reps["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("class"), "least", "n"), "classes")
+    ids = classes.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    labels = join_heavy(classes.drop("least"), ids, ["class"], "members").select("fp", "component_id", "n")
     out = join_heavy(rows, stored(labels, "labels"), ["fp"], "n")
     return out.select(F.col("id").alias(id_col), "fp", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 

@@ -111,3 +111,23 @@ def test_hubs_of_many_edges(spark, monkeypatch):
     edges = [(7, i) for i in range(100, 400)] + [(i, 9) for i in range(350, 600)] + [(1, 2)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {n: 7 for n in [7, 9, *range(100, 600)]} | {1: 1, 2: 1}
+
+
+def test_rows_without_an_id_link_and_shared_ids_do_not(spark):
+    from pyspark.sql import functions as F
+
+    base, found = [f"word{i} stays where it was" for i in range(40)], {}
+    text = " ".join(base)
+    for i in range(400):  # near copies of one text, whose fingerprints are a few bits apart
+        other = text.replace(f"word{i % 40} ", f"v{i} ", 1)
+        found[brute_fingerprint(other)] = other
+    fps = list(found)
+    chain = next((a, b, c) for b in fps for a in fps for c in fps if (a ^ b).bit_count() <= 3 and (b ^ c).bit_count() <= 3 and (a ^ c).bit_count() > 3)
+    a, b, c = (found[x] for x in chain)
+    frame = spark.createDataFrame([(1, a), (None, b), (3, c)], "doc_id bigint, text string")
+    assert [r["component_id"] for r in near_duplicates(frame).collect()] == [1, 1, 1]
+    frame = spark.createDataFrame([(3, a), (5, a), (5, "quite another text with words of its own"), (9, "quite another text with words of its own")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in near_duplicates(frame).collect()}
+    other = f"{brute_fingerprint('quite another text with words of its own'):016x}"
+    assert got == {(3, f"{chain[0]:016x}"): 3, (5, f"{chain[0]:016x}"): 3, (5, other): 5, (9, other): 5}
+    assert near_duplicates(frame.where(F.lit(False))).count() == 0
