@@ -42,7 +42,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Phrases:
     """The windows of a block of items, as numbers in a vocabulary of their own."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], list[int]] = {}
         self.names = [name for name, _ in items]
@@ -86,13 +86,13 @@ def _search(shard: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[int, l
     for a, w, d in zip(np.split(at, cuts), np.split(which, cuts), doc[np.concatenate(([0], cuts))].tolist(), strict=True):
         start = a - bounds[d]
         items = sorted({i for x in np.unique(w).tolist() for i in phrases.items[x]})
-        yield d, _merge(start, start + phrases.lengths[w]), [phrases.names[i] for i in items]
+        yield d, _merge(start, start + phrases.lengths[w]), [name for i in items if (name := phrases.names[i]) is not None]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Phrases]:
     """Blocks of at most BLOCK_WORDS words; only one is on the driver at a time. An item alone may be larger."""
     block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string"), text_col).where(f"{id_col} is not null and {text_col} is not null").toLocalIterator()
+    rows = benchmark.select(F.col(id_col).cast("string"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator()
     for name, text in rows:
         words = words_of(text)
         if not words:
@@ -163,7 +163,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = W
 
     Returns a row for each row of docs: <id_col>, the columns in keep, n_words, spans (disjoint, by words, half-open,
     touching ones merged) and items (ids as strings of all items with an occurring window, distinct). Null or empty texts
-    have no words; null items are ignored; items of fewer words than the window are one window; repeated items and rows,
+    have no words; items of null text are ignored, and those of null id count in spans, not in items; items of fewer words than the window are one window; repeated items and rows,
     several texts of one id and null ids stand for themselves. With an empty benchmark every document has no spans. With cut,
     the column cut is the text without the spans' words (the text itself where there is no span).
     """
