@@ -28,6 +28,8 @@ BLOCK_LANGUAGES = 1_000
 #: A task's counts of grams are handed on when there are so many.
 MOST_HELD = 2_000_000
 UNKNOWN = "und"
+#: Letters of a text that are cut into grams together.
+PIECE = 1 << 20
 _BITS = np.uint64(21)
 
 
@@ -36,21 +38,36 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def grams(text: str | None) -> np.ndarray:
-    """All n-grams of one to three letters as numbers, in no order; blanks stand only at a gram's ends."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    code = np.where(_letters()[code], code, 0).astype(np.uint64)
-    keep = code > 0
-    keep[1:] |= code[:-1] > 0  # one blank after each word
-    code = np.concatenate(([np.uint64(0)], code[keep], [np.uint64(0)]))
+def _grams(code: np.ndarray) -> np.ndarray:
+    """n-grams of a stretch of letters (0: a blank) that start behind its first one and end before its last, as numbers."""
     one, two, three = code[:-2], code[1:-1], code[2:]
-    pairs = (code[:-1] << _BITS) | code[1:]
-    pairs = pairs[(code[:-1] > 0) | (code[1:] > 0)]
+    pairs = ((one << _BITS) | two)[(one > 0) | (two > 0)]
     triples = ((one << (_BITS + _BITS)) | (two << _BITS) | three)[two > 0]
     # a leading mark keeps grams of different lengths apart: blanks are 0
-    return np.concatenate((code[code > 0] | np.uint64(1 << 62), pairs | np.uint64(1 << 63), triples))
+    return np.concatenate((two[two > 0] | np.uint64(1 << 62), pairs | np.uint64(1 << 63), triples))
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of one to three letters as numbers, and how often each stands; blanks stand only at a gram's ends. A text
+    is taken in pieces of PIECE letters, each seen with its neighbours, so memory grows with a text's distinct grams alone."""
+    low, found = (text or "").lower(), []
+    for at in range(0, len(low) + 1 if low else 0, PIECE):
+        # one blank before the text, and two behind it: the last word's end is a place of its own
+        here = low[max(at - 1, 0) : at + PIECE + 1]
+        code = np.frombuffer(here.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        code = np.where(_letters()[code], code, 0).astype(np.uint64)
+        ahead, behind = at == 0, max(0, at + PIECE + 1 - len(low)) if at + PIECE >= len(low) else 0
+        found.append(np.unique(_grams(np.concatenate((np.zeros(int(ahead), np.uint64), code, np.zeros(min(behind, 2), np.uint64)))), return_counts=True))
+        if len(found) > 1:
+            found = [_added(found)]
+    return found[0] if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    names, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    counts = np.zeros(len(names), np.int64)
+    np.add.at(counts, where, np.concatenate([x for _, x in found]))
+    return names, counts
 
 
 def gram_text(gram: int) -> str:
@@ -60,8 +77,8 @@ def gram_text(gram: int) -> str:
     return "".join(chr(c) if (c := gram >> (21 * i) & 0x1FFFFF) else "_" for i in range(n - 1, -1, -1))
 
 
-def _most_frequent(found: np.ndarray, ranks: int) -> np.ndarray:
-    names, counts = np.unique(found, return_counts=True)
+def _most_frequent(found: tuple[np.ndarray, np.ndarray], ranks: int) -> np.ndarray:
+    names, counts = found
     return names[np.argsort(-counts, kind="stable")[:ranks]]
 
 
@@ -69,20 +86,20 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """(lang, gram, n, rank) from the rows with a language: counts over whole texts, ties by the gram's number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[np.ndarray]] = {}
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1), strict=True):
-                found.setdefault(lang.as_py(), []).append(now := grams(text.as_py()))
-                size += len(now)
+                found.setdefault(lang.as_py(), []).append(now := gram_counts(text.as_py()))
+                size += len(now[0])
                 if size > MOST_HELD:
                     yield from counted(found)
                     found, size = {}, 0
         yield from counted(found)
 
-    def counted(found: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def counted(found: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         for lang, parts in found.items():
-            names, counts = np.unique(np.concatenate(parts), return_counts=True)
+            names, counts = _added(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -105,7 +122,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and 1 - distance / greatest distance; ties go to the smaller name."""
-        top = _most_frequent(grams(text), self.most)
+        top = _most_frequent(gram_counts(text), self.most)
         if not len(top) or not self.languages:
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
@@ -122,7 +139,7 @@ def identify_languages(docs: DataFrame, learn_from: Column, *, id_col: str = "do
     Returns a row for each row of docs: <id_col>, the columns in keep, lang_pred (a learned language; 'und' for texts that
     are null or have no letter, or if nothing was learned) and score (0 to 1). Of languages at the same distance the smaller
     name is predicted. Rows of null language, or where learn_from is null, teach nothing; only text_col is used for a
-    prediction. Copies and rows of null or repeated ids count as often as they stand, each with its own prediction. An empty
+    prediction. Very long texts are counted in pieces, whole. Copies and rows of null or repeated ids count as often as they stand, each with its own prediction. An empty
     table gives an empty result. Other columns are not read.
     """
     own = ["__id", *(f"__{i}" for i in range(len(keep)))]
