@@ -70,7 +70,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
             yield row()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = (F.col("id"), F.xxhash64("text"))  # both deal out the ranges too, so that one id, or none, is not one task
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(run, schema).write.parquet(path)
 
 
