@@ -6,10 +6,10 @@ deviations from the means cannot add more than d d' (Cauchy and Schwarz). The bo
 two numbers a segment, so a block of queries meets a block of candidates in one matrix product. Levels double the segments;
 only pairs whose bound reaches the query's k-th best exact score so far go on, and what is left gets exact scores.
 
-Queries and candidates meet in cells (a block of each), so no task holds more than one block of both, and a cell returns
-at most k rows for a query. Cells are the product of the blocks: that is the stated search of all rows for each query. The
-first block of candidates is searched before the others: each query's k-th best score there is its floor in all other cells,
-where most pairs then end at the coarsest level.
+Candidates are stored as blocks of vectors where they lie, without a shuffle. Queries are taken in chunks of bounded bytes:
+a chunk is broadcast, the blocks are scanned, and a task hands on the k best of all its blocks for each query, as each
+query's k-th best score so far is its floor in the task's next block. A share of the blocks is searched first; what it
+gives is the floor for the rest, where most pairs then end at the coarsest level.
 """
 
 from __future__ import annotations
@@ -17,16 +17,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._base import stored
+from ._base import scratch_path, stored
+from ._vectors import Best, largest_square, packed
 
-CANDIDATES, QUERIES = 8192, 2048
-#: Queries of a cell that are scored together.
+#: Vectors and components of a block of candidates at most; bytes of a chunk of queries, about.
+CANDIDATES, COMPONENTS, CHUNK_BYTES = 8192, 1 << 20, 1 << 24
+#: The share of blocks searched first (one in FIRST), where there are more than four times as many.
+FIRST = 64
+#: Queries of a chunk that are scored together.
 TOGETHER = 128
 
 
@@ -46,43 +49,89 @@ def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((np.stack([p.mean(axis=1) for p in parts], axis=1) * root, np.stack([p.std(axis=1) for p in parts], axis=1) * root), axis=1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best candidates of the block, other than its own row. With floors,
-    candidates below a query's floor may be left out."""
-    levels = _levels(q.shape[1])
+def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: Best) -> None:
+    """Takes into best what the queries find in a block of candidates, other than rows of their own id."""
+    levels, k = _levels(q.shape[1]), best.k
     of_q, of_c = ([_statistics(x, n) for n in levels] for x in (q, c))
     slack = 1e-9 * (1 + np.abs(q).sum(axis=1)) * (1 + np.abs(c).max(initial=0))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), TOGETHER):
         part = slice(at, at + TOGETHER)
+        mine = np.arange(at, min(at + TOGETHER, len(q)))
         alive = q_ids[part, None] != c_ids[None, :]
-        floor = np.full(alive.shape[0], -np.inf) if floors is None else floors[part]
+        floor = best.floors(mine)
         if levels:
             bound = np.where(alive, of_q[0][part] @ of_c[0].T, -np.inf)
-            if floors is None and bound.shape[1] > k:  # exact scores of the most promising give the first floor
+            if bound.shape[1] > k and np.isinf(floor).any():  # exact scores of the most promising give the first floor
                 first = np.argpartition(-bound, k - 1, axis=1)[:, :k]
                 exact = np.einsum("qd,qkd->qk", q[part], c[first])
                 exact = np.where(np.take_along_axis(alive, first, axis=1), exact, -np.inf)
-                floor = exact.min(axis=1)
-            alive &= bound >= (floor - slack[part])[:, None]
+                floor = np.maximum(floor, exact.min(axis=1))
+            least = (floor - slack[part])[:, None]
+            alive &= bound >= least
             for a, b in zip(of_q[1:], of_c[1:], strict=True):
                 row, col = np.nonzero(alive)
                 if len(row) > alive.size // 8:  # most are left: one product is cheaper than picking pairs
-                    alive &= a[part] @ b.T >= (floor - slack[part])[:, None]
+                    alive &= a[part] @ b.T >= least
                 else:
                     for i in range(0, len(row), 65536):
                         r, s = row[i : i + 65536], col[i : i + 65536]
-                        alive[r, s] = np.einsum("nd,nd->n", a[part][r], b[s]) >= (floor - slack[part])[r]
+                        alive[r, s] = np.einsum("nd,nd->n", a[part][r], b[s]) >= least[r, 0]
+        found = []
         for r in range(alive.shape[0]):
             cols = np.flatnonzero(alive[r])
             scores = c[cols] @ q[at + r]
-            top = _best(scores, c_ids[cols], k)
-            out.append((np.full(len(top), q_ids[at + r]), c_ids[cols][top], scores[top]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            top = np.lexsort((c_ids[cols], -scores))[:k]
+            found.append((np.full(len(top), at + r), scores[top], c_ids[cols][top]))
+        best.merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(dim, ids, points, first): blocks of vectors of one length, made of a task's own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, v = zip(*held.pop(dim), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([b"".join(v)], pa.binary())], names=["dim", "ids", "points"])
+
+        for b in batches:
+            for dim, ident, v in zip(*(b.column(c).to_pylist() for c in ("dim", "id", "v")), strict=True):
+                held.setdefault(dim, []).append((ident, v))
+                if len(held[dim]) == max(1, min(CANDIDATES, COMPONENTS // dim)):
+                    yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    made = rows.select("id", "dim", "v").mapInArrow(run, "dim int, ids array<bigint>, points binary")
+    return stored(made.withColumn("first", F.pmod(F.xxhash64("ids"), F.lit(FIRST)) == 0), "vector_blocks")
+
+
+def _scan(blocks: DataFrame, held: Broadcast, k: int) -> DataFrame:
+    """(no, id, score): the k best that each task finds for each query in its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = {}
+        for dim in {x["dim"] for x in held.value}:
+            mine = [x for x in held.value if x["dim"] == dim]
+            q = np.frombuffer(b"".join(x["v"] for x in mine), "<f8").reshape(len(mine), dim)
+            no, ids, floors = (np.array([x[c] for x in mine]) for c in ("no", "id", "floor"))
+            searches[dim] = (no, q, ids, Best(len(mine), k, floors))
+        for b in batches:
+            for dim, ids, points in zip(b.column("dim").to_pylist(), b.column("ids"), b.column("points"), strict=True):
+                if dim in searches:
+                    _, q, q_ids, best = searches[dim]
+                    search_block(q, q_ids, np.frombuffer(points.as_buffer(), "<f8").reshape(-1, dim), ids.values.to_numpy(), best)
+        for no, _, _, best in searches.values():
+            a, r = np.nonzero(np.isfinite(best.scores))
+            yield pa.RecordBatch.from_arrays([pa.array(no[a]), pa.array(best.ids[a, r]), pa.array(best.scores[a, r].astype(np.int64))], names=["no", "id", "score"])
+
+    return blocks.select("dim", "ids", "points").mapInArrow(run, "no bigint, id bigint, score bigint")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("no").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -90,48 +139,26 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 6
 
     Returns query_id, rank (from 1), <id_col>, score (bigint); ties go to the smaller id. Vectors that are null, empty, or
     hold null or non-finite components take no part, nor do null ids. Vectors of different lengths never meet. Rows that
-    repeat an id are candidates each; none is a candidate of its own id. Scores are exact while they are below 2**53.
-    Components beyond 2**52 / scale are not supported. Other columns are not read.
+    repeat an id are candidates each, and queries each, with a list of its own; none is a candidate of its own id. Scores
+    are exact: squared norms of 2**53 and more are refused by an error. Other columns are not read.
     """
-    fine = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.col(id_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    ints = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    rows = vectors.where(fine).select(F.col(id_col).cast("bigint").alias("id"), ints.alias("v"), is_query.alias("q"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = [x.values.to_numpy().astype("<f8").tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.binary()), b.column(2)], names=["id", "v", "q"])
-
-    rows = stored(rows.mapInArrow(pack, "id bigint, v binary, q boolean"), "vectors")
-    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
-    blocks_c, blocks_q = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["q"] // QUERIES))
-    every = lambda first, n: F.explode(F.sequence(F.lit(first), F.lit(n - 1)))
-    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    no_floor = F.lit(None).cast("double").alias("floor")
-    candidates = rows.select("id", "v", F.lit(False).alias("q"), own(blocks_c, 1).alias("c"), every(0, blocks_q).alias("b"), no_floor)
-    queries = rows.where("q").select("id", "v", F.lit(True).alias("q"), own(blocks_q, 2).alias("b"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, same in pdf.groupby(pdf["v"].str.len()):
-            x = np.frombuffer(b"".join(same["v"]), dtype="<f8").reshape(len(same), -1)
-            ids, is_q = same["id"].to_numpy(), same["q"].to_numpy(dtype=bool)
-            if is_q.any() and not is_q.all():
-                floors = same["floor"].to_numpy(dtype=float)[is_q]
-                known = np.where(np.isnan(floors), -np.inf, floors)
-                found.append(search_block(x[is_q], ids[is_q], x[~is_q], ids[~is_q], k, None if np.isnan(floors).all() else known))
-        a, b, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
-        return pd.DataFrame({"query_id": a.astype(np.int64), "id": b.astype(np.int64), "score": s.astype(np.int64)})
-
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "id", "score")])
-    order = ["id", "v", "q", "c", "b", "floor"]
-    first = candidates.where("c = 0").select(order).union(queries.select("id", "v", "q", F.lit(0).alias("c"), "b", no_floor))
-    found = first.groupBy("c", "b").applyInPandas(search, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    if blocks_c > 1:
-        found = stored(found, "first_block")
-        floors = found.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-        rest = queries.join(floors, "id", "left").withColumn("c", every(1, blocks_c))
-        cells = candidates.where("c > 0").select(order).union(rest.select(order))
-        found = found.union(cells.groupBy("c", "b").applyInPandas(search, schema))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    spark = vectors.sparkSession
+    rows = stored(packed(vectors, is_query, F.lit(""), scale=scale, id_col=id_col, vector_col=vector_col), "vectors")
+    largest_square(rows)
+    queries, blocks = rows.where("chosen"), _blocks(rows)
+    many = blocks.count() > 4 * FIRST
+    chunks = -(-(queries.agg(F.sum(F.length("v") + 64)).first()[0] or 0) // CHUNK_BYTES)
+    path = scratch_path(spark, "top_k")
+    for i in range(chunks):
+        chunk = [r.asDict() | {"floor": -np.inf} for r in queries.where(F.pmod(F.xxhash64("no"), F.lit(chunks)) == i).select("no", "id", "dim", "v").collect()]
+        found = _scan(blocks.where("first") if many else blocks, spark.sparkContext.broadcast(chunk), k)
+        if many:
+            found = stored(_ranked(found, k), "first_share")
+            floors = {r["no"]: float(r["score"]) for r in found.where(F.col("rank") == k).collect()}  # one number a query
+            raised = [x | {"floor": floors.get(x["no"], -np.inf)} for x in chunk]
+            found = found.drop("rank").union(_scan(blocks.where("not first"), spark.sparkContext.broadcast(raised), k))
+        named = _ranked(found, k).join(queries.select("no", F.col("id").alias("query_id")), "no")
+        named.select("query_id", "rank", F.col("id").alias(id_col), "score").write.parquet(f"{path}/chunk={i}")
+    if not chunks:
+        return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score bigint")
+    return spark.read.schema(f"query_id bigint, rank int, {id_col} bigint, score bigint, chunk int").parquet(path).drop("chunk")

@@ -20,11 +20,12 @@ def brute(rows, k, step):
     return out
 
 
-@pytest.mark.parametrize("dim,spread", [(64, 1.0), (7, 1.0), (64, 0.02), (1, 1.0)])
-def test_exact(spark, monkeypatch, dim, spread):
+@pytest.mark.parametrize("dim,spread,first", [(64, 1.0, 64), (7, 1.0, 2), (64, 0.02, 1), (1, 1.0, 2)])
+def test_exact(spark, monkeypatch, dim, spread, first):
     rng = np.random.default_rng(dim)
     monkeypatch.setattr(topk, "CANDIDATES", 150)
-    monkeypatch.setattr(topk, "QUERIES", 30)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 9000)
+    monkeypatch.setattr(topk, "FIRST", first)
     center = rng.normal(size=(5, dim))
     x = (center[rng.integers(0, 5, size=700)] + spread * rng.normal(size=(700, dim))).astype(np.float32)
     x[100:160] = x[100]  # ties
@@ -42,6 +43,15 @@ def test_odd_vectors(spark):
     assert top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_query_rows_of_one_id_and_overflow(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(map(tuple, top_k(frame, F.col("vec_id") == 0).collect()))
+    assert got == [(0, 1, 1, 4096), (0, 1, 2, 4096), (0, 2, 1, 0), (0, 2, 2, 0)]
+    with pytest.raises(ValueError, match="too long"):
+        top_k(spark.createDataFrame([(0, [2.0**52]), (1, [1.0])], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0)
+
+
 def test_repeated_rows_are_candidates_each(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 20)
     rows = [(i, [float(i % 7), 1.0, -float(i % 3)]) for i in range(90)]
