@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ._vectors import Best
+
 #: The ratio of the radii of neighbouring levels; members of a leaf that is not split; members a child must have on average.
 BASE, LEAF, MEMBERS = 1.5, 64, 4
 #: Queries that are scored together.
@@ -84,13 +86,12 @@ class Search:
     candidate) are numbers; same: whether candidates have the query's label or another one."""
 
     def __init__(self, q: np.ndarray, own: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, same: bool):
-        self.q, self.own, self.label, self.lo, self.hi, self.k, self.same = q, own, label, lo, hi, k, same
-        self.norm = np.sqrt((q * q).sum(axis=1))
-        self.scores = np.full((*lo.shape, k), -np.inf)
-        self.ids = np.full((*lo.shape, k), np.iinfo(np.int64).max)
+        self.q, self.own, self.label, self.hi, self.k, self.same = q, own, label, hi, k, same
+        self.norm, self.windows = np.sqrt((q * q).sum(axis=1)), hi.shape[1]
+        self.best = Best(hi.size, k, lo.reshape(-1))  # a window is a row of its own
 
     def floors(self, a: np.ndarray) -> np.ndarray:
-        return np.maximum(self.lo[a], self.scores[a, :, -1])
+        return self.best.floors(a[:, None] * self.windows + np.arange(self.windows))
 
     def _open(self, a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Which (query, node) pairs may hold what a window still takes."""
@@ -143,7 +144,8 @@ class Search:
             now = now[self._open(a[now], low[now], high[now])]
             now = now[np.argsort(node[now], kind="stable")]
             leaves, starts = np.unique(node[now], return_index=True)
-            for x, s, e in zip(leaves.tolist(), starts.tolist(), [*starts[1:].tolist(), len(now)], strict=True):
+            ends = np.append(starts[1:], len(now))[: len(leaves)]
+            for x, s, e in zip(leaves.tolist(), starts.tolist(), ends.tolist(), strict=True):
                 members = slice(int(nodes["begin"][x]), int(nodes["end"][x]))
                 self.take(a[now[s:e]], tree.points[members], ids[members], labels[members])
                 checked += (e - s) * (members.stop - members.start)
@@ -156,25 +158,11 @@ class Search:
         fits = ((self.label[a][:, None] == labels[None, :]) == self.same) & (self.own[a][:, None] != ids[None, :])
         floors, k = self.floors(a), self.k
         hits = []
-        for w in range(self.lo.shape[1]):
+        for w in range(self.windows):
             in_window = fits & (scores >= floors[:, w, None]) & (scores <= self.hi[a, w, None])
             if in_window.shape[1] > k and in_window.any():
                 held = np.where(in_window, scores, -np.inf)
                 in_window &= scores >= np.partition(held, -k, axis=1)[:, -k, None]
             row, col = np.nonzero(in_window)
-            hits.append((a[row], np.full(len(row), w), scores[row, col], ids[col]))
-        row, w, score, ident = (np.concatenate(x) for x in zip(*hits, strict=True))
-        if not len(row):
-            return
-        touched = np.unique(row * self.lo.shape[1] + w)
-        ta, tw = np.divmod(touched, self.lo.shape[1])
-        key = np.concatenate((row * self.lo.shape[1] + w, np.repeat(touched, k)))
-        score = np.concatenate((score, self.scores[ta, tw].reshape(-1)))
-        ident = np.concatenate((ident, self.ids[ta, tw].reshape(-1)))
-        order = np.lexsort((ident, -score, key))
-        key, score, ident = key[order], score[order], ident[order]
-        _, first, count = np.unique(key, return_index=True, return_counts=True)
-        rank = np.arange(len(key)) - np.repeat(first, count)
-        key, score, ident, rank = (x[rank < k] for x in (key, score, ident, rank))
-        ka, kw = np.divmod(key, self.lo.shape[1])
-        self.scores[ka, kw, rank], self.ids[ka, kw, rank] = score, ident
+            hits.append((a[row] * self.windows + w, scores[row, col], ids[col]))
+        self.best.merge(*(np.concatenate(x) for x in zip(*hits, strict=True)))

@@ -19,44 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._base import join_heavy, scratch_path, stored
+from ._vectors import PACKED, largest_square, matrix, packed
 from .cover_tree import NODES, Search, Tree, build
 
 #: Vectors and components of a block at most, about; rows of the sample that pivots and first floors come from, and pivots.
 BLOCK, BLOCK_COMPONENTS, SAMPLE, PIVOTS = 2048, 1 << 21, 1024, 256
 #: Bytes of vectors of a chunk of anchors, about; the share of trees searched first (one in FIRST), where there are more.
 CHUNK_BYTES, FIRST = 1 << 24, 64
-_PACKED = "no bigint, id bigint, label string, anchor boolean, dim int, v binary"
 _HITS = "no bigint, w int, other bigint, score bigint"
 
 
-def _array(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), dim)
-
-
-def _packed(vectors: DataFrame, is_anchor: Column, label: Column, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    fine = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.col(id_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.monotonically_increasing_id().alias("no"), F.col(id_col).cast("bigint").alias("id"), label.cast("string").alias("label"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"), F.when(fine, F.transform(vector_col, lambda x: x.cast("double"))).alias("v"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = [np.floor(x.values.to_numpy() * scale).astype("<f8") for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([len(x) for x in v], pa.int32()), pa.array([x.tobytes() for x in v], pa.binary())], names=[x.split()[0] for x in _PACKED.split(", ")])
-
-    return rows.where("v is not null and label is not null").mapInArrow(run, _PACKED)
-
-
-def _sphere(rows: DataFrame) -> float:
-    """The largest squared norm."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = 0.0
-        for b in batches:
-            most = max(most, *(float(x @ x) for x in (np.frombuffer(v, "<f8") for v in b.column(0).to_pylist()))) if b.num_rows else most
-        yield pa.RecordBatch.from_arrays([pa.array([most])], names=["most"])
-
-    return rows.select("v").mapInArrow(run, "most double").agg(F.max("most")).first()[0] or 0.0
-
-
 def _pivots(sample: list, sphere: float, n: dict[int, int]) -> dict[int, np.ndarray]:
     """For each dimension its pivots: rows of the sample, each the farthest from those before; one for each BLOCK rows."""
     out = {}
@@ -82,12 +54,12 @@ def _trees(rows: DataFrame, sphere: float, pivots: dict[int, np.ndarray]) -> Dat
             for dim in np.unique(dims).tolist():
                 if (of := pivots.get(dim)) is not None and len(of) > 1:
                     same = np.flatnonzero(dims == dim)
-                    x = _array(b.column("v").take(pa.array(same)), dim)
+                    x = matrix(b.column("v").take(pa.array(same)), dim)
                     last = np.sqrt(np.maximum(0.0, sphere - (x * x).sum(axis=1)))
                     pivot[same] = (x @ of[:, :-1].T + np.outer(last, of[:, -1])).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot)], names=[*b.schema.names, "pivot"])
 
-    dealt = stored(rows.mapInArrow(assign, f"{_PACKED}, pivot int"), "dealt")
+    dealt = stored(rows.mapInArrow(assign, f"{PACKED}, pivot int"), "dealt")
     per_block = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_COMPONENTS) / F.col("dim"))))
     groups = dealt.groupBy("dim", "pivot").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / per_block))
     cut = join_heavy(dealt, groups, ["dim", "pivot"], "n").withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")))
@@ -111,9 +83,8 @@ def _searches(anchors: list[dict], k: int, same: bool) -> dict[int, tuple[np.nda
         pad = np.array([[*a["windows"], *[(np.inf, -np.inf)] * (width - len(a["windows"]))] for a in mine]).reshape(len(mine), width, 2)
         names, label = np.unique([a["label"] for a in mine], return_inverse=True)
         q = np.array([np.frombuffer(a["v"], "<f8") for a in mine]).reshape(len(mine), dim)
-        search = Search(q, np.array([a["id"] for a in mine]), label, pad[:, :, 0], pad[:, :, 1], k, same)
-        if floors := [a.get("floors") for a in mine if a.get("floors")]:
-            search.lo = np.maximum(search.lo, np.array([f + [-np.inf] * (width - len(f)) for f in floors]))
+        raised = np.array([[*(a.get("floors") or ()), *[-np.inf] * (width - len(a.get("floors") or ()))] for a in mine]).reshape(len(mine), width)
+        search = Search(q, np.array([a["id"] for a in mine]), label, np.maximum(pad[:, :, 0], raised), pad[:, :, 1], k, same)
         out[dim] = (np.array([a["no"] for a in mine]), names.tolist(), search)
     return out
 
@@ -134,8 +105,10 @@ def _scan(trees: DataFrame, sphere: float, held: Broadcast, k: int, same: bool)
                 points = np.frombuffer(row["points"].as_buffer(), "<f8").reshape(-1, dim)
                 search.offer(Tree(points, {c: row[c].values.to_numpy() for c in NODES}, sphere), row["ids"].values.to_numpy(), labels)
         for no, _, search in searches.values():
-            a, w, r = np.nonzero(np.isfinite(search.scores))
-            yield pa.RecordBatch.from_arrays([pa.array(no[a]), pa.array(w.astype(np.int32)), pa.array(search.ids[a, w, r]), pa.array(search.scores[a, w, r].astype(np.int64))], names=["no", "w", "other", "score"])
+            best = search.best
+            row, r = np.nonzero(np.isfinite(best.scores))
+            a, w = np.divmod(row, search.windows)
+            yield pa.RecordBatch.from_arrays([pa.array(no[a]), pa.array(w.astype(np.int32)), pa.array(best.ids[row, r]), pa.array(best.scores[row, r].astype(np.int64))], names=["no", "w", "other", "score"])
 
     return trees.select("dim", "ids", "labels", "points", *NODES).mapInArrow(run, _HITS)
 
@@ -171,15 +144,13 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, *, label: Column | Non
     Scores are exact: squared norms of 2**53 and more are refused by an error.
     """
     spark = vectors.sparkSession
-    rows = stored(_packed(vectors, is_anchor, F.col("label") if label is None else label, scale, id_col, vector_col), "vectors")
-    sphere = _sphere(rows)
-    if not sphere < 2**53:
-        raise ValueError("the vectors are too long for exact scores")
+    rows = stored(packed(vectors, is_anchor, F.col("label") if label is None else label, scale=scale, id_col=id_col, vector_col=vector_col), "vectors")
+    sphere = largest_square(rows)
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").limit(SAMPLE).collect()}
     sample = rows.orderBy(F.xxhash64("no"), "no").limit(SAMPLE).select("dim", "v").collect()
     trees = _trees(rows, sphere, _pivots(sample, sphere, sizes))
     many = trees.count() > 4 * FIRST
-    anchors = rows.where("anchor")
+    anchors = rows.where("chosen")
     weight = anchors.agg(F.sum(F.length("v") + 64)).first()[0] or 0
     chunks = -(-weight // CHUNK_BYTES)
     path = scratch_path(spark, "hard_negatives")
