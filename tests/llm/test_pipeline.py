@@ -45,7 +45,7 @@ def tables(spark, tmp_path_factory):
     frame.write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(7, item), (8, ITEMS[1])], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
-    spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(50)], "vec_id bigint, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(i, [float(i % 3), 1.0], i % 4) for i in range(60)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -83,7 +83,7 @@ def test_stages_keep_the_columns(spark, tables):
 
 def test_every_query_runs(spark, tables):
     found = queries()
-    assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 14))
     for name, query in found.items():
         assert query(spark, tables).count() > 0, name
 
@@ -145,3 +145,15 @@ def test_stages_of_odd_rows(spark, tables):
     assert set(taken) <= set(clean) and all(taken.count(r) <= 2 * rows.count(r) for r in taken) and len(taken) > len(clean)
     ids = corpus_pipeline.token_ids(spark, frame, tables).collect()
     assert sorted(r["doc_id"] or 0 for r in ids) == sorted(r[0] or 0 for r in rows) and sum(r["n_tokens"] == 1 for r in ids) == 2
+
+
+def test_clashing_names_and_maps_pass_all_stages(spark, tables):
+    names = ("__mark", "__mark2", "__row", "doc_id_2", "__mark_2", "own_mark", "OWN_ROW", "spans", "n_words", "cut", "items", "n_hit", "contaminated", "keep", "copies", "size", "component_id", "a b")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 60")
+    wide = docs.selectExpr("*", *(f"concat('{i}-', doc_id) as `{n}`" for i, n in enumerate(names)), "map('k', doc_id) as m", "array(map('k', doc_id)) as ms")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, wide, tables), stage(spark, docs, tables)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in plain.collect()), name
+        assert rows and all(r[n] == f"{i}-{r['doc_id']}" for r in rows for i, n in enumerate(names)) and all(r["m"]["k"] == r["ms"][0]["k"] == r["doc_id"] for r in rows), name
