@@ -9,8 +9,9 @@ have their own, and only rows that are equal in every column share one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanframe.llm._base import load, scratch_path, settled
 from spanframe.llm.decontam import contamination
@@ -21,33 +22,45 @@ from spanframe.llm.simhash import one_of_each_class
 from spanframe.llm.token_files import token_digests, write_token_files
 
 
-MARKS = ("__mark", "__mark2")
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """docs with each row in one more column, for operators to carry along."""
-    return docs.withColumn("__row", F.struct(*docs.columns))
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names with a prefix that no column of docs begins with, whatever its case."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"own_{prefix}"
+    return [prefix + n for n in names]
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    columns = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
-    return docs.withColumns({m: F.xxhash64(F.lit(i), *columns) for i, m in enumerate(MARKS)})
+def _hashable(column: str, kind: T.DataType) -> Column:
+    """The column, or its text where it holds a map, which has no hash."""
+    return F.to_json(F.struct(F.col(f"`{column}`").alias("c")), {"ignoreNullFields": "false"}) if "map<" in kind.simpleString() else F.col(f"`{column}`")
 
 
-def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
-    """The marked docs joined to chosen(doc_id, *MARKS, ...), which is unique by these."""
-    found = chosen.withColumnsRenamed({c: f"{c}_2" for c in ("doc_id", *MARKS)})
-    same = [F.col(m) == F.col(f"{m}_2") for m in MARKS]
-    return docs.join(found, [*same, F.col("doc_id").eqNullSafe(F.col("doc_id_2"))], how)
+def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with 128 bits of hash of all columns in two more, and their names."""
+    marks = _fresh(docs, "mark", "mark2")
+    columns = [x for f in docs.schema for x in (F.col(f"`{f.name}`").isNull(), _hashable(f.name, f.dataType))]
+    return docs.withColumns({m: F.xxhash64(F.lit(i), *columns) for i, m in enumerate(marks)}), marks
+
+
+def _rows(docs: DataFrame, marks: list[str], chosen: DataFrame) -> DataFrame:
+    """The marked docs that chosen(doc_id, the marks) holds."""
+    other = _fresh(docs, "id", *(f"other{i}" for i in range(len(marks))))
+    found = chosen.toDF(*other)
+    same = [F.col(m) == F.col(o) for m, o in zip(marks, other[1:], strict=True)]
+    return docs.join(found, [*same, F.col("doc_id").eqNullSafe(F.col(other[0]))], "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier keeps, each judged by its own text: null ids, repeats (all of them), null and empty
     texts (by their shape), and a score of exactly one half are kept or go by their score alone. Ids that no label names only
     teach nothing. An empty table gives an empty one."""
-    rows = _marked(docs)
-    kept = score_quality(rows, load(spark, sf_dir, "labels"), keep=MARKS).where("keep").select("doc_id", *MARKS).distinct()
-    return _rows(rows, kept, "left_semi").select(docs.columns)
+    rows, marks = _marked(docs)
+    kept = score_quality(rows, load(spark, sf_dir, "labels"), keep=tuple(marks)).where("keep").select("doc_id", *marks).distinct()
+    return _rows(rows, marks, kept).select(_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +68,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Different texts of one doc_id, and of no doc_id, are in groups of their own; rows that are equal in every column are one.
     Null, empty and blank texts are one group, as all have the fingerprint 0. An empty table gives an empty one."""
-    rows = _marked(docs)
-    return _rows(rows, one_of_each_class(rows, keep=MARKS), "left_semi").dropDuplicates(["doc_id", *MARKS]).select(docs.columns)
+    rows, marks = _marked(docs)
+    return _rows(rows, marks, one_of_each_class(rows, keep=tuple(marks))).dropDuplicates(["doc_id", *marks]).select(_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,20 +78,22 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Contaminated is what the operator's rule says: a twentieth of the words, at least. n_chars follows the text; texts
     without a span stay as they are, null and empty ones too. Rows of null or repeated ids are judged each by its own text.
     An empty table, or an empty benchmark, changes nothing."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    clean = contamination(docs, load(spark, sf_dir, "benchmark"), keep=rest, cut=True).where("not contaminated")
-    if "n_chars" in rest:
-        n = F.when(F.size("spans") > 0, F.length("cut")).otherwise(F.col("n_chars"))
-        clean = clean.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return clean.withColumnRenamed("cut", "text").select(docs.columns)
+    (row,) = _fresh(docs, "row")
+    carried = docs.withColumn(row, F.struct(*(c for c in _columns(docs) if c not in ("`doc_id`", "`text`"))) if len(docs.columns) > 2 else F.lit(True))
+    clean = contamination(carried, load(spark, sf_dir, "benchmark"), keep=(row,), cut=True).where("not contaminated")
+    value = {c: F.col(row)[c] for c in docs.columns} | {"doc_id": F.col("doc_id"), "text": F.col("cut")}
+    if "n_chars" in docs.columns:
+        value["n_chars"] = F.when(F.size("spans") > 0, F.length("cut")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return clean.select(*(value[c].alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, null ids too; texts without words, null ones too, are never taken. Equal rows
     stand as often as the mix takes them together; ties between documents of one source and size go by the hash of their
     ids. An empty table gives an empty one."""
-    out = mix_sources(_carried(docs), keep=("__row",)).where("copies > 0")
-    return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    (row,) = _fresh(docs, "row")
+    out = mix_sources(docs.withColumn(row, F.struct(*_columns(docs))), keep=(row,)).where("copies > 0")
+    return out.select(row, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{row}.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
