@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .greedy import min_gap, min_gap_chunked
 from .timeline import KEY, ordered_pass, points_in_intervals
 
 
@@ -62,17 +63,14 @@ def scene_mask(samples: DataFrame, reason: str = "scene") -> DataFrame:
     return samples.where(F.array_contains("reasons", reason))
 
 
-def sample_min_gap(points: DataFrame, *, gap: int, ts: str = "ts_us") -> DataFrame:
-    """(media_id, ts): greedily the first, then each first point at least gap after the last one taken."""
+def sample_min_gap(points: DataFrame, *, gap: int, ts: str = "ts_us", chunk: int | None = None) -> DataFrame:
+    """(media_id, ts): greedily the first, then each first point at least gap after the last one taken. Null times are dropped.
 
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        last = None
-        for (t,) in rows:
-            if last is None or t - last >= gap:
-                last = t
-                yield (t,)
-
-    return ordered_pass(points, [KEY], [ts], [ts], fold, f"{ts} bigint")
+    With chunk (microseconds, many gaps) no task holds more than a chunk of a timeline, by pointer doubling: for timelines of any
+    length. Otherwise a timeline is one ordered pass, whose only state is the last point taken."""
+    if gap <= 0:
+        raise ValueError("the gap must be positive")
+    return min_gap(points, gap, ts) if chunk is None else min_gap_chunked(points, gap, ts, chunk)
 
 
 def dedupe_close(points: DataFrame, *, tol: int = 200_000, ts: str = "ts_us", scene: str = "scene", ident: str = "sample_id") -> DataFrame:

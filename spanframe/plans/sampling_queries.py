@@ -46,12 +46,20 @@ def _(spark, d):
     return sm.cadence_or_scene(standin(spark, d, "samples"), cadence=24 * HOUR, scene=F.col("scene"), tie=_S).select("media_id", "sample_id", "reasons")
 
 
-@register("m06_sample_min_gap", duck("SELECT media_id, t AS ts_us FROM r GROUP BY 1, 2", f"""{_ORDERED},
-r AS (WITH RECURSIVE r AS (SELECT media_id, n, ts_us AS t FROM o WHERE n = 1 UNION ALL SELECT o.media_id, o.n, CASE WHEN o.ts_us - r.t >= {24 * HOUR} THEN o.ts_us ELSE r.t END FROM r JOIN o ON o.media_id = r.media_id AND o.n = r.n + 1) SELECT * FROM r)"""))
+_MIN_GAP = duck("SELECT media_id, t AS ts_us FROM r GROUP BY 1, 2", f"""{_ORDERED},
+r AS (WITH RECURSIVE r AS (SELECT media_id, n, ts_us AS t FROM o WHERE n = 1 UNION ALL SELECT o.media_id, o.n, CASE WHEN o.ts_us - r.t >= {24 * HOUR} THEN o.ts_us ELSE r.t END FROM r JOIN o ON o.media_id = r.media_id AND o.n = r.n + 1) SELECT * FROM r)""")
+
+
+@register("m06_sample_min_gap", _MIN_GAP)
 def _(spark, d):
     return sm.sample_min_gap(standin(spark, d, "samples"), gap=24 * HOUR)
 
 
+@register("m06_sample_min_gap_chunked", _MIN_GAP)
+def _(spark, d):
+    return sm.sample_min_gap(standin(spark, d, "samples"), gap=24 * HOUR, chunk=72 * HOUR)
+
+
 @register("m07_sample_phase", duck(f"SELECT media_id, sample_id FROM (SELECT *, floor((ts_us - {5 * HOUR}) / {24 * HOUR}.0) AS slot, coalesce(lag(floor((ts_us - {5 * HOUR}) / {24 * HOUR}.0)) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id), -1) AS p FROM samples) WHERE slot >= 0 AND slot > p"))
 def _(spark, d):
     return sm.sample_phase(standin(spark, d, "samples"), gap=24 * HOUR, phase=5 * HOUR, tie=_S).select("media_id", "sample_id")

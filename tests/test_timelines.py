@@ -42,6 +42,47 @@ def test_greedy_folds(spark):
     assert sorted(r["ts_us"] // S for r in sm.sample_min_gap(points(spark, times), gap=7 * S).collect()) == kept
 
 
+@pytest.mark.parametrize("seed,spread,gap,chunk", [(1, 400, 7, 20), (2, 400, 7, 7), (3, 3000, 40, 45), (4, 60, 9, 1000), (5, 5000, 3, 11)])
+def test_min_gap_in_chunks_equals_one_pass(spark, seed, spread, gap, chunk):
+    rng = np.random.default_rng(seed)
+    rows, kept = [], []
+    for m in (1, 2, None, 7):
+        times, last = sorted(rng.integers(-spread, spread, int(rng.integers(1, 150))).tolist()), None
+        rows += [(m, t) for t in times]
+        for t in times:
+            if last is None or t - last >= gap:
+                kept.append((m, t))
+                last = t
+    frame = spark.createDataFrame([*rows, (1, None)], "media_id bigint, ts_us bigint")
+    want = sorted(r for r in kept if r[0] is not None)
+    got = lambda **o: sorted((r["media_id"], r["ts_us"]) for r in sm.sample_min_gap(frame.where("media_id is not null"), gap=gap, **o).collect())
+    assert got() == want and got(chunk=chunk) == want
+    assert sorted(r["ts_us"] for r in sm.sample_min_gap(frame, gap=gap).where("media_id is null").collect()) == [t for m, t in kept if m is None]
+    assert sm.sample_min_gap(frame.limit(0), gap=gap, chunk=chunk).count() == 0
+
+
+def test_min_gap_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        test_min_gap_in_chunks_equals_one_pass(spark, 6, 300, 5, 30)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_long_timeline_is_many_tasks(spark):
+    n = 400_000
+    frame = spark.range(n).selectExpr("1L as media_id", "id * 1000 + (id * 7919) % 997 as ts_us")
+    out = sm.sample_min_gap(frame, gap=10_500, chunk=1_000_000)
+    spread = out.groupBy(F.spark_partition_id()).count().collect()
+    times = np.sort(np.arange(n) * 1000 + np.arange(n) * 7919 % 997)
+    kept, at = 0, 0
+    while at < n:
+        kept, at = kept + 1, int(np.searchsorted(times, times[at] + 10_500))
+    assert sum(r["count"] for r in spread) == kept and len(spread) > 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert all("chunk" in x for x in plan.splitlines() if "hashpartitioning(media_id" in x)
+
+
 def test_candidate_windows(spark):
     scores = spark.createDataFrame([(1, 10 * S, 0.2, False), (1, 14 * S, 0.8, False), (1, 50 * S, 0.1, False)], "media_id bigint, ts_us bigint, a double, included boolean")
     text = spark.createDataFrame([(1, 15 * S, 18 * S, 0.0, [16 * S])], "media_id bigint, start_us bigint, end_us bigint, peak double, evidence_us array<bigint>")
@@ -144,16 +185,6 @@ def test_online_equals_batch(spark, tmp_path):
     assert online.count() == 120
 
 
-def test_fan_out_isolates_failures(spark):
-    seen = []
-
-    def bad(df, n):
-        raise ValueError("sink is down")
-
-    failed = sx.fan_out(points(spark, [1, 2, 3]), 4, {"bad": bad, "good": lambda df, n: seen.append((n, df.count()))})
-    assert seen == [(4, 3)] and failed == [("bad", 4, "ValueError: sink is down")]
-
-
 def test_sources_round_trip(spark, tmp_path):
     score = {"schema_version": 1, "media_id": "m", "duration_us": 9, "samples": [{"sample_id": "s", "timestamp_us": 5, "nsfl": 0.1, "nsfw": 0.2, "sfw": 0.7, "selected_label": "sfw", "reasons": ["x"]}]}
     (tmp_path / "s.json").write_text(json.dumps(score))
