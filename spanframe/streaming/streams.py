@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -106,37 +106,61 @@ def reduce_static(frames: DataFrame, *, forget: str = "1 hour", bits: int = 3, c
     return rows.groupBy(KEY).applyInPandasWithState(run, output, "seen bigint, t bigint, chunk bigint, hashes array<bigint>, colours array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fan_out(batch: DataFrame, number: int, sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> list[tuple[str, int, str]]:
-    """For foreachBatch: feeds a batch to each sink; one that fails is recorded, and the others go on."""
-    batch = batch.persist()
-    failed = []
-    try:
-        for name, sink in sinks.items():
-            try:
-                sink(batch, number)
-            except Exception as e:  # isolation is the point
-                failed.append((name, number, f"{type(e).__name__}: {e}"[:400]))
-    finally:
-        batch.unpersist()
-    return failed
-
-
 def played_ranges(reports: DataFrame, *, slack: int = 250_000) -> DataFrame:
-    """Ranges between neighbouring position reports that play explains: forward, and at most rate * elapsed + slack. Batch
-    form; the online form keeps the last report as state."""
-    from pyspark.sql import Window
+    """(media_id, start_us, end_us): steps between neighbouring position reports that play explains.
+
+    reports(media_id, wall_us, seq, kind, position_us, rate), in the order of wall_us, then seq. An observe whose rate is that of
+    the observe before counts the step between them if it is forward, and at most rate * elapsed + slack; an interrupt
+    between them forbids it, and a resume starts the elapsed time anew. Other columns of an interrupt or resume are not read.
+    Batch form; track_played is the online one. Replays give ranges of their own: merge_intervals counts them once.
+    """
+    order = ("wall_us", "seq")
+    parts = F.sum(F.when(F.col("kind") == "interrupt", 1).otherwise(0)).over(Window.partitionBy(KEY).orderBy(*order))
+    rows = reports.withColumn("__part", parts).where("kind <> 'interrupt'")
+    w = Window.partitionBy(KEY, "__part").orderBy(*order)
+    seen = F.when(F.col("kind") == "observe", F.struct("position_us", "rate"))
+    rows = rows.withColumn("__last", F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__wall", F.lag("wall_us").over(w))
+    step, elapsed = F.col("position_us") - F.col("__last.position_us"), F.col("wall_us") - F.col("__wall")
+    counts = (F.col("kind") == "observe") & (F.col("rate") == F.col("__last.rate")) & (step > 0) & (step <= F.col("__last.rate") * elapsed + slack)
+    return rows.where(counts).select(KEY, F.col("__last.position_us").alias("start_us"), F.col("position_us").alias("end_us"))
+
+
+def track_played(reports: DataFrame, *, slack: int = 250_000, forget: str = "1 hour") -> DataFrame:
+    """played_ranges online: the state of a media is its anchor (position, wall, rate), forgotten once the watermark of ts is past
+    its last report by the time forget. A batch's reports are taken in order; those behind the last one before are ignored."""
+    silence = int(pd.Timedelta(forget).total_seconds() * 1000)
 
-    w = Window.partitionBy(KEY).orderBy("wall_us")
-    prev = {c: F.lag(c).over(w) for c in ("position_us", "wall_us", "kind")}
-    rows = reports.withColumns({f"__{c}": v for c, v in prev.items()})
-    moved = F.col("position_us") - F.col("__position_us")
-    fits = (moved > 0) & (moved <= F.col("rate") * (F.col("wall_us") - F.col("__wall_us")) + slack)
-    rows = rows.where((F.col("__kind") != "interrupt") & (F.col("kind") != "resume") & fits)
-    return rows.select(KEY, F.col("__position_us").alias("start_us"), F.col("position_us").alias("end_us"))
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        wall, seq, anchor, since, speed = tuple(held.get) if held.exists else (None,) * 5
+        if wall is not None and held.getCurrentWatermarkMs() > wall // 1000 + silence:  # new reports came before the timer
+            anchor = since = speed = None
+        out = []
+        rows = pd.concat(list(parts)).sort_values(["wall_us", "seq"])
+        for now, n, kind, position, rate in zip(*(rows[c].tolist() for c in ("wall_us", "seq", "kind", "position_us", "rate")), strict=True):
+            if wall is not None and (now, n) <= (wall, seq):
+                continue
+            wall, seq = now, n
+            if kind == "interrupt":
+                anchor = since = speed = None
+            elif kind == "resume":
+                since = None if anchor is None else now
+            elif kind == "observe":
+                if anchor is not None and rate == speed and 0 < position - anchor <= speed * (now - since) + slack:
+                    out.append((key[0], anchor, int(position)))
+                anchor, since, speed = int(position), now, rate
+        held.update((wall, seq, anchor, since, speed))
+        held.setTimeoutTimestamp(max((wall or 0) // 1000, held.getCurrentWatermarkMs()) + silence)
+        yield pd.DataFrame(out, columns=[KEY, "start_us", "end_us"])
+
+    rows = reports.select(KEY, "ts", "wall_us", "seq", "kind", "position_us", "rate")
+    return rows.groupBy(KEY).applyInPandasWithState(run, f"{KEY} bigint, start_us bigint, end_us bigint", "wall bigint, seq bigint, anchor bigint, since bigint, speed double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_monitor(events: DataFrame) -> DataFrame:
-    """Per run and stage: latest done and total by sequence, and failures; for update mode."""
+    """Per run and stage: latest done and total by sequence, and failures; a stream of it is in update mode."""
     return events.groupBy("run_id", "stage").agg(F.max_by("done", "seq").alias("done"), F.max_by("total", "seq").alias("total"), F.count_if(F.col("failed")).alias("n_failed"))
 
 
@@ -146,3 +170,11 @@ def routing_metrics(observed: DataFrame, routed: DataFrame) -> DataFrame:
     r = routed.groupBy(KEY).agg(F.count("*").alias("n_routed"), digest.alias("digest"))
     out = observed.groupBy(KEY).agg(F.count("*").alias("n_observed")).join(r, KEY, "left").na.fill(0, ["n_routed"])
     return out.withColumn("n_skipped", F.col("n_observed") - F.col("n_routed"))
+
+
+def routing_windows(samples: DataFrame, core: str, routed: Column) -> DataFrame:
+    """routing_metrics of each tumbling core of event time, for append mode: a core is given out once the watermark is past it,
+    so the times that its digest holds are bounded by the core."""
+    times = F.array_sort(F.collect_list(F.when(routed, F.col("ts_us"))))
+    out = samples.groupBy(KEY, F.window("ts", core).alias("w")).agg(F.count("*").alias("n_observed"), F.count_if(routed).alias("n_routed"), F.sha2(F.array_join(times, "\n"), 256).alias("digest"))
+    return out.select(KEY, F.unix_micros("w.start").alias("start_us"), "n_observed", "n_routed", (F.col("n_observed") - F.col("n_routed")).alias("n_skipped"), F.when(F.col("n_routed") > 0, F.col("digest")).alias("digest"))
