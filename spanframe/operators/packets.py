@@ -81,11 +81,3 @@ def removal_report(expected: DataFrame, exported: DataFrame) -> DataFrame:
     rows = exported.withColumn("__p", F.lag("frame").over(w)).groupBy(KEY).agg((F.count("*") - F.count_distinct("frame")).alias("n_doubled"), (F.count_if(F.col("frame") < F.col("__p")) == 0).alias("monotonic"))
     runs = leaked.withColumn("__g", F.col("frame") - F.row_number().over(Window.partitionBy(KEY).orderBy("frame"))).groupBy(KEY).agg(F.count("*").alias("n_leaked"), F.count_distinct("__g").alias("n_leaked_runs"))
     return rows.join(runs, KEY, "left").join(missing, KEY, "left").na.fill(0)
-
-
-def annotation_issues(segments: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Inclusive frame ranges of each key: overlap, gap or disorder against the one before, and a first one not at 0."""
-    w = Window.partitionBy(*key).orderBy("first_frame", "last_frame")
-    prev = F.lag("last_frame").over(w)
-    issue = F.when(prev.isNull() & (F.col("first_frame") != 0), "does not start at 0").when(F.col("first_frame") <= prev, "overlap").when(F.col("first_frame") > prev + 1, "gap")
-    return segments.withColumn("issue", issue).where("issue is not null")

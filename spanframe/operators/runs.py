@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_draw, ratio
+from ..functions.columns import ratio
 
 
 def latest_attempt(attempts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -43,15 +43,23 @@ def disjoint(items: DataFrame, pilot: DataFrame, columns: Sequence[str]) -> Data
     return found.distinct()
 
 
-def compare_runs(first: DataFrame, second: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Items of both runs: whether each field is equal (nulls are equal), and whether all are."""
-    b = second.select(*by, *[F.col(c).alias(f"__{c}") for c in fields])
-    same = {f"same_{c}": F.col(c).eqNullSafe(F.col(f"__{c}")) for c in fields}
-    out = first.join(b, list(by)).select(*by, *[v.alias(k) for k, v in same.items()])
-    every = F.col(next(iter(same)))
-    for k in list(same)[1:]:
+def compare_runs(runs: Mapping[str, DataFrame] | Sequence[DataFrame], by: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Items that all runs have: whether each field is equal in all of them (nulls are equal), and whether all fields are.
+
+    One pass over the union: an item of every run with one distinct value of a field has it equal. An item that a run repeats is
+    compared with all its rows."""
+    tables = list(runs.values()) if isinstance(runs, Mapping) else list(runs)
+    both = None
+    for i, t in enumerate(tables):
+        t = t.select(*by, *fields, F.lit(i).alias("__run"))
+        both = t if both is None else both.unionByName(t)
+    # null stands apart from every value: a structure around it is never null
+    one = {f"same_{c}": F.count_distinct(F.struct(F.col(c))) == 1 for c in fields}
+    out = both.groupBy(*by).agg(F.count_distinct("__run").alias("__n"), *[v.alias(k) for k, v in one.items()])
+    every = F.lit(True)
+    for k in one:
         every = every & F.col(k)
-    return out.withColumn("same", every)
+    return out.where(F.col("__n") == len(tables)).drop("__n").withColumn("same", every)
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -73,17 +81,38 @@ def job_state(events: DataFrame, by: Sequence[str], *, seq: str) -> DataFrame:
     return events.groupBy(*by).agg(F.max_by("status", seq).alias("status"), F.min(F.when(F.col("status") == "processing", F.col("at_us"))).alias("started_us"), F.max(F.when(terminal, F.col("at_us"))).alias("ended_us"), F.count("*").alias("n_events"))
 
 
-def batch_reliability(planned: DataFrame, events: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Planned, started, completed, failed, and planned batches that never started."""
-    kinds = events.groupBy(*by).agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("batch"))).alias(k) for k in ("started", "completed", "failed")])
-    total = planned.groupBy(*by).agg(F.count_distinct("batch").alias("planned"))
-    begun = events.where("kind = 'started'").select(*by, "batch").distinct()
-    left = planned.select(*by, "batch").distinct().join(begun, [*by, "batch"], "left_anti").groupBy(*by).agg(F.count("*").alias("unprocessed"))
-    return total.join(kinds, list(by), "left").join(left, list(by), "left").na.fill(0)
+def batch_reliability(planned: DataFrame, events: DataFrame, by: Sequence[str], *, seq: str = "seq") -> DataFrame:
+    """Per run the numbers of its batches by what its journal shows: planned, started, unprocessed (planned, never started),
+    unfinished (started, without an end), completed, failed, cancelled, invalid and repaired.
 
+    events(by, batch, kind, seq): kinds started, completed, failed, cancelled, and invalid, an answer of another form. A batch
+    ends with the last of its ends; it is invalid if an invalid answer stands before that end, and repaired if it then completed.
+    Runs without a plan have null planned and unprocessed, and runs without events count none.
+    """
+    ends = F.col("kind").isin("completed", "failed", "cancelled")
+    each = events.groupBy(*by, "batch").agg(
+        F.bool_or(F.col("kind") == "started").alias("began"), F.max_by(F.when(ends, F.col("kind")), F.when(ends, F.col(seq))).alias("end"),
+        F.max(F.when(ends, F.col(seq))).alias("ended"), F.min(F.when(F.col("kind") == "invalid", F.col(seq))).alias("bad"),
+    )
+    plan = planned.select(*by, "batch").distinct().withColumn("known", F.lit(True))
+    both = each.join(plan, [*by, "batch"], "full")
+    invalid = F.col("bad").isNotNull() & F.col("end").isNotNull() & (F.col("bad") < F.col("ended"))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    counts = {
+        "planned": n(F.col("known")), "started": n(F.col("began")), "unprocessed": n(F.col("known") & ~F.coalesce("began", F.lit(False))), "unfinished": n(F.col("began") & F.col("end").isNull()),
+        "completed": n(F.col("end") == "completed"), "failed": n(F.col("end") == "failed"), "cancelled": n(F.col("end") == "cancelled"), "invalid": n(invalid), "repaired": n(invalid & (F.col("end") == "completed")),
+    }
+    out = both.groupBy(*by).agg(*[c.alias(k) for k, c in counts.items()])
+    return out.withColumns({c: F.when(F.col("planned") > 0, F.col(c)) for c in ("unprocessed", "planned")})
 
-def stage_spans(events: DataFrame, by: Sequence[str], elapsed: str) -> DataFrame:
-    return events.groupBy(*by).agg((F.max(elapsed) - F.min(elapsed)).alias("span"), F.count("*").alias("n"))
+
+def stage_spans(events: DataFrame, by: Sequence[str], elapsed: str, *, seq: str | None = None) -> DataFrame:
+    """Per stage the time from its first to its last event, and with seq whether time never runs back along it (in_order)."""
+    if seq is None:
+        return events.groupBy(*by).agg((F.max(elapsed) - F.min(elapsed)).alias("span"), F.count("*").alias("n"))
+    back = F.col(elapsed) < F.lag(elapsed).over(Window.partitionBy(*by).orderBy(seq))
+    rows = events.withColumn("__back", F.coalesce(back, F.lit(False)))
+    return rows.groupBy(*by).agg((F.max(elapsed) - F.min(elapsed)).alias("span"), F.count("*").alias("n"), (~F.bool_or("__back")).alias("in_order"))
 
 
 def reliability_rollup(rows: DataFrame, group: str, category: str) -> DataFrame:
@@ -149,43 +178,6 @@ def validate_run_records(attempts: DataFrame, manifest: DataFrame, *, digest: st
     return rows.select("item_id", "attempt_id", F.coalesce("status", F.lit("interrupted_unknown")).alias("status"), problems.alias("problems"))
 
 
-def stratified_select(rows: DataFrame, strata: Sequence[tuple[str, Column, int]], *, seed: str, ident: str, group: str) -> DataFrame:
-    """Per stratum, in order: the first n items by hash, one a group, and no group twice over all strata."""
-    chosen, used = None, None
-    for name, rule, n in strata:
-        pool = rows.where(rule)
-        pool = pool if used is None else pool.join(used, group, "left_anti")
-        draw = F.sha2(F.concat_ws("|", F.lit(seed), F.lit(name), F.col(ident).cast("string")), 256)
-        pool = pool.select(ident, group, draw.alias("__d")).withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy("__d"))).where("__n = 1")
-        take = pool.orderBy("__d").limit(n).select(ident, group, F.lit(name).alias("stratum"))
-        chosen = take if chosen is None else chosen.unionByName(take)
-        used = chosen.select(group).distinct()
-    return chosen
-
-
-def capped_select(rows: DataFrame, *, per_stratum: int, cap: int, seed: str, ident: str, stratum: str, subject: str) -> DataFrame:
-    """Items in hash order: at most cap a subject, then per_stratum a stratum."""
-    rows = rows.withColumn("__d", F.sha2(F.concat_ws("|", F.lit(seed), F.col(ident).cast("string")), 256))
-    rows = rows.withColumn("__s", F.row_number().over(Window.partitionBy(subject).orderBy("__d"))).where(F.col("__s") <= cap)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("__d"))).where(F.col("place") <= per_stratum).drop("__d", "__s")
-
-
-def audit_sample(rows: DataFrame, targeted: Column, *, share: float, least: int, seed: str, ident: str) -> DataFrame:
-    """batch 1: the targeted rows and an audit of the others, max(least, round(share n)) by hash; batch 2: the rest."""
-    rows = rows.withColumn("targeted", targeted).withColumn("__d", F.sha2(F.concat_ws("|", F.lit(seed), F.col(ident).cast("string")), 256))
-    n = rows.where("not targeted").agg(F.greatest(F.lit(least), F.bround(share * F.count("*")).cast("bigint")).alias("m")).first()["m"]
-    audit = rows.where("not targeted").orderBy("__d").limit(int(n)).select(ident, F.lit(True).alias("audited"))
-    out = rows.join(audit, ident, "left").na.fill(False, ["audited"])
-    return out.withColumn("batch", F.when(F.col("targeted") | F.col("audited"), 1).otherwise(2)).drop("__d")
-
-
-def comparison_sample(rows: DataFrame, target: Sequence[str], *, most: int, seed: str, ident: str, category: str = "category") -> DataFrame:
-    """All rows of target categories, and up to most of every other by hash."""
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(hash_draw(F.lit(seed), F.col(ident).cast("string")), ident))
-    wanted = F.col(category).isin(list(target))
-    return rows.withColumn("__n", rank).where(wanted | (F.col("__n") <= most)).drop("__n")
-
-
 def check_rules(df: DataFrame, rules: Mapping[str, Column], mode: str = "flag") -> DataFrame:
     """problems: names of rules that do not hold (a null rule does not). mode: flag, quarantine (only bad rows), pass (only
     good rows) or fail (an error at the first bad row)."""

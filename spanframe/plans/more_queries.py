@@ -9,7 +9,6 @@ from ..operators import alignment as al
 from ..operators import runs as rn
 from ..operators import stats as st
 from ..sources import readers as rd
-from ..streaming import streams as sx
 from .registry import register
 from .standins import HOUR, duck, merged, standin
 
@@ -32,7 +31,8 @@ def _(spark, d):
     return al.align_nearest(s.where("event_type = 'error'"), s.where("event_type = 'click'"), tol=6 * HOUR)
 
 
-@register("j14_frames_to_time", duck("SELECT o_orderkey, a.pts_us AS start_us, b.pts_us + 40000 AS end_us FROM (SELECT o_orderkey, o_custkey % 20 AS m, o_orderkey % 100 AS f, o_orderkey % 100 + 50 AS l FROM orders) o LEFT JOIN pk a ON a.media_id = m AND a.decode_pos = f LEFT JOIN pk b ON b.media_id = m AND b.decode_pos = l", "pk AS MATERIALIZED (SELECT * FROM packets)"))
+# the frames of a media as one list in order: the positions are looked up in it, so no join is left to choose
+@register("j14_frames_to_time", duck("SELECT o_orderkey, p[f + 1] AS start_us, p[f + 51] + 40000 AS end_us FROM (SELECT o_orderkey, o_custkey % 20 AS m, o_orderkey % 100 AS f FROM orders) LEFT JOIN (SELECT media_id, list(pts_us ORDER BY decode_pos) AS p FROM packets GROUP BY 1) ON media_id = m"))
 def _(spark, d):
     rows = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("media_id"), (F.col("o_orderkey") % 100).alias("first_frame"), (F.col("o_orderkey") % 100 + 50).alias("last_frame"))
     frames = standin(spark, d, "packets").select("media_id", F.col("decode_pos").alias("frame"), "pts_us")
@@ -72,12 +72,11 @@ def _(spark, d):
     return al.frame_targets(events, standin(spark, d, "samples").select("sample_id", "ts_us"))[0]
 
 
-@register("j19_transcript_source", duck("SELECT m.conv AS media_id, count(s.text) AS n, CASE WHEN count(s.text) FILTER (role = 'user') > 0 THEN 'subtitle' WHEN count(s.text) > 0 THEN 'speech' END AS source FROM (SELECT unnest(range(0, 60)) AS conv) m LEFT JOIN segments s ON s.media_id = m.conv AND (role = 'user' OR (role = 'assistant' AND conv NOT IN (SELECT media_id FROM segments WHERE role = 'user'))) GROUP BY 1"))
+@register("j19_transcript_source", duck("SELECT m.conv AS media_id, count(s.text) AS n, CASE WHEN count(s.text) FILTER (role = 'user') > 0 THEN 'subtitle' WHEN count(s.text) > 0 THEN 'speech' END AS source FROM (SELECT DISTINCT conv_id AS conv FROM conversations UNION SELECT page_id FROM pages) m LEFT JOIN segments s ON s.media_id = m.conv AND (role = 'user' OR (role = 'assistant' AND conv NOT IN (SELECT media_id FROM segments WHERE role = 'user'))) GROUP BY 1"))
 def _(spark, d):
     s = standin(spark, d, "segments")
-    media = spark.range(60).withColumnRenamed("id", "media_id")
-    keep = s.join(media, "media_id", "left_semi")
-    out = al.transcript_source(keep.where("role = 'user'"), keep.where("role = 'assistant'"), media)
+    media = s.select("media_id").union(_t(spark, d, "pages").select("page_id")).distinct()
+    out = al.transcript_source(s.where("role = 'user'"), s.where("role = 'assistant'"), media)
     return out.groupBy("media_id").agg(F.count("text").alias("n"), F.max("source").alias("source"))
 
 
@@ -115,12 +114,6 @@ def _(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith("_rate")})
 
 
-@register("a17_inventory", "SELECT l_suppkey, count(*) AS n_orders, count(*) FILTER (level >= 40) AS n_high, count(*) FILTER (flag) AS n_flagged FROM (SELECT l_suppkey, l_orderkey, max(l_quantity) AS level, bool_or(l_returnflag = 'R') AS flag FROM lineitem GROUP BY 1, 2) GROUP BY 1")
-def _(spark, d):
-    per = _t(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.max("l_quantity").alias("level"), F.bool_or(F.col("l_returnflag") == "R").alias("flag"))
-    return per.groupBy("l_suppkey").agg(F.count("*").alias("n_orders"), F.count_if(F.col("level") >= 40).alias("n_high"), F.count_if("flag").alias("n_flagged"))
-
-
 @register("a21_alert_review", duck("SELECT group_id, count(*) AS n_alerts, count(*) FILTER (l = 'positive') AS n_true, count(*) FILTER (l IS NULL) AS n_open, CASE WHEN count(*) FILTER (l IS NULL) = 0 THEN round(count(*) FILTER (l = 'positive') / count(*), 9) END AS precision FROM (SELECT group_id, CASE WHEN item_id % 12 > 0 THEN CASE WHEN toxic = 1 THEN 'positive' ELSE 'negative' END END AS l FROM items WHERE n_chars > 1500) GROUP BY 1"))
 def _(spark, d):
     rows = standin(spark, d, "items").where("n_chars > 1500").withColumn("label", F.when(F.col("item_id") % 12 > 0, F.when(F.col("toxic") == 1, "positive").otherwise("negative")))
@@ -144,51 +137,6 @@ def _(spark, d):
     return rows.groupBy(F.when(F.col("n") < 60, "small").otherwise("large").alias("band")).agg(F.count("*").alias("n"), F.max("score").alias("score"), F.sum("total_us").alias("flagged_us"))
 
 
-@register("a28_attribute_catalogue", "SELECT l_suppkey, count(*) FILTER (l_quantity >= 40) AS n_high, round(count(*) FILTER (l_quantity >= 40) / count(*), 9) AS share, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags FROM lineitem GROUP BY 1")
-def _(spark, d):
-    high = F.count_if(F.col("l_quantity") >= 40)
-    return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(high.alias("n_high"), F.round(high / F.count("*"), 9).alias("share"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
-
-
-@register("a30_speech_summary", duck("SELECT media_id, count(*) AS n_segments, CASE WHEN count(*) FILTER (length(text) > 200) > 0 THEN 'xx' END AS language FROM segments WHERE role = 'user' GROUP BY 1"))
-def _(spark, d):
-    n = F.count_if(F.length("text") > 200)
-    return standin(spark, d, "segments").where("role = 'user'").groupBy("media_id").agg(F.count("*").alias("n_segments"), F.when(n > 0, "xx").alias("language"))
-
-
-@register("p12_validate_reviews", duck("SELECT item_id, list_filter([CASE WHEN toxic = 1 AND quality = 0 THEN 'contradiction' END, CASE WHEN n_chars < 200 THEN 'too short' END], lambda x: x IS NOT NULL) AS problems FROM items"), arrays=("problems",))
-def _(spark, d):
-    rules = {"contradiction": ~((F.col("toxic") == 1) & (F.col("quality") == 0)), "too short": F.col("n_chars") >= 200}
-    return rn.check_rules(standin(spark, d, "items"), rules).select("item_id", "problems")
-
-
-@register("p14_apply_subset", duck("SELECT item_id FROM items WHERE toxic = 0"))
-def _(spark, d):
-    i = standin(spark, d, "items")
-    return al.apply_subset(i, i.where("toxic = 1").select("item_id")).select("item_id")
-
-
-@register("p15_apply_reference_labels", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(l.quality, 9) AS quality, CASE WHEN d.doc_id IS NULL THEN 'label only' WHEN l.doc_id IS NULL THEN 'unlabelled' ELSE 'both' END AS cover FROM (SELECT * FROM documents WHERE doc_id % 3 > 0) d FULL JOIN labels l ON d.doc_id = l.doc_id")
-def _(spark, d):
-    m = _t(spark, d, "documents").where("doc_id % 3 > 0").select("doc_id", F.lit(9).alias("quality"))
-    out = al.apply_labels(m, _t(spark, d, "labels"), "doc_id", ["quality"])
-    return out.select("doc_id", "quality", "cover")
-
-
-@register("p16_select_members", duck("SELECT item_id FROM items WHERE group_id IN (SELECT group_id FROM items GROUP BY 1 HAVING max(toxic) = 1)"))
-def _(spark, d):
-    i = standin(spark, d, "items")
-    return i.join(i.groupBy("group_id").agg(F.max("toxic").alias("m")).where("m = 1"), "group_id", "left_semi").select("item_id")
-
-
-@register("p17_media_quality", duck("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'no_video' WHEN 2 THEN 'bad_dimensions' WHEN 3 THEN 'truncated' ELSE 'ok' END AS code FROM pages"))
-def _(spark, d):
-    n = F.col("page_id") % 5
-    probe = lambda w, s: F.lit(f'{{"format": {{"duration": "{s}"}}, "streams": [{{"codec_type": "{"audio" if w is None else "video"}", "width": {w or 0}, "height": 100}}]}}')
-    text = F.when(n == 0, F.lit("no json")).when(n == 1, probe(None, 3)).when(n == 2, probe(-1, 3)).when(n == 3, probe(100, 0)).otherwise(probe(100, 3))
-    return rd.media_quality(rd.media_probe(_t(spark, d, "pages").select("page_id", text.alias("probe")))).select("page_id", "code")
-
-
 @register("s08_media_probe", "SELECT page_id, (page_id * 1500000 + 250000)::BIGINT AS duration_us, 1280 AS width, round(30000 / 1001, 9) AS fps, true AS has_audio FROM pages")
 def _(spark, d):
     text = F.concat(F.lit('{"format": {"duration": "'), (F.col("page_id") * F.lit(1.5).cast("decimal(10,2)") + F.lit(0.25).cast("decimal(10,2)")).cast("string"), F.lit('"}, "streams": [{"codec_type": "video", "width": 1280, "height": 688, "avg_frame_rate": "30000/1001"}, {"codec_type": "audio"}]}'))
@@ -209,12 +157,6 @@ def _(spark, d):
     return rn.validate_run_records(rows, manifest, digest="web", tol=50)
 
 
-@register("p23_to_manifest", "SELECT doc_id::VARCHAR AS item_id, source AS group_id, n_chars * 1000 AS duration_us, lang AS origin FROM documents")
-def _(spark, d):
-    rows = _t(spark, d, "documents").withColumn("provenance", F.create_map(F.lit("lang"), F.col("lang")))
-    return rows.select(F.col("doc_id").cast("string").alias("item_id"), F.col("source").alias("group_id"), (F.col("n_chars") * 1000).alias("duration_us"), F.col("provenance")["lang"].alias("origin"))
-
-
 @register("b06_paired_delta", duck("SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS n_resamples FROM (SELECT r, sum(k2 - k) / sum(n) AS v FROM (SELECT r, i, ('0x' || substr(sha256('d|' || r || '|' || i), 1, 8))::BIGINT % (SELECT max(ng) FROM g) AS pick FROM (SELECT unnest(range(1, 101)) AS r) CROSS JOIN (SELECT unnest(range(1, (SELECT max(ng) FROM g) + 1)) AS i)) JOIN g ON gi = pick GROUP BY r)", "g AS (SELECT group_id, count(*) FILTER (toxic = 1) AS k, count(*) FILTER (quality = 0) AS k2, count(*) AS n, row_number() OVER (ORDER BY group_id) - 1 AS gi, count(*) OVER () AS ng FROM items GROUP BY group_id)"))
 def _(spark, d):
     g = standin(spark, d, "items").groupBy("group_id").agg(F.count_if(F.col("toxic") == 1).alias("k"), F.count_if(F.col("quality") == 0).alias("k2"), F.count("*").alias("n"))
@@ -234,36 +176,3 @@ def _(spark, d):
 def _(spark, d):
     rows = _t(spark, d, "embeddings").groupBy("label").agg(F.percentile(F.col("embedding")[0].cast("double"), 0.99).alias("q"))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("q").desc_nulls_last(), "label"))).drop("q")
-
-
-def _stamped(spark, d):
-    return standin(spark, d, "samples").withColumn("ts", F.timestamp_micros("ts_us"))
-
-
-@register("x02_chunk_counts", duck(f"SELECT media_id, ts_us // {24 * HOUR} * {24 * HOUR} AS start_us, (ts_us // {24 * HOUR} + 1) * {24 * HOUR} AS end_us, count(*) AS n FROM samples GROUP BY 1, 2, 3"))
-def _(spark, d):
-    return sx.chunk_counts(_stamped(spark, d), "24 hours")
-
-
-@register("x05_cluster_sessions", duck(f"SELECT media_id, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS island FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) > {6 * HOUR} THEN 1 ELSE 0 END AS fresh FROM samples)) GROUP BY media_id, island"))
-def _(spark, d):
-    return sx.cluster_sessions(_stamped(spark, d), "6 hours")
-
-
-@register("x08_played_ranges", duck("SELECT media_id, p AS start_us, pos AS end_us FROM (SELECT *, lag(pos) OVER w AS p, lag(ts_us) OVER w AS pw, lag(event_type) OVER w AS pk FROM (SELECT *, ts_us // 2 + (sample_id % 3) * 1000000 AS pos FROM samples) WINDOW w AS (PARTITION BY media_id ORDER BY ts_us)) WHERE pk <> 'error' AND event_type <> 'signup' AND pos > p AND pos - p <= 0.5 * (ts_us - pw) + 250000"))
-def _(spark, d):
-    kind = F.when(F.col("event_type") == "error", "interrupt").when(F.col("event_type") == "signup", "resume").otherwise("observe")
-    rows = standin(spark, d, "samples").select("media_id", F.expr("ts_us div 2 + (sample_id % 3) * 1000000").alias("position_us"), F.col("ts_us").alias("wall_us"), F.lit(0.5).alias("rate"), kind.alias("kind"))
-    return sx.played_ranges(rows)
-
-
-@register("x10_progress_monitor", duck("SELECT media_id AS run_id, event_type AS stage, arg_max(ts_us, sample_id) AS done, max(duration_us) AS total, count(*) FILTER (scene) AS n_failed FROM samples GROUP BY 1, 2"))
-def _(spark, d):
-    rows = standin(spark, d, "samples").select(F.col("media_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("ts_us").alias("done"), F.col("duration_us").alias("total"), F.col("sample_id").alias("seq"), F.col("scene").alias("failed"))
-    return sx.progress_monitor(rows)
-
-
-@register("x11_routing_metrics", duck("SELECT media_id, count(*) AS n_observed, count(*) FILTER (scene) AS n_routed, CASE WHEN count(*) FILTER (scene) > 0 THEN sha256(array_to_string(list(ts_us ORDER BY ts_us) FILTER (scene), chr(10))) END AS digest, count(*) - count(*) FILTER (scene) AS n_skipped FROM samples GROUP BY 1"))
-def _(spark, d):
-    s = standin(spark, d, "samples")
-    return sx.routing_metrics(s, s.where("scene"))

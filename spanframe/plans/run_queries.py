@@ -167,12 +167,6 @@ def _(spark, d):
     return st.collapse_diagnostics(rows, "l_returnflag", "seq", ["l_suppkey"], limit=0.3).withColumn("share", F.round("share", 9))
 
 
-@register("a16_compare_models", duck("SELECT l_linenumber, round(avg(completed::INT) FILTER (config = 'A'), 9) AS a, round(avg(completed::INT) FILTER (config = 'R'), 9) AS r, round(avg(completed::INT) FILTER (config = 'R') - avg(completed::INT) FILTER (config = 'A'), 9) AS delta FROM attempts GROUP BY 1"))
-def _(spark, d):
-    out = _attempts(spark, d).groupBy("l_linenumber").pivot("config", ["A", "R"]).agg(F.avg(F.col("completed").cast("int")))
-    return out.select("l_linenumber", F.round("A", 9).alias("a"), F.round("R", 9).alias("r"), F.round(F.col("R") - F.col("A"), 9).alias("delta"))
-
-
 @register("a18_benchmark_aggregate", "SELECT l_linestatus, count(*) AS n_runs, count(*) FILTER (l_discount > 0.02) AS n_valid, count(*) FILTER (NOT l_discount > 0.02) AS n_invalid, median(l_extendedprice::DOUBLE) FILTER (l_discount > 0.02) AS median_wall_us, min(l_extendedprice::DOUBLE) FILTER (l_discount > 0.02) AS least_wall_us, max(l_extendedprice::DOUBLE) FILTER (l_discount > 0.02) AS most_wall_us, round(median(l_quantity::DOUBLE / l_extendedprice::DOUBLE) FILTER (l_discount > 0.02), 9) AS median_throughput FROM lineitem GROUP BY 1")
 def _(spark, d):
     rows = _t(spark, d, "lineitem").select("l_linestatus", F.col("l_extendedprice").cast("double").alias("wall_us"), F.col("l_quantity").cast("double").alias("media_us"), (F.col("l_discount") > 0.02).alias("valid"))
@@ -194,18 +188,6 @@ def _(spark, d):
     return rn.job_state(rows, ["media_id"], seq="sample_id")
 
 
-@register("a26_batch_reliability", duck("SELECT media_id, count(DISTINCT sample_id % 20) AS planned, count(DISTINCT sample_id % 20) FILTER (event_type = 'click') AS started, count(DISTINCT sample_id % 20) FILTER (event_type = 'purchase') AS completed, count(DISTINCT sample_id % 20) FILTER (event_type = 'error') AS failed, count(DISTINCT sample_id % 20) - count(DISTINCT sample_id % 20) FILTER (event_type = 'click') AS unprocessed FROM samples GROUP BY 1"))
-def _(spark, d):
-    rows = standin(spark, d, "samples").withColumn("batch", F.col("sample_id") % 20)
-    kind = F.when(F.col("event_type") == "click", "started").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
-    return rn.batch_reliability(rows.select("media_id", "batch"), rows.select("media_id", "batch", kind.alias("kind")), ["media_id"])
-
-
-@register("a27_stage_spans", duck("SELECT media_id, event_type, max(ts_us) - min(ts_us) AS span, count(*) AS n FROM samples GROUP BY 1, 2"))
-def _(spark, d):
-    return rn.stage_spans(standin(spark, d, "samples"), ["media_id", "event_type"], "ts_us")
-
-
 @register("a29_batch_occupancy", duck("SELECT media_id, (n + 7) // 8 AS n_batches, n // 8 AS n_full, CASE WHEN n % 8 = 0 THEN 8 ELSE n % 8 END AS last_size, round(n / ((n + 7) // 8 * 8), 9) AS occupancy FROM (SELECT media_id, count(*) AS n FROM samples GROUP BY 1)"))
 def _(spark, d):
     rows = standin(spark, d, "samples").groupBy("media_id").agg(F.count("*").alias("n"))
@@ -234,12 +216,6 @@ def _(spark, d):
     return rn.disjoint(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 10 = 0"), ["o_custkey", "o_totalprice"]).select("o_orderkey")
 
 
-@register("j13_compare_runs", duck(f"SELECT a.item_id, a.completed = b.completed AS same_completed, a.cents = b.cents AS same_cents, a.completed = b.completed AND a.cents = b.cents AS same FROM {_LATEST} a JOIN {_LATEST} b ON a.item_id = b.item_id WHERE a.config = 'A' AND b.config = 'N'"))
-def _(spark, d):
-    last = rn.latest_attempt(_attempts(spark, d), ("item_id", "config"), _ORDER)
-    return rn.compare_runs(last.where("config = 'A'"), last.where("config = 'N'"), ["item_id"], ["completed", "cents"])
-
-
 @register("j20_attempt_outcome", duck("SELECT coalesce(w.k, p.k) AS item_id, CASE WHEN coalesce(p.i, false) THEN p.s WHEN w.s IS NOT NULL THEN w.s ELSE coalesce(p.s, 'failed') END AS status FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 > 0) w FULL JOIN (SELECT o_orderkey AS k, o_orderpriority AS s, o_orderkey % 7 = 0 AS i FROM orders WHERE o_orderkey % 5 > 0) p ON w.k = p.k"))
 def _(spark, d):
     o = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "item_id")
@@ -265,29 +241,6 @@ def _(spark, d):
     return rn.set_difference(a.where("config = 'A'").select("item_id"), a.where("config = 'R'").select("item_id"))
 
 
-@register("b11_stratified_select", duck("""SELECT item_id, group_id, stratum FROM (SELECT item_id, group_id, 'toxic' AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY d) AS g FROM (SELECT *, sha256('s|toxic|' || item_id) AS d FROM items WHERE toxic = 1)) WHERE g = 1 ORDER BY d LIMIT 5)
- UNION ALL SELECT * FROM (SELECT item_id, group_id, 'clean' FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY d) AS g FROM (SELECT *, sha256('s|clean|' || item_id) AS d FROM items WHERE toxic = 0 AND group_id NOT IN (SELECT group_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY d) AS g FROM (SELECT *, sha256('s|toxic|' || item_id) AS d FROM items WHERE toxic = 1)) WHERE g = 1 ORDER BY d LIMIT 5))) WHERE g = 1 ORDER BY d LIMIT 7)"""))
-def _(spark, d):
-    rows = standin(spark, d, "items")
-    return rn.stratified_select(rows, [("toxic", F.col("toxic") == 1, 5), ("clean", F.col("toxic") == 0, 7)], seed="s", ident="item_id", group="group_id")
-
-
-@register("b12_capped_select", duck("SELECT item_id, quality, place FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY d) AS place FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY d) AS s FROM (SELECT *, sha256('s|' || item_id) AS d FROM items)) WHERE s <= 3) WHERE place <= 20"))
-def _(spark, d):
-    out = rn.capped_select(standin(spark, d, "items"), per_stratum=20, cap=3, seed="s", ident="item_id", stratum="quality", subject="group_id")
-    return out.select("item_id", "quality", "place")
-
-
-@register("b13_audit_sample", duck("SELECT item_id, CASE WHEN toxic = 1 OR r <= greatest(10, round_even(0.1 * n, 0)) THEN 1 ELSE 2 END AS batch FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY sha256('s|' || item_id)) AS r, count(*) OVER (PARTITION BY toxic) AS n FROM items)"))
-def _(spark, d):
-    return rn.audit_sample(standin(spark, d, "items"), F.col("toxic") == 1, share=0.1, least=10, seed="s", ident="item_id").select("item_id", "batch")
-
-
-@register("b14_comparison_sample", duck(f"SELECT media_id, interval_id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_DRAW.format(chr(39) + 's|' + chr(39) + ' || interval_id')}, interval_id) AS n FROM truth) WHERE category = 'red' OR n <= 2"))
-def _(spark, d):
-    return rn.comparison_sample(standin(spark, d, "truth"), ["red"], most=2, seed="s", ident="interval_id").select("media_id", "interval_id", "category")
-
-
 @register("hash_draw", f"SELECT o_orderkey, {_DRAW.format(chr(39) + 'x|' + chr(39) + ' || o_orderkey')} AS draw FROM orders")
 def _(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", hash_draw(F.lit("x"), F.col("o_orderkey").cast("string")).alias("draw"))
@@ -304,35 +257,12 @@ def _(spark, d):
     return _t(spark, d, "pages").groupBy(host).agg(F.min("page_id").alias("page_id"))
 
 
-@register("p07_evaluable", duck("SELECT item_id FROM items WHERE group_id = 'src1' AND item_id % 9 <> 0"))
-def _(spark, d):
-    return standin(spark, d, "items").where("group_id = 'src1' and item_id % 9 <> 0").select("item_id")
-
-
-@register("p08_validate_scores", duck("SELECT media_id, sample_id, list_filter([CASE WHEN a > 0.9 THEN 'range' END, CASE WHEN ts_us > duration_us - 1000000 THEN 'in_media' END, CASE WHEN ts_us < lag(ts_us) OVER (PARTITION BY media_id ORDER BY sample_id) THEN 'ordered' END], lambda x: x IS NOT NULL) AS problems FROM samples"), arrays=("problems",))
-def _(spark, d):
-    w = Window.partitionBy("media_id").orderBy("sample_id")
-    rows = standin(spark, d, "samples").withColumn("before", F.lag("ts_us").over(w))
-    rules = {"range": F.col("a") <= 0.9, "in_media": F.col("ts_us") <= F.col("duration_us") - 1_000_000, "ordered": F.col("before").isNull() | (F.col("ts_us") >= F.col("before"))}
-    return rn.check_rules(rows, rules).select("media_id", "sample_id", "problems")
-
-
 @register("p09_check_constraints", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 10000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END], lambda x: x IS NOT NULL) AS problems FROM orders WHERE o_totalprice < 10000 OR o_orderstatus NOT IN ('O', 'F')", arrays=("problems",))
 def _(spark, d):
     rules = {"price": F.col("o_totalprice") >= 10000, "status": F.col("o_orderstatus").isin("O", "F")}
     return rn.check_rules(_t(spark, d, "orders"), rules, "quarantine").select("o_orderkey", "problems")
 
 
-@register("p10_validate_manifest", duck("SELECT group_id, count(DISTINCT quality) AS n_splits FROM items GROUP BY 1 HAVING count(DISTINCT quality) > 1"))
-def _(spark, d):
-    return rn.split_groups(standin(spark, d, "items"), "group_id", "quality")
-
-
-@register("p11_validate_results", duck("SELECT item_id, config, count(*) AS n FROM attempts GROUP BY 1, 2 HAVING count(*) > 1"))
-def _(spark, d):
-    return rn.duplicates(_attempts(spark, d), ["item_id", "config"])
-
-
 @register("p13_derive_label", duck("SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 'excluded' WHEN toxic = 1 THEN 'positive' WHEN item_id % 7 = 0 THEN 'undecided' WHEN quality = 0 THEN 'uncertain' ELSE 'negative' END AS derived FROM items"))
 def _(spark, d):
     rows = standin(spark, d, "items").withColumn("excluded", F.col("item_id") % 10 == 0)
@@ -432,9 +362,3 @@ def _(spark, d):
     exported = standin(spark, d, "packets").select("media_id", F.col("decode_pos").alias("place"), F.expr("pts_us div 80000").alias("frame"))
     expected = exported.where("frame % 5 > 1").select("media_id", "frame").distinct()
     return pk.removal_report(expected, exported)
-
-
-@register("w06_annotation_issues", "SELECT l_suppkey, issue, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN p IS NULL AND first <> 0 THEN 'does not start at 0' WHEN first <= p THEN 'overlap' WHEN first > p + 1 THEN 'gap' END AS issue FROM (SELECT *, lag(last) OVER (PARTITION BY l_suppkey ORDER BY first, last) AS p FROM (SELECT *, l_orderkey AS first, l_orderkey + l_linenumber AS last FROM lineitem))) WHERE issue IS NOT NULL GROUP BY 1, 2")
-def _(spark, d):
-    rows = _t(spark, d, "lineitem").withColumns({"first_frame": F.col("l_orderkey"), "last_frame": F.col("l_orderkey") + F.col("l_linenumber")})
-    return pk.annotation_issues(rows, ("l_suppkey",)).groupBy("l_suppkey", "issue").agg(F.count("*").alias("n"))
