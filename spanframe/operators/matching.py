@@ -60,6 +60,25 @@ def assign_edges(edges: Mapping[tuple[int, int], float]) -> list[tuple[int, int]
             c = freed
 
 
+def _connected(ps: np.ndarray, ts: np.ndarray) -> list[list[int]]:
+    """Places of the pairs (ps, ts) that hang together by a common end, each set in order."""
+    root = list(range(int(ps.max(initial=-1)) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    first: dict[int, int] = {}
+    for p, t in zip(ps.tolist(), ts.tolist(), strict=True):
+        a, b = find(p), find(first.setdefault(t, p))
+        root[max(a, b)] = min(a, b)
+    parts: dict[int, list[int]] = {}
+    for i, p in enumerate(ps.tolist()):
+        parts.setdefault(find(p), []).append(i)
+    return list(parts.values())
+
+
 def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     """assign_edges of the positive entries of a matrix."""
     return assign_edges({(int(r), int(c)): float(weight[r, c]) for r, c in np.argwhere(weight > 0)})
@@ -69,8 +88,9 @@ def match_events(predicted: DataFrame, truth: DataFrame, *, thresholds: Sequence
     """One-to-one pairs of each group and IoU threshold: most pairs, then the greatest sum of IoU, ties by ids.
 
     Pairs that are each other's only choice are settled in SQL. Contested pairs are split on Spark into islands of pairs that
-    touch in time, which never influence each other, and each island goes to a solver that holds its pairs alone. carry:
-    columns of both sides that pairs keep, as p_<name> and t_<name>.
+    touch in time, which never influence each other; a task holds an island's pairs, and solves those that share an event, by
+    however many steps, apart from the others. ident must name an event of a group once. carry: columns of both sides that
+    pairs keep, as p_<name> and t_<name>.
     """
     same = " AND ".join(f"{c} <=> r_{c}" for c in by if c != KEY) or "true"
     pairs = intersect_intervals(predicted, truth, width=width).where(same)
@@ -86,8 +106,11 @@ def match_events(predicted: DataFrame, truth: DataFrame, *, thresholds: Sequence
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ps, ts = np.unique(pdf["p"], return_inverse=True)[1], np.unique(pdf["t"], return_inverse=True)[1]
-        chosen = set(assign_edges(dict(zip(zip(ps.tolist(), ts.tolist(), strict=True), pdf["iou"].tolist(), strict=True))))
-        return pdf[[pair in chosen for pair in zip(ps.tolist(), ts.tolist(), strict=True)]]
+        iou, chosen = pdf["iou"].tolist(), np.zeros(len(pdf), bool)
+        for part in _connected(ps, ts):
+            picked = set(assign_edges({(int(ps[i]), int(ts[i])): iou[i] for i in part}))
+            chosen[[i for i in part if (int(ps[i]), int(ts[i])) in picked]] = True
+        return pdf[chosen]
 
     return settled.unionByName(contested.groupBy(*by, "threshold", "island").applyInPandas(solve, contested.schema).drop("island"))
 
@@ -128,14 +151,17 @@ def evaluate_media(predicted: DataFrame, truth: DataFrame, media: DataFrame, exc
     Excluded ranges are cut from both sides; the fragments of an event stay one event, and events of which nothing is left
     are counted as ignored. A boundary inside an excluded range has no error. binary: all categories as one, named "binary",
     true events that overlap or touch merged first. media(media_id, duration_us). Rows without a category, of media that are
-    not in media, or of no length take no part.
+    not in media, or of no length take no part. Rows that repeat an id, or are equal, are events of their own: two equal
+    predictions of one true event are one hit and one false alert. No samples or events give no rows.
     """
     by = (KEY, "category")
     columns = (KEY, "interval_id", "start_us", "end_us", "category")
     if binary:
         merged = merge_intervals(truth, carry={"interval_id": "min"})
         predicted, truth = (df.withColumn("category", F.lit("binary")) for df in (predicted, merged))
-    sides = [df.select(*columns, F.lit(n).alias("side")).where("category is not null and end_us > start_us") for n, df in (("p", predicted), ("t", truth))]
+    # rows that repeat an id, or all of a row, are events of their own: a number in the order of ids stands for them
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy("interval_id", "start_us", "end_us", "category")).cast("bigint")
+    sides = [df.select(*columns).where("category is not null and end_us > start_us").withColumn("interval_id", number).withColumn("side", F.lit(n)) for n, df in (("p", predicted), ("t", truth))]
     seen = visible(sides[0].unionByName(sides[1]).join(media.select(KEY), KEY, "left_semi"), excluded)
     pairs = match_events(*(seen.where((F.col("side") == n) & (F.col("end_us") > F.col("start_us"))) for n in "pt"), thresholds=thresholds, width=width, carry=("event_start_us", "event_end_us", "start_seen", "end_seen"))
     hits = [F.count("*").alias("tp")]

@@ -12,24 +12,55 @@ from ..functions.columns import ratio
 from .intervals import merge_intervals
 from .timeline import KEY, ordered_pass, points_in_intervals
 
-#: Ranges that a column's distinct values are dealt over.
-RANGES = 64
+def upper_bound(values: Column, x: Column) -> Column:
+    """How many of a sorted array's values are at most x, by bisection; none for null."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1.0)).cast("int"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.coalesce(F.get(values, mid) <= x, F.lit(False))
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(steps, start, step, lambda s: s["lo"])
+
+
+def _below(places: DataFrame, lists: DataFrame, by: Sequence[str], axes: Mapping[str, str], counts: Sequence[str]) -> DataFrame:
+    """places(by, axes, counts), a row a place -> for each corner of the grid of axes, the counts of all places at or below it
+    in every axis; and all_<count>, the sums over by. axes: names of places by the thresholds' list in lists(by, lists).
+
+    A running sum along each axis in turn: the grid is as large as the product of the axes' thresholds, which policies are."""
+    grid = lists.select(*by, *[F.size(f"__{t}").alias(f"__n{a}") for a, t in axes.items()])
+    for a in axes:
+        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.col(f"__n{a}"))))
+    grid = grid.drop(*[f"__n{a}" for a in axes])
+    out = grid.join(places, [*by, *axes], "left").na.fill(0, list(counts))
+    every = Window.partitionBy(*by)
+    out = out.withColumns({f"all_{c}": F.sum(c).over(every) for c in counts}) if by else out
+    for a in axes:
+        along = Window.partitionBy(*by, *[x for x in axes if x != a]).orderBy(a).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({c: F.sum(c).over(along) for c in counts})
+    return out
 
 
 def passing_counts(rows: DataFrame, policies: DataFrame, a: str, b: str) -> DataFrame:
     """policies(t_a, t_b) -> (t_a, t_b, passing, total): how many rows have a >= t_a or b >= t_b.
 
-    A row is placed by how many thresholds of each kind it reaches, and only the counts of places meet the policies: what a
-    policy costs does not depend on the rows. Nulls reach no threshold.
+    A row is placed by how many thresholds of each kind it reaches. A policy passes all rows but those in the corner of places
+    below both of its thresholds, and running sums along both kinds give every corner at once, so a policy looks up one
+    number. Nulls reach no threshold; without rows all counts are 0.
     """
-    lists = policies.agg(*[F.array_sort(F.collect_set(t)).alias(f"__{t}") for t in ("t_a", "t_b")])
-    reached = lambda x, t: F.size(F.filter(F.col(f"__{t}"), lambda y: y <= F.col(x)))
-    places = rows.select(a, b).join(F.broadcast(lists)).select(reached(a, "t_a").alias("__ra"), reached(b, "t_b").alias("__rb"))
-    places = places.groupBy("__ra", "__rb").agg(F.count("*").alias("__n"))
-    at = lambda t: F.array_position(F.col(f"__{t}"), F.col(t)).cast("int")
-    grid = policies.select("t_a", "t_b").distinct().join(F.broadcast(lists)).select("t_a", "t_b", at("t_a").alias("__pa"), at("t_b").alias("__pb"))
-    out = grid.join(places).groupBy("t_a", "t_b")
-    return out.agg(F.sum(F.when((F.col("__ra") >= F.col("__pa")) | (F.col("__rb") >= F.col("__pb")), F.col("__n")).otherwise(0)).alias("passing"), F.sum("__n").alias("total"))
+    lists = policies.agg(*[F.array_sort(F.collect_set(F.col(t).cast("double"))).alias(f"__{t}") for t in ("t_a", "t_b")])
+    axes = {"__ra": "t_a", "__rb": "t_b"}
+    score = {"__ra": F.col(a).cast("double"), "__rb": F.col(b).cast("double")}
+    places = rows.join(F.broadcast(lists)).groupBy(*[upper_bound(F.col(f"__{t}"), score[x]).alias(x) for x, t in axes.items()]).agg(F.count("*").alias("__n"))
+    corners = _below(places, lists, [], axes, ["__n"])
+    total = rows.agg(F.count("*").alias("total"))
+    at = [F.array_position(F.col(f"__{t}"), F.col(t).cast("double")).cast("int").alias(x) for x, t in axes.items()]
+    grid = policies.select("t_a", "t_b").distinct().join(F.broadcast(lists)).select("t_a", "t_b", *[(c - 1).alias(x) for c, x in zip(at, axes, strict=True)])
+    out = grid.join(corners, list(axes)).join(F.broadcast(total))
+    return out.select("t_a", "t_b", (F.col("total") - F.col("__n")).alias("passing"), "total")
 
 
 def interval_maxima(samples: DataFrame, truth: DataFrame, *, scores: Sequence[str], tol: int, width: int) -> DataFrame:
@@ -103,8 +134,9 @@ def observed_threshold_grid(samples: DataFrame, column: str, n: int) -> DataFram
     """Distinct values at n evenly spaced ranks (rounded half to even) of the sorted column."""
     some = samples.where(F.col(column).isNotNull()).select(F.col(column).alias("threshold"))
     # distinct values in ranges of about the same size: a task sums one range, or one number of each range
-    edges = sorted({e for e in some.approxQuantile("threshold", [i / RANGES for i in range(1, RANGES)], 0.001)})
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col("threshold")))
+    ranges = max(2, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted({e for e in some.approxQuantile("threshold", [i / ranges for i in range(1, ranges)], min(0.001, 0.1 / ranges))})
+    part = upper_bound(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), F.col("threshold").cast("double"))
     values = some.groupBy("threshold").agg(F.count("*").alias("n")).withColumn("part", part)
     parts = values.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -129,20 +161,35 @@ def best_policy(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return table.groupBy(*by).agg(F.min(key).alias("best")).select(*by, "best.*")
 
 
-def sampling_robustness(samples: DataFrame, truth: DataFrame, *, gap: int, phases: Sequence[int], t_a: float, width: int) -> DataFrame:
-    """Per phase: samples kept by phase sampling and intervals detected; the rows of a worst case over phases."""
-    rows = samples.select(KEY, "sample_id", "ts_us", "a", F.explode(F.array(*[F.lit(p) for p in phases])).alias("phase"))
-    w = Window.partitionBy(KEY, "phase").orderBy("ts_us", "sample_id")
-    slot = F.floor((F.col("ts_us") - F.col("phase")) / gap)
-    kept = rows.withColumn("__s", slot).withColumn("__p", F.coalesce(F.lag("__s").over(w), F.lit(-1))).where("__s >= 0 and __s > __p").drop("__s", "__p")
-    n = kept.groupBy("phase").agg(F.count("*").alias("retained"))
-    hits = points_in_intervals(kept.where(F.col("a") >= t_a), truth, width=width).groupBy("phase").agg(F.count_distinct(F.struct(KEY, "i_interval_id")).alias("detected"))
-    return n.join(hits, "phase", "left").na.fill(0, ["detected"])
+def sampling_robustness(samples: DataFrame, truth: DataFrame, *, settings: Sequence[tuple[int, int]], t_a: float, width: int) -> DataFrame:
+    """(gap, phase, retained, detected): for each setting (gap, phase), samples kept by phase sampling, and intervals in which one of
+    them reaches t_a. Samples meet intervals once, whatever the number of settings."""
+    grid = F.array(*[F.struct(F.lit(g).cast("bigint").alias("gap"), F.lit(p).cast("bigint").alias("phase")) for g, p in settings])
+    rows = samples.select(KEY, "sample_id", "ts_us", "a", F.explode(grid).alias("x")).select(KEY, "sample_id", "ts_us", "a", "x.*")
+    slot = F.floor((F.col("ts_us") - F.col("phase")) / F.col("gap"))
+    # the first sample of each slot is the earliest: an aggregate, which combines before it is shuffled
+    kept = rows.withColumn("__s", slot).where("__s >= 0").groupBy(KEY, "gap", "phase", "__s").agg(F.min(F.struct("ts_us", "sample_id", "a")).alias("m"))
+    kept = kept.select(KEY, "gap", "phase", "m.*")
+    n = kept.groupBy("gap", "phase").agg(F.count("*").alias("retained"))
+    hot = points_in_intervals(samples.where(F.col("a") >= t_a).select(KEY, "sample_id", "ts_us"), truth, width=width).select(KEY, "sample_id", "ts_us", "i_interval_id")
+    hits = kept.where(F.col("a") >= t_a).join(hot, [KEY, "sample_id", "ts_us"]).groupBy("gap", "phase").agg(F.count_distinct(F.struct(KEY, "i_interval_id")).alias("detected"))
+    every = samples.sparkSession.createDataFrame(list(settings), "gap bigint, phase bigint").distinct()
+    return every.join(n, ["gap", "phase"], "left").join(hits, ["gap", "phase"], "left").na.fill(0, ["retained", "detected"])
 
 
-def worst_case(phases: DataFrame, total: int) -> DataFrame:
-    """Extremes over phases, the phases that miss one of total intervals, and the share of those that miss none."""
-    return phases.agg(F.min("detected").alias("least_detected"), F.max("detected").alias("most_detected"), F.min("retained").alias("least_retained"), F.max("retained").alias("most_retained"), F.avg("retained").alias("mean_retained"), F.count_if(F.col("detected") < total).alias("failing_phases"), F.avg((F.col("detected") >= total).cast("double")).alias("success_rate"))
+def worst_case(phases: DataFrame, total: int, by: Sequence[str] = ("gap",)) -> DataFrame:
+    """Per gap the extremes over phases, the phases that miss one of total intervals, the first of them, the share of those that
+    miss none, and robust: no phase misses one."""
+    misses = F.col("detected") < total
+    return phases.groupBy(*by).agg(
+        F.count("*").alias("n_phases"), F.min("detected").alias("least_detected"), F.max("detected").alias("most_detected"), F.min("retained").alias("least_retained"), F.max("retained").alias("most_retained"), F.avg("retained").alias("mean_retained"),
+        F.count_if(misses).alias("failing_phases"), F.min(F.when(misses, F.col("phase"))).alias("first_failing_phase"), F.avg((~misses).cast("double")).alias("success_rate"), (F.count_if(misses) == 0).alias("robust"),
+    )
+
+
+def largest_robust_gap(gaps: DataFrame) -> DataFrame:
+    """The greatest gap of worst_case that is robust; null without one."""
+    return gaps.agg(F.max(F.when(F.col("robust"), F.col("gap"))).alias("gap"))
 
 
 def samplings(samples: DataFrame, gaps: Sequence[int], *, scene: bool = True, tie: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -192,20 +239,20 @@ _PARTS = {"a": "t_a", "b": "t_b", "c": "t_c", "d": "t_d"}
 def _policy_counts(rows: DataFrame, policies: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
     """rows(config, strategy, a, b, c, d) -> counts of the rows that each policy of their strategy takes, by config.
 
-    As passing_counts: a row is placed by how many thresholds of each kind it reaches, and only counts of places meet policies.
+    As passing_counts: a row is placed by how many thresholds of each kind it reaches, and a policy looks up the corner below.
     """
-    lists = policies.groupBy("strategy").agg(*[F.array_sort(F.collect_set(t)).alias(f"__{t}") for t in _PARTS.values()])
-    upto = lambda score: lambda y: y <= F.col(score)
-    reached = [F.size(F.filter(F.col(f"__{t}"), upto(s))).alias(f"__r{s}") for s, t in _PARTS.items()]
+    lists = policies.groupBy("strategy").agg(*[F.array_sort(F.collect_set(F.col(t).cast("double"))).alias(f"__{t}") for t in _PARTS.values()])
+    axes = {f"__r{s}": t for s, t in _PARTS.items()}
+    reached = [upper_bound(F.col(f"__{t}"), F.col(s).cast("double")).alias(f"__r{s}") for s, t in _PARTS.items()]
     places = rows.join(F.broadcast(lists), "strategy").select("config", "strategy", *reached, *[x.cast("bigint").alias(c) for c, x in counts.items()])
-    places = places.groupBy("config", "strategy", *[f"__r{s}" for s in _PARTS]).agg(*[F.sum(c).alias(c) for c in counts])
-    at = [F.when(F.col(t).isNotNull(), F.array_position(F.col(f"__{t}"), F.col(t)).cast("int")).alias(f"__p{s}") for s, t in _PARTS.items()]
-    grid = policies.join(F.broadcast(lists), "strategy").select("baseline", "strategy", *_PARTS.values(), *at)
-    taken = F.lit(False)
-    for s in _PARTS:
-        taken = taken | F.coalesce(F.col(f"__r{s}") >= F.col(f"__p{s}"), F.lit(False))
-    sums = [F.sum(F.when(taken, F.col(c)).otherwise(0)).alias(c) for c in counts] + [F.sum(c).alias(f"all_{c}") for c in counts]
-    return grid.join(places, "strategy").groupBy("config", "baseline", "strategy", *_PARTS.values()).agg(*sums)
+    places = places.groupBy("config", "strategy", *axes).agg(*[F.sum(c).alias(c) for c in counts])
+    some = lists.join(places.select("config").distinct())
+    corners = _below(places, some, ["config", "strategy"], axes, list(counts))
+    # the corner below a threshold; a part that a policy does not use is below in all places
+    below = [F.coalesce(F.array_position(F.col(f"__{t}"), F.col(t).cast("double")).cast("int") - 1, F.size(f"__{t}")).alias(x) for x, t in axes.items()]
+    grid = policies.join(F.broadcast(lists), "strategy").select("baseline", "strategy", *_PARTS.values(), *below)
+    out = grid.join(corners, ["strategy", *axes])
+    return out.select("config", "baseline", "strategy", *_PARTS.values(), *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in counts], *[f"all_{c}" for c in counts])
 
 
 def evaluate_union(samples: DataFrame, truth: DataFrame, policies: DataFrame, strategies: Mapping[str, tuple[str, str]], *, tol: int, width: int, configs: Sequence[str] = ()) -> DataFrame:

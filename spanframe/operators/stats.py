@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_draw, ratio, wilson
+from ..shared import stored
 
 
 def pipeline_alert(results: DataFrame) -> DataFrame:
@@ -63,13 +64,21 @@ def holm(tests: DataFrame, p: str = "p", name: str = "name", by: Sequence[str] =
 def grouped_bootstrap(groups: DataFrame, sums: Sequence[str], statistic: Column, *, resamples: int, seed: str, level: float = 0.95) -> DataFrame:
     """Percentile interval of a statistic over sums, resampling whole groups with hashed draws.
 
-    groups has a row a group with its sufficient statistics, so a resample is as many numbers as there are groups.
+    groups has a row a group (group_id) with its sufficient statistics, so a resample is how often it draws each group. Resamples
+    are dealt over the tasks, and a group's sums are counted as often as it is drawn.
     """
-    ranked = groups.withColumn("__g", F.row_number().over(Window.orderBy("group_id")) - 1)
-    size = groups.agg(F.count("*").alias("n"))
-    draws = size.where("n > 0").select(F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"), "n").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    spark = groups.sparkSession
+    # numbers in the order of ids: ranges are numbered apart, and only their sizes meet
+    parts = stored(groups.repartitionByRange("group_id").withColumn("__range", F.spark_partition_id()), "groups")
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy("__range").agg(F.count("*").alias("n")).select("__range", ahead.alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy("group_id")) - 1
+    ranked = parts.join(sizes, "__range").withColumn("__g", place).drop("__range", "__before")
+    size = parts.agg(F.count("*").alias("n"))
+    draws = spark.range(1, resamples + 1).select(F.col("id").cast("int").alias("r")).join(F.broadcast(size)).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
     draws = draws.select("r", (hash_draw(F.lit(seed), F.col("r").cast("string"), F.col("i").cast("string")) % F.col("n")).alias("__g"))
-    values = draws.join(ranked, "__g").groupBy("r").agg(*[F.sum(c).alias(c) for c in sums]).select("r", statistic.alias("value"))
+    draws = draws.groupBy("r", "__g").agg(F.count("*").alias("__times"))
+    values = draws.join(ranked, "__g").groupBy("r").agg(*[F.sum(F.col(c) * F.col("__times")).alias(c) for c in sums]).select("r", statistic.alias("value"))
     tail = (1 - level) / 2
     return values.agg(F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"), F.count_if(F.col("value").isNull()).alias("n_undefined"), F.count("*").alias("n_resamples"))
 
