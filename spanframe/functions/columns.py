@@ -131,22 +131,34 @@ def parse_bitmask(text: Column, categories: Sequence[str]) -> Column:
 
 
 def first_json_object(text: Column) -> Column:
-    """The first balanced {...} that parses as JSON, with all that nests inside; null without one."""
-    place = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    none = F.struct(F.array(F.lit(0)).alias("stack"), F.filter(F.array(place), lambda x: F.lit(False)).alias("found"), F.lit(0).alias("at"))
-    braces = F.regexp_extract_all(text, F.lit(r"(?s)[^{}]*[{}]"), F.lit(0))
+    """The first {...} that parses as JSON, with all that nests inside; null without one.
 
-    def step(s: Column, piece: Column) -> Column:
+    Each opening brace is tried in turn: what follows is cut into strings, braces and the rest, so that braces and quotes inside of
+    strings count for nothing, up to the brace that closes the first."""
+    tokens = F.lit(r'(?s)"(?:[^"\\]|\\.)*+"|[{}]|[^"{}]++|"')
+
+    def closed(rest: Column) -> Column:
+        """The balanced object at the start of rest, or null."""
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+        def step(s: Column, token: Column) -> Column:
+            depth = s["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+            at = s["at"] + F.length(token)
+            return F.when(s["end"] > 0, s).otherwise(F.struct(depth.alias("depth"), at.alias("at"), F.when(depth == 0, at).otherwise(0).alias("end")))
+
+        end = F.aggregate(F.regexp_extract_all(rest, tokens, F.lit(0)), start, step, lambda s: s["end"])
+        return F.substring(rest, F.lit(1), F.nullif(end, F.lit(0)))
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)[^{]*+\{"), F.lit(0))
+    none = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("found"))
+
+    def attempt(s: Column, piece: Column) -> Column:
         at = s["at"] + F.length(piece)
-        top = F.element_at(s["stack"], -1)
-        opens = F.endswith(piece, F.lit("{"))
-        closed = F.concat(s["found"], F.array(F.struct(top.alias("start"), at.alias("end"))))
-        stack = F.when(opens, F.concat(s["stack"], F.array(at))).when(top > 0, F.slice(s["stack"], 1, F.size(s["stack"]) - 1)).otherwise(s["stack"])
-        return F.struct(stack.alias("stack"), F.when(~opens & (top > 0), closed).otherwise(s["found"]).alias("found"), at.alias("at"))
+        said = closed(F.substring(text, at, F.length(text)))
+        parses = F.from_json(said, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
+        return F.when(s["found"].isNotNull(), s).otherwise(F.struct(at.alias("at"), F.when(parses, said).alias("found")))
 
-    found = F.array_sort(F.aggregate(braces, none, step, lambda s: s["found"]))
-    parts = F.transform(found, lambda p: F.substring(text, p["start"], p["end"] - p["start"] + 1))
-    return F.get(F.filter(parts, lambda p: F.get_json_object(p, "$").isNotNull()), 0)
+    return F.aggregate(pieces, none, attempt, lambda s: s["found"])
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -161,15 +173,25 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+#: The forms of keys, and of local paths with what follows them on their line, as paths hold blanks.
+KEYS = r"(?i)\b(?:sk[-_][A-Za-z0-9_-]{10,}|lsv2_pt_[A-Za-z0-9_-]{10,}|ls__[A-Za-z0-9_-]{10,})\b"
+WINDOWS_PATH = r"(?i)(?:(?<![a-z])[a-z]:[\\/]|\\\\)[^\r\n]*"
+POSIX_PATH = r"(?i)(?<![\w.])/(?:home|users|root|tmp|var|private|mnt)/[^\r\n]*"
+
+
 def redact(text: Column, most: int = 400) -> Column:
-    """Values of secret-like assignments and local paths replaced, cut to most characters."""
+    """Values of secret-like assignments, keys of known forms, and local paths to the end of their line replaced; cut to most
+    characters as the last step."""
     out = F.regexp_replace(text, r"(?i)\b(token|secret|password|api_key)\s*[=:]\s*\S+", "$1=[redacted]")
-    out = F.regexp_replace(out, r"(/home|/Users|/root)/\S+", "[path]")
+    out = F.regexp_replace(out, KEYS, "[redacted]")
+    out = F.regexp_replace(F.regexp_replace(out, WINDOWS_PATH, "[path]"), POSIX_PATH, "[path]")
     return F.substring(out, 1, most)
 
 
 def redact_map(m: Column, allowed: Sequence[str]) -> Column:
-    return F.map_filter(m, lambda k, _: k.isin(list(allowed)))
+    """The entries of allowed names (whatever their case), texts redacted, and the text of an error not given at all."""
+    kept = F.map_filter(m, lambda k, _: F.lower(F.trim(k)).isin([a.lower() for a in allowed]))
+    return F.transform_values(kept, lambda k, v: F.when(F.lower(F.trim(k)) == "error", F.lit("[error]")).otherwise(redact(v, 1000)))
 
 
 def gcd(a: Column, b: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,19 +40,32 @@ def detector_tags(df: DataFrame, detectors: Mapping[str, Column], by: Sequence[s
     return flags.select(*by, tags.alias("tags")).withColumn("profile", profile)
 
 
-def score(df: DataFrame, scorer: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
-    """probability and included of each row by a batch scorer; a batch that fails gets 1.0 and is included conservatively."""
-    schema = T.StructType([*df.schema.fields, T.StructField("probability", T.DoubleType()), T.StructField("included", T.BooleanType())])
+def score(df: DataFrame, scorer: Callable[[pa.RecordBatch], pa.Array], *, observation: Observation | None = None) -> DataFrame:
+    """probability, included and error of each row by a batch scorer; a batch that fails, or whose scores are not one finite number
+    a row, gets 1.0, is included conservatively, and has the error's kind in error.
+
+    observation: a pyspark.sql.Observation, which then holds, after the first action on the result and without a second pass, the
+    numbers of batches, failed_batches, rows, scored and included (conservatively)."""
+    more = [T.StructField("probability", T.DoubleType()), T.StructField("included", T.BooleanType()), T.StructField("error", T.StringType())]
+    schema = T.StructType([*df.schema.fields, *more, T.StructField("__first", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            n = b.num_rows
             try:
-                p, failed = scorer(b).cast(pa.float64()), False
-            except Exception:  # recall first: what cannot be scored is reviewed
-                p, failed = pa.array([1.0] * b.num_rows), True
-            yield pa.RecordBatch.from_arrays([*b.columns, p, pa.array([failed] * b.num_rows)], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+                p, error = scorer(b).cast(pa.float64()), None
+                if len(p) != n or p.null_count or not all(map(math.isfinite, p.to_pylist())):
+                    raise ValueError("a scorer gives one finite number a row")
+            except Exception as e:  # recall first: what cannot be scored is reviewed
+                p, error = pa.array([1.0] * n), type(e).__name__
+            yield pa.RecordBatch.from_arrays([*b.columns, p, pa.array([error is not None] * n), pa.array([error] * n, pa.string()), pa.array([i == 0 for i in range(n)])], names=schema.names)
+
+    out = df.mapInArrow(run, schema)
+    if observation is not None:
+        n = lambda c: F.count_if(c)
+        first, bad = F.col("__first"), F.col("included")
+        out = out.observe(observation, n(first).alias("batches"), n(first & bad).alias("failed_batches"), F.count("*").alias("rows"), n(~bad).alias("scored"), n(bad).alias("included"))
+    return out.drop("__first")
 
 
 def concept_scores(samples: DataFrame, bank: DataFrame, *, scale: float = 100.0) -> DataFrame:

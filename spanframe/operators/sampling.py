@@ -198,19 +198,60 @@ def sample_gaps(samples: DataFrame, *, ts: str = "ts_us", tie: Sequence[str] = (
     return out.withColumn("longest_us", longest).drop("__first", "__last", "__end")
 
 
-def check_invariants(samples: DataFrame, *, core: int, gap: int, ts: str = "ts_us", tie: Sequence[str] = (), arrival: str | None = None) -> DataFrame:
-    """(name, passed, detail): order of time along the arrival column (of no meaning without one), range, chunk ownership, no empty core, longest gap, accounting of dispositions."""
+def check_invariants(samples: DataFrame, *, core: int, gap: int, ts: str = "ts_us", tie: Sequence[str] = (), arrival: str | None = None, chunks: DataFrame | None = None, recorded: str | None = None, temporal: str | None = None, static: int | None = None, statistics: DataFrame | None = None) -> DataFrame:
+    """(name, passed, detail): invariants of a sampling, with the number of rows, or of media, that break each.
+
+    sorted (time along the arrival column; of no meaning without one), in_range, owned (the recorded chunk, or any chunk, is the
+    one whose half-open core holds the row), longest_gap (media where neighbours, the start or the end are further than gap
+    apart, among rows of the temporal column where one is given), accounted (a known disposition; and the media's totals in
+    statistics(media_id, n, the counts of runs.DISPOSITIONS) where given), not_empty (media without a representative, or
+    none at all). Where given: cores (media whose chunks, as of plan_chunks, leave a gap, overlap, miss an end of the media, are
+    misnumbered, or are not inside of their decode range), and static (rows static_suppressed whose duplicate_of_us is no
+    representative of their media, lies ahead, or static or more behind, or that are scene rows).
+    """
+    from .runs import DISPOSITIONS
+
     w = _w(ts, tie)
     arrived = Window.partitionBy(KEY).orderBy(arrival) if arrival else w
-    rows = owning_chunk(samples, core=core, ts=ts).withColumn("__d", F.col(ts) - F.lag(ts).over(w)).withColumn("__a", F.col(ts) - F.lag(ts).over(arrived))
-    known = F.col("disposition").isin("representative", "black", "near_duplicate", "static_suppressed")
-    counts = rows.agg(
-        F.count_if(F.col("__a") < 0).alias("sorted"),
-        F.count_if((F.col(ts) < 0) | (F.col(ts) > F.col("duration_us"))).alias("in_range"),
-        F.count_if(F.col("chunk").isNull()).alias("owned"),
-        F.count_if(F.col("__d") > gap).alias("longest_gap"),
-        F.count_if(~known).alias("accounted"),
-        F.when(F.count("*") == 0, 1).otherwise(0).alias("not_empty"),
+    on_grid = F.coalesce(F.col(temporal), F.lit(False)) if temporal else F.lit(True)
+    rows = samples if recorded is None else samples.withColumnRenamed(recorded, "__recorded")
+    rows = owning_chunk(rows, core=core, ts=ts).withColumn("__a", F.col(ts) - F.lag(ts).over(arrived)).withColumn("__grid", on_grid)
+    rows = rows.withColumn("__d", F.col(ts) - F.last(F.when(F.col("__grid"), F.col(ts)), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    owned = F.col("chunk").isNotNull() if recorded is None else F.col("chunk").eqNullSafe(F.col("__recorded").cast("bigint"))
+    media = rows.groupBy(KEY).agg(
+        F.count_if(F.col("__a") < 0).alias("sorted"), F.count_if((F.col(ts) < 0) | (F.col(ts) > F.col("duration_us"))).alias("in_range"), F.count_if(~owned).alias("owned"),
+        F.greatest(F.max(F.when(F.col("__grid"), F.coalesce("__d", F.col(ts)))), F.max("duration_us") - F.max(F.when(F.col("__grid"), F.col(ts)))).alias("__far"), F.count_if("__grid").alias("__n"),
+        F.count_if(~F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False))).alias("accounted"), F.count_if(F.col("disposition") == "representative").alias("__kept"), F.count("*").alias("__rows"),
+        *[F.count_if(F.col("disposition") == d).alias(f"__{n}") for d, n in DISPOSITIONS.items()],
     )
-    names = ["sorted", "in_range", "owned", "longest_gap", "accounted", "not_empty"]
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("detail")) for n in names])).alias("x")).select("x.name", (F.col("x.detail") == 0).alias("passed"), "x.detail")
+    if statistics is not None:
+        told = statistics.select(KEY, F.col("n").alias("__told"), *[F.col(n).alias(f"__told_{n}") for n in DISPOSITIONS.values()])
+        unlike = ~F.col("__told").eqNullSafe(F.col("__rows"))
+        for n in DISPOSITIONS.values():
+            unlike = unlike | ~F.col(f"__told_{n}").eqNullSafe(F.col(f"__{n}"))
+        media = media.join(told, KEY, "full").withColumn("accounted", F.coalesce("accounted", F.lit(0)) + unlike.cast("bigint"))
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = {
+        "sorted": total("sorted"), "in_range": total("in_range"), "owned": total("owned"), "longest_gap": yes((F.col("__far") > gap) | (F.col("__n") == 0)), "accounted": total("accounted"),
+        "not_empty": F.when(F.count("*") == 0, 1).otherwise(yes(F.coalesce("__kept", F.lit(0)) == 0)),
+    }
+    parts = [media.agg(*[c.cast("bigint").alias(n) for n, c in counts.items()])]
+    if chunks is not None:
+        near = Window.partitionBy(KEY).orderBy("chunk")
+        c = chunks.withColumns({"__p": F.lag("core_end_us").over(near), "__i": F.row_number().over(near) - 1})
+        wrong = ~F.col("core_start_us").eqNullSafe(F.coalesce("__p", F.lit(0))) | (F.col("chunk") != F.col("__i")) | (F.col("decode_start_us") > F.col("core_start_us")) | (F.col("decode_end_us") < F.col("core_end_us"))
+        per = c.groupBy(KEY).agg(F.bool_or(F.coalesce(wrong, F.lit(True))).alias("w"), (F.max("core_end_us") != F.max("duration_us")).alias("e"))
+        missing = samples.select(KEY).distinct().join(per.select(KEY), KEY, "left_anti").select(F.lit(True).alias("w"), F.lit(True).alias("e"))
+        parts.append(per.select("w", "e").union(missing).agg(yes(F.col("w") | F.col("e")).cast("bigint").alias("cores")))
+    if static is not None:
+        kept = samples.where("disposition = 'representative'").select(KEY, F.col(ts).alias("duplicate_of_us"), F.lit(True).alias("__is")).distinct()
+        behind = F.col(ts) - F.col("duplicate_of_us")
+        fine = F.col("__is") & (behind >= 0) & (behind < static) & ~F.coalesce("scene", F.lit(False))
+        held = samples.where("disposition = 'static_suppressed'").join(kept, [KEY, "duplicate_of_us"], "left")
+        parts.append(held.agg(yes(~F.coalesce(fine, F.lit(False))).cast("bigint").alias("static")))
+    out = None
+    for p in parts:
+        rows = p.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("detail")) for n in p.columns])).alias("x")).select("x.name", (F.col("x.detail") == 0).alias("passed"), "x.detail")
+        out = rows if out is None else out.unionByName(rows)
+    return out

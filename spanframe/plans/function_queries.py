@@ -109,7 +109,7 @@ def _(spark, d):
 
 @register("f17_first_json_object", duck("SELECT media_id, sample_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ev"))
 def _(spark, d):
-    said = F.concat(F.lit("Answer {so} is: {"), F.lit('"in": '), F.col("props"), F.lit("} and {more}"))
+    said = F.concat(F.lit("Answer {so} is: {"), F.lit('"no": "}{", "in": '), F.col("props"), F.lit("} and {more}"))
     return standin(spark, d, "ev").select("media_id", "sample_id", F.get_json_object(fn.first_json_object(said), "$.in.k").cast("bigint").alias("k"))
 
 
@@ -150,13 +150,26 @@ def _(spark, d):
     return standin(spark, d, "samples").groupBy("media_id").agg(F.round(fn.ratio(F.count_if("scene"), F.count_if(F.col("event_type") == "error")), 9).alias("ratio"))
 
 
-@register("f23_redact", "SELECT doc_id, substr('token=[redacted] in [path] ' || replace(substr(text, 1, 40), '=', ' '), 1, 60) AS safe FROM documents")
+def _redacted(text):
+    """DuckDB SQL of redact: RE2 looks at the character before instead of behind itself."""
+    text = rf"regexp_replace({text}, '(?i)\b(token|secret|password|api_key)[ \t\n\v\f\r]*[=:][ \t\n\v\f\r]*[^ \t\n\v\f\r]+', '\1=[redacted]', 'g')"
+    text = rf"regexp_replace({text}, '(?i)\b(sk[-_][A-Za-z0-9_-]{{10,}}|lsv2_pt_[A-Za-z0-9_-]{{10,}}|ls__[A-Za-z0-9_-]{{10,}})\b', '[redacted]', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?i)(^|[^a-z])[a-z]:[\\/][^\r\n]*', '\1[path]', 'g'), '\\\\[^\r\n]*', '[path]', 'g')"
+    return rf"regexp_replace({text}, '(?i)(^|[^\w.])/(home|users|root|tmp|var|private|mnt)/[^\r\n]*', '\1[path]', 'g')"
+
+
+_ODD = "CASE doc_id % 6 WHEN 0 THEN 'token: abc' || doc_id || ' in /home/user/x' WHEN 1 THEN 'key sk-abcdefghijk' || doc_id || ' end' WHEN 2 THEN 'see C:\\Users\\bob smith\\x' WHEN 3 THEN 'in /tmp/a b' WHEN 4 THEN '\\\\srv\\share of x' ELSE 'a/var/x and ls__abcdefghijkl' END || chr(10) || coalesce(substr(text, 1, 40), '')"
+
+
+@register("f23_redact", f"SELECT doc_id, substr({_redacted(_ODD)}, 1, 60) AS safe FROM documents")
 def _(spark, d):
-    text = F.concat(F.lit("token: abc"), F.col("doc_id").cast("string"), F.lit(" in /home/user/x "), F.replace(F.substring("text", 1, 40), F.lit("="), F.lit(" ")))
+    n, lit = F.col("doc_id"), F.lit
+    odd = F.when(n % 6 == 0, F.concat(lit("token: abc"), n.cast("string"), lit(" in /home/user/x"))).when(n % 6 == 1, F.concat(lit("key sk-abcdefghijk"), n.cast("string"), lit(" end"))).when(n % 6 == 2, lit("see C:\\Users\\bob smith\\x")).when(n % 6 == 3, lit("in /tmp/a b")).when(n % 6 == 4, lit("\\\\srv\\share of x")).otherwise(lit("a/var/x and ls__abcdefghijkl"))
+    text = F.concat(odd, lit("\n"), F.coalesce(F.substring("text", 1, 40), lit("")))
     return _table(spark, d, "documents").select("doc_id", fn.redact(text, 60).alias("safe"))
 
 
-_REDACTED = r"regexp_replace(regexp_replace(text, '(?i)\b(token|secret|password|api_key)[ \t\n\v\f\r]*[=:][ \t\n\v\f\r]*[^ \t\n\v\f\r]+', '\1=[redacted]', 'g'), '(/home|/Users|/root)/[^ \t\n\v\f\r]+', '[path]', 'g')"
+_REDACTED = _redacted("text")
 
 
 @register("f26_redact_whole", f"SELECT doc_id, substr({_REDACTED}, 1, 400) AS safe, md5({_REDACTED}) AS whole FROM documents")

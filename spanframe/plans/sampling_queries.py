@@ -46,16 +46,16 @@ def _(spark, d):
     return sm.cadence_or_scene(standin(spark, d, "samples"), cadence=24 * HOUR, scene=F.col("scene"), tie=_S).select("media_id", "sample_id", "reasons")
 
 
-_MIN_GAP = duck("SELECT media_id, t AS ts_us FROM r GROUP BY 1, 2", f"""{_ORDERED},
+MIN_GAP_SQL = duck("SELECT media_id, t AS ts_us FROM r GROUP BY 1, 2", f"""{_ORDERED},
 r AS (WITH RECURSIVE r AS (SELECT media_id, n, ts_us AS t FROM o WHERE n = 1 UNION ALL SELECT o.media_id, o.n, CASE WHEN o.ts_us - r.t >= {24 * HOUR} THEN o.ts_us ELSE r.t END FROM r JOIN o ON o.media_id = r.media_id AND o.n = r.n + 1) SELECT * FROM r)""")
 
 
-@register("m06_sample_min_gap", _MIN_GAP)
+@register("m06_sample_min_gap", MIN_GAP_SQL)
 def _(spark, d):
     return sm.sample_min_gap(standin(spark, d, "samples"), gap=24 * HOUR)
 
 
-@register("m06_sample_min_gap_chunked", _MIN_GAP)
+@register("m06_sample_min_gap_chunked", MIN_GAP_SQL)
 def _(spark, d):
     return sm.sample_min_gap(standin(spark, d, "samples"), gap=24 * HOUR, chunk=72 * HOUR)
 
@@ -83,10 +83,30 @@ def _(spark, d):
 _LUMA = "list_transform(embedding, lambda x: 100 * abs(x)::DOUBLE)"
 
 
-@register("m10_frame_features", f"SELECT vec_id, round(len(list_filter({_LUMA}, lambda x: x < 16)) / 64, 9) AS black_fraction, round(list_sum({_LUMA}) / 64, 6) AS mean_luma FROM embeddings")
+def _grid_sql(grid, x, y, w=4, width=8):
+    """A block of w by w of a row-major list, as a list of its elements."""
+    return "[" + ", ".join(f"{grid}[{(y + j) * width + x + i + 1}]" for j in range(w) for i in range(w)) + "]"
+
+
+def _hash_sql(cells, width, height):
+    """The difference hash of a row-major list: a bit for each neighbour to the right that is darker, the first the highest."""
+    bits = [f"({cells}[{y * width + x + 1}] > {cells}[{y * width + x + 2}])::BIGINT" for y in range(height) for x in range(width - 1)]
+    return " + ".join(f"({b} << {len(bits) - 1 - i})" for i, b in enumerate(bits))
+
+
+_CORNERS = [(0, 0), (4, 0), (0, 4), (4, 4), (2, 2)]
+_MEANS = ", ".join(f"round(list_sum({_grid_sql('l', x, y)}) / 16, 6)" for x, y in _CORNERS)
+_HASHES = ", ".join(f"({_hash_sql(_grid_sql('l', x, y), 4, 4)})" for x, y in _CORNERS)
+
+
+@register("m10_frame_features", f"SELECT vec_id, round(len(list_filter(l, lambda x: x < 16)) / 64, 9) AS black_fraction, round(list_sum(l) / 64, 6) AS mean_luma, {_hash_sql('l', 8, 8)} AS hash, [{_HASHES}] AS region_hashes, [round(list_sum(l) / 64, 6), round(list_sum(list_transform(l, lambda x: 100 - x)) / 64, 6)] AS mean_rgb, [{_MEANS}] AS red FROM (SELECT vec_id, {_LUMA} AS l FROM embeddings)", arrays=("region_hashes", "mean_rgb", "red"))
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("luma", F.transform("embedding", lambda x: F.abs(x).cast("double") * 100))
-    return sm.frame_features(rows, "luma", 8, 8).select("vec_id", F.round("black_fraction", 9).alias("black_fraction"), F.round("mean_luma", 6).alias("mean_luma"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("luma", F.transform("embedding", lambda x: F.abs(x).cast("double") * 100)).withColumn("blue", F.transform("luma", lambda x: 100 - x))
+    out = sm.frame_features(rows, "luma", 8, 8, rgb=("luma", "blue"))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    # a colour of every second mean: region_rgb holds a mean for each of the grids, region by region
+    red = F.filter(F.transform("region_rgb", lambda x, i: F.when(i % 2 == 0, F.round(x, 6))), lambda x: x.isNotNull())
+    return out.select("vec_id", F.round("black_fraction", 9).alias("black_fraction"), F.round("mean_luma", 6).alias("mean_luma"), "hash", "region_hashes", rounded("mean_rgb").alias("mean_rgb"), red.alias("red"))
 
 
 #: Frames with whole and regional evidence; the regional hash of every 40th sample is another one.
@@ -110,7 +130,16 @@ def _(spark, d):
     return sm.reduce_static(rows, limit=48 * HOUR, cross=6 * HOUR)
 
 
-@register("m12_refine_windows")
+_T = HOUR // 4
+_REFINED = f"""mi AS (SELECT s.media_id, s.ts_us, s.scene, s.sample_id, w.interval_id AS win, (s.ts_us - w.start_us) // {HOUR // 2} AS tick FROM samples s JOIN truth w ON w.media_id = s.media_id AND s.ts_us BETWEEN w.start_us AND w.end_us),
+mp AS (SELECT DISTINCT media_id, ts_us, scene, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY media_id, win, tick ORDER BY ts_us, sample_id) AS k FROM mi) WHERE k = 1 OR scene),
+o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ts_us, NOT scene, sample_id) AS n FROM mp),
+r AS (WITH RECURSIVE r AS (SELECT media_id, n, ts_us AS t, scene AS s, sample_id AS sid, 1 AS keep_n FROM o WHERE n = 1 UNION ALL
+ SELECT o.media_id, o.n, CASE WHEN o.ts_us - r.t <= {_T} AND NOT (o.scene AND NOT r.s) THEN r.t ELSE o.ts_us END, CASE WHEN o.ts_us - r.t <= {_T} AND NOT (o.scene AND NOT r.s) THEN r.s ELSE o.scene END,
+ CASE WHEN o.ts_us - r.t <= {_T} AND NOT (o.scene AND NOT r.s) THEN r.sid ELSE o.sample_id END, CASE WHEN o.ts_us - r.t <= {_T} THEN r.keep_n ELSE r.keep_n + 1 END FROM r JOIN o ON o.media_id = r.media_id AND o.n = r.n + 1) SELECT * FROM r)"""
+
+
+@register("m12_refine_windows", duck("SELECT media_id, t AS ts_us, s AS scene, sid AS sample_id FROM (SELECT *, lead(keep_n) OVER (PARTITION BY media_id ORDER BY n) AS nxt FROM r) WHERE nxt IS DISTINCT FROM keep_n", _REFINED))
 def _(spark, d):
     windows = standin(spark, d, "truth").withColumnRenamed("interval_id", "window_id")
     return sm.refine_windows(standin(spark, d, "samples").drop("duration_us"), windows, every=HOUR // 2, width=4 * HOUR, tol=HOUR // 4)
@@ -121,10 +150,25 @@ def _(spark, d):
     return sm.build_batches(standin(spark, d, "samples"), size=8, tie=_S)
 
 
-@register("m14_check_invariants", duck(f"SELECT unnest(['sorted', 'in_range', 'owned', 'longest_gap', 'accounted', 'not_empty']) AS name, unnest([u = 0, true, true, g = 0, true, n > 0]) AS passed, unnest([u, 0, 0, g, 0, CASE WHEN n = 0 THEN 1 ELSE 0 END]) AS detail FROM (SELECT count(*) FILTER (back < 0) AS u, count(*) FILTER (gap > {48 * HOUR}) AS g, count(*) AS n FROM (SELECT ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS gap, ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY sample_id) AS back FROM samples))"))
+# recorded chunks, dispositions and totals of which some are wrong
+_INV = f"""iv AS (SELECT media_id, sample_id, ts_us, duration_us, scene, least(ts_us // {72 * HOUR}, greatest(1, ceil(duration_us / {72 * HOUR}))::BIGINT - 1) + CASE WHEN sample_id % 97 = 0 THEN 1 ELSE 0 END AS chunk, CASE WHEN sample_id % 89 = 0 THEN 'odd' WHEN media_id % 13 = 5 THEN 'black' WHEN sample_id % 5 = 0 THEN 'static_suppressed' ELSE 'representative' END AS disposition, lag(ts_us) OVER w AS p, lag(ts_us) OVER (PARTITION BY media_id ORDER BY sample_id) AS back, first(ts_us) OVER w AS f, last(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM samples WINDOW w AS (PARTITION BY media_id ORDER BY ts_us, sample_id)),
+ip AS (SELECT *, CASE WHEN disposition = 'static_suppressed' THEN p END AS dup FROM iv),
+im AS (SELECT media_id, max(greatest(coalesce(ts_us - p, ts_us), duration_us - l)) AS far, count(*) FILTER (disposition = 'representative') AS kept, count(*) AS n FROM ip GROUP BY 1)"""
+
+
+@register("m14_check_invariants", duck(f"""SELECT name, detail = 0 AS passed, detail FROM (SELECT 'sorted' AS name, count(*) FILTER (ts_us < back) AS detail FROM ip UNION ALL SELECT 'in_range', 0 UNION ALL SELECT 'owned', count(*) FILTER (sample_id % 97 = 0) FROM ip UNION ALL SELECT 'longest_gap', count(*) FILTER (far > {48 * HOUR}) FROM im
+ UNION ALL SELECT 'accounted', (SELECT count(*) FILTER (disposition = 'odd') FROM ip) + (SELECT count(*) FROM (SELECT media_id FROM im WHERE media_id % 7 = 0)) UNION ALL SELECT 'not_empty', count(*) FILTER (kept = 0) FROM im UNION ALL SELECT 'cores', count(*) FILTER (media_id % 11 = 0 AND duration_us > {72 * HOUR}) FROM media
+ UNION ALL SELECT 'static', count(*) FROM ip WHERE disposition = 'static_suppressed' AND NOT coalesce(ts_us - dup < {12 * HOUR} AND NOT scene AND EXISTS (SELECT 1 FROM ip r WHERE r.media_id = ip.media_id AND r.ts_us = ip.dup AND r.disposition = 'representative'), false))""", _INV))
 def _(spark, d):
-    rows = standin(spark, d, "samples").withColumn("disposition", F.lit("representative"))
-    return sm.check_invariants(rows, core=72 * HOUR, gap=48 * HOUR, tie=_S, arrival="sample_id")
+    from ..operators.runs import disposition_stats
+
+    n, w = F.col("sample_id"), Window.partitionBy("media_id").orderBy("ts_us", "sample_id")
+    what = F.when(n % 89 == 0, "odd").when(F.col("media_id") % 13 == 5, "black").when(n % 5 == 0, "static_suppressed").otherwise("representative")
+    rows = sm.owning_chunk(standin(spark, d, "samples"), core=72 * HOUR).withColumn("chunk", F.col("chunk") + F.when(n % 97 == 0, 1).otherwise(0)).withColumns({"disposition": what, "reasons": F.array(F.lit("temporal"))})
+    rows = rows.withColumn("duplicate_of_us", F.when(F.col("disposition") == "static_suppressed", F.lag("ts_us").over(w)))
+    chunks = sm.plan_chunks(standin(spark, d, "media"), core=72 * HOUR).withColumn("core_end_us", F.col("core_end_us") - F.when((F.col("media_id") % 11 == 0) & (F.col("chunk") == 0) & (F.col("duration_us") > 72 * HOUR), 1).otherwise(0))
+    told = disposition_stats(rows, ["media_id"]).withColumn("n", F.col("n") + F.when(F.col("media_id") % 7 == 0, 1).otherwise(0))
+    return sm.check_invariants(rows, core=72 * HOUR, gap=48 * HOUR, tie=_S, arrival="sample_id", chunks=chunks, recorded="chunk", static=12 * HOUR, statistics=told)
 
 
 @register("w03_sample_gaps", duck("SELECT media_id, count(*) AS n, min(gap) AS least_us, max(gap) AS most_us, round(avg(gap), 3) AS mean_us, greatest(max(gap), min(ts_us), max(duration_us) - max(ts_us)) AS longest_us FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS gap FROM samples) GROUP BY 1"))

@@ -13,7 +13,7 @@ from ..sources import sinks
 from ..streaming import sinks as st
 from ..streaming import streams as sx
 from .registry import register
-from .sampling_queries import STATIC_SQL
+from .sampling_queries import MIN_GAP_SQL, STATIC_SQL
 from .standins import HOUR, duck, standin
 
 
@@ -289,3 +289,85 @@ def _(spark, d):
     register_functions(spark)
     m = standin(spark, d, "media")
     return spark.sql(f"SELECT media_id, count(*) AS n, max(core_end_us) AS end_us FROM {{m}} m, LATERAL plan_chunks(m.duration_us, {72 * HOUR}L) GROUP BY media_id", m=m)
+
+
+@register("d05_phase_grid", duck(f"SELECT media_id, phase FROM media, (SELECT unnest([0, 2700000000, 3600000000, 5400000000, 7200000000, 8100000000]) AS phase)"))
+def _(spark, d):
+    register_functions(spark)
+    return spark.sql(f"SELECT media_id, phase FROM {{m}} m, LATERAL phase_grid({3 * HOUR}L, {HOUR}L)", m=standin(spark, d, "media"))
+
+
+@register("d05_min_gap", MIN_GAP_SQL)
+def _(spark, d):
+    register_functions(spark)
+    standin(spark, d, "samples").createOrReplaceTempView("spanframe_samples")
+    return spark.sql(f"SELECT media_id, ts_us FROM min_gap(TABLE(spanframe_samples), 'media_id', 'ts_us', {24 * HOUR}L)")
+
+
+@register("d05_threshold_grid", duck("SELECT DISTINCT media_id, v[r + 1] AS threshold FROM (SELECT media_id, v, unnest(list_transform(range(5), lambda i: round_even(i * (len(v) - 1) / 4.0, 0)::BIGINT)) AS r FROM (SELECT media_id, list(a::DOUBLE ORDER BY a) AS v FROM samples GROUP BY 1))"))
+def _(spark, d):
+    register_functions(spark)
+    standin(spark, d, "samples").select("media_id", F.col("a").cast("double").alias("a")).createOrReplaceTempView("spanframe_scores")
+    return spark.sql("SELECT * FROM threshold_grid(TABLE(spanframe_scores), 'media_id', 'a', 5)")
+
+
+@register("s02_read_ground_truth", duck("SELECT media_id::VARCHAR AS media_id, interval_index, start_us, end_us, category, CASE WHEN bad = 0 THEN 'reversed' WHEN bad = 1 THEN 'not a timecode' END AS problem FROM (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_us, interval_id) - 1 AS interval_index, CASE WHEN interval_id % 11 = 1 THEN NULL WHEN interval_id % 11 = 0 THEN end_us // 1000 * 1000 ELSE start_us // 1000 * 1000 END AS start_us, CASE WHEN interval_id % 11 = 0 THEN start_us // 1000 * 1000 ELSE end_us // 1000 * 1000 END AS end_us, category, interval_id % 11 AS bad FROM truth)"))
+def _(spark, d):
+    t, n = standin(spark, d, "truth"), F.col("interval_id")
+    start, end = (us_to_timecode(F.expr(f"{c} div 1000 * 1000")) for c in ("start_us", "end_us"))
+    cut = F.struct(F.col("start_us").alias("o"), n.alias("n"), F.when(n % 11 == 0, end).when(n % 11 == 1, F.lit("soon")).otherwise(start).alias("start"), F.when(n % 11 == 0, start).otherwise(end).alias("end"), "category")
+    rows = t.groupBy(F.col("media_id").cast("string").alias("media_id")).agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("duration_us").alias("x"))
+    cuts = F.transform("cuts", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["category"].alias("category")))
+    rows.select(F.to_json(F.struct("media_id", us_to_timecode(F.col("x")).alias("duration"), cuts.alias("cuts"))).alias("value")).write.text(path := _scratch(spark, "truth"))
+    return rd.read_ground_truth(spark, path, lines=True).select("media_id", "interval_index", "start_us", "end_us", "category", "problem")
+
+
+@register("s03_read_semantic_scores", duck("SELECT media_id::VARCHAR AS media_id, sample_id::VARCHAR AS sample_id, ts_us, k AS concept_id, round(CASE k WHEN 'x' THEN a ELSE b END::DOUBLE, 6) AS cosine FROM samples, (SELECT unnest(['x', 'y']) AS k)"))
+def _(spark, d):
+    one = lambda k, c: F.struct(F.lit(k).alias("concept_id"), F.round(F.col(c).cast("double"), 6).alias("cosine"), F.lit(1.0).alias("logit"))
+    item = F.struct(F.col("sample_id").cast("string").alias("sample_id"), F.col("ts_us").alias("timestamp_us"), F.array(one("x", "a"), one("y", "b")).alias("scores"))
+    rows = standin(spark, d, "samples").groupBy(F.col("media_id").cast("string").alias("media_id")).agg(F.collect_list(item).alias("samples"))
+    rows.select(F.to_json(F.struct("media_id", F.lit("d").alias("bank_digest"), "samples")).alias("value")).write.text(path := _scratch(spark, "semantic"))
+    return rd.read_semantic_scores(spark, path, lines=True).select("media_id", "sample_id", "ts_us", "concept_id", "cosine")
+
+
+@register("s05_read_packets", duck("SELECT decode_pos % 1000 AS pos, count(*) AS n, sum(pts_us)::BIGINT AS total_us, count(*) FILTER (is_key) AS n_keys, min(data_hash) AS least FROM packets WHERE media_id = 1 GROUP BY 1"))
+def _(spark, d):
+    p = standin(spark, d, "packets").where("media_id = 1").withColumn("pts_us", F.col("pts_us") + 1_000_000)
+    line = F.concat_ws(",", F.format_string("%d.%06d", F.expr("pts_us div 1000000"), F.expr("pts_us % 1000000")), F.when(F.col("is_key"), "K__").otherwise("___"), "data_hash")
+    p.orderBy("decode_pos").select(line.alias("value")).coalesce(1).write.text(path := _scratch(spark, "packets"))
+    rows = rd.read_packets(spark, f"{path}/part-*", "m")
+    return rows.groupBy((F.col("decode_pos") % 1000).alias("pos")).agg(F.count("*").alias("n"), F.sum("pts_us").alias("total_us"), F.count_if("is_key").alias("n_keys"), F.min("data_hash").alias("least"))
+
+
+@register("s09_discover_media", "SELECT lang || '-' || least(doc_id % 50, 49) AS stem, 'mp4' AS extension, count(*) FILTER (doc_id % 3 = 0) > 0 AS has_sidecar FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null").select(F.concat_ws("-", "lang", (F.col("doc_id") % 50).cast("string")).alias("stem"), (F.col("doc_id") % 3 == 0).alias("sub"))
+    path, stems = _scratch(spark, "folder"), docs.groupBy("stem").agg(F.bool_or("sub").alias("sub"))
+    stems.select(F.lit("x").alias("value"), F.col("stem").alias("name")).write.partitionBy("name").text(f"{path}/media")
+    stems.where("sub").select(F.lit("x").alias("value"), F.col("stem").alias("name")).write.partitionBy("name").text(f"{path}/sub")
+    files = rd.discover_files(spark, path, ("txt",))
+    # a writer names its files itself: the folder's name stands for the stem
+    named = files.select(F.regexp_extract("path", "/name=([^/]+)/", 1).alias("stem"), F.when(F.col("path").contains("/sub/"), "srt").otherwise("mp4").alias("extension"), "path")
+    media = named.where("extension = 'mp4'").dropDuplicates(["stem"])
+    pairs = rd.match_sidecars(media, named.where("extension = 'srt'"))
+    return media.join(pairs.select("path", F.lit(True).alias("has_sidecar")).distinct(), "path", "left").select("stem", "extension", F.coalesce("has_sidecar", F.lit(False)).alias("has_sidecar"))
+
+
+@register("s10_read_frame_annotations", "SELECT l_orderkey::VARCHAR AS item_id, CASE WHEN l_linenumber % 2 = 0 THEN 'age' ELSE 'gender' END AS attribute, l_linenumber * 10 AS first_frame, l_linenumber * 10 + l_quantity::INT AS last_frame, array_to_string([l_suppkey % 3, l_partkey % 3], ',') AS vals FROM lineitem WHERE l_orderkey % 4 = 0")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 4 = 0")
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "age").otherwise("gender")
+    one = F.struct((F.col("l_linenumber") * 10).cast("int").alias("first"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).cast("int").alias("last"), F.array((F.col("l_suppkey") % 3).cast("int"), (F.col("l_partkey") % 3).cast("int")).alias("values"))
+    per = rows.groupBy(F.col("l_orderkey").cast("string").alias("item"), kind.alias("kind")).agg(F.collect_list(one).alias("x")).groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("kind", "x"))).alias("a"))
+    per.groupBy((F.xxhash64("item") % 50).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("item", "a"))).alias("m")).select(F.to_json("m").alias("value")).write.text(path := _scratch(spark, "annotations"))
+    return rd.read_frame_annotations(spark, path, lines=True).select("item_id", "attribute", "first_frame", "last_frame", F.array_join(F.col("values").cast("array<string>"), ",").alias("vals"))
+
+
+@register("s17_fingerprint_files", "SELECT page_id, sha256(html || chr(10)) AS sha256, strlen(html) + 1 AS length FROM pages WHERE page_id % 5 = 0 AND html NOT LIKE '%' || chr(10) || '%'")
+def _(spark, d):
+    """Pages as files: the longer ones are read piece by piece."""
+    p = spark.read.parquet(f"{d}/pages.parquet").where("page_id % 5 = 0").where(~F.col("html").contains("\n"))
+    p.select(F.col("html").alias("value"), "page_id").repartition("page_id").write.partitionBy("page_id").text(path := _scratch(spark, "files"))
+    found = rd.fingerprint_files(spark, path, whole=5000, piece=777).where(F.col("path").contains("/page_id="))
+    return found.select(F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"), "sha256", "length")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_cue, parse_fraction, timecode_to_us
 
+#: The fields of score artifacts, and the extensions of media and subtitle files.
 SAMPLE = "sample_id STRING, timestamp_us BIGINT, nsfl DOUBLE, nsfw DOUBLE, sfw DOUBLE, selected_label STRING, reasons ARRAY<STRING>"
 SCORES = f"schema_version INT, media_id STRING, duration_us BIGINT, samples ARRAY<STRUCT<{SAMPLE.replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT').replace(' DOUBLE', ': DOUBLE').replace(' ARRAY<STRING>', ': ARRAY<STRING>')}>>"
 MEDIA = ("mp4", "mkv", "mov", "avi", "webm")
@@ -30,22 +35,23 @@ def read_scores(spark: SparkSession, path: str, *, mode: str = "FAILFAST", lines
     return rows.select("media_id", "duration_us", *extra, "s.sample_id", F.col("s.timestamp_us").alias("ts_us"), "s.nsfl", "s.nsfw", "s.sfw", "s.selected_label", "s.reasons")
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+def read_ground_truth(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Truth files of two layouts (intervals or cuts; timecodes) -> rows with start_us, end_us, category, severity and
-    problem for rows that are reversed or leave the media."""
+    problem for rows that are reversed or leave the media. lines: one file's object a line."""
     item = "STRUCT<start: STRING, end: STRING, category: STRING, severity: STRING, notes: STRING>"
-    rows = spark.read.schema(f"media_id STRING, duration STRING, intervals ARRAY<{item}>, cuts ARRAY<{item}>").option("multiLine", True).json(path)
+    rows = spark.read.schema(f"media_id STRING, duration STRING, intervals ARRAY<{item}>, cuts ARRAY<{item}>").option("multiLine", not lines).json(path)
     rows = rows.select("media_id", timecode_to_us(F.col("duration")).alias("duration_us"), F.posexplode(F.coalesce("intervals", "cuts")).alias("interval_index", "i"))
     out = rows.select("media_id", "duration_us", "interval_index", timecode_to_us(F.col("i.start")).alias("start_us"), timecode_to_us(F.col("i.end")).alias("end_us"), "i.category", "i.severity", "i.notes")
     problem = F.when(F.col("start_us").isNull() | F.col("end_us").isNull(), "not a timecode").when(F.col("end_us") <= F.col("start_us"), "reversed").when(F.col("end_us") > F.col("duration_us"), "outside the media")
     return out.withColumn("problem", problem)
 
 
-def read_semantic_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Nested concept scores -> a row a sample and concept, with the digest of the prompt bank they were made with."""
+def read_semantic_scores(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Nested concept scores -> a row a sample and concept, with the digest of the prompt bank they were made with. lines: one
+    artifact a line."""
     score = "STRUCT<concept_id: STRING, cosine: DOUBLE, logit: DOUBLE>"
     schema = f"media_id STRING, bank_digest STRING, samples ARRAY<STRUCT<sample_id: STRING, timestamp_us: BIGINT, scores: ARRAY<{score}>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select("media_id", "bank_digest", F.explode("samples").alias("s"))
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).select("media_id", "bank_digest", F.explode("samples").alias("s"))
     rows = rows.select("media_id", "bank_digest", "s.sample_id", F.col("s.timestamp_us").alias("ts_us"), F.explode("s.scores").alias("c"))
     return rows.select("media_id", "bank_digest", "sample_id", "ts_us", "c.concept_id", "c.cosine", "c.logit")
 
@@ -106,12 +112,6 @@ def media_probe(df: DataFrame, probe: str = "probe") -> DataFrame:
     return x.withColumns({"duration_us": (seconds * 1_000_000).cast("bigint"), "width": video["width"], "height": video["height"], "fps": parse_fraction(video["avg_frame_rate"]), "has_audio": F.size(of("audio")) > 0, "n_streams": F.size("__p.streams")}).drop("__p")
 
 
-def media_quality(df: DataFrame) -> DataFrame:
-    """category and code of probed rows: unreadable, no video, bad dimensions, truncated, ok."""
-    bad = F.when(F.col("n_streams").isNull() | (F.col("n_streams") < 0), "unreadable").when(F.col("width").isNull(), "no_video").when((F.col("width") <= 0) | (F.col("height") <= 0), "bad_dimensions").when(F.col("duration_us").isNull() | (F.col("duration_us") <= 0), "truncated")
-    return df.withColumn("code", F.coalesce(bad, F.lit("ok"))).withColumn("category", F.when(bad.isNull(), "valid").otherwise("invalid"))
-
-
 def discover_files(spark: SparkSession, path: str, extensions: Sequence[str] = MEDIA) -> DataFrame:
     """Files below path with one of the extensions: path, stem (lower case), extension, length. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
@@ -127,15 +127,38 @@ def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     return media.join(both, "stem").select("path", "sidecar").distinct()
 
 
-def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's bytes; for files below 2 GB."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def fingerprint_files(spark: SparkSession, path: str, *, whole: int = 64 << 20, piece: int = 8 << 20) -> DataFrame:
+    """(path, length, sha256) of all files below path.
+
+    Files of up to whole bytes are read by Spark; larger ones by their path on an executor, piece bytes at a time, so that no row
+    holds a file and no length is too great. Spark's file sources pass over empty files, and so does this. Executors must see the path by the file systems of Arrow (local, NFS, HDFS, S3 ..)."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = found.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            digests = []
+            for uri in b.column(0).to_pylist():
+                local = re.match("file:/+", uri)
+                system, where = (fs.LocalFileSystem(), f"/{uri[local.end():]}") if local else fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+                digest = hashlib.sha256()
+                with system.open_input_stream(where) as stream:
+                    while data := stream.read(piece):
+                        digest.update(data)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+    large = found.where(F.col("length") > whole).select("path", "length").repartition("path")
+    return small.unionByName(large.mapInArrow(run, "path string, length bigint, sha256 string"))
 
 
-def read_frame_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Per-video attribute segments {video: {attribute: [{first, last, values}]}} -> rows of inclusive frame ranges."""
+def read_frame_annotations(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Per-video attribute segments {video: {attribute: [{first, last, values}]}} -> rows of inclusive frame ranges. lines: one
+    such object a line."""
     segment = "STRUCT<first: INT, last: INT, values: ARRAY<INT>>"
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"MAP<STRING, MAP<STRING, ARRAY<{segment}>>>").alias("m"))
+    rows = spark.read.text(path, wholetext=not lines).select(F.from_json("value", f"MAP<STRING, MAP<STRING, ARRAY<{segment}>>>").alias("m"))
     rows = rows.select(F.explode("m").alias("item_id", "a")).select("item_id", F.explode("a").alias("attribute", "s")).select("item_id", "attribute", F.explode("s").alias("x"))
     return rows.select("item_id", "attribute", F.col("x.first").alias("first_frame"), F.col("x.last").alias("last_frame"), F.col("x.values").alias("values"))
 

