@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment as al
 from ..operators import runs as rn
 from ..operators import stats as st
+from ..operators import verdicts as vs
 from ..sources import readers as rd
 from .registry import register
 from .standins import HOUR, duck, merged, standin
@@ -174,5 +175,4 @@ def _(spark, d):
 
 @register("t06_prompt_ranking", "SELECT label, row_number() OVER (ORDER BY q DESC NULLS LAST, label) AS place FROM (SELECT label, quantile_cont(embedding[1]::DOUBLE, 0.99) AS q FROM embeddings GROUP BY 1)")
 def _(spark, d):
-    rows = _t(spark, d, "embeddings").groupBy("label").agg(F.percentile(F.col("embedding")[0].cast("double"), 0.99).alias("q"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("q").desc_nulls_last(), "label"))).drop("q")
+    return vs.prompt_ranking(_t(spark, d, "embeddings"), "label", F.col("embedding")[0].cast("double")).drop("q")

@@ -341,4 +341,6 @@ def _(spark, d):
 
 @register("t07_first_frame_at_or_after", duck(f"SELECT media_id, min(ts_us) FILTER (ts_us >= {30 * MINUTE}) AS ts_us FROM samples GROUP BY 1"))
 def _(spark, d):
-    return _samples(spark, d).groupBy("media_id").agg(F.min(F.when(F.col("ts_us") >= 30 * MINUTE, F.col("ts_us"))).alias("ts_us"))
+    from ..operators.verdicts import first_at_or_after
+
+    return first_at_or_after(standin(spark, d, "samples"), 30 * MINUTE)

@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None, arrays: tuple[str, ...] = ()) ->
 
 
 def _load() -> None:
-    from . import bookkeeping_queries, evaluation_queries, function_queries, interval_queries, more_queries, planning_queries, run_queries, sampling_queries, source_queries  # noqa: F401
+    from . import bookkeeping_queries, evaluation_queries, function_queries, interval_queries, more_queries, planning_queries, run_queries, sampling_queries, source_queries, verdict_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,7 @@ from ..operators import alignment as al
 from ..operators import packets as pk
 from ..operators import runs as rn
 from ..operators import stats as st
+from ..operators import verdicts as vs
 from .registry import register
 from .standins import HOUR, duck, standin
 
@@ -152,8 +153,9 @@ def _(spark, d):
 
 @register("a10_latency_by_group", "SELECT l_linenumber, median(l_quantity) AS p50, quantile_cont(l_quantity, 0.9) AS p90, quantile_cont(l_quantity, 0.95) AS p95, round(avg(l_quantity), 9) AS mean, max(l_quantity) AS most FROM lineitem GROUP BY 1")
 def _(spark, d):
-    q = [F.percentile("l_quantity", p).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))]
-    return _t(spark, d, "lineitem").groupBy("l_linenumber").agg(*q, F.round(F.avg("l_quantity"), 9).alias("mean"), F.max("l_quantity").alias("most"))
+    rows = _t(spark, d, "lineitem")
+    out = vs.latency_by_group(rows, ["l_linenumber"], seconds="l_quantity")
+    return out.select("l_linenumber", "p50", "p90", "p95", F.round("mean", 9).alias("mean"), "most")
 
 
 @register("a12_reliability_rollup", duck("SELECT CASE grouping(config, l_linenumber) WHEN 1 THEN 'config' WHEN 2 THEN 'l_linenumber' ELSE 'all' END AS level, coalesce(config, l_linenumber::VARCHAR) AS value, count(*) AS n, count(*) FILTER (completed) AS n_completed, count(*) FILTER (NOT completed) AS n_failed FROM attempts GROUP BY GROUPING SETS ((config), (l_linenumber), ())"))
@@ -190,9 +192,8 @@ def _(spark, d):
 
 @register("a29_batch_occupancy", duck("SELECT media_id, (n + 7) // 8 AS n_batches, n // 8 AS n_full, CASE WHEN n % 8 = 0 THEN 8 ELSE n % 8 END AS last_size, round(n / ((n + 7) // 8 * 8), 9) AS occupancy FROM (SELECT media_id, count(*) AS n FROM samples GROUP BY 1)"))
 def _(spark, d):
-    rows = standin(spark, d, "samples").groupBy("media_id").agg(F.count("*").alias("n"))
-    b = F.expr("(n + 7) div 8")
-    return rows.select("media_id", b.alias("n_batches"), F.expr("n div 8").alias("n_full"), F.expr("if(n % 8 = 0, 8, n % 8)").alias("last_size"), F.round(F.col("n") / (b * 8), 9).alias("occupancy"))
+    out = vs.batch_occupancy(standin(spark, d, "samples"), ["media_id"], 8)
+    return out.select("media_id", "n_batches", "n_full", "last_size", F.round("occupancy", 9).alias("occupancy"))
 
 
 def _two_sides(spark, d):
@@ -248,13 +249,14 @@ def _(spark, d):
 
 @register("p05_by_label", "SELECT event_id, value FROM events WHERE event_type = 'error' AND value >= 20 AND value IS NOT NULL")
 def _(spark, d):
-    return _t(spark, d, "events").where("event_type = 'error' and value >= 20").select("event_id", "value")
+    rows = vs.results_lookup(_t(spark, d, "events"), where=F.col("event_type") == "error", order=["event_id"], least=("value", 20))
+    return rows.select("event_id", "value")
 
 
 @register("p06_find_by_path", "SELECT lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS host, min(page_id) AS page_id FROM pages GROUP BY 1")
 def _(spark, d):
-    host = F.lower(F.regexp_extract("url", "^https?://([^/]+)", 1)).alias("host")
-    return _t(spark, d, "pages").groupBy(host).agg(F.min("page_id").alias("page_id"))
+    rows = _t(spark, d, "pages").withColumn("host", F.regexp_extract("url", "^https?://([^/]+)", 1))
+    return vs.oldest_by_path(rows, "host", "page_id", "page_id")
 
 
 @register("p09_check_constraints", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 10000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END], lambda x: x IS NOT NULL) AS problems FROM orders WHERE o_totalprice < 10000 OR o_orderstatus NOT IN ('O', 'F')", arrays=("problems",))
@@ -273,8 +275,8 @@ def _(spark, d):
 @register("p21_gate", duck("SELECT media_id, sample_id FROM samples WHERE (SELECT avg(scene::INT) FROM samples) > 0.1 AND scene"))
 def _(spark, d):
     s = standin(spark, d, "samples")
-    gate = s.agg((F.avg(F.col("scene").cast("int")) > 0.1).alias("open"))
-    return s.where("scene").join(F.broadcast(gate), F.col("open")).select("media_id", "sample_id")
+    summary = s.agg(F.avg(F.col("scene").cast("int")).alias("rate"))
+    return vs.gate(s.where("scene").select("media_id", "sample_id"), summary, F.col("rate") > 0.1)
 
 
 @register("p24_completeness", duck(f"SELECT p.media_id, last_us, range_us, duration_us - last_us > {HOUR} AS incomplete, coalesce(range_us > 1000, false) AS variable FROM (SELECT media_id, max(pts_us) AS last_us, max(g) - min(g) AS range_us FROM (SELECT *, lead(pts_us) OVER (PARTITION BY media_id ORDER BY pts_us) - pts_us AS g FROM packets) GROUP BY 1) p JOIN media m ON p.media_id = m.media_id"))
@@ -295,8 +297,7 @@ def _(spark, d):
 
 @register("w09_ordinal_ids", duck("SELECT media_id, interval_id, printf('event:%04d', row_number() OVER (PARTITION BY media_id ORDER BY start_us, interval_id) - 1) AS id FROM truth"))
 def _(spark, d):
-    n = F.row_number().over(Window.partitionBy("media_id").orderBy("start_us", "interval_id")) - 1
-    return standin(spark, d, "truth").select("media_id", "interval_id", F.format_string("event:%04d", n).alias("id"))
+    return vs.ordinal_ids(standin(spark, d, "truth"), ["start_us", "interval_id"]).select("media_id", "interval_id", "id")
 
 
 @register("w11_label_disambiguation", "SELECT o_orderkey, CASE WHEN a = 1 THEN o_orderpriority WHEN b = 1 THEN o_orderpriority || ' (' || o_orderstatus || ')' ELSE o_orderpriority || ' (' || o_orderstatus || ') ' || r END AS shown FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS a, count(*) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus) AS b, row_number() OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS r FROM orders)")
@@ -306,8 +307,7 @@ def _(spark, d):
 
 @register("w12_min_gap_violations", duck(f"SELECT media_id, interval_id FROM (SELECT *, lag(end_us) OVER (PARTITION BY media_id, category ORDER BY start_us, interval_id) AS p FROM truth) WHERE start_us - p < {2 * HOUR}"))
 def _(spark, d):
-    w = Window.partitionBy("media_id", "category").orderBy("start_us", "interval_id")
-    return standin(spark, d, "truth").withColumn("p", F.lag("end_us").over(w)).where(F.col("start_us") - F.col("p") < 2 * HOUR).select("media_id", "interval_id")
+    return vs.min_gap_violations(standin(spark, d, "truth"), 2 * HOUR, ["media_id", "category"]).select("media_id", "interval_id")
 
 
 @register("w04_frame_durations", duck("SELECT media_id, decode_pos, coalesce(dd, m) AS duration_us FROM (SELECT *, lead(pts_us) OVER (PARTITION BY media_id ORDER BY pts_us) - pts_us AS dd FROM packets) p JOIN (SELECT media_id AS k, list_sort(list(g))[len(list(g)) // 2 + 1] AS m FROM (SELECT media_id, lead(pts_us) OVER (PARTITION BY media_id ORDER BY pts_us) - pts_us AS g FROM packets) WHERE g IS NOT NULL GROUP BY 1) ON k = media_id"))
