@@ -83,6 +83,43 @@ def min_gap(points: DataFrame, gap: int, ts: str) -> DataFrame:
     return rows.repartition(KEY).sortWithinPartitions(KEY, ts).mapInArrow(run, out)
 
 
+def dedupe_close(points: DataFrame, tol: int, ts: str, scene: str, ident: str) -> DataFrame:
+    """(media_id, ts, scene, ident): what is kept of points in the order (time, scene first, ident); see sampling.dedupe_close.
+
+    The point that follows a kept one, as another one kept or in its place, is the first beyond tol, or the first scene point
+    if the kept one is none: pointers again. A kept point is given out if what follows is not in its place. The last one of a
+    batch is held back and leads the next batch."""
+    schema = T.StructType([points.schema[KEY], *(points.schema[c] for c in (ts, scene, ident))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = _joined([held, b])
+            runs, t, is_scene = _runs([b.column(0)]), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            n = len(t)
+            end = np.searchsorted(runs, runs, side="right")
+            beyond = np.minimum(successors(runs, t, tol + 1), end)  # the end of the run: none
+            scenes = np.where(is_scene, np.arange(n), n)
+            coming = np.append(np.minimum.accumulate(scenes[::-1])[::-1], n)[1:]  # the next scene point
+            replaced = ~is_scene & (coming < beyond)
+            after = np.where(replaced, coming, np.where(beyond < end, beyond, n))
+            taken = reached(after, np.flatnonzero(np.diff(runs, prepend=-1)))
+            last = int(np.flatnonzero(taken)[-1])
+            held = b.slice(last, 1)
+            taken &= ~replaced
+            taken[last] = False
+            yield b.filter(pa.array(taken))
+        if held is not None:
+            yield held
+
+    rows = points.select(*schema.names).where(F.col(ts).isNotNull()).withColumn(scene, F.coalesce(scene, F.lit(False)))
+    spread = rows.repartition(KEY).sortWithinPartitions(F.col(KEY), F.col(ts), ~F.col(scene), F.col(ident))
+    return spread.mapInArrow(run, schema)
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     """Batches that end where a group (equal first key columns) ends."""
     held: list[pa.RecordBatch] = []

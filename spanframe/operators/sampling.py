@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .greedy import min_gap, min_gap_chunked
+from . import greedy
 from .timeline import KEY, ordered_pass, points_in_intervals
 
 
@@ -70,28 +70,14 @@ def sample_min_gap(points: DataFrame, *, gap: int, ts: str = "ts_us", chunk: int
     length. Otherwise a timeline is one ordered pass, whose only state is the last point taken."""
     if gap <= 0:
         raise ValueError("the gap must be positive")
-    return min_gap(points, gap, ts) if chunk is None else min_gap_chunked(points, gap, ts, chunk)
+    return greedy.min_gap(points, gap, ts) if chunk is None else greedy.min_gap_chunked(points, gap, ts, chunk)
 
 
 def dedupe_close(points: DataFrame, *, tol: int = 200_000, ts: str = "ts_us", scene: str = "scene", ident: str = "sample_id") -> DataFrame:
     """Points in the order (time, scene first): one within tol of the last kept is dropped, unless it is a scene point and
-    the kept one is not; then it takes the other's place, and its time becomes the anchor."""
-
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        kept = None
-        for row in rows:
-            if kept is not None and row[0] - kept[0] <= tol:
-                if row[1] and not kept[1]:
-                    kept = row
-                continue
-            if kept is not None:
-                yield kept
-            kept = row
-        if kept is not None:
-            yield kept
-
-    rows = points.withColumn("__plain", ~F.col(scene))
-    return ordered_pass(rows, [KEY], [ts, "__plain", ident], [ts, scene, ident], fold, f"{ts} bigint, {scene} boolean, {ident} {points.schema[ident].dataType.simpleString()}")
+    the kept one is not; then it takes the other's place, and its time becomes the anchor. Null times are dropped, and a null
+    scene is none."""
+    return greedy.dedupe_close(points, tol, ts, scene, ident)
 
 
 def regions_of(grid: str, width: int, height: int) -> list[Column]:

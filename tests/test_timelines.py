@@ -69,6 +69,32 @@ def test_min_gap_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_dedupe_close_is_the_plain_walk(spark, batch):
+    rng = random.Random(batch)
+    rows = [(m, i, rng.randrange(0, 120), rng.random() < 0.3) for m in (1, 2, 3) for i in range(60)]
+    want = []
+    for m in (1, 2, 3):
+        kept = None
+        for row in sorted((t, not scene, i) for k, i, t, scene in rows if k == m):
+            row = (row[0], not row[1], row[2])
+            if kept is not None and row[0] - kept[0] <= 4:
+                if row[1] and not kept[1]:
+                    kept = row
+                continue
+            want += [(m, *kept)] if kept else []
+            kept = row
+        want.append((m, *kept))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        frame = spark.createDataFrame([*rows, (2, 99, None, True)], "media_id bigint, sample_id bigint, ts_us bigint, scene boolean")
+        got = sm.dedupe_close(frame, tol=4).collect()
+        assert sorted((r["media_id"], r["ts_us"], r["scene"], r["sample_id"]) for r in got) == sorted(want)
+        assert sm.dedupe_close(frame.limit(0), tol=4).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_one_long_timeline_is_many_tasks(spark):
     n = 400_000
     frame = spark.range(n).selectExpr("1L as media_id", "id * 1000 + (id * 7919) % 997 as ts_us")
