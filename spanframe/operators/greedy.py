@@ -12,7 +12,7 @@ reaches the entry of every chunk in logarithmically many joins, and each chunk i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,31 +56,64 @@ def _runs(columns: list[pa.Array]) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _select(gaps: Sequence[int]) -> Callable[[pa.RecordBatch], list[np.ndarray]]:
+    """A function that gets a partition's batches (media_id, time, ..) in order, and tells for each gap which rows it takes."""
+    key: list[object] = [None]
+    last: dict[int, int | None] = dict.fromkeys(gaps)
+
+    def take(b: pa.RecordBatch) -> list[np.ndarray]:
+        runs, t = _runs([b.column(0)]), b.column(1).to_numpy()
+        goes_on, end = b.column(0)[0].as_py() == key[0], int(np.searchsorted(runs, 0, side="right"))
+        out = []
+        for gap in gaps:
+            start = np.flatnonzero(np.diff(runs, prepend=-1))
+            if goes_on and last[gap] is not None:
+                start[0] = np.searchsorted(t[:end], last[gap] + gap)
+                start = start[1:] if start[0] == end else start
+            else:
+                last[gap] = None
+            out.append(reached(successors(runs, t, gap), start))
+            mine = np.flatnonzero(out[-1] & (runs == runs[-1]))
+            if len(mine):
+                last[gap] = int(t[mine[-1]])
+            elif runs[-1]:
+                last[gap] = None
+        key[0] = b.column(0)[-1].as_py()
+        return out
+
+    return take
+
+
 def min_gap(points: DataFrame, gap: int, ts: str) -> DataFrame:
     """(media_id, ts): greedily the first, then each first point at least gap after the last one; one pass a timeline."""
-    out = T.StructType([points.schema[KEY], T.StructField(ts, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
+        take = _select([gap])
         for b in batches:
-            if not b.num_rows:
-                continue
-            runs, t = _runs([b.column(0)]), b.column(1).to_numpy()
-            start = np.flatnonzero(np.diff(runs, prepend=-1))
-            first, end = b.column(0)[0].as_py(), int(np.searchsorted(runs, 0, side="right"))
-            if last is not None and first == key:
-                start[0] = np.searchsorted(t[:end], last + gap)
-                if start[0] == end:
-                    start = start[1:]
-            else:
-                last = None
-            taken = reached(successors(runs, t, gap), start)
-            key, mine = b.column(0)[-1].as_py(), np.flatnonzero(taken & (runs == runs[-1]))
-            last = int(t[mine[-1]]) if len(mine) else last
-            yield b.filter(pa.array(taken))
+            if b.num_rows:
+                yield b.filter(pa.array(take(b)[0]))
 
     rows = points.select(KEY, F.col(ts).cast("bigint").alias(ts)).where(F.col(ts).isNotNull())
-    return rows.repartition(KEY).sortWithinPartitions(KEY, ts).mapInArrow(run, out)
+    return rows.repartition(KEY).sortWithinPartitions(KEY, ts).mapInArrow(run, T.StructType([points.schema[KEY], T.StructField(ts, T.LongType())]))
+
+
+def held_by(points: DataFrame, gaps: Mapping[str, int], ts: str, tie: Sequence[str]) -> DataFrame:
+    """(media_id, tie, held): points that any of the named gaps selects, in the order of ts, then tie, with the names; one pass."""
+    names, schema = list(gaps), T.StructType([points.schema[KEY], *(points.schema[c] for c in tie), T.StructField("held", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take = _select(list(gaps.values()))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            taken = np.stack(take(b), axis=1)
+            any_ = taken.any(axis=1)
+            ends = np.concatenate(([0], np.cumsum(taken[any_].sum(axis=1)))).astype(np.int32)
+            said = pa.array(np.array(names, dtype=object)[np.nonzero(taken[any_])[1]].tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(pa.array(any_)) for i in (0, *range(2, b.num_columns))), pa.ListArray.from_arrays(pa.array(ends), said)], names=schema.names)
+
+    rows = points.select(KEY, F.col(ts).cast("bigint").alias(ts), *tie).where(F.col(ts).isNotNull())
+    return rows.repartition(KEY).sortWithinPartitions(KEY, ts, *tie).mapInArrow(run, schema)
 
 
 def dedupe_close(points: DataFrame, tol: int, ts: str, scene: str, ident: str) -> DataFrame:

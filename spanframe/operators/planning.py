@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -81,10 +83,54 @@ def concept_strategies(scores: DataFrame, positive: Sequence[str], control: Sequ
     return out.withColumns({"max_margin": F.col("pos_max") - F.col("control_max"), "mean_margin": F.col("pos_mean") - F.col("control_max")})
 
 
+#: Entries of a bank or lexicon that go to every task.
+MOST_ENTRIES = 10_000
+
+
+def score_concepts(samples: DataFrame, bank: DataFrame, positive: Sequence[str], control: Sequence[str], *, ident: str, vector: str = "vector") -> DataFrame:
+    """concept_strategies of all samples in one pass, without a row for each sample and prompt: the bank (concept, prompt), of up to
+    MOST_ENTRIES prompts, is one matrix in each task. Of a concept with several prompts each counts.
+
+    (ident, pos_max, pos_mean, control_max, max_margin, mean_margin); vectors that are null, of another length than the prompts, or
+    of a norm of 0 or not finite have nulls. A larger bank, or prompts of several lengths, is a ValueError."""
+    rows = bank.select("concept", F.transform("prompt", lambda x: x.cast("double")).alias("prompt")).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES or len({len(r["prompt"]) for r in rows}) != 1:
+        raise ValueError("a bank holds prompts of one length, and no more than MOST_ENTRIES")
+    prompts = np.array([r["prompt"] for r in rows])
+    prompts = prompts / np.linalg.norm(prompts, axis=1, keepdims=True)
+    pos, neg = (np.array([r["concept"] in set(x) for r in rows]) for x in (positive, control))
+    names = ("pos_max", "pos_mean", "control_max", "max_margin", "mean_margin")
+    schema = T.StructType([samples.schema[ident], *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.full((b.num_rows, 3), np.nan)
+            fits = [i for i, v in enumerate(b.column(1)) if v.is_valid and len(v) == prompts.shape[1] and not v.values.null_count]
+            if fits:
+                x = np.stack([b.column(1)[i].values.to_numpy() for i in fits])
+                norm = np.linalg.norm(x, axis=1)
+                fine = np.isfinite(norm) & (norm > 0)
+                cosine = x[fine] / norm[fine, None] @ prompts.T
+                at = np.array(fits)[fine]
+                for i, (which, fold) in enumerate(((pos, np.max), (pos, np.mean), (neg, np.max))):
+                    if which.any():
+                        made[at, i] = fold(cosine[:, which], axis=1)
+            columns = [made[:, 0], made[:, 1], made[:, 2], made[:, 0] - made[:, 2], made[:, 1] - made[:, 2]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, from_pandas=True) for c in columns)], names=schema.names)
+
+    return samples.select(ident, F.transform(vector, lambda x: x.cast("double")).alias("v")).mapInArrow(run, schema)
+
+
 def text_evidence(segments: DataFrame, lexicon: DataFrame, *, least: float, ident: Sequence[str], most: int = 80) -> DataFrame:
     """The lexicon entry of greatest confidence whose pattern a segment matches (first listed on ties), at least least.
-    The lexicon is broadcast up to 10,000 entries."""
-    few = lexicon.limit(10_001).count() <= 10_000
+
+    Only segments that match any pattern meet the lexicon: one alternation of all patterns tells them in one pass over the text.
+    A lexicon of up to MOST_ENTRIES is broadcast; a larger one, or one whose patterns refer to groups, which an alternation
+    would number anew, meets all segments."""
+    patterns = [r["pattern"] for r in lexicon.select("pattern").where("pattern is not null").limit(MOST_ENTRIES + 1).collect()]
+    few = len(patterns) <= MOST_ENTRIES
+    if few and patterns and not any(re.search(r"\\[1-9k]|\(\?<[A-Za-z]", p) for p in patterns):
+        segments = segments.where(F.regexp_like(F.lower("text"), F.lit("|".join(f"(?:{p})" for p in patterns))))
     hits = segments.join(F.broadcast(lexicon) if few else lexicon, F.expr("regexp_like(lower(text), pattern)"))
     best = F.row_number().over(Window.partitionBy(*ident).orderBy(F.col("confidence").desc(), "rank"))
     hits = hits.withColumn("__n", best).where((F.col("__n") == 1) & (F.col("confidence") >= least))

@@ -3,14 +3,15 @@ meet intervals once, and the grid of policies meets the small table of maxima.""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from .intervals import merge_intervals
-from .timeline import KEY, ordered_pass, points_in_intervals
+from .greedy import held_by
+from .timeline import KEY, points_in_intervals
 
 def upper_bound(values: Column, x: Column) -> Column:
     """How many of a sorted array's values are at most x, by bisection; none for null."""
@@ -195,20 +196,7 @@ def largest_robust_gap(gaps: DataFrame) -> DataFrame:
 def samplings(samples: DataFrame, gaps: Sequence[int], *, scene: bool = True, tie: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Samples with held: the names of the samplings that keep them, gap:<gap> (the first, then each first one at least gap
     after the last one kept) and, with scene, gap:<gap>+scene (those and all scene samples). One ordered pass for all gaps."""
-
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        last: list[int | None] = [None] * len(gaps)
-        for row in rows:
-            kept = []
-            for i, gap in enumerate(gaps):
-                if last[i] is None or row[0] - last[i] >= gap:
-                    last[i] = row[0]
-                    kept.append(f"gap:{gap}")
-            if kept:
-                yield *row[1:], kept
-
-    named = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in tie)
-    kept = ordered_pass(samples, [KEY], ["ts_us", *tie], ["ts_us", *tie], fold, f"{named}, held array<string>")
+    kept = held_by(samples, {f"gap:{g}": g for g in gaps}, "ts_us", tie)
     out = samples.join(kept, [KEY, *tie], "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
     if not scene:
         return out

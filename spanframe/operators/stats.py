@@ -98,10 +98,18 @@ def paired_agreement(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("difference", ratio(F.col("second_only") - F.col("first_only"), F.col("both") + F.col("first_only") + F.col("second_only") + F.col("neither")))
 
 
-def score_report(metrics: DataFrame, complete: Column) -> DataFrame:
-    """Accuracy figures only where every item is verified; alert counts always."""
-    hidden = [c for c in ("precision", "recall", "f1", "accuracy") if c in metrics.columns]
-    return metrics.withColumn("complete", complete).withColumns({c: F.when(F.col("complete"), F.col(c)) for c in hidden})
+#: Figures of a report that only complete verification allows, by the beginning of their names.
+WITHHELD = ("precision", "recall", "specificity", "f1", "accuracy", "balanced_accuracy", "p_value", "event_")
+
+
+def score_report(metrics: DataFrame, complete: Column, *, positives: Column | None = None) -> DataFrame:
+    """metrics with complete, and null for every accuracy figure, its bounds, paired tests and event figures where it does not
+    hold; withheld says why. Counts of alerts stay. positives: the number of positive reference labels; scope says that without any
+    only specificity and false alerts can be measured."""
+    hidden = [c for c in metrics.columns if c.startswith(WITHHELD)]
+    out = metrics.withColumn("complete", F.coalesce(complete, F.lit(False))).withColumns({c: F.when(F.col("complete"), F.col(c)) for c in hidden})
+    out = out.withColumn("withheld", F.when(~F.col("complete"), "reference labels do not cover every item"))
+    return out if positives is None else out.withColumn("scope", F.when(F.coalesce(positives, F.lit(0)) == 0, "no positive labels: specificity and false alerts at most"))
 
 
 def nearest_rank_summary(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:

@@ -86,7 +86,18 @@ def _(spark, d):
     return _concepts(spark, d).select("vec_id", "concept", F.round("cosine", 6).alias("cosine"), F.round("logit", 4).alias("logit"))
 
 
-@register("a07_concept_strategies", f"WITH {_COS} SELECT vec_id, round(pos_max, 6) AS pos_max, round(pos_mean, 6) AS pos_mean, round(control_max, 6) AS control_max, round(pos_max - control_max, 6) AS max_margin, round(pos_mean - control_max, 6) AS mean_margin FROM (SELECT vec_id, max(cosine) FILTER (concept < 5) AS pos_max, avg(cosine) FILTER (concept < 5) AS pos_mean, max(cosine) FILTER (concept >= 7) AS control_max FROM cs GROUP BY 1)")
+_STRATEGIES = f"WITH {_COS} SELECT vec_id, round(pos_max, 6) AS pos_max, round(pos_mean, 6) AS pos_mean, round(control_max, 6) AS control_max, round(pos_max - control_max, 6) AS max_margin, round(pos_mean - control_max, 6) AS mean_margin FROM (SELECT vec_id, max(cosine) FILTER (concept < 5) AS pos_max, avg(cosine) FILTER (concept < 5) AS pos_mean, max(cosine) FILTER (concept >= 7) AS control_max FROM cs GROUP BY 1)"
+
+
+@register("a07_score_concepts", _STRATEGIES)
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    bank = e.groupBy(F.col("label").alias("concept")).agg(F.min_by("embedding", "vec_id").alias("prompt"))
+    out = pl.score_concepts(e, bank, range(5), range(7, 10), ident="vec_id", vector="embedding")
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@register("a07_concept_strategies", _STRATEGIES)
 def _(spark, d):
     out = pl.concept_strategies(_concepts(spark, d), range(5), range(7, 10), ["vec_id"])
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])

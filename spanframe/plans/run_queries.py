@@ -131,11 +131,11 @@ def _(spark, d):
     return out.select("group_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "specificity", "f1", "accuracy")])
 
 
-@register("b09_score_report", duck("SELECT group_id, n_missing = 0 AS complete, CASE WHEN n_missing = 0 THEN round(tp / nullif(tp + fp, 0), 9) END AS precision, tp + fp AS n_alerts FROM cf", _CONF))
+@register("b09_score_report", duck("SELECT group_id, n_missing = 0 AS complete, CASE WHEN n_missing = 0 THEN round(tp / nullif(tp + fp, 0), 9) END AS precision, CASE WHEN n_missing = 0 THEN round(tn / nullif(tn + fp, 0), 9) END AS specificity, tp + fp AS n_alerts, CASE WHEN n_missing > 0 THEN 'reference labels do not cover every item' END AS withheld, CASE WHEN tp + fn = 0 THEN 'no positive labels: specificity and false alerts at most' END AS scope FROM cf", _CONF))
 def _(spark, d):
     out = st.classification_metrics(st.confusion(_confusion(spark, d), ["group_id"]))
-    out = st.score_report(out, F.col("n_missing") == 0)
-    return out.select("group_id", "complete", F.round("precision", 9).alias("precision"), (F.col("tp") + F.col("fp")).alias("n_alerts"))
+    out = st.score_report(out, F.col("n_missing") == 0, positives=F.col("tp") + F.col("fn"))
+    return out.select("group_id", "complete", F.round("precision", 9).alias("precision"), F.round("specificity", 9).alias("specificity"), (F.col("tp") + F.col("fp")).alias("n_alerts"), "withheld", "scope")
 
 
 @register("a08_distribution", duck("SELECT media_id, count(*) AS n, round(sum(a), 6) AS total, min(a)::DOUBLE AS least, round(median(a), 9) AS median, max(a) FILTER (r = round_even(0.9 * (n - 1), 0) + 1)::DOUBLE AS p90, max(a)::DOUBLE AS most, round(avg(a), 9) AS mean FROM (SELECT media_id, a::DOUBLE AS a, row_number() OVER (PARTITION BY media_id ORDER BY a) AS r, count(*) OVER (PARTITION BY media_id) AS n FROM samples) GROUP BY 1"))

@@ -227,3 +227,27 @@ def test_table_functions(spark):
     assert [r[0] for r in spark.sql("SELECT phase FROM phase_grid(4L, 3L)").collect()] == sm.phase_grid(4, 3)
     with pytest.raises(AnalysisException, match="no column"):
         spark.sql("SELECT * FROM min_gap(TABLE(tf), 'key', 'nope', 3)").collect()
+
+
+def test_concepts_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    bank = spark.createDataFrame([(c, [float(x) for x in rng.normal(size=6)]) for c in "aabcd"], "concept string, prompt array<double>")
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(30)]
+    samples = spark.createDataFrame([*rows, (90, None), (91, [0.0] * 6), (92, [1.0]), (93, [float("nan")] * 6), (94, [None, *[1.0] * 5])], "id bigint, vector array<double>")
+    got = {r["id"]: tuple(r)[1:] for r in pl.score_concepts(samples, bank, ["a", "b"], ["d"], ident="id").collect()}
+    plain = pl.concept_strategies(pl.concept_scores(samples.where("id < 90"), bank), ["a", "b"], ["d"], ["id"])
+    for r in plain.collect():
+        assert got[r["id"]] == pytest.approx(tuple(r)[1:])
+    assert all(got[i] == (None,) * 5 for i in range(90, 95)) and len(got) == 35
+    with pytest.raises(ValueError):
+        pl.score_concepts(samples, bank.limit(0), [], [], ident="id")
+
+
+def test_lexicons_with_and_without_groups(spark):
+    rows = [(1, 0, "say abab now"), (1, 1, "xyz"), (2, 0, "Red"), (2, 1, None)]
+    segments = spark.createDataFrame(rows, "media_id bigint, start_us bigint, text string")
+    for extra in ([], [(9, "rep", 0.95, r"(ab)\1")]):
+        lexicon = spark.createDataFrame([(1, "color", 0.9, "red|blue"), (2, "low", 0.2, "x"), *extra], "rank int, category string, confidence double, pattern string")
+        got = sorted((r["media_id"], r["start_us"], r["category"]) for r in pl.text_evidence(segments, lexicon, least=0.5, ident=["media_id", "start_us"]).collect())
+        assert got == ([(1, 0, "rep")] if extra else []) + [(2, 0, "color")]
+    assert pl.text_evidence(segments, lexicon.limit(0), least=0.5, ident=["media_id", "start_us"]).count() == 0

@@ -327,7 +327,7 @@ def test_invariants_see_rows_that_arrived_out_of_order(spark):
     from spanframe.operators.sampling import check_invariants
 
     rows = spark.createDataFrame([(1, 1, 5, 100, "black"), (1, 2, 4, 100, "black"), (1, 3, 9, 100, "black")], "media_id bigint, n bigint, ts_us bigint, duration_us bigint, disposition string")
-    got = {r["name"]: r["passed"] for r in check_invariants(rows, core=50, gap=50, arrival="n").collect()}
+    got = {r["name"]: r["passed"] for r in check_invariants(rows, core=50, gap=95, arrival="n").collect()}
     assert not got["sorted"] and got["in_range"] and got["longest_gap"]
 
 
