@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text's units are its sentences; one of more than WORDS words is cut into pieces of half as many, counted from its start.
-A run is any number of consecutive units with SENTENCES units and LEAST words, or two units and WORDS words, at least. The
+A text's units are its sentences; one of more than WORDS words is cut into pieces by its content: a piece begins at a word whose
+hash is the least among its neighbours, up to a quarter of WORDS to each side, so that pieces have half of WORDS words on average, and a
+passage inside of another long sentence is cut alike but for its ends. A run is any number of consecutive units with units of
+SENTENCES sentences and LEAST words, or two units and WORDS words, at least. The
 units that any repeated run covers are removed wherever it is not the first: the first is in the smallest document id, and
 there at the first place. Hashed (with every) are only the shortest run from each unit and the shortest run up to each unit:
 of a longer run's units, each is in the shortest run from it or in the shortest up to the run's end, and those repeat with
@@ -12,6 +14,7 @@ the sample changes the way, not the result, and no task gathers a frequent run's
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -52,26 +55,46 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _starts(words: list[str], reach: int, most: int) -> list[int]:
+    """Where pieces begin: at the first word, and at words whose hash is below those of the reach words before, and at most those
+    of the reach words behind. A piece of more than most words is cut where its hash is least, but for reach words at its ends."""
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    none = np.full(reach, np.iinfo(np.uint64).max, dtype=np.uint64)
+    low = np.lib.stride_tricks.sliding_window_view(np.concatenate((none, h, none)), reach).min(axis=1)
+    # the window that begins at i of the padded hashes ends before word i, and that at i + reach + 1 begins behind it
+    found = np.flatnonzero((h < low[: len(h)]) & (h <= low[reach + 1 : reach + 1 + len(h)]))
+    todo, out = [(a, b) for a, b in itertools.pairwise([0, *(i for i in found.tolist() if i), len(h)])], []
+    while todo:
+        a, b = todo.pop()
+        if b - a > most:
+            cut = a + reach + int(h[a + reach : b - reach].argmin())
+            todo += [(a, cut), (cut, b)]
+        else:
+            out.append(a)
+    return sorted(out)
+
+
 def units_of(text: str, words: int = WORDS) -> list[tuple[int, int, int, int]]:
     """(start, end, words, sentence) of the sentences, or of the pieces of those that have more than so many words."""
     word = _WIDE_WORD if not text.isascii() and _UNSPACED.search(text) else None
-    out, piece = [], (words + 1) // 2
+    out = []
     for k, (a, b) in enumerate(sentences_of(text)):
         n = len(word.findall(text, a, b)) if word else len(text[a:b].split())
         if n <= words:
             out.append((a, b, n, k))
             continue
         places = [m.span() for m in (word or _WORD).finditer(text, a, b)]
-        out += [(places[i][0], places[min(i + piece, n) - 1][1], min(piece, n - i), k) for i in range(0, n, piece)]
+        starts = _starts([text[i:j] for i, j in places], max(1, (words + 1) // 4), words)
+        out += [(places[i][0], places[j - 1][1], j - i, k) for i, j in zip(starts, [*starts[1:], len(places)], strict=True)]
     return out
 
 
-def _ends(sizes: list[int], sentences: int, least: int, words: int) -> list[int]:
+def _ends(units: list[tuple[int, int, int, int]], sentences: int, least: int, words: int) -> list[int]:
     """Where the shortest run from each unit ends; too far where there is none."""
     out, end, total = [], 0, 0
-    for i, size in enumerate(sizes):
-        while end <= len(sizes) and not (end - i >= 2 and total >= words or end - i >= sentences and total >= least):
-            total += sizes[end] if end < len(sizes) else 0
+    for i, (_, _, size, k) in enumerate(units):
+        while end <= len(units) and not (end - i >= 2 and (total >= words or units[end - 1][3] - k + 1 >= sentences and total >= least)):
+            total += units[end][2] if end < len(units) else 0
             end += 1
         out.append(end)
         total -= size
@@ -91,7 +114,7 @@ def all_runs_of(text: str, sentences: int = SENTENCES, least: int = LEAST, words
 def _runs(text: str, sentences: int, least: int, words: int) -> Iterator[tuple[tuple[int, int, bytes], bool]]:
     units = units_of(text, words)
     hashes = [xxhash.xxh3_128_digest(" ".join(text[a:b].split())) for a, b, _, _ in units]
-    ends = _ends([u[2] for u in units], sentences, least, words)
+    ends = _ends(units, sentences, least, words)
     for i, end in enumerate(ends):
         if end > len(units):
             break

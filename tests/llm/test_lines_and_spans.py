@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 
+import xxhash
+
 from spanframe.llm.line_dedup import dedup_lines
-from spanframe.llm.span_dedup import cut_sentences, dedup_spans, runs_of, sentences_of
+from spanframe.llm.span_dedup import all_runs_of, cut_sentences, dedup_spans, runs_of, sentences_of, units_of
 
 
 def within_one(a, b):
@@ -145,8 +147,15 @@ def brute_units(text):
                 n += 1
             words += [] if s[i].isspace() else [(at + i, at + i + n)]
             i += n
-        step = 13 if len(words) > 25 else 25
-        out += [(words[i][0], words[min(len(words), i + step) - 1][1], len(words[i : i + step]), k) for i in range(0, len(words), step)]
+        if not words:
+            at += len(s)
+            continue
+        h = [xxhash.xxh64_intdigest(text[a:b]) for a, b in words]
+        least = lambda i: all(h[i] < x for x in h[max(0, i - 6) : i]) and all(h[i] <= x for x in h[i + 1 : i + 7])
+        starts = [i for i in range(len(words)) if i == 0 or (len(words) > 25 and least(i))]
+        while wide := [(i, j) for i, j in zip(starts, [*starts[1:], len(words)], strict=True) if j - i > 25]:
+            starts = sorted(starts + [min(range(i + 6, j - 6), key=lambda x: (h[x], x)) for i, j in wide])
+        out += [(words[i][0], words[j - 1][1], j - i, k) for i, j in zip(starts, [*starts[1:], len(words)], strict=True)]
         k += bool(words)
         at += len(s)
     return out
@@ -161,7 +170,7 @@ def brute_all_runs(docs):
         for at in range(len(units)):
             for end in range(at + 2, len(units) + 1):
                 n = sum(u[2] for u in units[at:end])
-                if (n >= 25 or (end - at >= 3 and n >= 10)) and first.setdefault(tuple(said[at:end]), (i, at)) != (i, at):
+                if (n >= 25 or (units[end - 1][3] - units[at][3] >= 2 and n >= 10)) and first.setdefault(tuple(said[at:end]), (i, at)) != (i, at):
                     cut[i].update(range(at, end))
     out = {}
     for i, t in docs:
@@ -202,6 +211,19 @@ def test_runs_that_neighbours_hid(spark):
     assert all(out[i] == docs[i][1] for i in (0, 2, 4))
 
 
+def test_passages_inside_of_other_long_sentences():
+    rng, found = random.Random(5), 0
+    say = lambda name, n: " ".join(f"{name}{rng.randrange(10**9)}" for _ in range(n))
+    for _ in range(100):
+        passage = say("p", 60)
+        a, b = (f"{say(x, rng.randrange(1, 60))} {passage} {say(x, rng.randrange(1, 60))}" for x in "ab")
+        shared = {h for _, _, h in all_runs_of(a)} & {h for _, _, h in all_runs_of(b)}
+        found += bool(shared)
+    assert found >= 95
+    same = "word " * 5000
+    assert [n for _, _, n, _ in units_of(same)] and max(n for _, _, n, _ in units_of(same)) <= 25 and sum(n for _, _, n, _ in units_of(same)) == 5000
+
+
 def test_a_million_blanks_take_no_time():
     import time
 
