@@ -80,6 +80,25 @@ def join_heavy(rows: DataFrame, table: DataFrame, on: Sequence[str], n: str, *,
     return rows.join(table.select(on) if how == "left_anti" else table.drop(n), on, how)
 
 
+def split_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with one row of each id (null is one too) and text, and the rows that repeat one; None where there is none, as is usual.
+
+    Which of equal rows is the first is settled by a number that they get as they are stored; rows that repeat nothing stay
+    where they are. Null texts repeat nothing."""
+    keys = ["__k", "__k2"]
+    parts = (F.col(id_col), F.col(id_col).isNull(), F.col(text_col))
+    keyed = docs.withColumns({"__k": F.xxhash64(*parts), "__k2": F.hash(*parts)})
+    counts = stored(keyed.where(F.col(text_col).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1"), "repeats")
+    if not counts.take(1):
+        return docs, None
+    many = stored(join_heavy(keyed, counts, keys, "__n").withColumn("__no", F.monotonically_increasing_id()), "repeated")
+    first = many.groupBy(*keys).agg(F.min("__no").alias("__first"), F.count("*").alias("__n"))
+    told = join_heavy(many, stored(first, "firsts"), keys, "__n")
+    alone = join_heavy(keyed, counts, keys, "__n", how="left_anti")
+    once = alone.select(docs.columns).unionByName(told.where("__no = __first").select(docs.columns))
+    return once, told.where("__no <> __first").select(docs.columns)
+
+
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, str], name: str) -> DataFrame:
     """df with a column for each of sums (name: column), the sum over all rows before in the order given, and row (from 1).
 

@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import join_heavy, stored
+from ._base import join_heavy, split_repeats, stored
+
 
 def _hashes(*columns: Column | str) -> list[Column]:
     """96 bits in two columns."""
@@ -91,7 +92,7 @@ def _without(line: str, at: str) -> Column:
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, no): the lines to remove; mark tells rows of one id with other texts apart, no counts from 0."""
     lines = _lines(docs, id_col, text_col)
-    blank = F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) == ""
+    blank = _blank(F.col("line"))
     found = stored(lines.where(~blank).select("id", "mark", "no", "h", "g", F.length("line").alias("size"), _half_keys(F.col("line")).alias("halves")), "lines")
     place = F.struct("id", "mark", "no")
     halves = found.select("h", "g", "size", F.posexplode("halves").alias("role", "key"))
@@ -116,9 +117,29 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Earlier is by id, then by place. Returns a row for each row of docs: <id_col>, the columns in keep, n_lines, n_removed,
     text (the kept lines; null for null). Lines end at a line feed. Blank lines stay. A line is held against all earlier
-    distinct lines, whether or not those stay. Null ids come first. Rows of one id and text are one document and keep the
-    same lines; rows of one id and different texts are in the order of their texts' hashes. Other columns are not read.
+    distinct lines, whether or not those stay. Null ids come first. Rows of one id and different texts are in the order of their
+    texts' hashes; of rows of one id and text (or of no id and one text) all but one lose every line that is not blank. Other columns
+    are not read.
     """
+    columns = list(dict.fromkeys((id_col, *keep, text_col)))
+    names = [f"__c{i}" for i in range(len(columns))]
+    own = dict(zip(columns, names, strict=True))
+    once, more = split_repeats(docs.select(*(F.col(c).alias(n) for c, n in own.items())), own[id_col], own[text_col])
+    out = _without_repeats(once, own[id_col], own[text_col], [own[c] for c in keep])
+    if more is not None:
+        lines = F.split(own[text_col], "\n")
+        blank = F.filter(lines, lambda x: _blank(x))
+        rest = [F.size(lines).cast("bigint").alias("n_lines"), (F.size(lines) - F.size(blank)).cast("bigint").alias("n_removed"), F.array_join(blank, "\n").alias("text")]
+        out = out.union(more.select(F.col(own[id_col]), *(F.col(own[c]) for c in keep), *rest))
+    return out.toDF(id_col, *keep, "n_lines", "n_removed", "text")
+
+
+def _blank(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(id, keep, n_lines, n_removed, text) of rows that differ in id or text."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col).groupBy("id", "mark").agg(F.collect_set("no").alias("gone"))
     gone = gone.select(F.col("id").alias("__id2"), F.col("mark").alias("__mark2"), "gone")
     rows = docs.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark"))
@@ -129,4 +150,4 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
-    return out.select(F.col("__id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), n.alias("n_lines"), n_removed.alias("n_removed"), left.alias("text"))
+    return out.select("__id", *(F.col(f"__{i}") for i in range(len(keep))), n.alias("n_lines"), n_removed.alias("n_removed"), left.alias("text"))
