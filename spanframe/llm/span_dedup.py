@@ -8,7 +8,8 @@ units that any repeated run covers are removed wherever it is not the first: the
 there at the first place. Hashed (with every) are only the shortest run from each unit and the shortest run up to each unit:
 of a longer run's units, each is in the shortest run from it or in the shortest up to the run's end, and those repeat with
 it. Hashes are 128 bits, so equal hashes are equal runs. Runs meet in one shuffle by hash; those that a sample of the runs
-shows to be very frequent are left out of it, combined where they are, and held against a broadcast of their first places. So
+shows to be very frequent (the HEAVY_RUNS most frequent at most, so that any other is at most one in HEAVY_RUNS of all) are left out
+of it, combined where they are, and held against a broadcast of their first places. So
 the sample changes the way, not the result, and no task gathers a frequent run's places.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import stored
+from ._base import split_repeats, stored
 
 SENTENCES, LEAST, WORDS = 3, 10, 25
 #: A run that stands more often than HEAVY times, by a sample of this share of all runs, is frequent; at most so many are.
@@ -55,14 +56,21 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_MOST = np.iinfo(np.uint64).max
+
+
 def _starts(words: list[str], reach: int, most: int) -> list[int]:
     """Where pieces begin: at the first word, and at words whose hash is below those of the reach words before, and at most those
     of the reach words behind. A piece of more than most words is cut where its hash is least, but for reach words at its ends."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    none = np.full(reach, np.iinfo(np.uint64).max, dtype=np.uint64)
-    low = np.lib.stride_tricks.sliding_window_view(np.concatenate((none, h, none)), reach).min(axis=1)
-    # the window that begins at i of the padded hashes ends before word i, and that at i + reach + 1 begins behind it
-    found = np.flatnonzero((h < low[: len(h)]) & (h <= low[reach + 1 : reach + 1 + len(h)]))
+    n = len(words)
+    h = np.full(n + 2 * reach, _MOST, dtype=np.uint64)
+    h[reach : reach + n] = list(map(xxhash.xxh64_intdigest, words))
+    before, behind = h[:n].copy(), h[reach + 1 : reach + 1 + n].copy()
+    for k in range(1, reach):
+        np.minimum(before, h[k : k + n], out=before)
+        np.minimum(behind, h[reach + 1 + k : reach + 1 + k + n], out=behind)
+    h = h[reach : reach + n]
+    found = np.flatnonzero((h < before) & (h <= behind))
     todo, out = [(a, b) for a, b in itertools.pairwise([0, *(i for i in found.tolist() if i), len(h)])], []
     while todo:
         a, b = todo.pop()
@@ -188,25 +196,33 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     a piece went), and text (null for null). Documents of one sentence have no run and stay, unless it is cut into pieces.
     Without every, only the shortest run from each unit counts, so that the last units of a passage may stay. Runs of fewer
     words than LEAST never go. Null ids are the last; different texts of one id are documents of their own, in the order of
-    their texts' hashes; rows of one id and text are treated alike. Runs that repeat inside a document are removed after the
-    first. Other columns are not read; an empty table gives an empty result.
+    their texts' hashes; of rows of one id and text (or of no id and one text) all but one lose all of their runs. Runs that repeat
+    inside a document are removed after the first. Other columns are not read; an empty table gives an empty result.
     """
+    docs, copies = split_repeats(docs.select(*dict.fromkeys((id_col, *keep, text_col))), id_col, text_col)
     cut = repeated_runs(docs, id_col=id_col, text_col=text_col, every=every, **options).distinct()
     cut = cut.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     cut = cut.select(F.col("id").alias("__id2"), F.col("mark").alias("__mark2"), "runs")
     rows = docs.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark"))
     rows = rows.join(cut, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__mark") == F.col("__mark2")), "left").drop("__id2", "__mark2", "__mark")
+    sizes = (options.get("sentences", SENTENCES), options.get("least", LEAST), options.get("words", WORDS))
     schema = T.StructType([*(f for f in rows.schema.fields if f.name not in ("__text", "runs")), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch], copied: bool = False) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
             for text, runs in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
                 said = text.as_py()
-                left, gone = cut_sentences(said, [(r["at"], r["n"]) for r in runs.as_py()], options.get("words", WORDS)) if said is not None and runs.is_valid else (said, 0)
+                cut = [(r["at"], r["n"]) for r in runs.as_py() or ()]
+                if copied and said is not None:
+                    cut = [r[:2] for r in (all_runs_of if every else runs_of)(said, *sizes)]
+                left, gone = cut_sentences(said, cut, sizes[2]) if cut else (said, 0)
                 made.append((len(sentences_of(said or "")), gone, left))
             n, gone, left = zip(*made, strict=True) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=schema.names)
 
     out = rows.mapInArrow(clean, schema)
+    if copies is not None:
+        more = copies.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"), F.lit(None).cast(rows.schema["runs"].dataType).alias("runs"))
+        out = out.union(more.mapInArrow(lambda batches: clean(batches, True), schema))
     return out.select(F.col("__id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), "n_sentences", "n_removed", "text")

@@ -59,7 +59,25 @@ def test_lines_of_odd_tables(spark, odd_docs, no_docs):
     assert out[6]["n_removed"] == 0 and out[5]["text"] == " \n\t "
     assert dedup_lines(no_docs).count() == 0
     twice = dedup_lines(odd_docs.union(odd_docs)).collect()
-    assert len(twice) == 22 and all(r["text"] == out[r["doc_id"]]["text"] for r in twice)
+    assert len(twice) == 22 and sorted(r["text"] for r in twice if r["doc_id"] == 9) == ["", "a\n"]
+    for i, r in out.items():
+        assert [x["text"] for x in twice if x["doc_id"] == i].count(r["text"]) >= 1
+
+
+def test_equal_rows_are_one_document_and_its_copies(spark, monkeypatch):
+    from spanframe.llm import _base
+
+    docs = [(None, "a line\n\nanother"), (None, "a line\n\nanother"), (None, "a line\n\nanother"), (3, "own line"), (3, "own line"), (3, "third of three"), (None, None), (None, None), (4, ""), (4, "")]
+    frame = spark.createDataFrame([(*d, i, "z") for i, d in enumerate(docs)], "doc_id bigint, text string, n int, n_lines string")
+    for heavy in (50_000, 1):
+        monkeypatch.setattr(_base, "HEAVY", heavy)
+        monkeypatch.setattr(_base, "HEAVY_KEYS", heavy)
+        out = dedup_lines(frame, keep=("n",)).collect()
+        assert sorted(r["n"] for r in out) == list(range(10))
+        got = lambda ids: sorted((r["text"], r["n_lines"], r["n_removed"]) for r in out if r["n"] in ids)
+        assert got({0, 1, 2}) == [("", 3, 2)] * 2 + [("a line\n\nanother", 3, 0)] and got({3, 4}) == [("", 1, 1), ("own line", 1, 0)]
+        assert got({5}) == [("third of three", 1, 0)] and got({8, 9}) == [("", 1, 0)] * 2
+        assert [(r["text"], r["n_lines"]) for r in out if r["n"] in (6, 7)] == [(None, 0)] * 2
 
 
 def brute_spans(docs):
@@ -211,6 +229,23 @@ def test_runs_that_neighbours_hid(spark):
     assert all(out[i] == docs[i][1] for i in (0, 2, 4))
 
 
+def test_equal_rows_lose_all_runs_but_the_first(spark, monkeypatch):
+    from spanframe.llm import _base
+
+    passage = " ".join(f"Sentence {i} of this text has exactly ten words here." for i in range(4))
+    docs = [(None, passage), (None, passage), (None, passage), (3, f"{passage} Own end."), (3, f"{passage} Own end."), (4, "One sentence only."), (4, "One sentence only."), (None, None), (None, None)]
+    frame = spark.createDataFrame([(*d, i, "z") for i, d in enumerate(docs)], "doc_id bigint, text string, n int, n_sentences string")
+    for heavy in (50_000, 1):
+        monkeypatch.setattr(_base, "HEAVY", heavy)
+        monkeypatch.setattr(_base, "HEAVY_KEYS", heavy)
+        out = dedup_spans(frame, keep=("n",), every=True).collect()
+        assert sorted(r["n"] for r in out) == list(range(9))
+        got = lambda ids: sorted((r["text"] or "", r["n_sentences"], r["n_removed"]) for r in out if r["n"] in ids)
+        # ids before none: the first of the two rows of id 3 keeps the passage
+        assert got({3, 4}) == [("", 5, 5), (f"{passage} Own end.", 5, 0)] and got({0, 1, 2}) == [("", 4, 4)] * 3
+        assert got({5, 6}) == [("One sentence only.", 1, 0)] * 2 and got({7, 8}) == [("", 0, 0)] * 2
+
+
 def test_passages_inside_of_other_long_sentences():
     rng, found = random.Random(5), 0
     say = lambda name, n: " ".join(f"{name}{rng.randrange(10**9)}" for _ in range(n))
