@@ -120,15 +120,22 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 
 def _windows_best(trees: DataFrame, many: bool, sphere: float, anchors: list[dict], k: int, same: bool, name: str) -> DataFrame:
     """(no, w, other, score, rank): each window's k best rows, stored. Bounded by the chunk."""
-    spark = trees.sparkSession
+    context, shared = trees.sparkSession.sparkContext, []
+
+    def scan(part: DataFrame, of: list[dict]) -> DataFrame:
+        shared.append(context.broadcast(of))
+        return _scan(part, sphere, shared[-1], k, same)
+
     if not many:
-        held = spark.sparkContext.broadcast(anchors)
-        return stored(_best(_scan(trees, sphere, held, k, same), k), name)
-    head = stored(_best(_scan(trees.where("first"), sphere, spark.sparkContext.broadcast(anchors), k, same), k), f"{name}_first")
-    floors = {(r["no"], r["w"]): float(r["score"]) for r in head.where(F.col("rank") == k).collect()}
-    raised = [a | {"floors": [floors.get((a["no"], w), -np.inf) for w in range(len(a["windows"]))]} for a in anchors]
-    rest = _scan(trees.where("not first"), sphere, spark.sparkContext.broadcast(raised), k, same)
-    return stored(_best(head.drop("rank").union(rest), k), name)
+        out = stored(_best(scan(trees, anchors), k), name)
+    else:
+        head = stored(_best(scan(trees.where("first"), anchors), k), f"{name}_first")
+        floors = {(r["no"], r["w"]): float(r["score"]) for r in head.where(F.col("rank") == k).collect()}
+        raised = [a | {"floors": [floors.get((a["no"], w), -np.inf) for w in range(len(a["windows"]))]} for a in anchors]
+        out = stored(_best(head.drop("rank").union(scan(trees.where("not first"), raised)), k), name)
+    for held in shared:  # what they were for is stored
+        held.destroy()
+    return out
 
 
 def hard_negatives(vectors: DataFrame, is_anchor: Column, *, label: Column | None = None, positives: int = 5, negatives: int = 3, least: int = 50, most: int = 95, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -151,14 +151,18 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 6
     path = scratch_path(spark, "top_k")
     for i in range(chunks):
         chunk = [r.asDict() | {"floor": -np.inf} for r in queries.where(F.pmod(F.xxhash64("no"), F.lit(chunks)) == i).select("no", "id", "dim", "v").collect()]
-        found = _scan(blocks.where("first") if many else blocks, spark.sparkContext.broadcast(chunk), k)
+        shared = [spark.sparkContext.broadcast(chunk)]
+        found = _scan(blocks.where("first") if many else blocks, shared[0], k)
         if many:
             found = stored(_ranked(found, k), "first_share")
             floors = {r["no"]: float(r["score"]) for r in found.where(F.col("rank") == k).collect()}  # one number a query
             raised = [x | {"floor": floors.get(x["no"], -np.inf)} for x in chunk]
-            found = found.drop("rank").union(_scan(blocks.where("not first"), spark.sparkContext.broadcast(raised), k))
+            shared.append(spark.sparkContext.broadcast(raised))
+            found = found.drop("rank").union(_scan(blocks.where("not first"), shared[1], k))
         named = _ranked(found, k).join(queries.select("no", F.col("id").alias("query_id")), "no")
         named.select("query_id", "rank", F.col("id").alias(id_col), "score").write.parquet(f"{path}/chunk={i}")
+        for held in shared:
+            held.destroy()
     if not chunks:
         return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score bigint")
     return spark.read.schema(f"query_id bigint, rank int, {id_col} bigint, score bigint, chunk int").parquet(path).drop("chunk")
