@@ -142,7 +142,9 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: f
     in_cell = Window.partitionBy("sid", "size")
     parts = parts.withColumn("n", F.sum("n_part").over(in_cell)).withColumn("before", F.coalesce(F.sum("n_part").over(in_cell.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.join(whole, ["sid", "size"]).select("sid", "size", "part", "n", "before", "rate", F.col("copies").alias("all_copies"))
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy(F.xxhash64("id"), "id", *(f"__keep_{c}" for c in keep)))
+    # maps have no order: rows that carry one are told apart by its text
+    ties = [F.to_json(F.struct(f"__keep_{c}"), {"ignoreNullFields": "false"}) if "map<" in docs.schema[c].dataType.simpleString() else F.col(f"__keep_{c}") for c in keep]
+    rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy(F.xxhash64("id"), "id", *ties))
     out = rows.join(parts, ["sid", "size", "part"], "left").withColumn("rank", rank + F.col("before"))
     copies = F.coalesce(F.expr("all_copies div n") + F.when(F.col("rank") <= F.expr("all_copies % n"), 1).otherwise(0), F.lit(0)).cast("int")
     out = out.withColumn("copies", copies)
