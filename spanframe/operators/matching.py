@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..shared import stored
 from .intervals import intersect_intervals, merge_intervals, total_duration
 from .timeline import KEY, as_of, interval_islands
 
@@ -162,7 +163,9 @@ def evaluate_media(predicted: DataFrame, truth: DataFrame, media: DataFrame, exc
     # rows that repeat an id, or all of a row, are events of their own: a number in the order of ids stands for them
     number = F.row_number().over(Window.partitionBy(KEY).orderBy("interval_id", "start_us", "end_us", "category")).cast("bigint")
     sides = [df.select(*columns).where("category is not null and end_us > start_us").withColumn("interval_id", number).withColumn("side", F.lit(n)) for n, df in (("p", predicted), ("t", truth))]
-    seen = visible(sides[0].unionByName(sides[1]).join(media.select(KEY), KEY, "left_semi"), excluded)
+    # stored: both sides of a join and the sweep read it. Spark 4.1 joined it with itself wrongly where it was planned in place, as it
+    # takes a union of sides that are partitioned alike (spark.sql.unionOutputPartitioning) to be partitioned so
+    seen = stored(visible(sides[0].unionByName(sides[1]).join(media.select(KEY), KEY, "left_semi"), excluded), "seen")
     pairs = match_events(*(seen.where((F.col("side") == n) & (F.col("end_us") > F.col("start_us"))) for n in "pt"), thresholds=thresholds, width=width, carry=("event_start_us", "event_end_us", "start_seen", "end_seen"))
     hits = [F.count("*").alias("tp")]
     for e in ("start", "end"):
