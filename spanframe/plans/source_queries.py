@@ -8,6 +8,7 @@ from ..functions.columns import us_to_timecode
 from ..functions.sql import register_functions
 from ..operators import planning as pl
 from ..shared import scratch as _scratch
+from ..shared import stored
 from ..sources import readers as rd
 from ..sources import sinks
 from ..streaming import sinks as st
@@ -138,27 +139,28 @@ _LATER = 30 * 24 * HOUR
 
 
 def _slices(spark, rows, n, name, *, order="ts_us", beat=True):
-    """Writes rows as n JSON files, one behind the other in the order of time: as many micro-batches. A row of media -1 far ahead
-    comes last, so that the watermark closes all that the others have left open."""
-    path = _scratch(spark, name)
+    """Parts rows into n tables, one behind the other in the order of time: as many micro-batches. A row of media -1 far ahead comes
+    last, so that the watermark closes all that the others have left open."""
+    rows = stored(rows, name)
     edges = rows.approxQuantile(order, [i / n for i in range(1, n)], 0.01)
     part = F.lit(0)
     for e in edges:
         part = part + F.when(F.col(order) > e, 1).otherwise(0)
-    for i in range(n):
-        rows.where(part == i).coalesce(1).write.mode("append").json(path)
+    parts = [rows.where(part == i) for i in range(n)]
     if beat:
         last = {"media_id": -1, "sample_id": -1, "ts_us": 400 * 24 * HOUR + _LATER}
-        spark.createDataFrame([tuple(last.values())], "media_id bigint, sample_id bigint, ts_us bigint").coalesce(1).write.mode("append").json(path)
-    return path
-
-
-def _in_batches(spark, path, schema, make, name, mode="append", each=None):
-    """Runs make on the stream of path, a file a micro-batch, until all is read; returns the query's batches written by number, or
-    nothing where each (a batch function) takes them."""
-    out = _scratch(spark, f"{name}-out")
-    made = make(sx.stream_samples(spark, path, schema, delay="1 minute", files=1))
-    made.writeStream.foreachBatch(each or st.table_sink(out)).outputMode(mode).option("checkpointLocation", _scratch(spark, f"{name}-check")).trigger(availableNow=True).start().awaitTermination()
+        parts.append(spark.createDataFrame([tuple(last.values())], "media_id bigint, sample_id bigint, ts_us bigint").coalesce(1))
+    return parts
+
+
+def _in_batches(spark, parts, schema, make, name, mode="append", each=None):
+    """Runs make on a stream of parts, each a micro-batch of as many files as its tasks write: the query goes on from its checkpoint
+    when the next part's files are there. Returns its batches written by number, or nothing where each (a batch function) takes them."""
+    path, out, check = _scratch(spark, name), _scratch(spark, f"{name}-out"), _scratch(spark, f"{name}-check")
+    for part in parts:
+        part.write.mode("append").json(path)
+        made = make(sx.stream_samples(spark, path, schema, delay="1 minute", files=1_000_000))
+        made.writeStream.foreachBatch(each or st.table_sink(out)).outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return None if each else spark.read.schema(made.schema).option("recursiveFileLookup", True).parquet(out)
 
 
@@ -172,20 +174,20 @@ def _back(df, *columns):
 
 @register("x02_chunk_counts", duck(f"SELECT media_id, ts_us // {24 * HOUR} * {24 * HOUR} AS start_us, (ts_us // {24 * HOUR} + 1) * {24 * HOUR} AS end_us, count(*) AS n FROM samples GROUP BY 1, 2, 3"))
 def _(spark, d):
-    path = _slices(spark, _later(spark, d), 4, "chunks")
-    return _back(_in_batches(spark, path, _SAMPLE, lambda s: sx.chunk_counts(s, "24 hours"), "chunks"), "start_us", "end_us")
+    parts = _slices(spark, _later(spark, d), 4, "chunks")
+    return _back(_in_batches(spark, parts, _SAMPLE, lambda s: sx.chunk_counts(s, "24 hours"), "chunks"), "start_us", "end_us")
 
 
 @register("x02_overlapping_chunks", duck(f"SELECT media_id, w * {24 * HOUR} AS start_us, w * {24 * HOUR} + {30 * HOUR} AS end_us, count(*) AS n FROM (SELECT media_id, unnest([ts_us // {24 * HOUR}, (ts_us - {6 * HOUR}) // {24 * HOUR}]) AS w, ts_us FROM samples WHERE (ts_us - {6 * HOUR}) // {24 * HOUR} <> ts_us // {24 * HOUR} AND ts_us >= {6 * HOUR} UNION ALL SELECT media_id, ts_us // {24 * HOUR}, ts_us FROM samples WHERE (ts_us - {6 * HOUR}) // {24 * HOUR} = ts_us // {24 * HOUR} AND ts_us >= {6 * HOUR} UNION ALL SELECT media_id, unnest([-1, 0]), ts_us FROM samples WHERE ts_us < {6 * HOUR}) GROUP BY 1, 2"))
 def _(spark, d):
-    path = _slices(spark, _later(spark, d), 4, "overlap")
-    return _back(_in_batches(spark, path, _SAMPLE, lambda s: sx.chunk_counts(s, "24 hours", "30 hours"), "overlap"), "start_us", "end_us")
+    parts = _slices(spark, _later(spark, d), 4, "overlap")
+    return _back(_in_batches(spark, parts, _SAMPLE, lambda s: sx.chunk_counts(s, "24 hours", "30 hours"), "overlap"), "start_us", "end_us")
 
 
 @register("x05_cluster_sessions", duck(f"SELECT media_id, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) AS island FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY media_id ORDER BY ts_us, sample_id) > {6 * HOUR} THEN 1 ELSE 0 END AS fresh FROM samples)) GROUP BY media_id, island"))
 def _(spark, d):
-    path = _slices(spark, _later(spark, d), 4, "sessions")
-    return _back(_in_batches(spark, path, _SAMPLE, lambda s: sx.cluster_sessions(s, "6 hours"), "sessions"), "first_us", "last_us")
+    parts = _slices(spark, _later(spark, d), 4, "sessions")
+    return _back(_in_batches(spark, parts, _SAMPLE, lambda s: sx.cluster_sessions(s, "6 hours"), "sessions"), "first_us", "last_us")
 
 
 # the tracker of positions, report by report
@@ -212,18 +214,18 @@ def _(spark, d):
 @register("x08_track_played", _PLAYED)
 def _(spark, d):
     rows = _reports(spark, d, _LATER).withColumn("ts_us", F.col("wall_us"))
-    path = _slices(spark, rows, 4, "played", beat=False)
+    parts = _slices(spark, rows, 4, "played", beat=False)
     schema = "media_id BIGINT, wall_us BIGINT, seq BIGINT, kind STRING, position_us BIGINT, rate DOUBLE, ts_us BIGINT"
-    return _in_batches(spark, path, schema, lambda s: sx.track_played(s, forget="400 days"), "played")
+    return _in_batches(spark, parts, schema, lambda s: sx.track_played(s, forget="400 days"), "played")
 
 
 @register("x10_progress_monitor", duck("SELECT media_id AS run_id, event_type AS stage, arg_max(ts_us, sample_id) AS done, max(duration_us) AS total, count(*) FILTER (scene) AS n_failed FROM samples GROUP BY 1, 2"))
 def _(spark, d):
     columns = (F.col("media_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("ts_us").alias("done"), F.col("duration_us").alias("total"), F.col("sample_id").alias("seq"), F.col("scene").alias("failed"))
-    path = _slices(spark, standin(spark, d, "samples").select(*columns, "ts_us"), 4, "progress", order="seq", beat=False)
+    parts = _slices(spark, standin(spark, d, "samples").select(*columns, "ts_us"), 4, "progress", order="seq", beat=False)
     schema = "run_id BIGINT, stage STRING, done BIGINT, total BIGINT, seq BIGINT, failed BOOLEAN, ts_us BIGINT"
     out = _scratch(spark, "progress-table")
-    _in_batches(spark, path, schema, sx.progress_monitor, "progress", mode="update", each=st.table_sink(out))
+    _in_batches(spark, parts, schema, sx.progress_monitor, "progress", mode="update", each=st.table_sink(out))
     return st.read_latest(spark, out, "run_id BIGINT, stage STRING, done BIGINT, total BIGINT, n_failed BIGINT", ["run_id", "stage"])
 
 
@@ -235,8 +237,8 @@ def _(spark, d):
 
 @register("x11_routing_windows", duck(f"SELECT media_id, ts_us // {72 * HOUR} * {72 * HOUR} AS start_us, count(*) AS n_observed, count(*) FILTER (scene) AS n_routed, CASE WHEN count(*) FILTER (scene) > 0 THEN sha256(array_to_string(list(ts_us + {_LATER} ORDER BY ts_us) FILTER (scene), chr(10))) END AS digest, count(*) - count(*) FILTER (scene) AS n_skipped FROM samples GROUP BY 1, 2"))
 def _(spark, d):
-    path = _slices(spark, _later(spark, d, "scene"), 4, "routing")
-    return _back(_in_batches(spark, path, f"{_SAMPLE}, scene BOOLEAN", lambda s: sx.routing_windows(s, "72 hours", F.coalesce(F.col("scene"), F.lit(False))), "routing"), "start_us")
+    parts = _slices(spark, _later(spark, d, "scene"), 4, "routing")
+    return _back(_in_batches(spark, parts, f"{_SAMPLE}, scene BOOLEAN", lambda s: sx.routing_windows(s, "72 hours", F.coalesce(F.col("scene"), F.lit(False))), "routing"), "start_us")
 
 
 _LATE_PART = "(sample_id * 2654435761) % 97 % 5"
@@ -244,12 +246,10 @@ _LATE_PART = "(sample_id * 2654435761) % 97 % 5"
 
 @register("x12_late_audit", duck(f"SELECT p.media_id, p.sample_id, p.ts_us, p.ts_us <= m.most - {48 * HOUR} AS late FROM (SELECT *, {_LATE_PART} AS part FROM samples) p LEFT JOIN (SELECT a.part, max(b.ts_us) AS most FROM (SELECT unnest(range(5)) AS part) a JOIN (SELECT ts_us, {_LATE_PART} AS part FROM samples) b ON b.part < a.part GROUP BY 1) m ON m.part = p.part WHERE m.most IS NOT NULL UNION ALL SELECT media_id, sample_id, ts_us, false FROM samples WHERE {_LATE_PART} = 0"))
 def _(spark, d):
-    rows = _plain(spark, d).withColumn("part", F.expr(_LATE_PART))
-    path = _scratch(spark, "late")
-    for i in range(5):
-        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").json(path)
+    rows = stored(_plain(spark, d), "late")
+    parts = [rows.where(F.expr(_LATE_PART) == i) for i in range(5)]
     good, dead = _scratch(spark, "on-time"), _scratch(spark, "dead-letters")
-    _in_batches(spark, path, _SAMPLE, lambda s: s.drop("ts"), "late", each=st.late_audit(st.table_sink(good), st.table_sink(dead), _scratch(spark, "marks"), delay_us=48 * HOUR))
+    _in_batches(spark, parts, _SAMPLE, lambda s: s.drop("ts"), "late", each=st.late_audit(st.table_sink(good), st.table_sink(dead), _scratch(spark, "marks"), delay_us=48 * HOUR))
     read = lambda p, late: st.read_sink(spark, p, _SAMPLE).select("media_id", "sample_id", "ts_us", F.lit(late).alias("late"))
     return read(good, False).union(read(dead, True))
 
@@ -257,7 +257,7 @@ def _(spark, d):
 @register("x07_fan_out", duck("SELECT 'all' AS sink, media_id, sample_id FROM samples UNION ALL SELECT 'scenes', media_id, sample_id FROM samples WHERE scene"))
 def _(spark, d):
     """Two sinks and one that is always down; the sink of scenes fails at its first try of every batch, after it has written."""
-    path = _slices(spark, _later(spark, d, "scene"), 3, "fan", beat=False)
+    parts = _slices(spark, _later(spark, d, "scene"), 3, "fan", beat=False)
     tables = {n: _scratch(spark, n) for n in ("all", "scenes")}
     tried: set[int] = set()
 
@@ -271,7 +271,7 @@ def _(spark, d):
         raise OSError("down")
 
     each = st.fan_out({"down": down, "all": st.table_sink(tables["all"]), "scenes": shaky}, _scratch(spark, "ledger"), attempts=2)
-    _in_batches(spark, path, f"{_SAMPLE}, scene BOOLEAN", lambda s: s.drop("ts"), "fan", each=each)
+    _in_batches(spark, parts, f"{_SAMPLE}, scene BOOLEAN", lambda s: s.drop("ts"), "fan", each=each)
     read = lambda n: st.read_sink(spark, tables[n], f"{_SAMPLE}, scene BOOLEAN").select(F.lit(n).alias("sink"), "media_id", "sample_id")
     return read("all").union(read("scenes"))
 
