@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .stats import attach, exact_percentile, value_ranks
 
 
 def latest_attempt(attempts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -124,14 +125,14 @@ def reliability_rollup(rows: DataFrame, group: str, category: str) -> DataFrame:
 
 def benchmark_aggregate(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """runs(wall_us, media_us, valid): numbers of runs, and the median, least and greatest wall time and the median throughput
-    (media over wall) of the valid ones; null where none is. A null in valid counts as invalid. Medians are exact: a group is a
-    benchmark's runs, not a catalogue."""
+    (media over wall) of the valid ones; null where none is. A null in valid counts as invalid. Medians are exact, of groups of any size."""
     good = F.coalesce("valid", F.lit(False))
     wall = F.when(good, F.col("wall_us"))
-    out = runs.groupBy(*by).agg(
-        F.count("*").alias("n_runs"), F.count_if(good).alias("n_valid"), F.percentile(wall, 0.5).alias("median_wall_us"), F.min(wall).alias("least_wall_us"),
-        F.max(wall).alias("most_wall_us"), F.percentile(ratio(F.col("media_us"), wall), 0.5).alias("median_throughput"),
-    )
+    out = runs.groupBy(*by).agg(F.count("*").alias("n_runs"), F.count_if(good).alias("n_valid"), F.min(wall).alias("least_wall_us"), F.max(wall).alias("most_wall_us"))
+    for name, value in (("wall_us", wall), ("throughput", ratio(F.col("media_us"), wall))):
+        ranked = value_ranks(runs.select(*by, value.alias("__v")), "__v", by)
+        out = attach(out, ranked.groupBy(*by).agg(exact_percentile("__v", 0.5).alias(f"median_{name}")), by)
+    out = out.select(*by, "n_runs", "n_valid", "median_wall_us", "least_wall_us", "most_wall_us", "median_throughput")
     return out.withColumn("n_invalid", F.col("n_runs") - F.col("n_valid"))
 
 

@@ -120,24 +120,59 @@ def nearest_rank_summary(rows: DataFrame, column: str, by: Sequence[str]) -> Dat
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(column).alias("total"), F.min(column).alias("least"), F.percentile(column, 0.5).alias("median"), p90.alias("p90"), F.max(column).alias("most"), F.avg(column).alias("mean"))
 
 
-def exclusive_quartiles(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """First and third quartile at rank q (n + 1), between neighbours, for groups of two or more."""
-    w = Window.partitionBy(*by).orderBy(column)
-    ranked = rows.where(F.col(column).isNotNull()).withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+def value_ranks(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """(by, column, __k, __upto, __n): the values of each group that are not null, how many rows have them, how many rows have them or
+    less, and the group's rows. Numbered by ranges of values, so that no task holds a group, however large."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__k"))
+    parts = stored(counted.repartitionByRange(*by, column).withColumn("__range", F.spark_partition_id()), "values")
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as groups and ranges
+    sums = parts.groupBy(*by, "__range").agg(F.sum("__k").alias("__s"))
+    sums = sums.select(*by, "__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"), F.sum("__s").over(Window.partitionBy(*by)).alias("__n"))
+    inside = Window.partitionBy(*by, "__range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = attach(parts.withColumn("__inside", F.sum("__k").over(inside)), sums, (*by, "__range"))
+    return ranked.select(*by, column, "__k", (F.col("__before") + F.col("__inside")).alias("__upto"), "__n")
+
+
+def attach(rows: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with more's other columns, null keys included; by may be empty where more is one row."""
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return rows.join(more.withColumnsRenamed({c: f"__of_{c}" for c in by}), on, "left").drop(*(f"__of_{c}" for c in by))
+
 
-    def at(q: float) -> Column:
-        rank = F.greatest(F.lit(1.0), F.least(F.col("__n") - 1.0, F.floor(q * (F.col("__n") + 1))))
-        f = q * (F.col("__n") + 1) - rank
-        lo, hi = F.max(F.when(F.col("__r") == rank, F.col(column))), F.max(F.when(F.col("__r") == rank + 1, F.col(column)))
-        return lo + (hi - lo) * F.max(f)
+def _at(column: str, rank: Column) -> Column:
+    """The value at a rank from 1, of the rows of value_ranks."""
+    return F.max(F.when((F.col("__upto") - F.col("__k") < rank) & (F.col("__upto") >= rank), F.col(column)))
 
-    return ranked.where("__n > 1").groupBy(*by).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.count("*").alias("n"))
+
+def exact_percentile(column: str, q: float) -> Column:
+    """Aggregate over a group of value_ranks: what percentile gives, between neighbours at q (n - 1)."""
+    place = q * (F.col("__n") - 1)
+    lo, hi = _at(column, F.floor(place) + 1).cast("double"), _at(column, F.ceil(place) + 1).cast("double")
+    up = F.max(place - F.floor(place))
+    return F.when(lo == hi, lo).otherwise((1 - up) * lo + up * hi)
+
+
+def _quartile(column: str, q: float) -> Column:
+    rank = F.greatest(F.lit(1.0), F.least(F.col("__n") - 1.0, F.floor(q * (F.col("__n") + 1))))
+    lo, hi = _at(column, rank), _at(column, rank + 1)
+    return F.when(F.max("__n") > 1, lo + (hi - lo) * F.max(q * (F.col("__n") + 1) - rank))
+
+
+def exclusive_quartiles(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """First and third quartile at rank q (n + 1), between neighbours, for groups of two or more."""
+    ranked = value_ranks(rows, column, by).where("__n > 1")
+    return ranked.groupBy(*by).agg(_quartile(column, 0.25).alias("q1"), _quartile(column, 0.75).alias("q3"), F.max("__n").alias("n"))
 
 
 def runtime_summary(runs: DataFrame, by: Sequence[str], *, compute: str, media: str, peak: str) -> DataFrame:
     """Runs, median, interquartile range, pooled real-time factor (sum over sum) and the greatest peak."""
-    out = runs.groupBy(*by).agg(F.count("*").alias("n_runs"), F.percentile(compute, 0.5).alias("median"), ratio(F.sum(compute), F.sum(media)).alias("pooled_rtf"), F.max(peak).alias("peak"))
-    return out.join(exclusive_quartiles(runs, compute, by).withColumn("iqr", F.col("q3") - F.col("q1")).drop("n", "q1", "q3"), list(by), "left")
+    out = runs.groupBy(*by).agg(F.count("*").alias("n_runs"), ratio(F.sum(compute), F.sum(media)).alias("pooled_rtf"), F.max(peak).alias("peak"))
+    iqr = _quartile(compute, 0.75) - _quartile(compute, 0.25)
+    middle = value_ranks(runs, compute, by).groupBy(*by).agg(exact_percentile(compute, 0.5).alias("median"), iqr.alias("iqr"))
+    return attach(out, middle, by).select(*by, "n_runs", "median", "pooled_rtf", "peak", "iqr")
 
 
 def collapse_diagnostics(rows: DataFrame, text: str, order: str, by: Sequence[str], limit: float = 0.8) -> DataFrame:
