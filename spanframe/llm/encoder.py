@@ -17,8 +17,9 @@ from array import array
 
 import numpy as np
 
-#: Most entries of each memo; a full one starts afresh.
-MEMO = 500_000
+#: Most entries of each half of a memo. A full half becomes the older one, whose entries come back as they are met again, and the
+#: older one goes: what is frequent stays, and words met once do not fill a worker's memory.
+MEMO = 100_000
 #: The normalizer, pre-tokenizer and model options of files that the memo serves.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -75,20 +76,26 @@ class Encoder:
         self.kind = np.dtype(self.code)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         if (found := self.words.get(word)) is None:
             if len(self.words) >= MEMO:
-                self.words.clear()
+                self.words, self.old_words = {}, self.words
+            if (found := self.old_words.get(word)) is not None:
+                self.words[word] = found
+                return found
             spelt = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(_LETTER.__getitem__, word.encode()))
             found = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
     def _chunk(self, chunk: str) -> bytes:
         """ids of what stands between two spaces."""
-        found = self._word(chunk) if chunk.isalpha() else b"".join(map(self._word, _PIECES.findall(chunk)))
+        if (found := self.old_chunks.get(chunk)) is None:
+            found = self._word(chunk) if chunk.isalpha() else b"".join(map(self._word, _PIECES.findall(chunk)))
         if len(self.chunks) >= MEMO:
-            self.chunks.clear()
+            self.chunks, self.old_chunks = {}, self.chunks
         if len(chunk) <= 64:
             self.chunks[chunk] = found
         return found

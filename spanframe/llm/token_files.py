@@ -8,6 +8,8 @@ document ids: what comes before a part is the sum of the parts before, the only
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +35,14 @@ def _schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
+def _give_back() -> None:
+    """Hands memory that earlier tasks of this worker process have freed back to the system; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = 2, percentile: float = pfor.PERCENTILE, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text (null: empty), appends end_id, and writes the chunks at path, in ascending order of ids.
 
@@ -41,6 +51,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     schema = _schema(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         part, code = TaskContext.get().partitionId(), encoder(tokenizer)
         chunk = offset = held = 0
         ids, names, counts = [], [], []

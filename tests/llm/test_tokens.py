@@ -38,6 +38,20 @@ def test_special_strings_long_words_and_full_memos(code, monkeypatch):
     assert code.encode(None).tolist() == []
 
 
+def test_frequent_words_outlive_a_memo_full_of_rare_ones(monkeypatch):
+    monkeypatch.setattr(encoding, "MEMO", 10)
+    code = encoding.Encoder(tokenizer_file())
+    for i in range(40):
+        text = f"common {'abcdefgh'[i % 8] * (i + 2)}"
+        assert code.encode(text).tolist() == whole(code, text)
+        assert len(code.words) + len(code.old_words) <= 20 and len(code.chunks) + len(code.old_chunks) <= 20
+        assert "common" in {**code.chunks, **code.old_chunks}
+    asked = []
+    monkeypatch.setattr(code, "_word", lambda w: asked.append(w) or b"")
+    code.encode("common")
+    assert not asked
+
+
 def test_other_files_go_through_the_library():
     other = encoding.Encoder(tokenizer_file("byte_bpe_50k.json"))
     assert not other.known and other.encode("Hello  World\n").tolist() == whole(other, "Hello  World\n")
