@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..shared import stored
 from .intervals import merge_intervals
 from .greedy import held_by
 from .timeline import KEY, points_in_intervals
@@ -222,6 +223,8 @@ def union_policies(semantic: DataFrame, baselines: Sequence[tuple[str, float, fl
 
 #: Thresholds of a union policy by the score that they bound.
 _PARTS = {"a": "t_a", "b": "t_b", "c": "t_c", "d": "t_d"}
+#: Up to so many thresholds are compared one by one, in compiled code; more by bisection, which Spark interprets.
+_FEW = 128
 
 
 def _policy_counts(rows: DataFrame, policies: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
@@ -231,9 +234,17 @@ def _policy_counts(rows: DataFrame, policies: DataFrame, counts: Mapping[str, Co
     """
     lists = policies.groupBy("strategy").agg(*[F.array_sort(F.collect_set(F.col(t).cast("double"))).alias(f"__{t}") for t in _PARTS.values()])
     axes = {f"__r{s}": t for s, t in _PARTS.items()}
-    reached = [upper_bound(F.col(f"__{t}"), F.col(s).cast("double")).alias(f"__r{s}") for s, t in _PARTS.items()]
-    places = rows.join(F.broadcast(lists), "strategy").select("config", "strategy", *reached, *[x.cast("bigint").alias(c) for c, x in counts.items()])
-    places = places.groupBy("config", "strategy", *axes).agg(*[F.sum(c).alias(c) for c in counts])
+    if (lists.agg(F.sum(sum(F.size(f"__{t}") for t in _PARTS.values()))).first()[0] or 0) <= _FEW:
+        few = lists.collect()
+        count = lambda s, values: sum((F.coalesce(F.col(s).cast("double") >= v, F.lit(False)).cast("int") for v in values), F.lit(0))
+        pick = lambda s, t: F.coalesce(F.lit(None).cast("int"), *[F.when(F.col("strategy") == r["strategy"], count(s, r[f"__{t}"])) for r in few])
+        reached = [pick(s, t).alias(f"__r{s}") for s, t in _PARTS.items()]
+        rows = rows.where(F.col("strategy").isin([r["strategy"] for r in few]))
+    else:
+        reached = [upper_bound(F.col(f"__{t}"), F.col(s).cast("double")).alias(f"__r{s}") for s, t in _PARTS.items()]
+        rows = rows.join(F.broadcast(lists), "strategy")
+    places = rows.select("config", "strategy", *reached, *[x.cast("bigint").alias(c) for c, x in counts.items()])
+    places = stored(places.groupBy("config", "strategy", *axes).agg(*[F.sum(c).alias(c) for c in counts]), "places")
     some = lists.join(places.select("config").distinct())
     corners = _below(places, some, ["config", "strategy"], axes, list(counts))
     # the corner below a threshold; a part that a policy does not use is below in all places
@@ -255,7 +266,8 @@ def evaluate_union(samples: DataFrame, truth: DataFrame, policies: DataFrame, st
     columns = sorted({c for pair in strategies.values() for c in pair})
     scores = ["a", "b", *columns]
     kept = [KEY, "sample_id", "ts_us", *scores, *(["held"] if configs else [])]
-    rows = samples.select(*[c for c in dict.fromkeys(kept)])
+    # samples, their pairs and the maxima are read several times below: each is made once
+    rows = stored(samples.select(*[c for c in dict.fromkeys(kept)]), "union-samples")
     each = F.explode(F.array(*[F.lit(n) for n in names])).alias("config")
     ways = [("", None, None), *((n, *pair) for n, pair in strategies.items())]
 
@@ -265,12 +277,12 @@ def evaluate_union(samples: DataFrame, truth: DataFrame, policies: DataFrame, st
         parts = F.array(*[F.struct(F.lit(n).alias("strategy"), pick(c).alias("c"), pick(e).alias("d")) for n, c, e in ways])
         return df.select("config", F.col(f"a{end}").cast("double").alias("a"), F.col(f"b{end}").cast("double").alias("b"), *also, F.explode(parts).alias("x")).select("config", "a", "b", *also, "x.*")
 
-    pairs = points_in_intervals(rows, truth.select(KEY, "interval_id", "start_us", "end_us"), width=width, tol=tol)
+    pairs = stored(points_in_intervals(rows, truth.select(KEY, "interval_id", "start_us", "end_us"), width=width, tol=tol), "union-pairs")
     exact = F.col("ts_us").between(F.col("i_start_us"), F.col("i_end_us"))
     by_config = lambda df: df.select("*", each).withColumns({c: F.when(seen, F.col(c)) for c in columns})
     best = by_config(pairs).groupBy("config", KEY, F.col("i_interval_id").alias("interval_id"))
     best = best.agg(*[F.max(F.when(exact, F.col(s))).alias(f"{s}_in") for s in scores], *[F.max(s).alias(f"{s}_near") for s in scores])
-    maxima = truth.select(KEY, "interval_id", each).join(best, ["config", KEY, "interval_id"], "left")
+    maxima = stored(truth.select(KEY, "interval_id", each).join(best, ["config", KEY, "interval_id"], "left"), "union-maxima")
     one = F.lit(1)
     found = _policy_counts(long(maxima, "_in"), policies, {"detected": one}).withColumnRenamed("all_detected", "n_intervals")
     near = _policy_counts(long(maxima, "_near"), policies, {"detected_near": one}).drop("all_detected_near")
