@@ -50,6 +50,12 @@ def _column(table: AnalyzeArgument, name: AnalyzeArgument) -> StructField:
     return table.dataType[name.value]
 
 
+def _apart(key: AnalyzeArgument) -> list[PartitioningColumn]:
+    """Rows of a key in one task. A structure around the column keeps Spark from leaving its exchange out where a join is already cut
+    by the column: adaptive execution may then read the join's side as it was written, or split it, and a key is in several tasks."""
+    return [PartitioningColumn(f"struct(`{key.value.replace('`', '``')}`)")]
+
+
 @udtf
 class MinGap:
     """min_gap(TABLE(t), key, ts, gap): the rows of t that are the first of their key, or the first at least gap after the last
@@ -61,7 +67,7 @@ class MinGap:
     @staticmethod
     def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, ts: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
         _column(rows, key), _column(rows, ts)
-        return AnalyzeResult(schema=rows.dataType, partitionBy=[PartitioningColumn(key.value)], orderBy=[OrderingColumn(ts.value)])
+        return AnalyzeResult(schema=rows.dataType, partitionBy=_apart(key), orderBy=[OrderingColumn(ts.value)])
 
     def eval(self, row: Row, key: str, ts: str, gap: int) -> Iterator[tuple]:
         t = row[ts]
@@ -83,12 +89,12 @@ class ThresholdGrid:
     def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, column: AnalyzeArgument, n: AnalyzeArgument) -> AnalyzeResult:
         _column(rows, column)
         schema = StructType([_column(rows, key), StructField("threshold", DoubleType())])
-        return AnalyzeResult(schema=schema, partitionBy=[PartitioningColumn(key.value)], orderBy=[OrderingColumn(column.value)])
+        return AnalyzeResult(schema=schema, partitionBy=_apart(key), orderBy=[OrderingColumn(column.value)])
 
     def eval(self, row: Row, key: str, column: str, n: int) -> None:
         self.key, self.n = row[key], n
         if (x := row[column]) is not None:
-            if self.values and self.values[-1][0] == x:
+            if self.values and (self.values[-1][0] == x or (x != x and self.values[-1][0] != self.values[-1][0])):  # NaN is one value
                 self.values[-1][1] += 1
             else:
                 self.values.append([x, 1])
