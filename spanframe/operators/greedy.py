@@ -94,7 +94,7 @@ def min_gap(points: DataFrame, gap: int, ts: str) -> DataFrame:
                 yield b.filter(pa.array(take(b)[0]))
 
     rows = points.select(KEY, F.col(ts).cast("bigint").alias(ts)).where(F.col(ts).isNotNull())
-    return rows.repartition(KEY).sortWithinPartitions(KEY, ts).mapInArrow(run, T.StructType([points.schema[KEY], T.StructField(ts, T.LongType())]))
+    return rows.repartition(F.struct(KEY)).sortWithinPartitions(KEY, ts).mapInArrow(run, T.StructType([points.schema[KEY], T.StructField(ts, T.LongType())]))
 
 
 def held_by(points: DataFrame, gaps: Mapping[str, int], ts: str, tie: Sequence[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def held_by(points: DataFrame, gaps: Mapping[str, int], ts: str, tie: Sequence[s
             yield pa.RecordBatch.from_arrays([*(b.column(i).filter(pa.array(any_)) for i in (0, *range(2, b.num_columns))), pa.ListArray.from_arrays(pa.array(ends), said)], names=schema.names)
 
     rows = points.select(KEY, F.col(ts).cast("bigint").alias(ts), *tie).where(F.col(ts).isNotNull())
-    return rows.repartition(KEY).sortWithinPartitions(KEY, ts, *tie).mapInArrow(run, schema)
+    return rows.repartition(F.struct(KEY)).sortWithinPartitions(KEY, ts, *tie).mapInArrow(run, schema)
 
 
 def dedupe_close(points: DataFrame, tol: int, ts: str, scene: str, ident: str) -> DataFrame:
@@ -149,7 +149,7 @@ def dedupe_close(points: DataFrame, tol: int, ts: str, scene: str, ident: str) -
             yield held
 
     rows = points.select(*schema.names).where(F.col(ts).isNotNull()).withColumn(scene, F.coalesce(scene, F.lit(False)))
-    spread = rows.repartition(KEY).sortWithinPartitions(F.col(KEY), F.col(ts), ~F.col(scene), F.col(ident))
+    spread = rows.repartition(F.struct(KEY)).sortWithinPartitions(F.col(KEY), F.col(ts), ~F.col(scene), F.col(ident))
     return spread.mapInArrow(run, schema)
 
 
@@ -193,7 +193,7 @@ def _entries(points: DataFrame, gap: int, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pick)), b.column(1).take(pa.array(pick)), pa.array(t[pick]), pa.array(t[step[pick]])], names=[KEY, "chunk", "entry", "last"])
 
     schema = T.StructType([points.schema[KEY], *(T.StructField(c, T.LongType()) for c in ("chunk", "entry", "last"))])
-    return points.select(KEY, "chunk", "t").repartition(KEY, "chunk").sortWithinPartitions(KEY, "chunk", "t").mapInArrow(run, schema)
+    return points.select(KEY, "chunk", "t").repartition(F.struct(KEY, "chunk")).sortWithinPartitions(KEY, "chunk", "t").mapInArrow(run, schema)
 
 
 def _pointers(entries: DataFrame, gap: int) -> DataFrame:
@@ -229,5 +229,5 @@ def min_gap_chunked(points: DataFrame, gap: int, ts: str, chunk: int) -> DataFra
             taken = reached(successors(runs, t, gap), np.flatnonzero(t == entry))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(taken)), pc.filter(b.column(2), pa.array(taken))], names=[KEY, ts])
 
-    chosen = rows.join(now, [KEY, "chunk"]).select(KEY, "chunk", "t", "entry").repartition(KEY, "chunk").sortWithinPartitions(KEY, "chunk", "t")
+    chosen = rows.join(now, [KEY, "chunk"]).select(KEY, "chunk", "t", "entry").repartition(F.struct(KEY, "chunk")).sortWithinPartitions(KEY, "chunk", "t")
     return chosen.mapInArrow(run, T.StructType([points.schema[KEY], T.StructField(ts, T.LongType())]))

@@ -87,7 +87,8 @@ def ordered_pass(rows: DataFrame, key: Sequence[str], order: Sequence[str], colu
     """(key, schema) of what fold makes of each key's rows, which it gets one by one in order, as tuples of columns.
 
     For rules whose anchor is the last kept row. Rows are sorted by Spark and stream through the task: nothing of a timeline
-    is held but what fold itself holds, however long the timeline is.
+    is held but what fold itself holds, however long the timeline is. A window numbers the rows because it needs a key's rows in one
+    task: a mere repartition is left out behind a join by the key, whose side adaptive execution may read as it was written.
     """
     names, k = [*key, *columns], len(key)
     out = T.StructType([*(rows.schema[c] for c in key), *T.StructType.fromDDL(schema).fields])
@@ -96,7 +97,7 @@ def ordered_pass(rows: DataFrame, key: Sequence[str], order: Sequence[str], colu
         stream = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         made: list[tuple] = []
         for group, mine in itertools.groupby(stream, key=lambda r: r[:k]):
-            for row in fold(r[k:] for r in mine):
+            for row in fold(r[k:-1] for r in mine):
                 made.append(group + tuple(row))
                 if len(made) == 10_000:
                     yield batch(made)
@@ -109,5 +110,5 @@ def ordered_pass(rows: DataFrame, key: Sequence[str], order: Sequence[str], colu
     def batch(made: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
 
-    spread = rows.select(*names, *(c for c in order if c not in names)).repartition(*key).sortWithinPartitions(*key, *order)
-    return spread.select(*names).mapInArrow(run, out)
+    spread = rows.select(*names, *(c for c in order if c not in names)).withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return spread.select(*names, "__place").mapInArrow(run, out)
