@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import columns as fn
 from .intervals import merge_intervals, pad_and_clamp
@@ -18,6 +19,8 @@ from .timeline import KEY, gap_islands, ordered_pass, points_in_intervals, range
 
 #: Thresholds of the prefilter by mode.
 MODE_THRESHOLDS = {"fast": 0.45, "balanced": 0.15, "thorough": 0.15}
+#: evaluate_clustering: rows of whole media that a task holds at once, about, and the most of one media that it holds as arrays.
+_BLOCK, _HELD = 1 << 15, 1 << 20
 
 
 def candidate_mask(df: DataFrame, t_a: float, t_b: float) -> DataFrame:
@@ -241,10 +244,89 @@ def evaluate_clustering(candidates: DataFrame, grid: Sequence[tuple[int, int, in
 
     candidates(media_id, ts_us, by_a, by_b, duration_us). Gives n_candidates, n_events, reduction (1 - events / candidates),
     mean, median, p90, longest and total duration, the share of the media that they cover, events by profile, and images (up to
-    k distinct times each). Only the first candidate of each event meets a setting: what lies between two of them comes from
-    running counts, so the grid multiplies events, not samples. Detection does not depend on clustering: see detections.
+    k distinct times each). Detection does not depend on clustering: see detections.
+
+    Media of up to _HELD candidates are counted where their rows lie, a block of whole media and a setting at a time: no event is
+    sorted or shuffled. For longer ones only the first candidate of each event meets a setting: what lies between two of them comes
+    from running counts, so the grid multiplies events, not samples.
     """
-    rows = event_cuts(candidates.select(KEY, "ts_us", "by_a", "by_b", "duration_us", *[c for c in tie if c not in (KEY, "ts_us")]), tie=tie)
+    candidates = candidates.select(KEY, "ts_us", "by_a", "by_b", "duration_us", *[c for c in tie if c not in (KEY, "ts_us")])
+    long = candidates.groupBy(KEY).agg(F.count("*").alias("__c")).where(F.col("__c") > _HELD).select(KEY)
+    if long.limit(1).count():
+        out = _held_clustering(candidates.join(long, KEY, "left_anti"), grid, k, tie).unionByName(_long_clustering(candidates.join(long, KEY, "left_semi"), grid, k, tie))
+    else:
+        out = _held_clustering(candidates, grid, k, tie)
+    return out.withColumns({"reduction": 1 - fn.ratio(F.col("n_events"), F.col("n_candidates")), "media_fraction": fn.ratio(F.col("union_us"), F.col("duration_us"))}).drop("duration_us", "union_us")
+
+
+def _percentile(sorted_len: np.ndarray, at: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Spark's percentile of each stretch of n sorted numbers from at."""
+    place = (n - 1) * p
+    low = np.floor(place)
+    lower, upper = sorted_len[at + low.astype(np.int64)].astype(float), sorted_len[at + np.ceil(place).astype(np.int64)].astype(float)
+    return np.where(lower == upper, lower, (low + 1 - place) * lower + (place - low) * upper)
+
+
+def _held_clustering(candidates: DataFrame, grid: Sequence[tuple[int, int, int]], k: int, tie: Sequence[str]) -> DataFrame:
+    rows = event_cuts(candidates, tie=tie)
+    # the window needs a media's rows in one task, in order
+    rows = rows.select(KEY, F.row_number().over(Window.partitionBy(KEY).orderBy("n")).alias("n"), "ts_us", "gap_us", "span_us", F.coalesce("by_a", F.lit(False)).alias("a"), F.coalesce("by_b", F.lit(False)).alias("b"), "duration_us")
+    counts = ("n_events", "longest_us", "total_us", "union_us", "duration_us", "a_only", "b_only", "both", "images", "most_images", "full_events")
+    fields = [T.StructField(c, T.LongType()) for c in ("gap", "context", "longest")] + [rows.schema[KEY], T.StructField("n_candidates", T.IntegerType())]
+    out = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("mean_us", "median_us", "p90_us")] + [T.StructField(c, T.LongType()) for c in counts])
+    arrow = to_arrow_schema(out)
+
+    def of_block(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        plain = lambda c, none=0: block[c].fill_null(none).to_numpy().astype(np.int64)
+        n, ts, gaps, spans, dur = plain("n"), plain("ts_us"), plain("gap_us", -1), plain("span_us", -1), plain("duration_us", np.iinfo(np.int64).max)
+        first = n == 1
+        heads = np.flatnonzero(first)
+        sizes = np.diff(np.append(heads, len(n)))
+        upto = lambda c: np.concatenate(([0], np.cumsum(c)))
+        a, b, d = upto(plain("a", False)), upto(plain("b", False)), upto(first | (gaps > 0))
+        media, lasting = block[KEY].combine_chunks().take(pa.array(heads)), pa.array(dur[heads], mask=block["duration_us"].is_null().to_numpy()[heads])
+        for gap, context, longest in grid:
+            at = np.flatnonzero(first | (gaps > gap) | (~first & (spans + 2 * context > longest)))
+            after = np.append(at[1:], len(n))
+            begin, end = np.maximum(0, ts[at] - context), np.minimum(dur[at], ts[after - 1] + context)
+            size, opens = end - begin, first[at]
+            before = np.where(opens, begin, np.append(0, end[:-1]))
+            fresh = end - np.maximum(begin, before)
+            has_a, has_b, images = a[after] > a[at], b[after] > b[at], 1 + d[after] - d[at + 1]
+            heads_of = np.flatnonzero(opens)
+            of = np.diff(np.append(heads_of, len(at)))
+            total = lambda x: np.add.reduceat(x.astype(np.int64), heads_of)
+            most = lambda x: np.maximum.reduceat(x, heads_of)
+            in_order = size[np.lexsort((size, np.cumsum(opens)))]
+            seen = np.minimum(k, images)
+            same = lambda x: np.full(len(heads), x)
+            columns = {
+                "gap": same(gap), "context": same(context), "longest": same(longest), KEY: media, "n_candidates": sizes, "mean_us": total(size) / of, "median_us": _percentile(in_order, heads_of, of, 0.5),
+                "p90_us": _percentile(in_order, heads_of, of, 0.9), "n_events": of, "longest_us": most(size), "total_us": total(size), "union_us": total(fresh), "duration_us": lasting,
+                "a_only": total(has_a & ~has_b), "b_only": total(has_b & ~has_a), "both": total(has_a & has_b), "images": total(seen), "most_images": most(seen), "full_events": total(images >= k),
+            }
+            yield pa.RecordBatch.from_arrays([v if isinstance(v := columns[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < _BLOCK:
+                continue
+            block = pa.Table.from_batches(held)
+            # the last media may go on in the next batch
+            cut = int(np.flatnonzero(block["n"].to_numpy() == 1)[-1])
+            if cut:
+                yield from of_block(block.slice(0, cut))
+                held = block.slice(cut).combine_chunks().to_batches()
+        if sum(x.num_rows for x in held):
+            yield from of_block(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, out)
+
+
+def _long_clustering(candidates: DataFrame, grid: Sequence[tuple[int, int, int]], k: int, tie: Sequence[str]) -> DataFrame:
+    rows = event_cuts(candidates, tie=tie)
     w = Window.partitionBy(KEY).orderBy("n")
     flags = {"a": F.coalesce("by_a", F.lit(False)), "b": F.coalesce("by_b", F.lit(False)), "d": F.coalesce(F.col("gap_us") > 0, F.lit(True))}
     run = {f"__{c}": F.sum(x.cast("bigint")).over(w) for c, x in flags.items()}
@@ -257,17 +339,16 @@ def evaluate_clustering(candidates: DataFrame, grid: Sequence[tuple[int, int, in
     by = ("gap", "context", "longest")
     order = Window.partitionBy(KEY, *by).orderBy("n")
     until = lambda c: F.coalesce(F.lead(F.col(f"__{c}") - F.col(f"own_{c}")).over(order), F.col(f"all_{c}")) - F.col(f"__{c}") + F.col(f"own_{c}")
-    events = events.withColumns({"last_us": F.coalesce(F.lead(F.col("ts_us") - F.col("gap_us")).over(order), F.col("last_ts")), "n_a": until("a"), "n_b": until("b"), "times": F.greatest(F.lit(1), until("d"))})
+    events = events.withColumns({"last_us": F.coalesce(F.lead(F.col("ts_us") - F.col("gap_us")).over(order), F.col("last_ts")), "n_a": until("a"), "n_b": until("b"), "times": until("d") - F.col("own_d") + 1})
     events = events.withColumns({"start_us": F.greatest(F.lit(0), F.col("ts_us") - F.col("context")), "end_us": F.least("duration_us", F.col("last_us") + F.col("context"))})
     fresh = F.col("end_us") - F.greatest("start_us", F.coalesce(F.lag("end_us").over(order), F.col("start_us")))
     events = events.withColumns({"len": F.col("end_us") - F.col("start_us"), "fresh": fresh})
-    out = events.groupBy(*by, KEY).agg(
+    return events.groupBy(*by, KEY).agg(
         F.max("last_n").alias("n_candidates"), F.count("*").alias("n_events"), F.avg("len").alias("mean_us"), F.percentile("len", 0.5).alias("median_us"),
         F.percentile("len", 0.9).alias("p90_us"), F.max("len").alias("longest_us"), F.sum("len").alias("total_us"), F.sum("fresh").alias("union_us"), F.max("duration_us").alias("duration_us"),
         F.count_if((F.col("n_a") > 0) & (F.col("n_b") == 0)).alias("a_only"), F.count_if((F.col("n_b") > 0) & (F.col("n_a") == 0)).alias("b_only"), F.count_if((F.col("n_a") > 0) & (F.col("n_b") > 0)).alias("both"),
         F.sum(F.least(F.lit(k), "times")).alias("images"), F.max(F.least(F.lit(k), "times")).alias("most_images"), F.count_if(F.col("times") >= k).alias("full_events"),
     )
-    return out.withColumns({"reduction": 1 - fn.ratio(F.col("n_events"), F.col("n_candidates")), "media_fraction": fn.ratio(F.col("union_us"), F.col("duration_us"))}).drop("duration_us", "union_us")
 
 
 def best_clustering(table: DataFrame, recall: DataFrame) -> DataFrame:
