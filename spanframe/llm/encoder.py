@@ -19,7 +19,7 @@ import numpy as np
 
 #: Most entries of each half of a memo. A full half becomes the older one, whose entries come back as they are met again, and the
 #: older one goes: what is frequent stays, and words met once do not fill a worker's memory.
-MEMO = 100_000
+MEMO = 150_000
 #: The normalizer, pre-tokenizer and model options of files that the memo serves.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -79,21 +79,28 @@ class Encoder:
         self.old_words: dict[str, bytes] = {}
         self.old_chunks: dict[str, bytes] = {}
 
+    def _model(self, word: str) -> bytes:
+        spelt = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(_LETTER.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
     def _word(self, word: str) -> bytes:
-        if (found := self.words.get(word)) is None:
+        """ids of a word; those of a word between spaces are kept once, as a chunk."""
+        if (found := self.chunks.get(word)) is None and (found := self.words.get(word)) is None:
+            if (found := self.old_words.get(word)) is None and (found := self.old_chunks.get(word)) is None:
+                found = self._model(word)
             if len(self.words) >= MEMO:
                 self.words, self.old_words = {}, self.words
-            if (found := self.old_words.get(word)) is not None:
+            if len(word) <= 64:
                 self.words[word] = found
-                return found
-            spelt = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(_LETTER.__getitem__, word.encode()))
-            found = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
     def _chunk(self, chunk: str) -> bytes:
         """ids of what stands between two spaces."""
-        if (found := self.old_chunks.get(chunk)) is None:
-            found = self._word(chunk) if chunk.isalpha() else b"".join(map(self._word, _PIECES.findall(chunk)))
+        if (found := self.chunks.get(chunk)) is None and (found := self.old_chunks.get(chunk)) is None:
+            if not chunk.isalpha():
+                found = b"".join(map(self._word, _PIECES.findall(chunk)))
+            elif (found := self.words.get(chunk)) is None and (found := self.old_words.get(chunk)) is None:
+                found = self._model(chunk)
         if len(self.chunks) >= MEMO:
             self.chunks, self.old_chunks = {}, self.chunks
         if len(chunk) <= 64:

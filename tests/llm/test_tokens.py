@@ -126,3 +126,12 @@ def test_histogram_answers_every_limit(spark, code, odd_docs, no_docs):
     assert half == {s: sorted(x)[(len(x) + 1) // 2 - 1] for s, x in lengths.items()}
     assert length_histogram(no_docs, tokenizer_file()).count() == 0
     assert length_histogram(odd_docs, tokenizer_file()).agg({"n_docs": "sum"}).first()[0] == 11
+
+
+def test_a_word_between_spaces_is_kept_once():
+    from public_tokenizers import path
+
+    code = encoding.Encoder(path("word_bpe_49k.json"))
+    for text in ("alpha beta, (Gamma) delta", "beta gamma, alpha. delta!"):
+        assert code.encode(text).tolist() == code.whole.encode(text, add_special_tokens=False).ids
+    assert {"alpha", "delta"} <= set(code.chunks) and not {"alpha", "delta"} & set(code.words)
