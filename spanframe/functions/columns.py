@@ -134,7 +134,33 @@ def first_json_object(text: Column) -> Column:
     """The first {...} that parses as JSON, with all that nests inside; null without one.
 
     Each opening brace is tried in turn: what follows is cut into strings, braces and the rest, so that braces and quotes inside of
-    strings count for nothing, up to the brace that closes the first."""
+    strings count for nothing, up to the brace that closes the first. Texts of up to _BRACES opening braces first go through one
+    pattern that nests as deep; where its first object does not parse, or there are more braces, the braces are tried one by one."""
+    few = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) <= _BRACES
+    first = F.regexp_extract(text, _nested(_BRACES), 0)
+    return F.when(few & (first == ""), F.lit(None).cast("string")).when(few & _parses(first), first).otherwise(_each_brace(text))
+
+
+#: Opening braces of a text, and so objects inside each other, that one pattern covers.
+_BRACES = 12
+
+
+def _nested(depth: int) -> str:
+    """A pattern of the first balanced {...} up to so deep that may be an object of JSON, which goes on with a string or ends."""
+    inner = ""
+    for _ in range(depth - 1):
+        inner = rf'|\{{(?:{_STRING}|[^"{{}}]++|"{inner})*+\}}'
+    return rf'(?s)\{{(?=[ \t\r\n]*+["}}])(?:{_STRING}|[^"{{}}]++|"{inner})*+\}}'
+
+
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+
+
+def _parses(text: Column) -> Column:
+    return F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
+
+
+def _each_brace(text: Column) -> Column:
     tokens = F.lit(r'(?s)"(?:[^"\\]|\\.)*+"|[{}]|[^"{}]++|"')
 
     def closed(rest: Column) -> Column:
@@ -155,8 +181,7 @@ def first_json_object(text: Column) -> Column:
     def attempt(s: Column, piece: Column) -> Column:
         at = s["at"] + F.length(piece)
         said = closed(F.substring(text, at, F.length(text)))
-        parses = F.from_json(said, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
-        return F.when(s["found"].isNotNull(), s).otherwise(F.struct(at.alias("at"), F.when(parses, said).alias("found")))
+        return F.when(s["found"].isNotNull(), s).otherwise(F.struct(at.alias("at"), F.when(_parses(said), said).alias("found")))
 
     return F.aggregate(pieces, none, attempt, lambda s: s["found"])
 
