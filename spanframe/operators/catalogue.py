@@ -29,9 +29,9 @@ def annotation_issues(segments: DataFrame, key: Sequence[str], *, attribute: str
     if attribute is None:
         return found
     rest = [k for k in key if k != attribute]
-    w = Window.partitionBy(*key).orderBy(*([order] if order else ["first_frame", "last_frame"]))
-    ends = segments.withColumn("__n", F.row_number().over(w)).groupBy(*key).agg(F.max_by("last_frame", "__n").alias("end"))
-    unlike = ends.groupBy(*rest).agg(F.min("end").alias("first_frame"), F.max("end").alias("last_frame")).where("first_frame <> last_frame")
+    # a key's last row is the one that no other follows: its end needs no aggregate by the key beside the sort
+    ends = segments.withColumn("__more", F.lead(F.lit(True)).over(w)).where("__more is null")
+    unlike = ends.groupBy(*rest).agg(F.min("last_frame").alias("first_frame"), F.max("last_frame").alias("last_frame")).where("first_frame <> last_frame")
     return found.unionByName(unlike.withColumns({attribute: F.lit(None).cast("string"), "issue": F.lit("ends differ")}))
 
 
