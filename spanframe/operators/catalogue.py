@@ -88,11 +88,15 @@ def catalogue_rollup(segments: DataFrame, members: DataFrame, *, attribute: str,
 def inventory(segments: DataFrame, reviews: DataFrame, issues: DataFrame, *, attribute: str, levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """Per action: annotated items, items by their greatest level, items that reviews(action, item_id, review) flags, and items with
     an issue."""
-    flagged = reviews.where("review").select(*ITEM).distinct().withColumn("__review", F.lit(True))
-    bad = issues.select(*ITEM).distinct().withColumn("__issue", F.lit(True))
-    rows = highest_level(segments, attribute).join(flagged, list(ITEM), "left").join(bad, list(ITEM), "left")
-    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return rows.groupBy("action").agg(F.count("*").alias("annotated"), *[F.count_if(F.col("level") == x).alias(f"level_{x}") for x in levels], yes("__review").alias("review_true"), yes("__issue").alias("with_issues"))
+    # one aggregate by item instead of joins: its rows are not sorted. As in a join by item, a null key meets nothing
+    known = lambda df: df.select(*ITEM).where(" and ".join(f"{c} is not null" for c in ITEM))
+    none, no, yes = F.lit(None), F.lit(False), F.lit(True)
+    value = F.when(F.col("attribute") == attribute, F.array_max("values"))
+    rows = segments.select(*ITEM, value.alias("level"), no.alias("__review"), no.alias("__issue"), yes.alias("__item"))
+    for found, marks in ((reviews.where("review"), (yes, no, no)), (issues, (no, yes, no))):
+        rows = rows.unionByName(known(found).select(*ITEM, none.cast(rows.schema["level"].dataType).alias("level"), *[m.alias(c) for m, c in zip(marks, ("__review", "__issue", "__item"), strict=True)]))
+    items = rows.groupBy(*ITEM).agg(F.max("level").alias("level"), *[F.max(c).alias(c) for c in ("__review", "__issue", "__item")]).where("__item")
+    return items.groupBy("action").agg(F.count("*").alias("annotated"), *[F.count_if(F.col("level") == x).alias(f"level_{x}") for x in levels], F.count_if("__review").alias("review_true"), F.count_if("__issue").alias("with_issues"))
 
 
 def speech_summary(events: DataFrame) -> DataFrame:
