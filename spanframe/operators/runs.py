@@ -47,20 +47,21 @@ def disjoint(items: DataFrame, pilot: DataFrame, columns: Sequence[str]) -> Data
 def compare_runs(runs: Mapping[str, DataFrame] | Sequence[DataFrame], by: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Items that all runs have: whether each field is equal in all of them (nulls are equal), and whether all fields are.
 
-    One pass over the union: an item of every run with one distinct value of a field has it equal. An item that a run repeats is
-    compared with all its rows."""
+    One pass over the union: an item that every run has, and whose least and greatest value of a field are the same, has it equal. An
+    item that a run repeats is compared with all its rows."""
     tables = list(runs.values()) if isinstance(runs, Mapping) else list(runs)
     both = None
     for i, t in enumerate(tables):
         t = t.select(*by, *fields, F.lit(i).alias("__run"))
         both = t if both is None else both.unionByName(t)
-    # null stands apart from every value: a structure around it is never null
-    one = {f"same_{c}": F.count_distinct(F.struct(F.col(c))) == 1 for c in fields}
-    out = both.groupBy(*by).agg(F.count_distinct("__run").alias("__n"), *[v.alias(k) for k, v in one.items()])
+    # null stands apart from every value. No distinct counts: they would multiply the rows by the fields
+    one = {f"same_{c}": F.when(F.count(c) == F.count("*"), F.min(c) == F.max(c)).otherwise(F.count(c) == 0) for c in fields}
+    had = [F.max(F.col("__run") == i).alias(f"__had_{i}") for i in range(len(tables))]
+    out = both.groupBy(*by).agg(*had, *[v.alias(k) for k, v in one.items()])
     every = F.lit(True)
     for k in one:
         every = every & F.col(k)
-    return out.where(F.col("__n") == len(tables)).drop("__n").withColumn("same", every)
+    return out.where(" and ".join(f"__had_{i}" for i in range(len(tables)))).drop(*[f"__had_{i}" for i in range(len(tables))]).withColumn("same", every)
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
